@@ -20,6 +20,11 @@ NOISE_SQL = ", ".join(_q(t) for t in K.NAME_NOISE_TOKENS)
 SUSP_SQL = ", ".join(_q(b) for b in K.SUSPICIOUS_BANDS)
 
 
+def rnd(expr: str, digits: int) -> str:
+    """Spark's round on a double: half-up on the shortest decimal text."""
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,20)), {digits}) AS DOUBLE)"
+
+
 def fold63(expr: str) -> str:
     return f"((('0x' || substr(sha256({expr}), 1, 16))::UBIGINT & 9223372036854775807::UBIGINT)::BIGINT)"
 
@@ -34,13 +39,14 @@ def fake_score(s: str) -> str:
     junk = " OR ".join(f"contains({low}, {_q(t)})" for t in K.FAKE_NAME_JUNK)
     tok = f"list_filter(string_split_regex({s}, '\\s+'), lambda t: t <> '')"
     letters = f"list_distinct(list_filter(string_split({low}, ''), lambda c: regexp_full_match(c, '\\p{{L}}')))"
-    return (f"CASE WHEN {s} = '' THEN 1.0 ELSE least(1.0, 0.0"
-            f" + (CASE WHEN {junk} THEN {K.FAKE_JUNK_WEIGHT} ELSE 0.0 END)"
-            f" + (CASE WHEN len({letters}) <= {K.FAKE_FEW_LETTERS_MAX} THEN {K.FAKE_FEW_LETTERS_WEIGHT} ELSE 0.0 END)"
-            f" + (CASE WHEN len({tok}) < 2 THEN {K.FAKE_ONE_TOKEN_WEIGHT} ELSE 0.0 END)"
-            f" + (CASE WHEN len({tok}) > 1 AND len(list_distinct({tok})) = 1 THEN {K.FAKE_REPEATED_TOKEN_WEIGHT} ELSE 0.0 END)"
+    z = "0.0::DOUBLE"
+    return (f"CASE WHEN {s} = '' THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, {z}"
+            f" + (CASE WHEN {junk} THEN {K.FAKE_JUNK_WEIGHT}::DOUBLE ELSE {z} END)"
+            f" + (CASE WHEN len({letters}) <= {K.FAKE_FEW_LETTERS_MAX} THEN {K.FAKE_FEW_LETTERS_WEIGHT}::DOUBLE ELSE {z} END)"
+            f" + (CASE WHEN len({tok}) < 2 THEN {K.FAKE_ONE_TOKEN_WEIGHT}::DOUBLE ELSE {z} END)"
+            f" + (CASE WHEN len({tok}) > 1 AND len(list_distinct({tok})) = 1 THEN {K.FAKE_REPEATED_TOKEN_WEIGHT}::DOUBLE ELSE {z} END)"
             f" + (CASE WHEN coalesce(list_sum(list_transform({tok}, lambda t: length(t))), 0) < {K.FAKE_SHORT_TOTAL} "
-            f"THEN {K.FAKE_SHORT_WEIGHT} ELSE 0.0 END)) END")
+            f"THEN {K.FAKE_SHORT_WEIGHT}::DOUBLE ELSE {z} END)) END")
 
 
 def py_dt(expr: str, sep: str = " ") -> str:
@@ -69,7 +75,7 @@ m1_rows AS (
   SELECT CAST(1 + (dayofmonth(ts) - 1) // 10 AS BIGINT) AS upload_id, event_id AS row_num,
     CASE WHEN event_type IN ('purchase', 'signup') THEN 'sale' WHEN event_type = 'error' THEN 'refund'
          WHEN event_type = 'click' THEN 'redeem' ELSE 'other' END AS op_type,
-    ts AS op_datetime, ts + k * INTERVAL 1 HOUR AS dep_datetime, value AS amount, round(value * 0.05, 2) AS fee,
+    ts AS op_datetime, ts + k * INTERVAL 1 HOUR AS dep_datetime, value AS amount, {rnd('value * 0.05::DOUBLE', 2)} AS fee,
     'T' || (k % 13) AS train_no, 'ch' || (k % 5) AS channel,
     CASE WHEN k % 7 = 0 THEN NULL ELSE 'ag' || (k % 3) END AS aggregator,
     't' || (k % 17) AS terminal, 'cd' || (k % 11) AS cashdesk, 'pos' || (k % 4) AS point_of_sale,
@@ -110,7 +116,7 @@ pass AS (
 def features_cte(scope: str = "all") -> str:
     keys = "passenger_id" if scope == "all" else "upload_id, passenger_id"
     return f"""
-txh AS (SELECT *, (epoch_us(dep_datetime) - epoch_us(op_datetime)) / 1e6 / 3600.0 AS h FROM tx),
+txh AS (SELECT *, (epoch_us(dep_datetime) - epoch_us(op_datetime)) / 1e6::DOUBLE / 3600.0::DOUBLE AS h FROM tx),
 fagg AS (
   SELECT {keys}, count(*) AS total_tickets, CAST(count_if(lower(op_type) = 'refund') AS BIGINT) AS refund_cnt,
     CAST(count_if(hour(op_datetime) BETWEEN {K.NIGHT_HOURS[0]} AND {K.NIGHT_HOURS[1]}) AS BIGINT) AS night_tickets,
@@ -142,8 +148,8 @@ feat AS (
 
 
 def rule_score_sql() -> str:
-    parts = " + ".join(f"(CASE WHEN {f} > {th} THEN {pts} ELSE 0.0 END)" for f, th, pts, _ in K.RULES)
-    return f"least(0.0 + {parts}, {K.RULE_SCORE_CAP})"
+    parts = " + ".join(f"(CASE WHEN {f} > {th} THEN {pts}::DOUBLE ELSE 0.0::DOUBLE END)" for f, th, pts, _ in K.RULES)
+    return f"least(0.0::DOUBLE + {parts}, {K.RULE_SCORE_CAP}::DOUBLE)"
 
 
 def band_sql(score: str) -> str:
@@ -160,8 +166,8 @@ def reasons_sql() -> str:
 def scores_cte(scope: str = "all") -> str:
     keys = "passenger_id" if scope == "all" else "upload_id, passenger_id"
     return f"""
-sc0 AS (SELECT *, {rule_score_sql()} AS rule_score, 0.0 AS ml_score FROM feat),
-sc1 AS (SELECT *, 1.0 * rule_score + 0.0 * ml_score AS final_score FROM sc0),
+sc0 AS (SELECT *, {rule_score_sql()} AS rule_score, 0.0::DOUBLE AS ml_score FROM feat),
+sc1 AS (SELECT *, 1.0::DOUBLE * rule_score + 0.0::DOUBLE * ml_score AS final_score FROM sc0),
 scores AS (
   SELECT {keys}, rule_score, ml_score, final_score, {band_sql('final_score')} AS risk_band,
     {reasons_sql()} AS top_reasons, refund_close_ratio > {K.SEAT_CLOSE_RATIO_MIN} AS seat_blocking_flag,
@@ -205,3 +211,160 @@ conc AS (
     {RUN_TIME_SQL} AS calculated_at
   FROM dstats
 )"""
+
+
+# ---------------------------------------------------------------------------
+# M1s: sheet cells and the source path.
+# ---------------------------------------------------------------------------
+
+def _sql_list(items) -> str:
+    return "[" + ", ".join("NULL" if x is None else _q(x) for x in items) + "]::VARCHAR[]"
+
+
+def m1s_cells() -> str:
+    from farewatch.sources import fixtures as FX
+
+    frame = []
+    for up, hdr_row in FX.SHEET_HEADER_ROW.items():
+        for r in range(1, hdr_row):
+            frame.append((up, r, [FX.SHEET_TITLE] if r == 1 else [None]))
+        frame.append((up, hdr_row, FX.SHEET_HEADERS[up]))
+    values = ", ".join(f"({u}, {r}, {_sql_list(c)})" for u, r, c in frame)
+    name = "CASE WHEN user_id % 4 = 0 THEN 'test ' || p.p_name ELSE p.p_name END"
+    return f"""
+m1s_data AS (
+  SELECT CAST(1 + (dayofmonth(ts) - 1) // 10 AS BIGINT) AS upload_id, event_id + {FX.SHEET_ROW_OFFSET} AS row_num,
+    [CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_type = 'purchase' THEN 'Продажа'
+          WHEN event_type = 'signup' THEN ' покупка ' WHEN event_type = 'error' THEN 'ВОЗВРАТ'
+          WHEN event_type = 'click' THEN 'гашение' ELSE event_type END,
+     CASE WHEN event_id % 89 = 0 THEN '31.02.2024' WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+          WHEN event_id % 4 = 1 THEN strftime(ts, '%d.%m.%Y %H:%M') WHEN event_id % 4 = 2 THEN strftime(ts, '%d.%m.%Y')
+          ELSE strftime(ts, '%Y-%m-%d') END,
+     CASE WHEN k % 10 = 0 THEN NULL ELSE strftime(ts + k * INTERVAL 1 HOUR, '%d.%m.%Y %H:%M') END,
+     'T' || (k % 13), 'ch' || (k % 5), CASE WHEN k % 7 = 0 THEN NULL ELSE 'ag' || (k % 3) END,
+     't' || (k % 17), 'cd' || (k % 11), 'pos' || (k % 4),
+     CASE WHEN event_id % 101 = 0 THEN 'n/a' WHEN event_id % 3 = 0 THEN CAST(value AS VARCHAR)
+          WHEN event_id % 3 = 1 THEN replace(CAST(value AS VARCHAR), '.', ',') ELSE ' ' || CAST(value AS VARCHAR) END,
+     CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 AS VARCHAR) || '.5' END,
+     CASE WHEN user_id % 5 = 0 THEN {name} || ' ' || lpad(CAST(user_id AS VARCHAR), 12, '7') ELSE {name} END,
+     NULL, CAST(user_id AS VARCHAR), 'ord' || event_id, 'st' || (k % 6), 'st' || ((k + 1) % 6), NULL, NULL, NULL
+    ]::VARCHAR[] AS cells
+  FROM m1_ev LEFT JOIN part p ON p.p_partkey = m1_ev.user_id
+),
+m1s_frame AS (
+  SELECT * FROM (VALUES {values}) f(upload_id, row_num, cells)
+  WHERE upload_id IN (SELECT DISTINCT upload_id FROM m1s_data)
+),
+cells AS (
+  SELECT upload_id, row_num, cells FROM m1s_data
+  UNION ALL SELECT CAST(upload_id AS BIGINT), CAST(row_num AS BIGINT), cells FROM m1s_frame
+)"""
+
+
+def _alias_values() -> str:
+    return ", ".join(f"({_q(h)}, {_q(c)})" for h, c in K.HEADER_ALIASES.items())
+
+
+SHEET_PATH = f"""
+srows AS (SELECT * FROM cells WHERE len(list_filter(cells, lambda c: c IS NOT NULL)) > 0),
+aliases AS (SELECT * FROM (VALUES {_alias_values()}) a(h, canonical)),
+cand0 AS (
+  SELECT upload_id, row_num, lower({_trim("coalesce(h, '')")}) AS norm, idx FROM (
+    SELECT upload_id, row_num, unnest(cells) AS h, generate_subscripts(cells, 1) - 1 AS idx
+    FROM srows WHERE row_num <= {K.HEADER_SEARCH_ROWS})
+),
+cand AS (
+  SELECT upload_id, row_num, coalesce(a.canonical, norm) AS canonical, min(idx) AS idx
+  FROM cand0 LEFT JOIN aliases a ON a.h = cand0.norm GROUP BY ALL
+),
+per_row AS (SELECT upload_id, row_num, list(DISTINCT canonical) AS names FROM cand GROUP BY ALL),
+hdr_ok AS (
+  SELECT upload_id, min(row_num) AS header_row FROM per_row
+  WHERE len(list_intersect(names, {_sql_list(K.REQUIRED_COLUMNS)})) = {len(K.REQUIRED_COLUMNS)} GROUP BY upload_id
+),
+first_row AS (SELECT upload_id, arg_min(names, row_num) AS first_names FROM per_row GROUP BY upload_id),
+headers AS (
+  SELECT u.upload_id, h.header_row,
+    CASE WHEN h.header_row IS NULL THEN 'missing required columns: ' || array_to_string(list_sort(
+      list_filter({_sql_list(K.REQUIRED_COLUMNS)}, lambda r: NOT list_contains(coalesce(f.first_names, []::VARCHAR[]), r))), ', ') END
+      AS header_error
+  FROM (SELECT DISTINCT upload_id FROM srows) u LEFT JOIN hdr_ok h USING (upload_id) LEFT JOIN first_row f USING (upload_id)
+),
+colmap AS (
+  SELECT c.upload_id, c.canonical, c.idx FROM cand c JOIN headers h
+    ON c.upload_id = h.upload_id AND c.row_num = h.header_row
+),
+idxs AS (
+  SELECT upload_id, {", ".join(f"max(CASE WHEN canonical = '{c}' THEN idx END) AS i_{c}" for c in K.SHEET_COLUMNS)}
+  FROM colmap GROUP BY upload_id
+),
+wide AS (
+  SELECT r.upload_id, r.row_num, {", ".join(f"r.cells[i.i_{c} + 1] AS {c}" for c in K.SHEET_COLUMNS)}
+  FROM srows r JOIN headers h USING (upload_id) JOIN idxs i USING (upload_id)
+  WHERE h.header_row IS NOT NULL AND r.row_num > h.header_row
+)"""
+
+
+NUMBER_RE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+
+
+def _num_text(c: str) -> str:
+    return f"replace({_trim(f'replace(replace({c}, chr(160), ), chr(32), )')}, ',', '.')".replace(", )", ", '')")
+
+
+def _num(c: str) -> str:
+    t = _num_text(c)
+    return f"(CASE WHEN {c} IS NULL THEN 0.0::DOUBLE WHEN regexp_matches({t}, '{NUMBER_RE}') THEN TRY_CAST({t} AS DOUBLE) END)"
+
+
+def _num_err(c: str, name: str) -> str:
+    t = _num_text(c)
+    return f"(CASE WHEN {c} IS NOT NULL AND NOT coalesce(regexp_matches({t}, '{NUMBER_RE}'), false) THEN '{name}=''' || {c} || ''' is not a number' END)"
+
+
+def _dt(c: str) -> str:
+    s = _trim(c)
+    fmts = ["%Y-%m-%d %H:%M:%S", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%Y-%m-%d"]
+    return "coalesce(" + ", ".join(f"try_strptime({s}, '{f}')" for f in fmts) + ")"
+
+
+def _dt_err(c: str, name: str, required: bool) -> str:
+    missing = f"'{name} is empty'" if required else "NULL"
+    return f"(CASE WHEN {c} IS NULL THEN {missing} WHEN {_dt(c)} IS NULL THEN '{name}=''' || {c} || ''' is not a date' END)"
+
+
+def _ton(c: str) -> str:
+    return f"nullif({_trim(c)}, '')"
+
+
+def _op(c: str) -> str:
+    whens = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in K.OP_TYPE_WORDS.items())
+    return f"(CASE WHEN {c} IS NULL THEN NULL ELSE (CASE lower({_trim(c)}) {whens} ELSE 'other' END) END)"
+
+
+TYPED = f"""
+typed AS (
+  SELECT upload_id, row_num, {_op('op_type')} AS op_type, {_dt('op_datetime')} AS op_datetime,
+    {_dt('dep_datetime')} AS dep_datetime, {_num('amount')} AS amount, {_num('fee')} AS fee,
+    {", ".join(f"{_ton(c)} AS {c}" for c in ("train_no", "channel", "aggregator", "terminal", "cashdesk", "point_of_sale", "fio"))},
+    coalesce({_ton('iin')}, CASE WHEN {_ton('fio')} IS NOT NULL THEN coalesce(
+      nullif(regexp_extract({_ton('fio')}, '{K.IIN_PATTERN_TAGGED}', 1), ''),
+      nullif(regexp_extract({_ton('fio')}, '{K.IIN_PATTERN_ANY}', 1), '')) END) AS iin,
+    {", ".join(f"{_ton(c)} AS {c}" for c in ("doc_no", "order_no", "dep_station", "arr_station"))},
+    coalesce({_ton('route')}, CASE WHEN {_ton('dep_station')} IS NOT NULL AND {_ton('arr_station')} IS NOT NULL
+      THEN {_ton('dep_station')} || ' -> ' || {_ton('arr_station')} END) AS route,
+    {_ton('phone')} AS phone, coalesce({_ton('source')}, '{K.DEFAULT_SOURCE}') AS source,
+    CASE WHEN err IS NOT NULL THEN 'row ' || row_num || ': ' || err END AS error
+  FROM (SELECT *, coalesce(CASE WHEN op_type IS NULL THEN 'op_type is empty' END,
+      {_dt_err('op_datetime', 'op_datetime', True)}, {_dt_err('dep_datetime', 'dep_datetime', False)},
+      {_num_err('amount', 'amount')}, {_num_err('fee', 'fee')}) AS err FROM wide)
+),
+good AS (SELECT * EXCLUDE (error) FROM typed WHERE error IS NULL)"""
+
+
+def with_cells(*ctes: str, ingest: bool = False) -> str:
+    parts = [M1_ROWS.split("m1_rows AS")[0].strip().rstrip(","), m1s_cells(), SHEET_PATH, TYPED]
+    if ingest:
+        parts.append(enriched_cte("good"))
+    parts += list(ctes)
+    return "WITH " + ",".join(p.strip().rstrip(",") for p in parts) + "\n"

@@ -2,17 +2,32 @@
 
 Every query reads the driver's tables under ``sf_dir`` (whole tables) and
 returns a lazy DataFrame; column names equal those of the oracle SQL.
+Arrays are compared as joined text.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from farewatch import constants as K
 from farewatch import oracle as O
+from farewatch.functions import names as N
+from farewatch.functions import timeflags as TF
+from farewatch.operators import features as FT
+from farewatch.operators import ledger as LG
+from farewatch.operators import lookups as LK
 from farewatch.operators import risk as RK
-from farewatch.plans.pipeline import events_state
+from farewatch.operators import scoring as SC
+from farewatch.operators import upsert as UP
+from farewatch.plans import exports as EX
+from farewatch.plans.ingest import enrich_rows, passenger_rollup, transactions_from
+from farewatch.plans.pipeline import RUN_TIME, build_state, events_state
+from farewatch.session import configure
+from farewatch.sources import fixtures as FX
+from farewatch.sources import uploads as UPL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,14 +42,826 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# --------------------------------------------------------------------------
+SUSP = O.SUSP_SQL
+M1 = O.with_m1
+FLAGGED = O.FLAGGED
+CONC = O.CONC
+RT = O.RUN_TIME_SQL
+DATE_FROM = _dt.datetime(2024, 1, 5)
+DATE_TO = _dt.datetime(2024, 1, 25, 23, 59, 59)
+D_FROM_SQL = "TIMESTAMP '2024-01-05 00:00:00'"
+D_TO_SQL = "TIMESTAMP '2024-01-25 23:59:59'"
+
+
+def _cells_typed(spark, sf_dir):
+    configure(spark)
+    typed, headers, wide = UPL.typed_from_cells(FX.events_sheet_cells(spark, sf_dir))
+    return typed, headers, wide
+
+
+def _cells_state(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    good, _ = UPL.split_errors(typed)
+    return build_state(good)
+
+
+def _reasons_text(col="top_reasons"):
+    return F.array_join(F.col(col), "; ").alias("reasons")
+
+
+# ==========================================================================
 # A6 risk trend (flagship)
-# --------------------------------------------------------------------------
+# ==========================================================================
 
-@register("risk_trend", O.with_m1(O.FLAGGED) + """
+@register("risk_trend", M1(FLAGGED) + f"""
 SELECT date_trunc('day', op_datetime) AS day, count(*) AS total_ops, CAST(count_if(suspicious) AS BIGINT) AS highrisk_ops,
-       round(count_if(suspicious) * 100.0::DOUBLE / count(*), 2) AS share
+       {O.rnd("count_if(suspicious) * 100.0::DOUBLE / count(*)", 2)} AS share
 FROM flagged GROUP BY 1""")
 def q_risk_trend(spark, sf_dir):
     st = events_state(spark, sf_dir)
     return RK.risk_trend(st.transactions, st.scores)
+
+
+@register("risk_trend_range", M1(FLAGGED) + f"""
+SELECT date_trunc('day', op_datetime) AS day, count(*) AS total_ops, CAST(count_if(suspicious) AS BIGINT) AS highrisk_ops,
+       {O.rnd("count_if(suspicious) * 100.0::DOUBLE / count(*)", 2)} AS share
+FROM flagged WHERE op_datetime >= {D_FROM_SQL} AND op_datetime <= {D_TO_SQL} GROUP BY 1""")
+def q_risk_trend_range(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return RK.risk_trend(st.transactions, st.scores, DATE_FROM, DATE_TO)
+
+
+# ==========================================================================
+# S1-S4 sources, P1-P8 typing (sheet cells rendered from events)
+# ==========================================================================
+
+@register("src_upload_rows", O.with_cells() + """
+SELECT upload_id, row_num, CAST(len(list_filter(cells, lambda c: c IS NOT NULL)) AS INTEGER) AS n_values,
+       array_to_string(list_transform(cells, lambda c: coalesce(c, '')), '|') AS text
+FROM srows""")
+def q_src_upload_rows(spark, sf_dir):
+    configure(spark)
+    rows = UPL.sheet_rows(FX.events_sheet_cells(spark, sf_dir))
+    return rows.select("upload_id", "row_num", F.size(F.filter("cells", lambda c: c.isNotNull())).alias("n_values"),
+                       F.array_join("cells", "|", "").alias("text"))
+
+
+@register("header_discovery", O.with_cells() + "SELECT upload_id, header_row, header_error FROM headers")
+def q_header_discovery(spark, sf_dir):
+    _, headers, _ = _cells_typed(spark, sf_dir)
+    return headers
+
+
+@register("column_aliases", O.with_cells() + "SELECT upload_id, canonical, CAST(idx AS INTEGER) AS idx FROM colmap")
+def q_column_aliases(spark, sf_dir):
+    configure(spark)
+    rows = UPL.sheet_rows(FX.events_sheet_cells(spark, sf_dir))
+    return UPL.column_map(rows, UPL.discover_headers(rows))
+
+
+@register("row_errors", O.with_cells() + "SELECT upload_id, row_num, error FROM typed WHERE error IS NOT NULL")
+def q_row_errors(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return UPL.split_errors(typed)[1]
+
+
+@register("typed_rows", O.with_cells() + "SELECT * FROM good")
+def q_typed_rows(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return UPL.split_errors(typed)[0]
+
+
+@register("op_type_map", O.with_cells() + f"""
+SELECT op_type AS raw, {O._op('op_type')} AS op_type, count(*) AS n FROM wide GROUP BY ALL""")
+def q_op_type_map(spark, sf_dir):
+    from farewatch.functions import text as X
+    _, _, wide = _cells_typed(spark, sf_dir)
+    return (wide.select(F.col("op_type").alias("raw"), X.op_type("op_type").alias("op_type"))
+            .groupBy("raw", "op_type").agg(F.count("*").alias("n")))
+
+
+@register("parse_datetime", O.with_cells() + "SELECT upload_id, row_num, op_datetime, dep_datetime FROM typed")
+def q_parse_datetime(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return typed.select("upload_id", "row_num", "op_datetime", "dep_datetime")
+
+
+@register("parse_amount", O.with_cells() + f"""
+SELECT upload_id, row_num, {O._num('amount')} AS amount, {O._num('fee')} AS fee,
+       {O._num_err('amount', 'amount')} AS amount_error FROM wide""")
+def q_parse_amount(spark, sf_dir):
+    from farewatch.functions import text as X
+    _, _, wide = _cells_typed(spark, sf_dir)
+    return wide.select("upload_id", "row_num", X.parse_amount("amount").alias("amount"),
+                       X.parse_amount("fee").alias("fee"), X.amount_error("amount", "amount").alias("amount_error"))
+
+
+@register("extract_iin", O.with_cells() + "SELECT upload_id, row_num, iin FROM typed")
+def q_extract_iin(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return typed.select("upload_id", "row_num", "iin")
+
+
+@register("derive_route", O.with_cells() + "SELECT upload_id, row_num, route FROM typed")
+def q_derive_route(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return typed.select("upload_id", "row_num", "route")
+
+
+# ==========================================================================
+# P9-P15 names and identities
+# ==========================================================================
+
+@register("fio_clean", O.with_cells() + f"SELECT DISTINCT fio, {O.clean_name('fio')} AS fio_clean FROM typed")
+def q_fio_clean(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return typed.select("fio").distinct().select("fio", N.clean_name("fio").alias("fio_clean"))
+
+
+def _translit_sql(expr: str) -> str:
+    s = expr
+    for k, v in K.TRANSLIT_PAIRS:
+        if len(v) != 1:
+            s = f"replace({s}, '{k}', '{v}')"
+    src = "".join(k for k, v in K.TRANSLIT_PAIRS if len(v) == 1)
+    dst = "".join(v for k, v in K.TRANSLIT_PAIRS if len(v) == 1)
+    return f"translate({s}, '{src}', '{dst}')"
+
+
+@register("fio_translit", O.with_cells() + f"""
+SELECT DISTINCT fio, upper({_translit_sql("lower(" + O.clean_name('fio') + ")")}) AS fio_latin FROM typed""")
+def q_fio_translit(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return typed.select("fio").distinct().select("fio", N.clean_name("fio", translit=True).alias("fio_latin"))
+
+
+@register("fake_fio_score", O.with_cells() + f"""
+SELECT DISTINCT fio_clean, {O.fake_score('fio_clean')} AS fake_fio_score
+FROM (SELECT {O.clean_name('fio')} AS fio_clean FROM typed)""")
+def q_fake_fio_score(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return (typed.select(N.clean_name("fio").alias("fio_clean")).distinct()
+            .select("fio_clean", N.fake_name_score("fio_clean").alias("fake_fio_score")))
+
+
+@register("identity_key", O.with_cells(ingest=True) + "SELECT upload_id, row_num, identity_key FROM en")
+def q_identity_key(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return enrich_rows(UPL.split_errors(typed)[0]).select("upload_id", "row_num", "identity_key")
+
+
+@register("passenger_id", O.with_cells(ingest=True) + "SELECT upload_id, row_num, passenger_id, fio_clean FROM en")
+def q_passenger_id(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return enrich_rows(UPL.split_errors(typed)[0]).select("upload_id", "row_num", "passenger_id", "fio_clean")
+
+
+_ANON_ROWS_SQL = """
+m1_anon AS (
+  SELECT * REPLACE (CASE WHEN k9 THEN NULL ELSE fio END AS fio, CASE WHEN k9 THEN NULL ELSE doc_no END AS doc_no)
+  FROM (SELECT r.*, (CAST(json_extract_string(e.props, '$.k') AS INTEGER) % 9 = 0) AS k9
+        FROM m1_rows r JOIN events e ON e.event_id = r.row_num)
+)"""
+
+
+@register("anonymous_identity",
+          "WITH " + O.M1_ROWS.strip() + "," + _ANON_ROWS_SQL.strip() + "," + O.enriched_cte("(SELECT * EXCLUDE (k9) FROM m1_anon)").strip()
+          + "\nSELECT upload_id, row_num, passenger_id, fio_clean, is_anonymous, fake_fio_score FROM en")
+def q_anonymous_identity(spark, sf_dir):
+    configure(spark)
+    rows = FX.events_typed_rows(spark, sf_dir)
+    ev = FX.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_num"),
+                                                  (F.get_json_object("props", "$.k").cast("int") % 9 == 0).alias("k9"))
+    rows = (rows.join(ev, "row_num")
+            .withColumn("fio", F.when(F.col("k9"), F.lit(None)).otherwise(F.col("fio")))
+            .withColumn("doc_no", F.when(F.col("k9"), F.lit(None)).otherwise(F.col("doc_no"))).drop("k9"))
+    return enrich_rows(rows).select("upload_id", "row_num", "passenger_id", "fio_clean", "is_anonymous", "fake_fio_score")
+
+
+@register("transaction_id", O.with_cells(ingest=True) + "SELECT upload_id, row_num, id FROM tx")
+def q_transaction_id(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    return transactions_from(enrich_rows(UPL.split_errors(typed)[0])).select("upload_id", "row_num", "id")
+
+
+# ==========================================================================
+# P16-P18 time features
+# ==========================================================================
+
+_H = "(epoch_us(dep_datetime) - epoch_us(op_datetime)) / 1e6::DOUBLE / 3600.0::DOUBLE"
+
+
+@register("hours_to_departure", M1() + f"SELECT id, {_H} AS hours_to_departure FROM tx")
+def q_hours(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return st.transactions.select("id", TF.hours_to_departure().alias("hours_to_departure"))
+
+
+@register("night_flag", M1() + """
+SELECT id, hour(op_datetime) BETWEEN 0 AND 5 AS is_night,
+       (hour(op_datetime) >= 23 OR hour(op_datetime) < 6) AS is_night_entity FROM tx""")
+def q_night(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return st.transactions.select("id", TF.night_flag().alias("is_night"),
+                                  TF.night_flag(definition="entity").alias("is_night_entity"))
+
+
+@register("late_refund_flag", M1() + f"""
+SELECT id, coalesce(op_type = 'refund' AND {_H} < 24 AND {_H} >= 0, false) AS late_refund,
+       coalesce(op_type = 'refund' AND {_H} >= 0 AND {_H} <= 1, false) AS last_minute_refund FROM tx""")
+def q_late(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    t = st.transactions.withColumn("h", TF.hours_to_departure())
+    return t.select("id", TF.late_refund_flag(hours="h").alias("late_refund"),
+                    TF.late_refund_flag(hours="h", definition="entity").alias("last_minute_refund"))
+
+
+# ==========================================================================
+# F1-F8 filters and lookups, J1-J6 joins
+# ==========================================================================
+
+_SUSP_COLS = "id, passenger_id, op_datetime, train_no, terminal, cashdesk, risk_band"
+
+
+@register("suspicious_ops", M1() + f"""
+SELECT {", ".join("t." + c if c != "risk_band" else "s.risk_band" for c in _SUSP_COLS.split(", "))}
+FROM tx t JOIN scores s USING (passenger_id)
+WHERE s.risk_band IN ({SUSP}) AND t.op_datetime >= {D_FROM_SQL} AND t.op_datetime <= {D_TO_SQL}""")
+def q_suspicious_ops(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return RK.suspicious_operations(st.transactions, st.scores, date_from=DATE_FROM, date_to=DATE_TO) \
+        .select(*_SUSP_COLS.split(", "))
+
+
+@register("passenger_search", O.with_cells(ingest=True) + """
+SELECT p.id, p.fio_clean FROM pass p
+WHERE p.fio_clean ILIKE '%test%' OR p.id IN (SELECT passenger_id FROM tx WHERE iin ILIKE '%test%')
+UNION
+SELECT p.id, p.fio_clean FROM pass p WHERE p.id IN (SELECT passenger_id FROM tx WHERE iin ILIKE '%77700%')""")
+def q_passenger_search(spark, sf_dir):
+    st = _cells_state(spark, sf_dir)
+    a = LK.passenger_search(st.passengers, st.transactions, "test")
+    b = LK.passenger_search(st.passengers, st.transactions, "77700")
+    return a.unionByName(b).select("id", "fio_clean").distinct()
+
+
+@register("upload_transactions", M1() + """
+SELECT id, upload_id, op_datetime FROM tx WHERE upload_id = 2 ORDER BY op_datetime DESC, id LIMIT 500""")
+def q_upload_transactions(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return LK.upload_transactions(st.transactions, 2, limit=500).select("id", "upload_id", "op_datetime")
+
+
+@register("passenger_history", M1() + f"""
+SELECT id, passenger_id, op_datetime, rn FROM (
+  SELECT t.id, t.passenger_id, t.op_datetime,
+         row_number() OVER (PARTITION BY t.passenger_id ORDER BY t.op_datetime DESC, t.id) AS rn
+  FROM tx t WHERE t.passenger_id IN (SELECT passenger_id FROM scores WHERE risk_band IN ({SUSP}))
+) WHERE rn <= 30""")
+def q_passenger_history(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    ids = st.scores.filter(RK.is_suspicious()).select("passenger_id")
+    return LK.passenger_history(st.transactions, ids, limit=30).select("id", "passenger_id", "op_datetime", "rn")
+
+
+@register("page_topk", M1() + f"""
+SELECT t.id, t.op_datetime FROM tx t JOIN scores s USING (passenger_id) WHERE s.risk_band IN ({SUSP})
+ORDER BY t.op_datetime DESC, t.id LIMIT 200 OFFSET 100""")
+def q_page_topk(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return LK.page(RK.suspicious_operations(st.transactions, st.scores), limit=200, offset=100).select("id", "op_datetime")
+
+
+@register("audit_filter", """
+SELECT 'a-' || event_id AS id, upper(event_type) AS action, ts AS created_at FROM events
+WHERE upper(event_type) = 'PURCHASE' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'
+ORDER BY ts DESC, id DESC LIMIT 1000""")
+def q_audit_filter(spark, sf_dir):
+    configure(spark)
+    a = FX.audit_rows(spark, sf_dir)
+    return LG.audit_filter(a, action="PURCHASE", date_from=_dt.datetime(2024, 1, 10), date_to=_dt.datetime(2024, 1, 20),
+                           limit=5000).select("id", "action", "created_at")
+
+
+@register("point_lookup", M1() + f"""
+SELECT id, fio_clean, first_seen_at, last_seen_at FROM pass
+WHERE id IN (SELECT passenger_id FROM scores WHERE risk_band IN ({SUSP}))""")
+def q_point_lookup(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    keys = st.scores.filter(RK.is_suspicious()).select(F.col("passenger_id").alias("id"))
+    return LK.lookup(st.passengers, keys, "id").select("id", "fio_clean", "first_seen_at", "last_seen_at")
+
+
+@register("derived_flags", M1() + f"""
+SELECT f.passenger_id, f.refund_share >= {K.REFUND_RATE_HIGH} AS refund_rate_high,
+  p.fake_fio_score >= {K.LIKELY_FAKE_IDENTITY} AS likely_fake_identity,
+  coalesce(s.risk_band = 'critical', false) AS is_critical,
+  coalesce(s.risk_band IN ({SUSP}), false) AS is_suspicious,
+  s.passenger_id IS NOT NULL AS is_scored,
+  coalesce(s.seat_blocking_flag, false) AS has_seat_blocking
+FROM feat f JOIN pass p ON p.id = f.passenger_id LEFT JOIN scores s USING (passenger_id)""")
+def q_derived_flags(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return LK.derived_flags(st.features, st.passengers, st.scores)
+
+
+@register("scoring_input", M1() + """
+SELECT t.id, t.passenger_id, p.fio_clean, p.fake_fio_score AS p_fake_fio
+FROM tx t JOIN pass p ON t.passenger_id = p.id WHERE t.upload_id = 2""")
+def q_scoring_input(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return LK.scoring_input(st.transactions, st.passengers, 2).select("id", "passenger_id", "fio_clean", "p_fake_fio")
+
+
+@register("dimension_stats", M1(FLAGGED) + f"""
+SELECT dimension_type, dimension_value, count(*) AS total_ops, CAST(count_if(suspicious) AS BIGINT) AS highrisk_ops
+FROM ({O.dims_unpivot()}) GROUP BY 1, 2""")
+def q_dimension_stats(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return RK.dimension_stats(st.flagged())
+
+
+@register("passenger_profile", M1() + """
+SELECT p.id, p.fio_clean, coalesce(s.risk_band, 'low') AS risk_band, coalesce(s.final_score, 0.0::DOUBLE) AS final_score,
+  f.total_tickets, f.refund_share, f.night_share, f.max_tickets_month
+FROM pass p LEFT JOIN scores s ON s.passenger_id = p.id LEFT JOIN feat f ON f.passenger_id = p.id""")
+def q_passenger_profile(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return LK.passenger_profile(st.passengers, st.scores, st.features).select(
+        "id", "fio_clean", "risk_band", "final_score", "total_tickets", "refund_share", "night_share", "max_tickets_month")
+
+
+@register("passengers_by_band", M1() + """
+SELECT p.id, p.fio_clean FROM pass p JOIN scores s ON s.passenger_id = p.id WHERE s.risk_band = 'medium'""")
+def q_passengers_by_band(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return LK.passengers_by_band(st.passengers, st.scores, "medium").select("id", "fio_clean")
+
+
+# ==========================================================================
+# A1-A11 aggregations
+# ==========================================================================
+
+_FEAT_COLS = ("passenger_id, total_tickets, refund_cnt, night_tickets, late_refunds, fake_fio, refund_share, "
+              "night_share, refund_close_ratio")
+
+
+@register("passenger_features", M1() + f"SELECT {_FEAT_COLS} FROM feat")
+def q_passenger_features(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return FT.passenger_features(st.transactions, st.passengers).select(*_FEAT_COLS.split(", "))
+
+
+@register("passenger_features_upload", M1(scope="upload") + f"SELECT upload_id, {_FEAT_COLS} FROM feat")
+def q_passenger_features_upload(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return FT.passenger_features(st.transactions, st.passengers, scope="upload") \
+        .select("upload_id", *_FEAT_COLS.split(", "))
+
+
+@register("peak_features", M1() + """
+SELECT passenger_id, max_tickets_month, max_tickets_same_depday, tickets_per_train_peak FROM feat""")
+def q_peak_features(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return FT.peak_features(st.transactions)
+
+
+@register("seat_blocking", M1(scope="upload") + f"""
+SELECT upload_id, passenger_id,
+  max_tickets_same_depday >= {K.SEAT_SAME_DEPDAY_MIN} AND refund_close_ratio >= {K.SEAT_CLOSE_RATIO_MIN} AS seat_blocking_feature,
+  refund_close_ratio > {K.SEAT_CLOSE_RATIO_MIN} AS seat_blocking_flag
+FROM feat""")
+def q_seat_blocking(spark, sf_dir):
+    st = events_state(spark, sf_dir, scope="upload")
+    return st.features.select("upload_id", "passenger_id", "seat_blocking_feature", "seat_blocking_flag")
+
+
+@register("passenger_rollup", M1() + "SELECT * FROM pass")
+def q_passenger_rollup(spark, sf_dir):
+    return events_state(spark, sf_dir).passengers
+
+
+@register("counts", M1(FLAGGED) + """
+SELECT (SELECT count(*) FROM flagged) AS total_ops,
+       (SELECT CAST(count_if(suspicious) AS BIGINT) FROM flagged) AS suspicious_ops,
+       (SELECT count(*) FROM pass) AS total_passengers,
+       CAST(count_if(s.risk_band = 'low') AS BIGINT) AS low_count, CAST(count_if(s.risk_band = 'medium') AS BIGINT) AS medium_count,
+       CAST(count_if(s.risk_band = 'high') AS BIGINT) AS high_count, CAST(count_if(s.risk_band = 'critical') AS BIGINT) AS critical_count
+FROM pass p LEFT JOIN scores s ON s.passenger_id = p.id""")
+def q_counts(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    ops = RK.counts(st.transactions, st.scores)
+    pc = RK.passenger_counts(st.passengers, st.scores)
+    return pc.select(ops.select("total_ops").scalar().alias("total_ops"),
+                     ops.select("suspicious_ops").scalar().alias("suspicious_ops"), "*")
+
+
+_CONC_COLS = "id, dimension_type, dimension_value, total_ops, highrisk_ops, share_highrisk_ops, lift_vs_base, calculated_at"
+
+
+@register("risk_concentration", M1(FLAGGED, CONC) + f"SELECT {_CONC_COLS} FROM conc")
+def q_risk_concentration(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME)
+
+
+def _label_sql(c: str) -> str:
+    whens = " ".join(f"WHEN {c} >= {cut} THEN '{lab}'" for cut, lab in K.HOTSPOT_LABELS)
+    return f"CASE {whens} ELSE '{K.HOTSPOT_DEFAULT}' END"
+
+
+@register("hotspot_label", M1(FLAGGED, CONC) + f"""
+SELECT dimension_type, dimension_value, lift_vs_base, {_label_sql('lift_vs_base')} AS risk_label,
+       lift_vs_base >= {K.HOTSPOT_LIFT} AS is_hotspot FROM conc""")
+def q_hotspot_label(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    c = RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME)
+    return c.select("dimension_type", "dimension_value", "lift_vs_base", RK.hotspot_label().alias("risk_label"),
+                    (F.col("lift_vs_base") >= K.HOTSPOT_LIFT).alias("is_hotspot"))
+
+
+@register("dashboard_summary", M1(FLAGGED, CONC) + f"""
+SELECT (SELECT count(*) FROM pass) AS total_passengers,
+  (SELECT count(*) FROM pass p JOIN scores s ON s.passenger_id = p.id WHERE s.risk_band = 'high') AS high_risk_count,
+  (SELECT count(*) FROM pass p JOIN scores s ON s.passenger_id = p.id WHERE s.risk_band = 'critical') AS critical_risk_count,
+  (SELECT CASE WHEN count(*) > 0 THEN {O.rnd("count_if(suspicious) * 100.0::DOUBLE / count(*)", 2)} ELSE 0.0::DOUBLE END FROM flagged)
+    AS share_suspicious_ops,
+  (SELECT dimension_value FROM conc WHERE dimension_type = 'channel' ORDER BY lift_vs_base DESC, dimension_value LIMIT 1)
+    AS top_risk_channel,
+  (SELECT dimension_value FROM conc WHERE dimension_type = 'terminal' ORDER BY lift_vs_base DESC, dimension_value LIMIT 1)
+    AS top_risk_terminal""")
+def q_dashboard_summary(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    flagged = st.flagged()
+    conc = RK.risk_concentration(flagged, calculated_at=RUN_TIME)
+    return RK.dashboard_summary(st.passengers, st.scores, flagged, conc)
+
+
+@register("upload_summary", O.with_cells(ingest=True) + """
+SELECT t.upload_id, count(*) AS rows_read, CAST(count_if(t.error IS NOT NULL) AS BIGINT) AS parse_errors,
+  coalesce(max(l.n), 0) AS transactions_loaded, coalesce(max(l.p), 0) AS passengers_upserted
+FROM typed t LEFT JOIN (SELECT upload_id, count(*) AS n, count(DISTINCT passenger_id) AS p FROM tx GROUP BY 1) l
+  USING (upload_id)
+GROUP BY t.upload_id""")
+def q_upload_summary(spark, sf_dir):
+    typed, _, _ = _cells_typed(spark, sf_dir)
+    good, _ = UPL.split_errors(typed)
+    tx = transactions_from(enrich_rows(good))
+    return LG.upload_summary(typed, tx)
+
+
+# ==========================================================================
+# R1-R8 scoring
+# ==========================================================================
+
+@register("rule_score", M1() + "SELECT passenger_id, rule_score FROM sc0")
+def q_rule_score(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return st.features.select("passenger_id", SC.rule_score().alias("rule_score"))
+
+
+@register("anomaly_score")
+def q_anomaly_score(spark, sf_dir):
+    from farewatch.operators.iforest import anomaly_scores
+    st = events_state(spark, sf_dir)
+    return anomaly_scores(st.features).select("passenger_id", "anomaly_raw", "ml_score")
+
+
+_MM = """
+mm AS (
+  SELECT passenger_id, rule_score, total_tickets, refund_share, late_refunds, fake_fio,
+    CASE WHEN max(refund_close_ratio) OVER () - min(refund_close_ratio) OVER () > 0
+         THEN (refund_close_ratio - min(refund_close_ratio) OVER ()) / (max(refund_close_ratio) OVER () - min(refund_close_ratio) OVER ()) * 100.0::DOUBLE
+         ELSE 0.0::DOUBLE END AS ml_score
+  FROM sc0
+),
+fs AS (SELECT *, 0.5::DOUBLE * rule_score + 0.5::DOUBLE * ml_score AS final_score FROM mm)"""
+
+
+def _mm_scored(spark, sf_dir):
+    """Scores with a deterministic stand-in ML column: min-max of refund_close_ratio."""
+    st = events_state(spark, sf_dir)
+    f = SC.minmax_normalise(st.features, "refund_close_ratio", "ml_score")
+    return SC.score_features(f.drop("ml_score"), ml=f.select("passenger_id", "ml_score"), rule_weight=0.5, ml_weight=0.5)
+
+
+@register("minmax_normalise", M1(_MM) + "SELECT passenger_id, ml_score FROM mm")
+def q_minmax(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return SC.minmax_normalise(st.features, "refund_close_ratio", "ml_score").select("passenger_id", "ml_score")
+
+
+@register("final_score", M1(_MM) + "SELECT passenger_id, final_score FROM fs")
+def q_final_score(spark, sf_dir):
+    return _mm_scored(spark, sf_dir).select("passenger_id", "final_score")
+
+
+@register("risk_band", M1(_MM) + f"SELECT passenger_id, {O.band_sql('final_score')} AS risk_band FROM fs")
+def q_risk_band(spark, sf_dir):
+    return _mm_scored(spark, sf_dir).select("passenger_id", "risk_band")
+
+
+@register("top_reasons", M1(_MM) + f"SELECT passenger_id, array_to_string({O.reasons_sql()}, '; ') AS reasons FROM fs")
+def q_top_reasons(spark, sf_dir):
+    return _mm_scored(spark, sf_dir).select("passenger_id", _reasons_text())
+
+
+@register("score_table", M1() + """
+SELECT passenger_id, rule_score, ml_score, final_score, risk_band, array_to_string(top_reasons, '; ') AS reasons,
+       seat_blocking_flag, is_manual, scored_at FROM scores""")
+def q_score_table(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return st.scores.select("passenger_id", "rule_score", "ml_score", "final_score", "risk_band", _reasons_text(),
+                            "seat_blocking_flag", "is_manual", "scored_at")
+
+
+_OVR = f"""
+ovr AS (SELECT id AS passenger_id, 'critical' AS new_band, 'name check' AS reason, 1 AS actor FROM pass
+        WHERE starts_with(fio_clean, 'TEST')),
+ovr_rows AS (
+  SELECT o.passenger_id, coalesce(s.rule_score, 0.0) AS rule_score, coalesce(s.ml_score, 0.0) AS ml_score,
+    coalesce(s.final_score, 0.0) AS final_score, o.new_band AS risk_band,
+    CASE WHEN list_contains(coalesce(s.top_reasons, []::VARCHAR[]), '{K.MANUAL_REASON_PREFIX}' || o.reason)
+         THEN s.top_reasons ELSE list_prepend('{K.MANUAL_REASON_PREFIX}' || o.reason, coalesce(s.top_reasons, []::VARCHAR[])) END
+      AS top_reasons,
+    coalesce(s.seat_blocking_flag, false) AS seat_blocking_flag, true AS is_manual, {RT} AS scored_at
+  FROM ovr o LEFT JOIN scores s USING (passenger_id)
+),
+merged AS (
+  SELECT * FROM ovr_rows
+  UNION ALL SELECT * FROM scores WHERE passenger_id NOT IN (SELECT passenger_id FROM ovr_rows)
+)"""
+
+
+@register("manual_override", M1(_OVR) + """
+SELECT passenger_id, risk_band, is_manual, array_to_string(top_reasons, '; ') AS reasons, final_score FROM merged""")
+def q_manual_override(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    ovr = st.passengers.filter(F.col("fio_clean").startswith("TEST")).select(
+        F.col("id").alias("passenger_id"), F.lit("critical").alias("new_band"), F.lit("name check").alias("reason"),
+        F.lit(1).alias("actor_user_id"))
+    merged, _ = UP.apply_override(st.scores, ovr, RUN_TIME)
+    return merged.select("passenger_id", "risk_band", "is_manual", _reasons_text(), "final_score")
+
+
+# ==========================================================================
+# W1-W4 top-k and windows
+# ==========================================================================
+
+@register("top_dimension", M1(FLAGGED, CONC) + """
+SELECT dimension_type, dimension_value, lift_vs_base, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY dimension_type ORDER BY lift_vs_base DESC, dimension_value) AS rank FROM conc
+) WHERE rank <= 3""")
+def q_top_dimension(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    c = RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME)
+    return RK.top_dimension(c, 3).select("dimension_type", "dimension_value", "lift_vs_base", "rank")
+
+
+@register("concentration_list", M1(FLAGGED, CONC) + f"""
+SELECT dimension_type, dimension_value, total_ops, highrisk_ops, {O.rnd('share_highrisk_ops', 2)} AS share_highrisk_ops,
+       {O.rnd('lift_vs_base', 2)} AS lift_vs_base FROM conc""")
+def q_concentration_list(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return RK.concentration_list(RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME))
+
+
+@register("latest_n", M1() + f"""
+SELECT passenger_id, id, op_datetime, rn FROM (
+  SELECT passenger_id, id, op_datetime, row_number() OVER (PARTITION BY passenger_id ORDER BY op_datetime DESC, id) AS rn
+  FROM tx WHERE passenger_id IS NOT NULL) WHERE rn <= {K.DOSSIER_TRANSACTIONS}""")
+def q_latest_n(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return LK.latest_n(st.transactions, K.DOSSIER_TRANSACTIONS).select("passenger_id", "id", "op_datetime", "rn")
+
+
+@register("chart_slices", M1(FLAGGED, CONC) + f"""
+SELECT slice, rank, dimension_value, value FROM (
+  SELECT 'channel_share_pct' AS slice, rank, dimension_value, {O.rnd('share_highrisk_ops * 100.0::DOUBLE', 1)} AS value
+  FROM (SELECT *, row_number() OVER (ORDER BY lift_vs_base DESC, dimension_value) AS rank FROM conc WHERE dimension_type = 'channel')
+  WHERE rank <= {K.CHART_TOP_CHANNELS}
+  UNION ALL
+  SELECT 'terminal_lift_pct', rank, dimension_value, {O.rnd('(lift_vs_base - 1.0::DOUBLE) * 100.0::DOUBLE', 0)}
+  FROM (SELECT *, row_number() OVER (ORDER BY lift_vs_base DESC, dimension_value) AS rank FROM conc WHERE dimension_type = 'terminal')
+  WHERE rank <= {K.CHART_TOP_TERMINALS})""")
+def q_chart_slices(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return RK.chart_slices(RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME))
+
+
+# ==========================================================================
+# L1-L3 ledgers
+# ==========================================================================
+
+def _fold_sql(src: str, key: str, transitions: dict) -> str:
+    cases = " ".join(f"WHEN prev = '{s}' THEN status IN ({', '.join(repr(d) for d in ds)})" for s, ds in transitions.items())
+    return f"""
+marked AS (
+  SELECT *, lag(status) OVER (PARTITION BY {key} ORDER BY ts, seq) AS prev FROM {src}
+),
+folded AS (
+  SELECT {key}, arg_max(status, (ts, seq)) AS status, count(*) AS n_events,
+    CAST(count_if(prev IS NOT NULL AND NOT (CASE {cases} ELSE false END)) AS BIGINT) AS illegal_transitions,
+    min(ts) AS first_ts, max(ts) AS last_ts
+  FROM marked GROUP BY {key}
+)"""
+
+
+_UPLOAD_EV = """
+uev AS (
+  SELECT CAST(event_id // 20 AS BIGINT) AS upload_id,
+    CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'done'
+      WHEN 'error' THEN 'failed' END AS status, ts, event_id AS seq,
+    CASE WHEN event_type = 'error' THEN props END AS error
+  FROM events WHERE event_type IN ('signup', 'view', 'purchase', 'error')
+)"""
+
+_JOB_EV = """
+jev AS (
+  SELECT 'job-' || CAST(event_id // 20 AS VARCHAR) AS job_id,
+    CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done'
+      WHEN 'error' THEN 'failed' END AS status, ts, event_id AS seq,
+    CASE WHEN event_type = 'error' THEN props END AS error
+  FROM events WHERE event_type IN ('signup', 'click', 'purchase', 'error')
+)"""
+
+
+@register("upload_status", "WITH " + _UPLOAD_EV.strip() + "," + _fold_sql("uev", "upload_id", K.UPLOAD_TRANSITIONS).strip()
+          + "\nSELECT * FROM folded")
+def q_upload_status(spark, sf_dir):
+    configure(spark)
+    return LG.upload_status(FX.upload_events(spark, sf_dir))
+
+
+@register("job_status", "WITH " + _JOB_EV.strip() + "," + _fold_sql("jev", "job_id", K.JOB_TRANSITIONS).strip() + """,
+extra AS (
+  SELECT job_id, arg_max(ts, (ts, seq)) FILTER (WHERE status IN ('done', 'failed')) AS fin,
+         arg_max(error, (ts, seq)) FILTER (WHERE status = 'failed') AS error_message
+  FROM jev GROUP BY job_id
+)
+SELECT f.job_id, f.status, f.first_ts AS started_at,
+  CASE WHEN f.status IN ('done', 'failed') THEN e.fin END AS finished_at,
+  CASE WHEN f.status IN ('done', 'failed') THEN CAST(date_diff('second', f.first_ts, e.fin) AS BIGINT) END AS duration_sec,
+  e.error_message, f.n_events, f.illegal_transitions
+FROM folded f JOIN extra e USING (job_id)""")
+def q_job_status(spark, sf_dir):
+    configure(spark)
+    return LG.job_status(FX.job_events(spark, sf_dir))
+
+
+@register("audit_summary", """
+SELECT upper(event_type) AS action, date_trunc('day', ts) AS day, count(*) AS n, count(DISTINCT user_id) AS users
+FROM events GROUP BY 1, 2""")
+def q_audit_summary(spark, sf_dir):
+    configure(spark)
+    return LG.audit_summary(FX.audit_rows(spark, sf_dir))
+
+
+# ==========================================================================
+# S5-S9 upserts
+# ==========================================================================
+
+def _split_states(spark, sf_dir):
+    """Stored state = uploads 1-2, incoming = uploads 2-3 (upload 2 overlaps)."""
+    configure(spark)
+    rows = FX.events_typed_rows(spark, sf_dir)
+    old = build_state(rows.filter(F.col("upload_id") <= 2))
+    new = build_state(rows.filter(F.col("upload_id") >= 2))
+    return old, new
+
+
+def _m1_split_sql(part: str, cond: str, *ctes: str) -> str:
+    """The M1 state chain over a subset of uploads, names suffixed with ``part``."""
+    import re
+    base = O.enriched_cte(f"(SELECT * FROM m1_rows WHERE {cond})") + "," + O.features_cte() + "," + O.scores_cte()
+    names = ["en0", "en1", "en", "tx", "pass", "txh", "fagg", "pk", "feat", "sc0", "sc1", "scores"]
+    for n in names:
+        base = re.sub(rf"\b{n}\b", f"{n}_{part}", base)
+    return base.strip()
+
+
+def _split_sql(*ctes: str) -> str:
+    parts = [O.M1_ROWS.strip(), _m1_split_sql("o", "upload_id <= 2"), _m1_split_sql("n", "upload_id >= 2")] + [c.strip() for c in ctes]
+    return "WITH " + ",\n".join(p.rstrip(",") for p in parts) + "\n"
+
+
+@register("insert_ignore", _split_sql() + """
+SELECT id, upload_id, row_num FROM tx_n WHERE id NOT IN (SELECT id FROM tx_o)""")
+def q_insert_ignore(spark, sf_dir):
+    old, new = _split_states(spark, sf_dir)
+    return UP.insert_ignore(old.transactions, new.transactions).select("id", "upload_id", "row_num")
+
+
+@register("passenger_upsert", _split_sql() + """
+SELECT coalesce(o.id, n.id) AS id, coalesce(o.fio_clean, n.fio_clean) AS fio_clean,
+  coalesce(o.fake_fio_score, n.fake_fio_score) AS fake_fio_score, coalesce(o.first_seen_at, n.first_seen_at) AS first_seen_at,
+  greatest(o.last_seen_at, n.last_seen_at) AS last_seen_at, least(o.min_op_datetime, n.min_op_datetime) AS min_op_datetime
+FROM pass_o o FULL OUTER JOIN pass_n n ON o.id = n.id""")
+def q_passenger_upsert(spark, sf_dir):
+    old, new = _split_states(spark, sf_dir)
+    return UP.passenger_upsert(old.passengers, new.passengers)
+
+
+_FU_COLS = "passenger_id, total_tickets, refund_cnt, refund_share, late_refunds, max_tickets_month, tickets_per_train_peak"
+
+
+@register("feature_upsert", _split_sql() + f"""
+SELECT {_FU_COLS} FROM feat_n
+UNION ALL SELECT {_FU_COLS} FROM feat_o WHERE passenger_id NOT IN (SELECT passenger_id FROM feat_n)""")
+def q_feature_upsert(spark, sf_dir):
+    old, new = _split_states(spark, sf_dir)
+    cols = _FU_COLS.split(", ")
+    return UP.feature_upsert(old.features.select(*cols), new.features.select(*cols))
+
+
+_SU_COLS = "passenger_id, rule_score, final_score, risk_band, is_manual"
+
+
+@register("score_upsert_manual", _split_sql("""
+so AS (SELECT * REPLACE (risk_band IN ('medium', 'high') AS is_manual) FROM scores_o)""") + f"""
+SELECT {_SU_COLS} FROM so WHERE is_manual
+UNION ALL SELECT {_SU_COLS} FROM scores_n WHERE passenger_id NOT IN (SELECT passenger_id FROM so WHERE is_manual)
+UNION ALL SELECT {_SU_COLS} FROM so WHERE NOT is_manual AND passenger_id NOT IN (SELECT passenger_id FROM scores_n)""")
+def q_score_upsert_manual(spark, sf_dir):
+    old, new = _split_states(spark, sf_dir)
+    stored = old.scores.withColumn("is_manual", F.col("risk_band").isin("medium", "high"))
+    return UP.score_upsert(stored, new.scores).select(*_SU_COLS.split(", "))
+
+
+def _conc_sql(part: str) -> str:
+    import re
+    flagged = re.sub(r"\bflagged\b", f"flagged_{part}", FLAGGED).replace("FROM tx ", f"FROM tx_{part} ") \
+        .replace("JOIN scores s", f"JOIN scores_{part} s")
+    conc = CONC
+    for n in ("dstats", "base", "conc", "flagged"):
+        conc = re.sub(rf"\b{n}\b", f"{n}_{part}", conc)
+    return flagged.strip() + ",\n" + conc.strip()
+
+
+@register("concentration_upsert", _split_sql(_conc_sql("o"), _conc_sql("n")) + f"""
+SELECT {_CONC_COLS} FROM conc_n
+UNION ALL SELECT {_CONC_COLS} FROM conc_o WHERE id NOT IN (SELECT id FROM conc_n)""")
+def q_concentration_upsert(spark, sf_dir):
+    old, new = _split_states(spark, sf_dir)
+    co = RK.risk_concentration(old.flagged(), calculated_at=RUN_TIME)
+    cn = RK.risk_concentration(new.flagged(), calculated_at=RUN_TIME)
+    return UP.concentration_upsert(co, cn)
+
+
+# ==========================================================================
+# S10-S12 exports
+# ==========================================================================
+
+@register("export_suspicious", M1() + f"""
+SELECT t.id, t.op_type, t.op_datetime, t.dep_datetime, t.train_no, t.amount, t.channel, t.route, t.fio,
+       upper(s.risk_band) AS risk_band
+FROM tx t JOIN scores s USING (passenger_id) WHERE s.risk_band IN ({SUSP})
+ORDER BY t.op_datetime DESC, t.id LIMIT {K.EXPORT_SUSPICIOUS_CAP}""")
+def q_export_suspicious(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return EX.suspicious_export(st.transactions, st.scores)
+
+
+@register("export_concentration", M1(FLAGGED, CONC) + f"""
+SELECT CASE dimension_type WHEN 'channel' THEN 1 WHEN 'aggregator' THEN 2 WHEN 'terminal' THEN 3 ELSE 4 END AS section_order,
+  dimension_type, dimension_value, total_ops, highrisk_ops, {O.rnd('share_highrisk_ops', 2)} AS share_highrisk_ops,
+  {O.rnd('lift_vs_base', 2)} AS lift_vs_base, {O.rnd('share_highrisk_ops * 100.0::DOUBLE', 2)} AS share_pct
+FROM conc""")
+def q_export_concentration(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return EX.concentration_export(RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME))
+
+
+@register("export_dossier", O.with_cells(ingest=True) + O.features_cte().strip().join([",", ""]) + O.scores_cte().strip() + f""",
+last AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY passenger_id ORDER BY op_datetime DESC, id) AS rn FROM tx)
+  WHERE rn <= {K.DOSSIER_TRANSACTIONS}
+),
+agg AS (
+  SELECT passenger_id, count(*) AS n_transactions, arg_min(iin, rn) FILTER (WHERE iin IS NOT NULL) AS iin,
+         max(op_datetime) AS last_op_datetime, sum(amount) AS last_amount_total
+  FROM last GROUP BY passenger_id
+)
+SELECT p.id AS passenger_id, p.fio_clean, coalesce(a.iin, '{K.DOSSIER_NO_IIN}') AS iin, upper(s.risk_band) AS risk_band,
+  {O.rnd('s.final_score', 2)} AS final_score,
+  CASE WHEN s.passenger_id IS NULL THEN NULL WHEN len(s.top_reasons) = 0 THEN '{K.DOSSIER_NO_REASONS}'
+       ELSE array_to_string(s.top_reasons, ', ') END AS reasons,
+  coalesce(a.n_transactions, 0) AS n_transactions, a.last_op_datetime
+FROM pass p LEFT JOIN scores s ON s.passenger_id = p.id LEFT JOIN agg a ON a.passenger_id = p.id""")
+def q_export_dossier(spark, sf_dir):
+    st = _cells_state(spark, sf_dir)
+    d = EX.dossiers(st.passengers, st.transactions, st.scores)
+    return d.select("passenger_id", "fio_clean", "iin", "risk_band", "final_score", "reasons", "n_transactions",
+                    "last_op_datetime")
+
+
+# ==========================================================================
+# Volume fixture (M2) queries -- same operators over lineitem/orders/supplier
+# ==========================================================================
+
+@register("volume_risk_concentration")
+def q_volume_conc(spark, sf_dir):
+    from farewatch.plans.pipeline import lineitem_state
+    st = lineitem_state(spark, sf_dir)
+    return RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME)
+

@@ -167,7 +167,7 @@ def events_sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     m3 = e % 3
     amt_txt = (F.when(e % 101 == 0, F.lit("n/a")).when(m3 == 0, v)
                .when(m3 == 1, F.replace(v, F.lit("."), F.lit(","))).otherwise(F.concat(F.lit(" "), v)))
-    fee_txt = F.when(e % 2 == 0, F.format_string("%.2f", F.col("value") * 0.05))
+    fee_txt = F.when(e % 2 == 0, F.concat((e % 50).cast("string"), F.lit(".5")))
     uid = F.col("user_id")
     name = F.when(uid % 4 == 0, F.concat(F.lit("test "), F.col("p_name"))).otherwise(F.col("p_name"))
     fio_txt = F.when(uid % 5 == 0, F.concat(name, F.lit(" "), F.lpad(uid.cast("string"), 12, "7"))).otherwise(name)
