@@ -107,7 +107,7 @@ def fit_forest(features: DataFrame, cols=K.IFOREST_FEATURES, key: str = "passeng
     else:
         m = n
     keep = min(1.0, 4.0 * psi / m)
-    per_tree = (x.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).cast("long").alias("tree"))
+    per_tree = (x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))).alias("tree"))
                 .withColumn("h", F.xxhash64("key", "tree", F.lit(seed)).bitwiseAND(F.lit(_MASK)))
                 .filter(F.col("h") / float(_MASK) <= keep))
     nodes = (per_tree.repartition(min(n_trees, 200), "tree")
@@ -181,8 +181,12 @@ def anomaly_scores(features: DataFrame, key: str = "passenger_id", **kw) -> Data
     from farewatch.operators.scoring import minmax_normalise
     from farewatch.session import cut_lineage
 
-    forest = fit_forest(features, key=key, **kw)
     keys = [c for c in ("upload_id", key) if c in features.columns]
+    if len(keys) > 1:
+        features = features.withColumn("_key", F.xxhash64(*keys))
+        forest = fit_forest(features, key="_key", **kw)
+    else:
+        forest = fit_forest(features, key=key, **kw)
     raw = score_forest(features.select(*keys, *K.IFOREST_FEATURES), forest).select(*keys, "anomaly_raw")
     raw = cut_lineage(raw)  # the UDF runs once; min/max and scores read the checkpoint
     return minmax_normalise(raw, "anomaly_raw", "ml_score")

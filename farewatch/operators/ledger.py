@@ -52,7 +52,7 @@ def job_status(events: DataFrame) -> DataFrame:
     finished = F.when(F.col("status").isin("done", "failed"), F.col("finished_at"))
     return j.select(
         "job_id", "status", F.col("first_ts").alias("started_at"), finished.alias("finished_at"),
-        F.timestamp_diff("SECOND", F.col("first_ts"), finished).alias("duration_sec"),
+        (F.timestamp_diff("MICROSECOND", F.col("first_ts"), finished).cast("double") / 1e6).alias("duration_sec"),
         "error_message", "n_events", "illegal_transitions")
 
 

@@ -701,7 +701,7 @@ extra AS (
 )
 SELECT f.job_id, f.status, f.first_ts AS started_at,
   CASE WHEN f.status IN ('done', 'failed') THEN e.fin END AS finished_at,
-  CASE WHEN f.status IN ('done', 'failed') THEN CAST(date_diff('second', f.first_ts, e.fin) AS BIGINT) END AS duration_sec,
+  CASE WHEN f.status IN ('done', 'failed') THEN (epoch_us(e.fin) - epoch_us(f.first_ts)) / 1e6::DOUBLE END AS duration_sec,
   e.error_message, f.n_events, f.illegal_transitions
 FROM folded f JOIN extra e USING (job_id)""")
 def q_job_status(spark, sf_dir):
@@ -790,8 +790,9 @@ def q_score_upsert_manual(spark, sf_dir):
 
 def _conc_sql(part: str) -> str:
     import re
-    flagged = re.sub(r"\bflagged\b", f"flagged_{part}", FLAGGED).replace("FROM tx ", f"FROM tx_{part} ") \
-        .replace("JOIN scores s", f"JOIN scores_{part} s")
+    flagged = FLAGGED
+    for n in ("flagged", "tx", "scores"):
+        flagged = re.sub(rf"\b{n}\b", f"{n}_{part}", flagged)
     conc = CONC
     for n in ("dstats", "base", "conc", "flagged"):
         conc = re.sub(rf"\b{n}\b", f"{n}_{part}", conc)
@@ -832,7 +833,7 @@ def q_export_concentration(spark, sf_dir):
     return EX.concentration_export(RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME))
 
 
-@register("export_dossier", O.with_cells(ingest=True) + O.features_cte().strip().join([",", ""]) + O.scores_cte().strip() + f""",
+@register("export_dossier", O.with_cells(O.features_cte(), O.scores_cte(), ingest=True) + f""",
 last AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY passenger_id ORDER BY op_datetime DESC, id) AS rn FROM tx)
   WHERE rn <= {K.DOSSIER_TRANSACTIONS}
