@@ -143,6 +143,8 @@ IIN_MIN_LENGTH = 10
 # FIXED VALUES: name cleaning.  Letters kept: Russian Cyrillic, the Kazakh
 # letters, Latin; everything else becomes a space.  Noise tokens are dropped.
 NAME_KEEP_CLASS = "а-яёәғқңөұүіһa-z"
+# Characters Python treats as whitespace (str.isspace), as a regex class body.
+WHITESPACE_CLASS = "\\t\\n\\x0b\\f\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NAME_NOISE_TOKENS: tuple[str, ...] = (
     "г", "гр", "господин", "госпожа", "mr", "mrs", "ms", "dr", "none", "null", "-", "",
 )

@@ -25,13 +25,19 @@ def nfc_exact(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFC", v) if isinstance(v, str) else v)
 
 
-def _tokens(raw: Column, exact_nfc: bool) -> Column:
+def _normalised(raw: Column, exact_nfc: bool) -> Column:
+    """Lower-case; every run of characters outside the kept letters becomes one
+    space (whitespace included); noise tokens removed; trimmed.
+
+    Equivalent to "non-letters -> space, split on whitespace, drop noise
+    tokens, join by one space": tokens are the maximal runs of kept letters.
+    Pure string expressions (whole-stage codegen), no array lambdas.
+    """
     s = nfc_exact(raw) if exact_nfc else _nfc_common(raw)
-    s = F.lower(s)
-    s = F.regexp_replace(s, f"(?U)[^{K.NAME_KEEP_CLASS}\\s]", " ")
-    parts = F.split(s, r"(?U)\s+")
-    noise = F.array(*[F.lit(t) for t in K.NAME_NOISE_TOKENS])
-    return F.filter(parts, lambda t: ~F.array_contains(noise, t))
+    s = F.concat(F.lit(" "), F.regexp_replace(F.lower(s), f"[^{K.NAME_KEEP_CLASS}]+", " "), F.lit(" "))
+    words = [t for t in K.NAME_NOISE_TOKENS if t and all(ch.isalpha() for ch in t)]
+    noise = " (?:" + "|".join(sorted(words, key=len, reverse=True)) + ")(?= )"
+    return F.trim(F.regexp_replace(s, noise, ""))
 
 
 def transliterate(col) -> Column:
@@ -48,7 +54,7 @@ def transliterate(col) -> Column:
 def clean_name(col, translit: bool = False, exact_nfc: bool = False) -> Column:
     """Normalised upper-case name; null/empty -> ''."""
     raw = _c(col)
-    joined = F.array_join(_tokens(F.coalesce(raw, F.lit("")), exact_nfc), " ")
+    joined = _normalised(F.coalesce(raw, F.lit("")), exact_nfc)
     if translit:
         joined = transliterate(joined)
     return F.upper(joined)
@@ -61,14 +67,17 @@ def fake_name_score(col) -> Column:
     junk = F.lit(False)
     for t in K.FAKE_NAME_JUNK:
         junk = junk | F.contains(low, F.lit(t))
-    letters = F.filter(F.split(low, ""), lambda ch: ch.rlike(r"^\p{L}$"))
-    tokens = F.filter(F.split(s, r"(?U)\s+"), lambda t: t != F.lit(""))
-    n_tok = F.size(tokens)
-    total_len = F.aggregate(tokens, F.lit(0), lambda acc, t: acc + F.length(t))
+    letters = F.regexp_replace(low, r"\P{L}+", "")
+    n_distinct = F.when(letters == "", F.lit(0)).otherwise(F.size(F.array_distinct(F.split(letters, ""))))
+    ws = f"[{K.WHITESPACE_CLASS}]+"
+    body = F.regexp_replace(s, f"^{ws}|{ws}$", "")
+    tokens = F.split(body, ws)
+    n_tok = F.when(body == "", F.lit(0)).otherwise(F.size(tokens))
+    total_len = F.length(F.regexp_replace(s, ws, ""))
     score = (
         F.lit(0.0)
         + F.when(junk, K.FAKE_JUNK_WEIGHT).otherwise(0.0)
-        + F.when(F.size(F.array_distinct(letters)) <= K.FAKE_FEW_LETTERS_MAX, K.FAKE_FEW_LETTERS_WEIGHT).otherwise(0.0)
+        + F.when(n_distinct <= K.FAKE_FEW_LETTERS_MAX, K.FAKE_FEW_LETTERS_WEIGHT).otherwise(0.0)
         + F.when(n_tok < 2, K.FAKE_ONE_TOKEN_WEIGHT).otherwise(0.0)
         + F.when((n_tok > 1) & (F.size(F.array_distinct(tokens)) == 1), K.FAKE_REPEATED_TOKEN_WEIGHT).otherwise(0.0)
         + F.when(total_len < K.FAKE_SHORT_TOTAL, K.FAKE_SHORT_WEIGHT).otherwise(0.0)

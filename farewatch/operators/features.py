@@ -85,7 +85,40 @@ def seat_blocking(features: DataFrame, min_same_day: int = K.SEAT_SAME_DEPDAY_MI
 
 
 def full_features(transactions: DataFrame, passengers: DataFrame, scope: str = "all") -> DataFrame:
-    """A1 + A2 + A3 as stored in the feature table."""
+    """A1 + A2 + A3 as stored in the feature table, from ONE scan of the
+    transactions: every row feeds three (kind, bucket) counters; the month
+    counters also carry the A1 counts (each row has exactly one month), so a
+    second aggregation per passenger yields both the totals and the peaks.
+    """
     keys = _scope_keys(scope)
-    f = passenger_features(transactions, passengers, scope).join(peak_features(transactions, scope), keys, "left")
+    tx = with_time_flags(transactions).filter(F.col("passenger_id").isNotNull())
+    refund = (F.lower("op_type") == "refund").cast("int")
+    buckets = F.array(
+        F.struct(F.lit("m").alias("kind"), F.date_format(F.date_trunc("month", "op_datetime"), "yyyy-MM").alias("b"),
+                 refund.alias("r"), F.col("is_night").cast("int").alias("nt"), F.col("late_refund").cast("int").alias("lt")),
+        F.struct(F.lit("d").alias("kind"), F.to_date("dep_datetime").cast("string").alias("b"),
+                 F.lit(0).alias("r"), F.lit(0).alias("nt"), F.lit(0).alias("lt")),
+        F.struct(F.lit("t").alias("kind"), F.col("train_no").alias("b"),
+                 F.lit(0).alias("r"), F.lit(0).alias("nt"), F.lit(0).alias("lt")),
+    )
+    per_bucket = (tx.select(*keys, F.inline(buckets))
+                  .groupBy(*keys, "kind", "b")
+                  .agg(F.count("*").alias("n_all"), F.count_if(F.col("b").isNotNull()).alias("n"),
+                       F.sum("r").alias("r"), F.sum("nt").alias("nt"), F.sum("lt").alias("lt")))
+    m = F.col("kind") == "m"
+    agg = (per_bucket.groupBy(*keys).agg(
+        F.sum(F.when(m, F.col("n_all"))).cast("long").alias("total_tickets"),
+        F.sum(F.when(m, F.col("r"))).cast("long").alias("refund_cnt"),
+        F.sum(F.when(m, F.col("nt"))).cast("long").alias("night_tickets"),
+        F.sum(F.when(m, F.col("lt"))).cast("long").alias("late_refunds"),
+        F.coalesce(F.max(F.when(m, F.col("n"))), F.lit(0)).cast("int").alias("max_tickets_month"),
+        F.coalesce(F.max(F.when(F.col("kind") == "d", F.col("n"))), F.lit(0)).cast("int").alias("max_tickets_same_depday"),
+        F.coalesce(F.max(F.when(F.col("kind") == "t", F.col("n"))), F.lit(0)).cast("double").alias("tickets_per_train_peak"),
+    ))
+    p = passengers.select(F.col("id").alias("passenger_id"), F.col("fake_fio_score").alias("fake_fio"))
+    t = F.col("total_tickets").cast("double")
+    f = (agg.join(p, "passenger_id", "inner")
+         .withColumn("refund_share", F.col("refund_cnt") / t)
+         .withColumn("night_share", F.col("night_tickets") / t)
+         .withColumn("refund_close_ratio", F.col("late_refunds") / (F.col("refund_cnt") + K.CLOSE_RATIO_EPS)))
     return seat_blocking(f)

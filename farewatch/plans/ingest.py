@@ -20,13 +20,16 @@ TRANSACTION_COLUMNS: tuple[str, ...] = (
 
 def enrich_rows(rows: DataFrame, anonymous_scope: str = "upload", exact_nfc: bool = False,
                 iin_min_length: int = K.IIN_MIN_LENGTH) -> DataFrame:
-    """Add fio_clean, fake_fio_score, identity_key, passenger_id and transaction id.
+    """Add fio_clean, identity_key, passenger_id and transaction id.
+
+    The fake-name score is not computed per row: only the passenger's first
+    row supplies it, so ``passenger_rollup`` scores one name per passenger.
 
     ``anonymous_scope='upload'`` keys anonymous rows by upload, row and time;
     ``'row'`` uses row and time only (two uploads may then share an id).
     """
     clean = N.clean_name("fio", exact_nfc=exact_nfc)
-    df = rows.withColumn("_fio0", clean).withColumn("fake_fio_score", N.fake_name_score("_fio0"))
+    df = rows.withColumn("_fio0", clean)
     df = df.withColumn("identity_key", I.identity_key("iin", "_fio0", "doc_no", "phone", iin_min_length))
     anon_key = I.anonymous_key("row_num", "op_datetime",
                                "upload_id" if anonymous_scope == "upload" else None)
@@ -43,6 +46,11 @@ def transactions_from(enriched: DataFrame) -> DataFrame:
     return enriched.select(*TRANSACTION_COLUMNS)
 
 
+def row_fake_score(fio_clean, is_anonymous) -> F.Column:
+    """Fake-name score of a row: an anonymous row scored its empty name (1.0)."""
+    return F.when(is_anonymous, F.lit(1.0)).otherwise(N.fake_name_score(fio_clean))
+
+
 def passenger_rollup(enriched: DataFrame) -> DataFrame:
     """A4: per passenger, the first row in file order supplies name, fake score
     and first_seen_at; last_seen_at is the latest operation time.
@@ -51,12 +59,12 @@ def passenger_rollup(enriched: DataFrame) -> DataFrame:
     is reduced map-side before the shuffle.
     """
     order = F.struct("upload_id", "row_num")
-    first = F.min_by(F.struct("fio_clean", "fake_fio_score", "op_datetime"), order)
+    first = F.min_by(F.struct("fio_clean", "is_anonymous", "op_datetime"), order)
     return (enriched.groupBy(F.col("passenger_id").alias("id"))
             .agg(first.alias("_f"), F.max("op_datetime").alias("last_seen_at"),
                  F.min("op_datetime").alias("min_op_datetime"))
             .select("id", F.col("_f.fio_clean").alias("fio_clean"),
-                    F.col("_f.fake_fio_score").alias("fake_fio_score"),
+                    row_fake_score(F.col("_f.fio_clean"), F.col("_f.is_anonymous")).alias("fake_fio_score"),
                     F.col("_f.op_datetime").alias("first_seen_at"), "last_seen_at", "min_op_datetime"))
 
 

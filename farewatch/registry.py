@@ -235,7 +235,9 @@ def q_anonymous_identity(spark, sf_dir):
     rows = (rows.join(ev, "row_num")
             .withColumn("fio", F.when(F.col("k9"), F.lit(None)).otherwise(F.col("fio")))
             .withColumn("doc_no", F.when(F.col("k9"), F.lit(None)).otherwise(F.col("doc_no"))).drop("k9"))
-    return enrich_rows(rows).select("upload_id", "row_num", "passenger_id", "fio_clean", "is_anonymous", "fake_fio_score")
+    from farewatch.plans.ingest import row_fake_score
+    return enrich_rows(rows).select("upload_id", "row_num", "passenger_id", "fio_clean", "is_anonymous",
+                                    row_fake_score(F.col("fio_clean"), F.col("is_anonymous")).alias("fake_fio_score"))
 
 
 @register("transaction_id", O.with_cells(ingest=True) + "SELECT upload_id, row_num, id FROM tx")
