@@ -39,24 +39,43 @@ def op_type(col) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(looked_up, F.lit("other")))
 
 
+# Text shape of each accepted layout (digit counts as strptime accepts them),
+# in the same order as DATETIME_PATTERNS_SPARK.
+_DT_SHAPES = (
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$",
+    r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4} [0-9]{1,2}:[0-9]{1,2}$",
+    r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$",
+    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+)
+
+
 def parse_datetime(col) -> Column:
     """First matching layout wins; result is a UTC wall-clock TIMESTAMP_NTZ.
 
-    Null in -> null out; a non-null value that fits no layout -> null (the
-    caller turns that into a row error via ``datetime_error``).
+    The layout is chosen by the text's shape, so exactly one parse runs per
+    value (a failed parse is costly); an impossible date of the right shape
+    (31.02.2024) still yields null.  Null in -> null out; a non-null value
+    that fits no layout -> null (the caller turns that into a row error).
     """
     s = trim_ws(_c(col))
-    tries = [F.try_to_timestamp(s, F.lit(p)) for p in K.DATETIME_PATTERNS_SPARK]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    expr = None
+    for shape, pattern in zip(_DT_SHAPES, K.DATETIME_PATTERNS_SPARK):
+        parsed = F.try_to_timestamp(s, F.lit(pattern))
+        expr = F.when(s.rlike(shape), parsed) if expr is None else expr.when(s.rlike(shape), parsed)
+    return expr.cast("timestamp_ntz")
 
 
-def datetime_error(col, name: str, required: bool) -> Column:
-    """Error text for P3, or null."""
-    c = _c(col)
+def datetime_error_from(raw, parsed, name: str, required: bool) -> Column:
+    """Error text for P3 given the raw cell and its parsed value, or null."""
+    c = _c(raw)
     missing = F.lit(f"{name} is empty") if required else F.lit(None).cast("string")
     return F.when(c.isNull(), missing).when(
-        parse_datetime(c).isNull(), F.concat(F.lit(f"{name}='"), c, F.lit("' is not a date"))
-    )
+        _c(parsed).isNull(), F.concat(F.lit(f"{name}='"), c, F.lit("' is not a date")))
+
+
+def datetime_error(col, name: str, required: bool) -> Column:
+    """Error text for P3, or null."""
+    return datetime_error_from(col, parse_datetime(col), name, required)
 
 
 # A plain decimal number, optional sign and exponent, or inf/nan spellings.

@@ -110,7 +110,8 @@ def fit_forest(features: DataFrame, cols=K.IFOREST_FEATURES, key: str = "passeng
     per_tree = (x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))).alias("tree"))
                 .withColumn("h", F.xxhash64("key", "tree", F.lit(seed)).bitwiseAND(F.lit(_MASK)))
                 .filter(F.col("h") / float(_MASK) <= keep))
-    nodes = (per_tree.repartition(min(n_trees, 200), "tree")
+    parts = max(1, min(n_trees, 2 * features.sparkSession.sparkContext.defaultParallelism))
+    nodes = (per_tree.repartition(parts, "tree")
              .groupBy("tree").applyInPandas(_fit_group(cols, seed, psi), NODE_SCHEMA))
     forest = nodes.toPandas()
     bound = n_trees * (2 * psi - 1)

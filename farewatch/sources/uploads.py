@@ -86,22 +86,28 @@ def map_columns(rows: DataFrame, headers: DataFrame) -> DataFrame:
 def type_rows(wide: DataFrame) -> DataFrame:
     """P1-P8 + S4: typed columns and ``error`` (the first failure, or null).
 
-    Failures are checked in the original order: op_type, op_datetime,
+    Values are parsed once; the error text is derived from the parsed
+    columns in the original check order: op_type, op_datetime,
     dep_datetime, amount, fee.
     """
+    parsed = wide.select(
+        "*",
+        X.parse_datetime("op_datetime").alias("_op_dt"),
+        X.parse_datetime("dep_datetime").alias("_dep_dt"),
+    )
     op_err = F.when(F.col("op_type").isNull(), F.lit("op_type is empty"))
     err = F.coalesce(
         op_err,
-        X.datetime_error("op_datetime", "op_datetime", required=True),
-        X.datetime_error("dep_datetime", "dep_datetime", required=False),
+        X.datetime_error_from("op_datetime", "_op_dt", "op_datetime", required=True),
+        X.datetime_error_from("dep_datetime", "_dep_dt", "dep_datetime", required=False),
         X.amount_error("amount", "amount"),
         X.amount_error("fee", "fee"),
     )
-    return wide.select(
+    return parsed.select(
         "upload_id", "row_num",
         X.op_type("op_type").alias("op_type"),
-        X.parse_datetime("op_datetime").alias("op_datetime"),
-        X.parse_datetime("dep_datetime").alias("dep_datetime"),
+        F.col("_op_dt").alias("op_datetime"),
+        F.col("_dep_dt").alias("dep_datetime"),
         X.parse_amount("amount").alias("amount"),
         X.parse_amount("fee").alias("fee"),
         X.trim_or_null("train_no").alias("train_no"),
