@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farewatch.session import scratch_path
@@ -40,11 +41,24 @@ class TableStore:
         row = self.spark.read.json(ptr).agg(F.max("version")).first()
         return None if row is None or row[0] is None else int(row[0])
 
-    def read(self, name: str) -> DataFrame | None:
+    def read(self, name: str, schema=None) -> DataFrame | None:
         v = self.version(name)
         if v is None:
             return None
-        return self.spark.read.parquet(self._path(name, f"v={v}"))
+        return self._load(self._path(name, f"v={v}"), schema)
+
+    def _load(self, path: str, schema=None) -> DataFrame | None:
+        """Parquet folder -> DataFrame; a folder without data files (an empty
+        write) reads as None unless a schema is given."""
+        r = self.spark.read
+        if schema is not None:
+            return r.schema(schema).parquet(path)
+        try:
+            return r.parquet(path)
+        except AnalysisException as exc:
+            if "UNABLE_TO_INFER_SCHEMA" in str(exc):
+                return None
+            raise
 
     def write(self, name: str, df: DataFrame, partition_by: str | list[str] | None = None) -> int:
         """Write the next version, then move the pointer (one-row JSON)."""
@@ -62,10 +76,7 @@ class TableStore:
         path = self._path(name, "data")
         if not self._exists(path):
             return None
-        r = self.spark.read
-        if schema is not None:
-            r = r.schema(schema)
-        return r.parquet(path)
+        return self._load(path, schema)
 
     def append(self, name: str, df: DataFrame, partition_by: str | list[str] | None = None) -> None:
         w = df.write.mode("append")

@@ -868,3 +868,52 @@ def q_volume_conc(spark, sf_dir):
     st = lineitem_state(spark, sf_dir)
     return RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME)
 
+
+
+# ==========================================================================
+# T1-T3 streaming (drained with availableNow; equal to the batch results)
+# ==========================================================================
+
+def _stream_store(spark):
+    from farewatch.plans.store import TableStore
+    configure(spark)
+    return TableStore(spark)
+
+
+@register("stream_ingest", O.with_cells(ingest=True) + "SELECT id, upload_id, row_num, passenger_id FROM tx")
+def q_stream_ingest(spark, sf_dir):
+    from farewatch.streaming.ingest import stream_ingest
+    store = _stream_store(spark)
+    src = store._path("src_cells")
+    # Several files, each mixing uploads and rows: header rows may arrive
+    # after data rows of the same upload (those wait in the pending table).
+    FX.events_sheet_cells(spark, sf_dir).repartition(4).write.parquet(src)
+    tx = stream_ingest(spark, src, store, max_files=2)
+    return tx.select("id", "upload_id", "row_num", "passenger_id")
+
+
+def _tx_files(spark, sf_dir, store, name, parts):
+    st = events_state(spark, sf_dir)
+    tx = st.transactions
+    path = store._path(name)
+    for cond in parts:  # one write per part: later parts arrive later
+        tx.filter(cond).write.mode("append").parquet(path)
+    return st, path, tx.schema
+
+
+@register("stream_dedup", M1() + "SELECT id, upload_id, row_num FROM tx")
+def q_stream_dedup(spark, sf_dir):
+    from farewatch.streaming.ingest import stream_dedup
+    store = _stream_store(spark)
+    _, path, schema = _tx_files(spark, sf_dir, store, "src_tx",
+                                [F.col("upload_id") <= 2, F.col("upload_id") >= 2])  # upload 2 arrives twice
+    return stream_dedup(spark, path, schema, store, delay="31 days", max_files=4).select("id", "upload_id", "row_num")
+
+
+@register("stream_trend", ORACLE["risk_trend"])
+def q_stream_trend(spark, sf_dir):
+    from farewatch.streaming.ingest import stream_trend
+    store = _stream_store(spark)
+    st, path, schema = _tx_files(spark, sf_dir, store, "src_tx",
+                                 [F.col("upload_id") == u for u in (1, 2, 3)])
+    return stream_trend(spark, path, schema, st.scores, store, delay="31 days", max_files=2)

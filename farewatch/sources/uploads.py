@@ -60,20 +60,24 @@ def discover_headers(rows: DataFrame, search_rows: int = K.HEADER_SEARCH_ROWS) -
 
 
 def column_map(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """S3: (upload_id, canonical, idx) of the header row; first match wins."""
+    """S3: (upload_id, canonical, idx) of the header row; first match wins.
+
+    ``rows`` only needs to contain the header rows (e.g. the stored heads of
+    each upload in streaming)."""
     cand = header_candidates(rows)
     return (cand.join(headers.filter(F.col("header_row").isNotNull()),
                       (cand.upload_id == headers.upload_id) & (cand.row_num == headers.header_row))
             .select(cand.upload_id, "canonical", "idx"))
 
 
-def map_columns(rows: DataFrame, headers: DataFrame) -> DataFrame:
+def map_columns(rows: DataFrame, headers: DataFrame, head_rows: DataFrame | None = None) -> DataFrame:
     """S3 applied: data rows (after the header) as named string columns.
 
     The per-upload index struct has one row per upload; the join to it is
     left to AQE (broadcast when small, which it is by construction).
+    ``head_rows`` supplies the header rows when ``rows`` may lack them.
     """
-    cmap = column_map(rows, headers)
+    cmap = column_map(rows if head_rows is None else head_rows, headers)
     idx = (cmap.filter(F.col("canonical").isin(*K.SHEET_COLUMNS))
            .groupBy("upload_id").pivot("canonical", list(K.SHEET_COLUMNS)).agg(F.first("idx")))
     h = headers.filter(F.col("header_row").isNotNull()).join(idx, "upload_id")
