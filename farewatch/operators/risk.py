@@ -126,11 +126,51 @@ def risk_concentration(flagged: DataFrame, dims=K.DIMENSIONS,
     """
     stats = dimension_stats(flagged, dims)
     base = flagged.agg(F.count_if("suspicious") / F.count("*")).scalar()
-    base = F.coalesce(base, F.lit(0.0))
+    return _with_lift(stats, base, calculated_at)
+
+
+def passenger_dim_counts(tx: DataFrame, scores: DataFrame, dims=K.DIMENSIONS) -> DataFrame:
+    """Operations per (passenger, dimension values) with the passenger's flag.
+
+    The group-by runs a partial aggregate before its shuffle, so a passenger
+    holding a third of all operations leaves each map task as a handful of
+    rows; the band join then sees at most one row per passenger and value
+    combination instead of one per operation.
+    """
+    per = tx.groupBy("passenger_id", *dims).agg(F.count("*").alias("n"))
+    return per.join(band_lookup(scores), "passenger_id", "left").withColumn("suspicious", is_suspicious())
+
+
+def dimension_stats_pre(tx: DataFrame, scores: DataFrame, dims=K.DIMENSIONS) -> DataFrame:
+    """A7 from pre-aggregated counts (same result as ``dimension_stats``)."""
+    c = passenger_dim_counts(tx, scores, dims)
+    u = unpivot_dimensions(c, dims, keep=("n", "suspicious"))
+    return (u.groupBy("dimension_type", "dimension_value")
+            .agg(F.sum("n").cast("long").alias("total_ops"),
+                 F.sum(F.when(F.col("suspicious"), F.col("n")).otherwise(0)).cast("long").alias("highrisk_ops")))
+
+
+def concentration(tx: DataFrame, scores: DataFrame, dims=K.DIMENSIONS,
+                  calculated_at: _dt.datetime | None = None) -> DataFrame:
+    """A8 over transactions + scores with pre-aggregation (the refresh that runs
+    after every scoring).  Base share: one scalar subquery over the same
+    pre-aggregated counts."""
+    c = passenger_dim_counts(tx, scores, dims)
+    u = unpivot_dimensions(c, dims, keep=("n", "suspicious"))
+    stats = (u.groupBy("dimension_type", "dimension_value")
+             .agg(F.sum("n").cast("long").alias("total_ops"),
+                  F.sum(F.when(F.col("suspicious"), F.col("n")).otherwise(0)).cast("long").alias("highrisk_ops")))
+    base = c.agg(F.sum(F.when(F.col("suspicious"), F.col("n")).otherwise(0)) / F.sum("n")).scalar()
+    return _with_lift(stats, base, calculated_at)
+
+
+def _with_lift(stats: DataFrame, base: Column, calculated_at) -> DataFrame:
     share = F.when(F.col("total_ops") > 0, F.col("highrisk_ops") / F.col("total_ops")).otherwise(F.lit(0.0))
     ts = F.lit(calculated_at) if calculated_at is not None else F.current_timestamp()
-    return (stats.withColumn("share_highrisk_ops", share)
-            .withColumn("lift_vs_base", F.when(base > 0, F.col("share_highrisk_ops") / base).otherwise(F.lit(1.0)))
+    b = F.col("_base")
+    return (stats.withColumn("_base", F.coalesce(base, F.lit(0.0)))
+            .withColumn("share_highrisk_ops", share)
+            .withColumn("lift_vs_base", F.when(b > 0, F.col("share_highrisk_ops") / b).otherwise(F.lit(1.0)))
             .withColumn("id", concentration_id("dimension_type", "dimension_value"))
             .withColumn("calculated_at", ts.cast("timestamp_ntz"))
             .select("id", "dimension_type", "dimension_value", "total_ops", "highrisk_ops",
@@ -183,8 +223,8 @@ def dashboard_summary(passengers: DataFrame, scores: DataFrame, flagged: DataFra
                       conc: DataFrame) -> DataFrame:
     """A10: one row; every measure is a scalar subquery over its own table."""
     pc = passenger_counts(passengers, scores)
-    ops = flagged.agg(F.count("*").alias("t"), F.count_if("suspicious").alias("s"))
-    t, s = ops.select("t").scalar(), ops.select("s").scalar()
+    ops = flagged.agg(F.struct(F.count("*").alias("t"), F.count_if("suspicious").alias("s"))).scalar()
+    t, s = ops.getField("t"), ops.getField("s")
     top = top_dimension(conc.filter(F.col("dimension_type").isin("channel", "terminal")), 1)
     top_ch = top.filter(F.col("dimension_type") == "channel").select("dimension_value").scalar()
     top_te = top.filter(F.col("dimension_type") == "terminal").select("dimension_value").scalar()

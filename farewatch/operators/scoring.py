@@ -24,11 +24,11 @@ def minmax_normalise(df: DataFrame, col: str, out: str, scale: float = 100.0) ->
     not a join; the caller should persist/checkpoint ``df`` first when ``col``
     is expensive.
     """
-    stats = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
-    rng = hi - lo
-    return df.withColumn(out, F.when(rng > 0, (F.col(col) - lo) / rng * F.lit(scale)).otherwise(F.lit(0.0)))
+    stats = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+    lo, rng = F.col("_mm.lo"), F.col("_mm.hi") - F.col("_mm.lo")
+    return (df.withColumn("_mm", stats)
+            .withColumn(out, F.when(rng > 0, (F.col(col) - lo) / rng * F.lit(scale)).otherwise(F.lit(0.0)))
+            .drop("_mm"))
 
 
 def final_score(rule_weight: float = K.RULE_WEIGHT, ml_weight: float = K.ML_WEIGHT) -> Column:

@@ -21,11 +21,21 @@ def first_per_key(df: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str = "id",
-                  order: tuple[str, ...] = ("upload_id", "row_num")) -> DataFrame:
+                  order: tuple[str, ...] = ("upload_id", "row_num"), scope: str | None = "upload_id") -> DataFrame:
     """Rows of ``new`` whose key is not stored yet (the first of duplicates);
-    stored rows are untouched.  Returns only the rows to append."""
+    stored rows are untouched.  Returns only the rows to append.
+
+    Transaction ids hash the upload id, so a stored duplicate can only sit in
+    one of the incoming uploads: the stored side is restricted to those
+    (a semi join on the partition column -> dynamic partition pruning) instead
+    of shuffling every stored id on each ingest.  ``scope=None`` compares
+    against all stored keys.
+    """
     fresh = first_per_key(new, key, order).select(*new.columns)
-    return fresh.join(existing.select(key), key, "left_anti")
+    stored = existing
+    if scope and scope in existing.columns and scope in new.columns:
+        stored = existing.join(new.select(scope).distinct(), scope, "left_semi")
+    return fresh.join(stored.select(key), key, "left_anti")
 
 
 def passenger_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:

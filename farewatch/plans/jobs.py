@@ -95,7 +95,7 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
         old_s = store.read("passenger_scores")
         store.write("passenger_scores", new_scores if old_s is None else UP.score_upsert(old_s, new_scores))
         all_tx = store.read_log("transactions")
-        conc = RK.risk_concentration(RK.flag_transactions(all_tx, store.read("passenger_scores")), dims, run_time)
+        conc = RK.concentration(all_tx, store.read("passenger_scores"), dims, run_time)
         old_c = store.read("risk_concentrations")
         store.write("risk_concentrations", conc if old_c is None else UP.concentration_upsert(old_c, conc))
         _event(store, "job_events", "job_id", job_id, "done")

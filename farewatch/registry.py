@@ -380,7 +380,7 @@ SELECT dimension_type, dimension_value, count(*) AS total_ops, CAST(count_if(sus
 FROM ({O.dims_unpivot()}) GROUP BY 1, 2""")
 def q_dimension_stats(spark, sf_dir):
     st = events_state(spark, sf_dir)
-    return RK.dimension_stats(st.flagged())
+    return RK.dimension_stats_pre(st.transactions, st.scores)
 
 
 @register("passenger_profile", M1() + """
@@ -463,6 +463,12 @@ _CONC_COLS = "id, dimension_type, dimension_value, total_ops, highrisk_ops, shar
 
 @register("risk_concentration", M1(FLAGGED, CONC) + f"SELECT {_CONC_COLS} FROM conc")
 def q_risk_concentration(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return RK.concentration(st.transactions, st.scores, calculated_at=RUN_TIME)
+
+
+@register("risk_concentration_flagged", M1(FLAGGED, CONC) + f"SELECT {_CONC_COLS} FROM conc")
+def q_risk_concentration_flagged(spark, sf_dir):
     st = events_state(spark, sf_dir)
     return RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME)
 
