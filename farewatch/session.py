@@ -15,6 +15,10 @@ SESSION_CONF: dict[str, str] = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Fall back from whole-stage codegen when a generated method exceeds the
+    # JVM's JIT limit (8000 bytes): wide typing projections otherwise run as
+    # interpreted bytecode.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
