@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 import time
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from farewatch import constants as K
 from farewatch.operators import features as FT
@@ -55,13 +55,18 @@ def ingest_cells(store: TableStore, cells: DataFrame, **kw) -> dict:
     are checkpointed once because both outputs read them.
     """
     typed, headers, _ = UPL.typed_from_cells(cells)
-    typed = cut_lineage(typed)
+    # Row and error counts are collected as metrics of the checkpoint pass
+    # itself (no extra job).
+    obs = Observation("upload_rows")
+    typed = cut_lineage(typed.observe(obs, F.count(F.lit(1)).alias("rows_read"),
+                                      F.count_if(F.col("error").isNotNull()).alias("parse_errors")))
     good, bad = UPL.split_errors(typed)
     store.append("row_errors", bad)
     store.append("upload_headers", headers)
     out = ingest_typed(store, good, **kw)
     for up in out["uploads"]:
         _event(store, "upload_events", "upload_id", int(up), "done")
+    out.update(obs.get)
     return out
 
 
@@ -105,6 +110,20 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
     return {"job_id": job_id}
 
 
+def export_reports(store: TableStore, out_dir: str, **filters) -> dict:
+    """S10-S12 written from the current tables: suspicious operations (CSV),
+    concentration sections (CSV, one folder per dimension), dossiers (JSON)."""
+    from farewatch.plans import exports as EX
+
+    tx, scores = store.read_log("transactions"), store.read("passenger_scores")
+    paths = {"suspicious": f"{out_dir}/suspicious_operations", "concentration": f"{out_dir}/risk_concentration",
+             "dossiers": f"{out_dir}/passenger_dossiers"}
+    EX.write_csv(EX.suspicious_export(tx, scores, **filters), paths["suspicious"])
+    EX.write_sections(EX.concentration_export(store.read("risk_concentrations")), paths["concentration"])
+    EX.write_json(EX.dossiers(store.read("passengers"), tx, scores), paths["dossiers"])
+    return paths
+
+
 def override(store: TableStore, overrides: DataFrame, run_time: _dt.datetime | None = None) -> None:
     """R8 as a job: new score version + audit rows."""
     merged, audit = UP.apply_override(store.read("passenger_scores"), overrides, run_time or _now())

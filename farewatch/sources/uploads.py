@@ -59,6 +59,13 @@ def discover_headers(rows: DataFrame, search_rows: int = K.HEADER_SEARCH_ROWS) -
                     .alias("header_error")))
 
 
+def validate_columns(cells: DataFrame) -> DataFrame:
+    """S2 quick check: (upload_id, valid) -- whether a header row with the
+    required columns exists among the first rows; no data row is typed."""
+    rows = sheet_rows(cells.filter(F.col("row_num") <= K.HEADER_SEARCH_ROWS))
+    return discover_headers(rows).select("upload_id", F.col("header_row").isNotNull().alias("valid"))
+
+
 def column_map(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """S3: (upload_id, canonical, idx) of the header row; first match wins.
 

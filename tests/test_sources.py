@@ -118,3 +118,22 @@ def test_streaming_equals_batch(spark):
     assert batch_trend == stream_trend
     dedup = E.queries()["stream_dedup"](spark, SF_SMALL)
     assert dedup.count() == st.transactions.count() == dedup.select("id").distinct().count()
+
+
+def test_validate_columns_and_exports(spark, tmp_dir):
+    cells = FX.events_sheet_cells(spark, SF_SMALL)
+    assert {r["upload_id"]: r["valid"] for r in UPL.validate_columns(cells).collect()} == {1: True, 2: True, 3: True}
+    store = TableStore(spark)
+    out = JB.ingest_cells(store, cells)
+    assert out["rows_read"] > out["parse_errors"] > 0
+    JB.scoring_run(store, with_ml=False, rule_weight=1.0, ml_weight=0.0)
+    paths = JB.export_reports(store, tmp_dir + "/reports")
+    sus = spark.read.option("header", True).csv(paths["suspicious"])
+    assert sus.columns == ["id", "op_type", "op_datetime", "dep_datetime", "train_no", "amount", "channel", "route",
+                           "fio", "risk_band"]
+    assert set(r[0] for r in sus.select("risk_band").distinct().collect()) <= {"HIGH", "CRITICAL"}
+    sections = spark.read.option("header", True).csv(paths["concentration"])
+    assert {r[0] for r in sections.select("dimension_type").distinct().collect()} == {"channel", "aggregator",
+                                                                                      "terminal", "cashdesk"}
+    dos = spark.read.json(paths["dossiers"])
+    assert dos.count() == store.read("passengers").count()

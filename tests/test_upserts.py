@@ -32,10 +32,15 @@ def test_score_upsert_manual_guard(spark):
 
 
 def test_insert_ignore(spark):
-    old = spark.createDataFrame([(1, 1, 1, "a")], "id long, upload_id long, row_num long, v string")
-    new = spark.createDataFrame([(1, 2, 5, "b"), (2, 2, 7, "c"), (2, 2, 6, "d")], "id long, upload_id long, row_num long, v string")
+    schema = "id long, upload_id long, row_num long, v string"
+    old = spark.createDataFrame([(1, 2, 1, "a"), (3, 1, 1, "z")], schema)
+    new = spark.createDataFrame([(1, 2, 5, "b"), (2, 2, 7, "c"), (2, 2, 6, "d"), (3, 2, 9, "y")], schema)
+    # default: stored ids are looked up only in the incoming uploads (ids hash the upload id)
     got = sorted(tuple(r) for r in UP.insert_ignore(old, new).collect())
-    assert got == [(2, 2, 6, "d")]
+    assert got == [(2, 2, 6, "d"), (3, 2, 9, "y")]
+    # scope=None compares against every stored id
+    got_all = sorted(tuple(r) for r in UP.insert_ignore(old, new, scope=None).collect())
+    assert got_all == [(2, 2, 6, "d")]
 
 
 def test_passenger_upsert_keeps_first_sight(spark):
