@@ -315,7 +315,7 @@ def q_upload_transactions(spark, sf_dir):
 
 
 @register("passenger_history", M1() + f"""
-SELECT id, passenger_id, op_datetime, rn FROM (
+SELECT id, passenger_id, op_datetime, CAST(rn AS INTEGER) AS rn FROM (
   SELECT t.id, t.passenger_id, t.op_datetime,
          row_number() OVER (PARTITION BY t.passenger_id ORDER BY t.op_datetime DESC, t.id) AS rn
   FROM tx t WHERE t.passenger_id IN (SELECT passenger_id FROM scores WHERE risk_band IN ({SUSP}))
@@ -617,7 +617,7 @@ def q_manual_override(spark, sf_dir):
 # ==========================================================================
 
 @register("top_dimension", M1(FLAGGED, CONC) + """
-SELECT dimension_type, dimension_value, lift_vs_base, rank FROM (
+SELECT dimension_type, dimension_value, lift_vs_base, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY dimension_type ORDER BY lift_vs_base DESC, dimension_value) AS rank FROM conc
 ) WHERE rank <= 3""")
 def q_top_dimension(spark, sf_dir):
@@ -635,7 +635,7 @@ def q_concentration_list(spark, sf_dir):
 
 
 @register("latest_n", M1() + f"""
-SELECT passenger_id, id, op_datetime, rn FROM (
+SELECT passenger_id, id, op_datetime, CAST(rn AS INTEGER) AS rn FROM (
   SELECT passenger_id, id, op_datetime, row_number() OVER (PARTITION BY passenger_id ORDER BY op_datetime DESC, id) AS rn
   FROM tx WHERE passenger_id IS NOT NULL) WHERE rn <= {K.DOSSIER_TRANSACTIONS}""")
 def q_latest_n(spark, sf_dir):
@@ -644,7 +644,7 @@ def q_latest_n(spark, sf_dir):
 
 
 @register("chart_slices", M1(FLAGGED, CONC) + f"""
-SELECT slice, rank, dimension_value, value FROM (
+SELECT slice, CAST(rank AS INTEGER) AS rank, dimension_value, value FROM (
   SELECT 'channel_share_pct' AS slice, rank, dimension_value, {O.rnd('share_highrisk_ops * 100.0::DOUBLE', 1)} AS value
   FROM (SELECT *, row_number() OVER (ORDER BY lift_vs_base DESC, dimension_value) AS rank FROM conc WHERE dimension_type = 'channel')
   WHERE rank <= {K.CHART_TOP_CHANNELS}
