@@ -78,18 +78,17 @@ def main() -> None:
     passengers = store.read("passengers")
     scores = store.read("passenger_scores")
     conc = store.read("risk_concentrations")
-    flagged = RK.flag_transactions(tx, scores)
 
     queries = {
         "upload_parse_events": lambda: noop(UPL.typed_from_cells(FX.events_sheet_cells(spark, sf_dir))[0]),
         "passenger_features": lambda: noop(FT.full_features(tx, passengers)),
         "risk_trend": lambda: noop(RK.risk_trend(tx, scores)),
-        "dimension_stats": lambda: noop(RK.dimension_stats(flagged)),
-        "risk_concentration": lambda: noop(RK.risk_concentration(flagged)),
+        "dimension_stats": lambda: noop(RK.dimension_stats_pre(tx, scores)),
+        "risk_concentration": lambda: noop(RK.concentration(tx, scores)),
         "suspicious_export": lambda: noop(EX.suspicious_export(tx, scores)),
         "dossiers": lambda: noop(EX.dossiers(passengers, tx, scores)),
         "latest_n": lambda: noop(LK.latest_n(tx, 20)),
-        "dashboard_summary": lambda: noop(RK.dashboard_summary(passengers, scores, flagged, conc)),
+        "dashboard_summary": lambda: noop(RK.dashboard_summary(passengers, scores, tx, conc)),
         "passenger_profile": lambda: noop(LK.passenger_profile(passengers, scores, store.read("passenger_features"))),
     }
     for name, fn in queries.items():

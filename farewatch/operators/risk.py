@@ -60,11 +60,21 @@ def suspicious_operations(tx: DataFrame, scores: DataFrame, **filters) -> DataFr
     return op_filters(tx, **filters).join(sus, "passenger_id", "inner")
 
 
+def per_passenger_ops(tx: DataFrame, scores: DataFrame) -> DataFrame:
+    """(passenger_id, n, suspicious): operations per passenger with the flag.
+
+    Partial aggregation before the shuffle; the band join then carries one
+    row per passenger (a hot passenger is one row, not a third of the data).
+    """
+    per = tx.groupBy("passenger_id").agg(F.count("*").alias("n"))
+    return per.join(band_lookup(scores), "passenger_id", "left").withColumn("suspicious", is_suspicious())
+
+
 def counts(tx: DataFrame, scores: DataFrame, **filters) -> DataFrame:
     """A5: total and suspicious operation counts in one pass (same filters on both)."""
-    f = flag_transactions(op_filters(tx, **filters), scores)
-    return f.agg(F.count("*").cast("long").alias("total_ops"),
-                 F.count_if("suspicious").cast("long").alias("suspicious_ops"))
+    per = per_passenger_ops(op_filters(tx, **filters), scores)
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_ops"),
+                   F.coalesce(F.sum(F.when(F.col("suspicious"), F.col("n"))), F.lit(0)).cast("long").alias("suspicious_ops"))
 
 
 def passenger_counts(passengers: DataFrame, scores: DataFrame) -> DataFrame:
@@ -219,11 +229,18 @@ def chart_slices(conc: DataFrame, top_channels: int = K.CHART_TOP_CHANNELS,
     return ch.unionByName(te)
 
 
-def dashboard_summary(passengers: DataFrame, scores: DataFrame, flagged: DataFrame,
+def dashboard_summary(passengers: DataFrame, scores: DataFrame, tx: DataFrame,
                       conc: DataFrame) -> DataFrame:
-    """A10: one row; every measure is a scalar subquery over its own table."""
+    """A10: one row; every measure is a scalar subquery over its own table.
+
+    ``tx`` are the transactions (or already flagged transactions)."""
     pc = passenger_counts(passengers, scores)
-    ops = flagged.agg(F.struct(F.count("*").alias("t"), F.count_if("suspicious").alias("s"))).scalar()
+    if "suspicious" in tx.columns:
+        ops = tx.agg(F.struct(F.count("*").alias("t"), F.count_if("suspicious").alias("s"))).scalar()
+    else:
+        per = per_passenger_ops(tx, scores)
+        ops = per.agg(F.struct(F.sum("n").alias("t"),
+                               F.coalesce(F.sum(F.when(F.col("suspicious"), F.col("n"))), F.lit(0)).alias("s"))).scalar()
     t, s = ops.getField("t"), ops.getField("s")
     top = top_dimension(conc.filter(F.col("dimension_type").isin("channel", "terminal")), 1)
     top_ch = top.filter(F.col("dimension_type") == "channel").select("dimension_value").scalar()

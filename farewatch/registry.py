@@ -500,9 +500,8 @@ SELECT (SELECT count(*) FROM pass) AS total_passengers,
     AS top_risk_terminal""")
 def q_dashboard_summary(spark, sf_dir):
     st = events_state(spark, sf_dir)
-    flagged = st.flagged()
-    conc = RK.risk_concentration(flagged, calculated_at=RUN_TIME)
-    return RK.dashboard_summary(st.passengers, st.scores, flagged, conc)
+    conc = RK.concentration(st.transactions, st.scores, calculated_at=RUN_TIME)
+    return RK.dashboard_summary(st.passengers, st.scores, st.transactions, conc)
 
 
 @register("upload_summary", O.with_cells(ingest=True) + """
