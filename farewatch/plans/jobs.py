@@ -14,6 +14,7 @@ import time
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from farewatch import constants as K
+from farewatch import schemas as S
 from farewatch.operators import features as FT
 from farewatch.operators import risk as RK
 from farewatch.operators import scoring as SC
@@ -29,10 +30,20 @@ def _now() -> _dt.datetime:
 
 
 def _event(store: TableStore, table: str, key: str, key_value, status: str, error: str | None = None) -> None:
-    row = [(key_value, status, _now(), error)]
-    schema = f"{key} {'long' if isinstance(key_value, int) else 'string'}, status string, ts timestamp_ntz, error string"
-    seq = time.time_ns() // 1000
-    store.append(table, store.spark.createDataFrame(row, schema).withColumn("seq", F.lit(seq)))
+    """Append one status event to a ledger (L1/L2)."""
+    row = [(key_value, status, _now(), error, time.time_ns() // 1000)]
+    store.append(table, store.spark.createDataFrame(row, S.UPLOAD_EVENTS if key == "upload_id" else S.JOB_EVENTS))
+
+
+def _audit(store: TableStore, action: str, entity_type: str, entity_id, user_id: int | None = None,
+           meta: dict | None = None) -> None:
+    """Append one audit row (L3); ``meta`` is stored as JSON text."""
+    import json
+
+    now = _now()
+    row = [(f"{action.lower()}-{entity_id}-{time.time_ns()}", user_id, action, entity_type, str(entity_id),
+            json.dumps(meta or {}, ensure_ascii=False), now)]
+    store.append("audit_logs", store.spark.createDataFrame(row, S.AUDIT_LOGS))
 
 
 def ingest_typed(store: TableStore, typed_rows: DataFrame, **kw) -> dict:
@@ -48,12 +59,30 @@ def ingest_typed(store: TableStore, typed_rows: DataFrame, **kw) -> dict:
     return {"uploads": [r[0] for r in enriched.select("upload_id").distinct().collect()]}
 
 
-def ingest_cells(store: TableStore, cells: DataFrame, **kw) -> dict:
+def ingest_cells(store: TableStore, cells: DataFrame, user_id: int | None = None, **kw) -> dict:
     """Section 3.1 for a batch of uploads given as sheet cells.
 
     Header discovery, typing and the row-error split are one plan; typed rows
     are checkpointed once because both outputs read them.
     """
+    uploads = [r[0] for r in cells.select("upload_id").distinct().collect()]
+    for up in uploads:
+        _event(store, "upload_events", "upload_id", int(up), "processing")
+        _audit(store, "UPLOAD_STARTED", "upload", up, user_id)
+    try:
+        out = _ingest_cells(store, cells, **kw)
+    except Exception as exc:
+        for up in uploads:
+            _event(store, "upload_events", "upload_id", int(up), "failed", str(exc)[:500])
+            _audit(store, "UPLOAD_FAILED", "upload", up, user_id, {"error": str(exc)[:500]})
+        raise
+    for up in out["uploads"]:
+        _event(store, "upload_events", "upload_id", int(up), "done")
+        _audit(store, "UPLOAD_COMPLETED", "upload", up, user_id)
+    return out
+
+
+def _ingest_cells(store: TableStore, cells: DataFrame, **kw) -> dict:
     typed, headers, _ = UPL.typed_from_cells(cells)
     # Row and error counts are collected as metrics of the checkpoint pass
     # itself (no extra job).
@@ -64,8 +93,6 @@ def ingest_cells(store: TableStore, cells: DataFrame, **kw) -> dict:
     store.append("row_errors", bad)
     store.append("upload_headers", headers)
     out = ingest_typed(store, good, **kw)
-    for up in out["uploads"]:
-        _event(store, "upload_events", "upload_id", int(up), "done")
     out.update(obs.get)
     return out
 
@@ -73,12 +100,13 @@ def ingest_cells(store: TableStore, cells: DataFrame, **kw) -> dict:
 def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "all",
                 rule_weight: float = K.RULE_WEIGHT, ml_weight: float = K.ML_WEIGHT,
                 with_ml: bool = True, run_time: _dt.datetime | None = None,
-                dims=K.DIMENSIONS, job_id: str | None = None) -> dict:
+                dims=K.DIMENSIONS, job_id: str | None = None, user_id: int | None = None) -> dict:
     """Section 3.2: features -> rule + anomaly score -> bands/reasons ->
     feature and score upserts (manual rows win) -> concentration refresh."""
     run_time = run_time or _now()
     job_id = job_id or f"job-{run_time:%Y%m%d%H%M%S}"
     _event(store, "job_events", "job_id", job_id, "running")
+    _audit(store, "SCORING_STARTED", "scoring_job", job_id, user_id)
     try:
         tx = store.read_log("transactions")
         passengers = store.read("passengers")
@@ -104,6 +132,7 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
         old_c = store.read("risk_concentrations")
         store.write("risk_concentrations", conc if old_c is None else UP.concentration_upsert(old_c, conc))
         _event(store, "job_events", "job_id", job_id, "done")
+        _audit(store, "SCORING_COMPLETED", "scoring_job", job_id, user_id)
     except Exception as exc:
         _event(store, "job_events", "job_id", job_id, "failed", str(exc)[:500])
         raise

@@ -1,5 +1,9 @@
 """Structured Streaming forms of the pipeline.
 
+Every micro-batch is idempotent: a batch re-run after a failure re-derives
+the same ids (inserts ignore them), rewrites the same pending set and skips
+error rows already written.
+
 T1  incremental upload ingest: file stream of sheet cells -> foreachBatch ->
     header discovery against the stored heads of each upload -> typing ->
     insert-ignore transactions / upsert passengers.  Rows of an upload whose
@@ -58,6 +62,11 @@ def ingest_cells_batch(store: TableStore, batch_cells: DataFrame, **kw) -> None:
     store.write("pending_rows", waiting)
     typed = UPL.type_rows(UPL.map_columns(ready, headers, head_rows=heads))
     good, bad = UPL.split_errors(typed)
+    # A retried micro-batch must not duplicate its error rows.
+    seen = store.read_log("row_errors", "upload_id long, row_num long, error string")
+    if seen is not None:
+        bad = bad.join(seen.join(uploads, "upload_id", "left_semi").select("upload_id", "row_num"),
+                       ["upload_id", "row_num"], "left_anti")
     store.append("row_errors", bad)
     JB.ingest_typed(store, good, **kw)
 

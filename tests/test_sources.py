@@ -137,3 +137,19 @@ def test_validate_columns_and_exports(spark, tmp_dir):
                                                                                       "terminal", "cashdesk"}
     dos = spark.read.json(paths["dossiers"])
     assert dos.count() == store.read("passengers").count()
+
+
+def test_job_ledgers_and_audit(spark):
+    from farewatch.operators import ledger as LG
+    from farewatch import schemas as S
+
+    store = TableStore(spark)
+    JB.ingest_cells(store, FX.events_sheet_cells(spark, SF_SMALL), user_id=5)
+    JB.scoring_run(store, with_ml=False, user_id=5)
+    ups = {r["upload_id"]: r for r in LG.upload_status(store.read_log("upload_events", S.UPLOAD_EVENTS)).collect()}
+    assert set(ups) == {1, 2, 3} and all(r["status"] == "done" and r["illegal_transitions"] == 0 for r in ups.values())
+    jobs = LG.job_status(store.read_log("job_events", S.JOB_EVENTS)).collect()
+    assert len(jobs) == 1 and jobs[0]["status"] == "done" and jobs[0]["duration_sec"] >= 0
+    actions = {r["action"]: r["n"] for r in LG.audit_summary(store.read_log("audit_logs", S.AUDIT_LOGS))
+               .groupBy("action").agg(F.sum("n").alias("n")).collect()}
+    assert actions == {"UPLOAD_STARTED": 3, "UPLOAD_COMPLETED": 3, "SCORING_STARTED": 1, "SCORING_COMPLETED": 1}
