@@ -11,6 +11,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, functions as F
 
 from farewatch import constants as K
+from farewatch.session import BROADCAST_MAX_ROWS
 
 
 def first_per_key(df: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
@@ -27,14 +28,17 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: str = "id",
 
     Transaction ids hash the upload id, so a stored duplicate can only sit in
     one of the incoming uploads: the stored side is restricted to those
-    (a semi join on the partition column -> dynamic partition pruning) instead
-    of shuffling every stored id on each ingest.  ``scope=None`` compares
-    against all stored keys.
+    (a broadcast semi join on the partition column -> dynamic partition
+    pruning; the distinct upload list is counted before it is broadcast)
+    instead of shuffling every stored id on each ingest.  ``scope=None`` or
+    too many uploads compares against all stored keys.
     """
     fresh = first_per_key(new, key, order).select(*new.columns)
     stored = existing
     if scope and scope in existing.columns and scope in new.columns:
-        stored = existing.join(new.select(scope).distinct(), scope, "left_semi")
+        scopes = new.select(scope).distinct()
+        if scopes.count() <= BROADCAST_MAX_ROWS:
+            stored = existing.join(F.broadcast(scopes), scope, "left_semi")
     return fresh.join(stored.select(key), key, "left_anti")
 
 

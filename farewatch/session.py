@@ -81,3 +81,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.replace("file:", "", 1) if base.startswith("file:") else base, name)
+
+
+# Largest number of rows a per-key side table (one row per upload, ~100
+# bytes) may have to be broadcast; beyond it the join is left to the planner.
+BROADCAST_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking its row count (one small job).
+
+    The table is materialised first (reliable checkpoint), so the check
+    does not recompute it.  Used for side tables keyed by a low-cardinality
+    column (upload id): a
+    shuffle join on such a key would put each upload -- possibly a third of
+    all rows -- into one task.  Above the bound the plain join is returned
+    and AQE's skew-join splitting takes over.
+    """
+    from pyspark.sql import functions as F
+
+    df = cut_lineage(df)  # small by purpose: computed once, then counted and joined
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -15,8 +15,27 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from farewatch import constants as K
 
 
+# Fact tables whose scans feed row-wise work (typing, cleaning, hashing).
+FACT_TABLES = ("events", "lineitem", "orders")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in FACT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least the cluster's parallelism.
+
+    A file that is a single Parquet row group is read by one task, and all
+    row-wise work before the first shuffle would run on one core.  When the
+    scan has fewer partitions than the default parallelism the rows are
+    spread round-robin (deterministic: Spark sorts before round-robin
+    repartitioning, so a retried task gets the same rows).  With many input
+    files -- the normal case at scale -- nothing is added.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def _k() -> F.Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from farewatch import constants as K
 from farewatch.functions import text as X
+from farewatch.session import bounded_broadcast
 
 CELLS_SCHEMA = "upload_id long, row_num long, cells array<string>"
 
@@ -80,14 +81,15 @@ def column_map(rows: DataFrame, headers: DataFrame) -> DataFrame:
 def map_columns(rows: DataFrame, headers: DataFrame, head_rows: DataFrame | None = None) -> DataFrame:
     """S3 applied: data rows (after the header) as named string columns.
 
-    The per-upload index struct has one row per upload; the join to it is
-    left to AQE (broadcast when small, which it is by construction).
+    The per-upload column indexes (one row per upload) are broadcast after a
+    size check, so data rows are never shuffled by upload id (an upload may
+    hold a third of all rows).
     ``head_rows`` supplies the header rows when ``rows`` may lack them.
     """
     cmap = column_map(rows if head_rows is None else head_rows, headers)
     idx = (cmap.filter(F.col("canonical").isin(*K.SHEET_COLUMNS))
            .groupBy("upload_id").pivot("canonical", list(K.SHEET_COLUMNS)).agg(F.first("idx")))
-    h = headers.filter(F.col("header_row").isNotNull()).join(idx, "upload_id")
+    h = bounded_broadcast(headers.filter(F.col("header_row").isNotNull()).join(idx, "upload_id"))
     data = rows.join(h, "upload_id").filter(F.col("row_num") > F.col("header_row"))
     cols = [F.try_element_at("cells", (F.col(f"`{c}`") + 1).cast("int")).alias(c) if c in idx.columns
             else F.lit(None).cast("string").alias(c) for c in K.SHEET_COLUMNS]
