@@ -22,6 +22,9 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or scratch_path(spark, f"farewatch-store-{uuid.uuid4().hex[:8]}")
+        # Current version per table as last read or written by this instance
+        # (one writer per store: the jobs run one at a time).
+        self._versions: dict[str, int] = {}
 
     # -- paths --------------------------------------------------------------
     def _path(self, name: str, *parts: str) -> str:
@@ -35,11 +38,16 @@ class TableStore:
 
     # -- versioned tables ---------------------------------------------------
     def version(self, name: str) -> int | None:
+        if name in self._versions:
+            return self._versions[name]
         ptr = self._path(name, "_pointer")
         if not self._exists(ptr):
             return None
         row = self.spark.read.json(ptr).agg(F.max("version")).first()
-        return None if row is None or row[0] is None else int(row[0])
+        if row is None or row[0] is None:
+            return None
+        self._versions[name] = int(row[0])
+        return self._versions[name]
 
     def read(self, name: str, schema=None) -> DataFrame | None:
         v = self.version(name)
@@ -61,14 +69,18 @@ class TableStore:
             raise
 
     def write(self, name: str, df: DataFrame, partition_by: str | list[str] | None = None) -> int:
-        """Write the next version, then move the pointer (one-row JSON)."""
+        """Write the next version, then add its pointer entry (one-row JSON)."""
         v = (self.version(name) or 0) + 1
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
         w.parquet(self._path(name, f"v={v}"))
+        # One pointer entry per version, written after the data: the current
+        # version is the largest entry, and no write ever removes an entry, so
+        # a failure at any point leaves a complete version current.
         self.spark.range(1).select(F.lit(v).alias("version")).coalesce(1) \
-            .write.mode("overwrite").json(self._path(name, "_pointer"))
+            .write.mode("overwrite").json(self._path(name, "_pointer", f"v={v}"))
+        self._versions[name] = v
         return v
 
     # -- append-only tables -------------------------------------------------
