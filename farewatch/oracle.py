@@ -368,3 +368,33 @@ def with_cells(*ctes: str, ingest: bool = False) -> str:
         parts.append(enriched_cte("good"))
     parts += list(ctes)
     return "WITH " + ",".join(p.strip().rstrip(",") for p in parts) + "\n"
+
+
+# ---------------------------------------------------------------------------
+# M2: lineitem x orders x supplier (volume fixture).
+# ---------------------------------------------------------------------------
+
+M2_ROWS = f"""
+m2_li AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
+      l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn
+  FROM lineitem l
+),
+m2_rows AS (
+  SELECT CAST(year(o.o_orderdate) AS BIGINT) AS upload_id, l.l_orderkey * 100 + l.rn AS row_num,
+    CASE l.l_returnflag WHEN 'R' THEN 'refund' WHEN 'A' THEN 'redeem' ELSE 'sale' END AS op_type,
+    o.o_orderdate + CAST(l.l_partkey % 24 AS INTEGER) * INTERVAL 1 HOUR AS op_datetime, l.l_shipdate AS dep_datetime,
+    l.l_extendedprice AS amount, {rnd('l.l_extendedprice * l.l_tax', 2)} AS fee,
+    'T' || (l.l_partkey % 50) AS train_no, o.o_orderpriority AS channel, 'n' || s.s_nationkey AS aggregator,
+    't' || (l.l_partkey % 97) AS terminal, s.s_name AS cashdesk, NULL::VARCHAR AS point_of_sale,
+    'Customer#' || lpad(CAST(o.o_custkey AS VARCHAR), 9, '0') AS fio,
+    lpad(CAST(o.o_custkey AS VARCHAR), 12, '0') AS iin, NULL::VARCHAR AS doc_no, CAST(l.l_orderkey AS VARCHAR) AS order_no,
+    NULL::VARCHAR AS dep_station, NULL::VARCHAR AS arr_station, NULL::VARCHAR AS route, NULL::VARCHAR AS phone,
+    '{K.DEFAULT_SOURCE}' AS source
+  FROM m2_li l JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+)"""
+
+
+def with_m2(*ctes: str, scope: str = "all") -> str:
+    parts = [M2_ROWS, enriched_cte("m2_rows"), features_cte(scope), scores_cte(scope)] + list(ctes)
+    return "WITH " + ",".join(p.strip().rstrip(",") for p in parts) + "\n"

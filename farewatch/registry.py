@@ -867,11 +867,31 @@ def q_export_dossier(spark, sf_dir):
 # Volume fixture (M2) queries -- same operators over lineitem/orders/supplier
 # ==========================================================================
 
-@register("volume_risk_concentration")
+@register("volume_risk_concentration", O.with_m2(FLAGGED, CONC) + f"SELECT {_CONC_COLS} FROM conc")
 def q_volume_conc(spark, sf_dir):
     from farewatch.plans.pipeline import lineitem_state
     st = lineitem_state(spark, sf_dir)
-    return RK.risk_concentration(st.flagged(), calculated_at=RUN_TIME)
+    return RK.concentration(st.transactions, st.scores, calculated_at=RUN_TIME)
+
+
+@register("volume_risk_trend", O.with_m2(FLAGGED) + f"""
+SELECT date_trunc('day', op_datetime) AS day, count(*) AS total_ops, CAST(count_if(suspicious) AS BIGINT) AS highrisk_ops,
+       {O.rnd("count_if(suspicious) * 100.0::DOUBLE / count(*)", 2)} AS share
+FROM flagged GROUP BY 1""")
+def q_volume_trend(spark, sf_dir):
+    from farewatch.plans.pipeline import lineitem_state
+    st = lineitem_state(spark, sf_dir)
+    return RK.risk_trend(st.transactions, st.scores)
+
+
+@register("volume_features", O.with_m2() + """
+SELECT passenger_id, total_tickets, refund_cnt, late_refunds, refund_close_ratio, max_tickets_month,
+       max_tickets_same_depday, tickets_per_train_peak FROM feat""")
+def q_volume_features(spark, sf_dir):
+    from farewatch.plans.pipeline import lineitem_state
+    st = lineitem_state(spark, sf_dir)
+    return st.features.select("passenger_id", "total_tickets", "refund_cnt", "late_refunds", "refund_close_ratio",
+                              "max_tickets_month", "max_tickets_same_depday", "tickets_per_train_peak")
 
 
 
