@@ -1,7 +1,7 @@
 """Versioned Parquet tables without a table format.
 
 Mutable tables (passengers, features, scores, concentrations) are rewritten
-as ``<root>/<name>/v=<n>`` and a small pointer table names the current
+as ``<root>/<name>/v=<n>`` and a marker file per version names the current
 version, so a writer never overwrites the folder it reads from.  Append-only
 tables (transactions, row errors, ledgers) live in ``<root>/<name>/data`` and
 grow by appends (partitioned where useful).
@@ -13,7 +13,7 @@ import os
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from farewatch.session import scratch_path
 
@@ -30,23 +30,27 @@ class TableStore:
     def _path(self, name: str, *parts: str) -> str:
         return os.path.join(self.root, name, *parts)
 
-    def _exists(self, path: str) -> bool:
+    def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf).exists(p)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
 
     # -- versioned tables ---------------------------------------------------
     def version(self, name: str) -> int | None:
         if name in self._versions:
             return self._versions[name]
-        ptr = self._path(name, "_pointer")
-        if not self._exists(ptr):
+        p, fs = self._fs(self._path(name, "_pointer"))
+        if not fs.exists(p):
             return None
-        row = self.spark.read.json(ptr).agg(F.max("version")).first()
-        if row is None or row[0] is None:
+        found = [st.getPath().getName() for st in fs.listStatus(p)]
+        versions = [int(n[2:]) for n in found if n.startswith("v=") and n[2:].isdigit()]
+        if not versions:
             return None
-        self._versions[name] = int(row[0])
+        self._versions[name] = max(versions)
         return self._versions[name]
 
     def read(self, name: str, schema=None) -> DataFrame | None:
@@ -69,17 +73,18 @@ class TableStore:
             raise
 
     def write(self, name: str, df: DataFrame, partition_by: str | list[str] | None = None) -> int:
-        """Write the next version, then add its pointer entry (one-row JSON)."""
+        """Write the next version, then add its pointer entry."""
         v = (self.version(name) or 0) + 1
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
         w.parquet(self._path(name, f"v={v}"))
-        # One pointer entry per version, written after the data: the current
-        # version is the largest entry, and no write ever removes an entry, so
-        # a failure at any point leaves a complete version current.
-        self.spark.range(1).select(F.lit(v).alias("version")).coalesce(1) \
-            .write.mode("overwrite").json(self._path(name, "_pointer", f"v={v}"))
+        # One pointer entry (an empty marker file) per version, created after
+        # the data is committed: the current version is the largest entry and
+        # no write removes an entry, so a failure at any point leaves a
+        # complete version current.
+        p, fs = self._fs(self._path(name, "_pointer", f"v={v}"))
+        fs.create(p, True).close()
         self._versions[name] = v
         return v
 

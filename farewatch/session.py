@@ -67,14 +67,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+def cut_lineage(df: DataFrame, name: str = "df") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and continue from it.
 
-    Survives executor loss (unlike a local checkpoint) and bounds plan size
-    between pipeline breaks.
+    The plan runs once (a reliable ``checkpoint()`` computes it a second time
+    to write its files), survives executor loss, bounds plan size between
+    pipeline breaks, and reads back columnar (later steps prune columns).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"_lineage/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
