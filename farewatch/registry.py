@@ -942,3 +942,27 @@ def q_stream_trend(spark, sf_dir):
     st, path, schema = _tx_files(spark, sf_dir, store, "src_tx",
                                  [F.col("upload_id") == u for u in (1, 2, 3)])
     return stream_trend(spark, path, schema, st.scores, store, delay="31 days", max_files=2)
+
+
+# ==========================================================================
+# S2 quick check, R8 audit rows
+# ==========================================================================
+
+@register("header_quick_check", O.with_cells() + "SELECT upload_id, header_row IS NOT NULL AS valid FROM headers")
+def q_header_quick_check(spark, sf_dir):
+    configure(spark)
+    return UPL.validate_columns(FX.events_sheet_cells(spark, sf_dir))
+
+
+@register("override_audit", M1(_OVR) + """
+SELECT 'override-' || CAST(o.passenger_id AS VARCHAR) AS id, 'PASSENGER_RISK_OVERRIDE' AS action,
+  'passenger' AS entity_type, CAST(o.passenger_id AS VARCHAR) AS entity_id,
+  CAST(json_object('old_band', coalesce(s.risk_band, 'low'), 'new_band', o.new_band, 'reason', o.reason) AS VARCHAR) AS meta
+FROM ovr o LEFT JOIN scores s USING (passenger_id)""")
+def q_override_audit(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    ovr = st.passengers.filter(F.col("fio_clean").startswith("TEST")).select(
+        F.col("id").alias("passenger_id"), F.lit("critical").alias("new_band"), F.lit("name check").alias("reason"),
+        F.lit(1).alias("actor_user_id"))
+    _, audit = UP.apply_override(st.scores, ovr, RUN_TIME)
+    return audit.select("id", "action", "entity_type", "entity_id", "meta")
