@@ -160,18 +160,33 @@ def dimension_stats_pre(tx: DataFrame, scores: DataFrame, dims=K.DIMENSIONS) ->
                  F.sum(F.when(F.col("suspicious"), F.col("n")).otherwise(0)).cast("long").alias("highrisk_ops")))
 
 
+ALL_ROWS = "__all__"
+
+
 def concentration(tx: DataFrame, scores: DataFrame, dims=K.DIMENSIONS,
                   calculated_at: _dt.datetime | None = None) -> DataFrame:
     """A8 over transactions + scores with pre-aggregation (the refresh that runs
-    after every scoring).  Base share: one scalar subquery over the same
-    pre-aggregated counts."""
+    after every scoring).
+
+    One pass: every pre-aggregated row also feeds an ``__all__`` row, so the
+    base share comes out of the same aggregation.  The result (one row per
+    dimension value -- small at any scale) is materialised once and the base
+    is read from it, instead of a second full scan for a scalar subquery.
+    """
+    from farewatch.session import cut_lineage
+
     c = passenger_dim_counts(tx, scores, dims)
-    u = unpivot_dimensions(c, dims, keep=("n", "suspicious"))
-    stats = (u.groupBy("dimension_type", "dimension_value")
-             .agg(F.sum("n").cast("long").alias("total_ops"),
-                  F.sum(F.when(F.col("suspicious"), F.col("n")).otherwise(0)).cast("long").alias("highrisk_ops")))
-    base = c.agg(F.sum(F.when(F.col("suspicious"), F.col("n")).otherwise(0)) / F.sum("n")).scalar()
-    return _with_lift(stats, base, calculated_at)
+    pairs = [F.struct(F.lit(d).alias("dimension_type"), F.col(d).cast("string").alias("dimension_value")) for d in dims]
+    pairs.append(F.struct(F.lit(ALL_ROWS).alias("dimension_type"), F.lit(ALL_ROWS).alias("dimension_value")))
+    u = c.select("n", "suspicious", F.inline(F.array(*pairs))).filter(F.col("dimension_value").isNotNull())
+    stats_all = cut_lineage(
+        u.groupBy("dimension_type", "dimension_value")
+        .agg(F.sum("n").cast("long").alias("total_ops"),
+             F.sum(F.when(F.col("suspicious"), F.col("n")).otherwise(0)).cast("long").alias("highrisk_ops")),
+        "concentration_stats")
+    base = (stats_all.filter(F.col("dimension_type") == ALL_ROWS)
+            .select(F.col("highrisk_ops") / F.col("total_ops")).scalar())
+    return _with_lift(stats_all.filter(F.col("dimension_type") != ALL_ROWS), base, calculated_at)
 
 
 def _with_lift(stats: DataFrame, base: Column, calculated_at) -> DataFrame:
