@@ -16,7 +16,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from farewatch.operators import features as FT  # noqa: E402
 from farewatch.operators import lookups as LK  # noqa: E402
