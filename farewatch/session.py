@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a private temporary folder is created.
+    on a ``local[...]`` master (tests) a private temporary folder is created.
+    A cluster without a shared folder is refused: executors cannot see one
+    machine's disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {sc.master}")
         configured = tempfile.mkdtemp(prefix="farewatch-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -85,8 +89,7 @@ def cut_lineage(df: DataFrame, name: str = "df") -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base.replace("file:", "", 1) if base.startswith("file:") else base, name)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
 # Largest number of rows a per-key side table (one row per upload, ~100
