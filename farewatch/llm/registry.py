@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farewatch.llm import chat, mixing, sharding, warc
+from farewatch.llm import chat, mixing, sharding, substring, topk, warc
 from farewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,17 @@ def op4_chat_format(spark, sf_dir):
     return chat.conversation_digests(chat.format_trees(chat.conversations_as_trees(rows.unionByName(probe))))
 
 
+@register("op5_block_topk", topk.ORACLE_SQL)
+def op5_block_topk(spark, sf_dir):
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op6_substring_dedup", substring.oracle_sql())
+def op6_substring_dedup(spark, sf_dir):
+    kept = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @register("op9_histogram_shards")
 def op9_histogram_shards(spark, sf_dir):
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"), 24)
