@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farewatch.llm import chat, mixing, sharding, substring, topk, warc
+from farewatch.llm import chat, jaccard, mixing, sharding, substring, topk, warc
 from farewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op6_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@register("op8_jaccard_join", jaccard.oracle_sql())
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @register("op9_histogram_shards")
 def op9_histogram_shards(spark, sf_dir):
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"), 24)
