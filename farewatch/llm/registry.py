@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farewatch.llm import chat, jaccard, mixing, sharding, substring, topk, warc
+from farewatch.llm import chat, decontaminate, jaccard, mixing, packing, sharding, substring, topk, warc
 from farewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+@register("op2_token_pack")
+def op2_token_pack(spark, sf_dir):
+    return packing.packed_digests(packing.pack_tokens(table(spark, sf_dir, "documents")))
+
+
 @register("op3_warc_normalise", f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE octet_length(payload) >= {warc.REVISIT_MIN_BYTES} GROUP BY 1)
@@ -62,6 +67,11 @@ def op6_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@register("op7_decontaminate")
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op8_jaccard_join", jaccard.oracle_sql())
 def op8_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
