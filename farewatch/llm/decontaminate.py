@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from farewatch.llm.common import save

@@ -271,7 +271,37 @@ def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     null or negative doc_id link with nothing and have a null id and component.
     An empty table gives no rows.  Other columns are not read.
     """
-    copy = sketch.copy_by_part(docs, "jaccard-copy")
+    return classes_of(sketch.copy_by_part(docs, "jaccard-copy"), threshold, shingle).drop("part")
+
+
+def keep_representatives(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is the smallest of their class.
+
+    Rows without a valid id and texts without words are kept.  The texts are
+    not shuffled: each part's dropped ids are looked up where its rows are.
+    """
+    copy = save(docs.withColumn("__part", F.spark_partition_id().cast("long")), "jaccard-copy")
+    classes = classes_of(sketch.keyed(copy, F.col("__part")), threshold, shingle)
+    dropped = sketch.write_by_part(classes.where("doc_id <> component_id").select("part", "doc_id"), "jaccard-dropped")
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, gone = None, None
+        for batch in batches:
+            kept = []
+            for part, doc in zip(batch.column("__part").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+                if part != at:
+                    table = sketch.read_part(dropped, part)
+                    at, gone = part, set() if table is None else set(table.column("doc_id").to_pylist())
+                kept.append(doc not in gone)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return copy.mapInArrow(run, copy.schema).drop("__part")
+
+
+def classes_of(copy: DataFrame, threshold: int, shingle: int) -> DataFrame:
+    """(doc_id, part, n_shingles, component_id) of the rows of a copy (doc_id, text, part)."""
     digests = save(copy.mapInArrow(_digest_task(shingle), DIGESTS), "jaccard-digests")
     key = ["n", "d1", "d2"]
     equal = (digests.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key)
@@ -286,7 +316,7 @@ def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     sets = save(copy.mapInArrow(_set_task(copies, path, bits, shingle, threshold), SETS), "jaccard-sets")
     classes = link_sets(sets, threshold)
     return (member.join(classes, member.cid == classes.node, "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component_id")))
+            .select("doc_id", "part", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component_id")))
 
 
 @cache

@@ -92,19 +92,53 @@ def mix_sources(docs: DataFrame, budget: float = BUDGET, iterations: int = ITERA
     words.  Documents without words have probability 0.  Rows with one doc_id
     get the same draw.  An empty table gives no rows.
     """
-    spark_docs = docs.select(
-        "doc_id", *(F.coalesce(F.col(d).cast("string"), F.lit(MISSING)).alias(d) for d in ("source", "lang")),
-        F.coalesce(topic if topic is not None else topic_of(F.col("text")), F.lit(MISSING)).alias("topic"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("n_tokens"))
-    sized = save(spark_docs, "mix-sizes")
+    sized = save(docs.select("doc_id", *categories(topic), n_tokens().alias("n_tokens")), "mix-sizes")
+    chances = cell_chances(sized, budget, iterations, max_epochs, exponents, targets)
+    return sized.join(chances, list(DIMENSIONS)).select(
+        "doc_id", *DIMENSIONS, "n_tokens", "probability", copies(seed).cast("int").alias("copies"))
+
+
+def draw_documents(docs: DataFrame, budget: float = BUDGET, iterations: int = ITERATIONS, max_epochs: float = MAX_EPOCHS,
+                   exponents: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None,
+                   topic: Column | None = None, seed: str = SEED) -> DataFrame:
+    """The drawn rows of ``docs``, all columns, each as often as ``mix_sources`` says.
+
+    Documents meet the cell probabilities where they are; only the cell table moves.
+    """
+    names = [f"__{d}" for d in DIMENSIONS]
+    marked = docs.withColumns(dict(zip(names, categories(topic), strict=True)))
+    sized = docs.select(*categories(topic), n_tokens().alias("n_tokens"))
+    chances = cell_chances(sized, budget, iterations, max_epochs, exponents, targets).select(
+        *(F.col(d).alias(n) for d, n in zip(DIMENSIONS, names, strict=True)), F.col("probability").alias("__p"))
+    drawn = (marked.join(chances, names).withColumn("__n", copies(seed, F.col("__p")).cast("int")).where("__n > 0"))
+    if max_epochs > 1:
+        drawn = drawn.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def categories(topic: Column | None = None) -> list[Column]:
+    """source, lang and topic with the name of missing ones filled in."""
+    topic = topic if topic is not None else topic_of(F.col("text"))
+    return [*(F.coalesce(F.col(d).cast("string"), F.lit(MISSING)).alias(d) for d in ("source", "lang")),
+            F.coalesce(topic, F.lit(MISSING)).alias("topic")]
+
+
+def n_tokens() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def cell_chances(sized: DataFrame, budget, iterations, max_epochs, exponents, targets) -> DataFrame:
+    """(source, lang, topic, probability) of all cells of (source, lang, topic, n_tokens)."""
     cells = save(sized.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     fitted = rake(cells, targets or tempered_targets(cells, exponents or EXPONENTS), budget, iterations, max_epochs)
-    chances = fitted.select(*DIMENSIONS, F.round(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-                                                 .otherwise(F.lit(0.0)), 9).alias("probability"))
-    drawn = F.floor("probability") + F.when(
-        unit_hash(F.col("doc_id"), seed) < F.col("probability") - F.floor("probability"), 1).otherwise(0)
-    return sized.join(chances, list(DIMENSIONS)).select(
-        "doc_id", *DIMENSIONS, "n_tokens", "probability", drawn.cast("int").alias("copies"))
+    return fitted.select(*DIMENSIONS, F.round(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
+                                              .otherwise(F.lit(0.0)), 9).alias("probability"))
+
+
+def copies(seed: str, probability: Column | None = None) -> Column:
+    """Whole copies of a document, and one more with the rest of its probability."""
+    p = F.col("probability") if probability is None else probability
+    return F.floor(p) + F.when(unit_hash(F.col("doc_id"), seed) < p - F.floor(p), 1).otherwise(0)
 
 
 def oracle_sql(budget: float = BUDGET, iterations: int = ITERATIONS, max_epochs: float = MAX_EPOCHS,

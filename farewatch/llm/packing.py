@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from farewatch.llm.common import save
 
@@ -151,9 +151,9 @@ def _pack_task(vocabulary: bytes, row_length: int, end_id: int, block_ids: int):
     return run
 
 
-def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, row_length: int = ROW_LENGTH, end_id: int = END_ID,
+def packed_rows(docs: DataFrame, vocabulary: str = VOCABULARY, row_length: int = ROW_LENGTH, end_id: int = END_ID,
                 block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Packed rows (PACKED), written once to the shared folder and read from there.
+    """Packed rows (PACKED) of all documents, to be written once by the caller.
 
     ``input_ids`` and ``position_ids`` are ``row_length`` unsigned integers of
     two bytes (four if ids or lengths need it); places after ``cu_seqlens[-1]``
@@ -168,7 +168,12 @@ def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, row_length: int =
     with open(vocabulary, "rb") as f:
         content = f.read()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return save(texts.mapInArrow(_pack_task(content, row_length, end_id, block_ids), PACKED), "packed-ids")
+    return texts.mapInArrow(_pack_task(content, row_length, end_id, block_ids), PACKED)
+
+
+def pack_tokens(docs: DataFrame, **options) -> DataFrame:
+    """``packed_rows``, written to the shared folder and read from there."""
+    return save(packed_rows(docs, **options), "packed-ids")
 
 
 def packed_digests(packed: DataFrame) -> DataFrame:

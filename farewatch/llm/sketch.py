@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from farewatch.llm.common import filesystem, save, shared_folder
 from farewatch.llm.texthash import Hasher, TextBlock, mix, text_blocks
@@ -37,8 +37,11 @@ ANSWERS = "part long, row int, segment long, gaps binary, counts binary"
 
 def copy_by_part(docs: DataFrame, name: str) -> DataFrame:
     """(doc_id long, text, part) of all rows, written once; rows of a part lie in one file."""
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                            F.spark_partition_id().cast("long").alias("part")), name)
+    return save(keyed(docs, F.spark_partition_id().cast("long")), name)
+
+
+def keyed(docs: DataFrame, part: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), part.alias("part"))
 
 
 def cell_bits(n_keys: int) -> int:

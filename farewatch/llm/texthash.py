@@ -50,9 +50,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_bounds(data: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, text_starts: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Byte positions where words start and end; words never cross a text's start."""
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     fresh = np.zeros(len(data) + 1, dtype=bool)
     fresh[text_starts] = True
     before = np.empty(len(data), dtype=bool)
@@ -67,14 +67,18 @@ def word_bounds(data: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray,
 
 
 class Hasher:
-    """Word hashes under one or two seeds; ``fold_case`` treats A-Z as a-z."""
+    """Word hashes under one or two seeds; ``fold_case`` treats A-Z as a-z.
 
-    def __init__(self, seeds: int = 1, fold_case: bool = False):
+    ``space`` marks the bytes that separate words (ASCII white space by default).
+    """
+
+    def __init__(self, seeds: int = 1, fold_case: bool = False, space: np.ndarray = _SPACE):
+        self.space = space
         self.seeds = [Seed.make(1009 + i, fold_case) for i in range(seeds)]
         self._pow: list[tuple[np.ndarray, np.ndarray]] = []
 
     def __getstate__(self):
-        return {"seeds": self.seeds, "_pow": []}
+        return {"space": self.space, "seeds": self.seeds, "_pow": []}
 
     def _tables(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         if not self._pow or len(self._pow[0][0]) < n:
@@ -122,14 +126,14 @@ class TextBlock:
         return np.where(owner[:n] == owner[length - 1:length - 1 + n], owner[:n], -1) if n else np.zeros(0, dtype=np.int64)
 
 
-def _cut(data: np.ndarray) -> list[slice]:
-    """Slices of a long text of about SLICE_BYTES, cut at white space."""
+def _cut(data: np.ndarray, space_bytes: np.ndarray) -> list[slice]:
+    """Slices of a long text of about SLICE_BYTES, cut between words."""
     out, at = [], 0
     while len(data) - at > SLICE_BYTES:
-        space = np.flatnonzero(_SPACE[data[at:at + SLICE_BYTES]])
+        space = np.flatnonzero(space_bytes[data[at:at + SLICE_BYTES]])
         end = at + (int(space[-1]) + 1 if len(space) else SLICE_BYTES)
         if not len(space):  # one enormous word: take it whole
-            later = np.flatnonzero(_SPACE[data[end:]])
+            later = np.flatnonzero(space_bytes[data[end:]])
             end = end + int(later[0]) if len(later) else len(data)
         out.append(slice(at, end))
         at = end
@@ -156,13 +160,13 @@ def text_blocks(column, hasher: Hasher) -> Iterator[TextBlock]:
         texts = (offsets[at:to + 1] - offsets[at]).astype(np.int64)
         if to == at + 1 and len(data) > SLICE_BYTES:
             parts = []
-            for piece in _cut(data):
-                s, e = word_bounds(data[piece], np.zeros(1, dtype=np.int64))
+            for piece in _cut(data, hasher.space):
+                s, e = word_bounds(data[piece], np.zeros(1, dtype=np.int64), hasher.space)
                 parts.append((s + piece.start, e + piece.start, hasher.words(data[piece], s, e)))
             starts, ends = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
             hashes = [np.concatenate([p[2][i] for p in parts]) for i in range(len(hasher.seeds))]
         else:
-            starts, ends = word_bounds(data, texts[:-1])
+            starts, ends = word_bounds(data, texts[:-1], hasher.space)
             hashes = hasher.words(data, starts, ends)
         yield TextBlock(np.arange(at, to), data, starts, ends, np.searchsorted(starts, texts), hashes)
         at = to
