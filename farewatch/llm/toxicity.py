@@ -306,10 +306,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_docs: dict[int, in
     known = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
              .where(~held_out(F.col("doc_id"))))
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, train_bytes))
-    rows = texts.join(known, "doc_id")
     got = []
     for y, limit in limits.items():
-        got += rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit).select("text", "y").collect()
+        # At most ``limit`` ids go to the tasks; texts are looked up where they are.
+        chosen = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        got += texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(limit).select("text", "y").collect()
     return [r["text"] for r in got], [int(r["y"]) for r in got]
 
 
