@@ -29,6 +29,8 @@ CELLS_PER_KEY = 4
 SEGMENT_BITS = 22
 FLUSH_KEYS = 2_000_000
 COUNT_CAP = 255
+# Stands for a null doc_id inside tasks.
+NULL_ID = -2**63
 _ROW_SALT = 0x9E3779B97F4A7C15
 
 CELLS = "row int, segment long, part long, gaps binary"
@@ -151,9 +153,9 @@ class Estimates:
 
 
 def part_blocks(batch, hasher: Hasher) -> Iterator[tuple[int, np.ndarray, TextBlock]]:
-    """(part, doc ids with -1 where null, block of texts) of an Arrow batch (doc_id, text, part)."""
+    """(part, doc ids with NULL_ID where null, block of texts) of an Arrow batch (doc_id, text, part)."""
     parts = batch.column("part").to_numpy(zero_copy_only=False)
-    ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+    ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
     edges = np.flatnonzero(np.diff(parts, prepend=parts[:1] - 1, append=parts[-1:] - 1)) if len(parts) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         for block in text_blocks(batch.column("text").slice(a, b - a), hasher):

@@ -3,7 +3,7 @@
 1. The texts are copied to the shared folder with their part number.
 2. All windows of ``WINDOW`` words go through the distributed count-min sketch
    (``sketch``); most windows are unique and end here.
-3. Windows estimated repeated are grouped exactly by a 128-bit key; a part sends
+3. Windows estimated repeated are grouped exactly by a 96-bit key; a part sends
    each key once, with its smallest and largest document, so a window that a
    third of all documents share costs one row per part.
 4. Each key's smallest document goes back to the parts; a last scan marks the
@@ -25,13 +25,14 @@ from farewatch.llm.common import WORD_PATTERN
 from farewatch.llm.texthash import Hasher
 
 WINDOW = 13
-CANDIDATES = "k1 long, k2 long, part long, first long, last long"
+# k1 and k2 are a 96-bit key; span is the last document less the first (0 for most rows).
+CANDIDATES = "k1 long, k2 int, part long, first long, span long"
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
-FLUSH_CANDIDATES = 1_000_000
+FLUSH_CANDIDATES = 500_000
 
 
 def _windows(block, hasher: Hasher, window: int):
-    """(window hashes per seed, number of the text of each window) of whole windows only."""
+    """(window hashes per seed, number of the text, number of the first word) of whole windows only."""
     owner = block.window_texts(window)
     whole = owner >= 0
     return [h[whole] for h in hasher.windows(block.hashes, window)], owner[whole], np.flatnonzero(whole)
@@ -47,6 +48,10 @@ def _sketch_keys(window: int):
     return keys_of
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _reduce(k1, k2, ids):
     """One row per key: its smallest and largest document."""
     order = np.lexsort((ids, k2, k1))
@@ -67,8 +72,8 @@ def _candidate_task(path: str, bits: int, window: int):
             if size:
                 k1, k2, first, last = _reduce(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.full(len(k1), at, dtype=np.int64)),
-                     pa.array(first), pa.array(last)], names=["k1", "k2", "part", "first", "last"])
+                    [pa.array(k1.view(np.int64)), pa.array(k2), pa.array(np.full(len(k1), at, dtype=np.int64)),
+                     pa.array(first), pa.array(last - first)], names=["k1", "k2", "part", "first", "span"])
             held, size = [], 0
 
         for batch in batches:
@@ -78,8 +83,8 @@ def _candidate_task(path: str, bits: int, window: int):
                     at, estimates = part, sketch.Estimates(path, part, bits)
                 (k1, k2), owner, _ = _windows(block, hasher, window)
                 doc = ids[owner]
-                hit = (estimates.count(k1) > 1) & (doc >= 0)
-                held.append((k1[hit], k2[hit], doc[hit]))
+                hit = (estimates.count(k1) > 1) & (doc != sketch.NULL_ID)
+                held.append((k1[hit], short(k2[hit]), doc[hit]))
                 size += int(hit.sum())
                 if size >= FLUSH_CANDIDATES:
                     yield from flush()
@@ -102,7 +107,7 @@ def _remove_task(path: str, window: int):
                 covered = np.zeros(len(block.starts) + 1, dtype=np.int32)
                 if len(keys[0]):
                     (k1, k2), owner, at_word = _windows(block, hasher, window)
-                    k1, k2 = k1.view(np.int64), k2.view(np.int64)
+                    k1, k2 = k1.view(np.int64), short(k2)
                     place = np.minimum(np.searchsorted(keys[0], k1), len(keys[0]) - 1)
                     gone = at_word[(keys[0][place] == k1) & (keys[1][place] == k2) & (keys[2][place] < ids[owner])]
                     np.add.at(covered, gone, 1)
@@ -116,7 +121,7 @@ def _remove_task(path: str, window: int):
                     own = block.data[block.starts[a]:block.ends[b - 1]].tobytes().split() if b > a else []
                     texts.append(b" ".join(compress(own, kept[a:b].tolist()) if removed[i] else own).decode("utf-8"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids < 0), pa.array(words.astype(np.int64)), pa.array(removed.astype(np.int64)),
+                    [pa.array(ids, mask=ids == sketch.NULL_ID), pa.array(words.astype(np.int64)), pa.array(removed.astype(np.int64)),
                      pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
     return run
 
@@ -127,9 +132,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Columns: doc_id, n_words, n_removed, kept (kept words joined by a space).
     "Earlier" is a smaller doc_id; windows are judged on the input.  A null text
     has no words; documents shorter than a window stay whole; rows that share a
-    doc_id do not remove each other's words; rows with a null or negative doc_id
-    neither remove nor lose words (and are returned with a null id); an empty
-    table gives no rows.  Other columns are not read.
+    doc_id do not remove each other's words; rows with a null doc_id neither
+    remove nor lose words; an empty table gives no rows.  Other columns are not read.
     """
     copy = sketch.copy_by_part(docs, "substring-copy")
     n_bytes = copy.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -137,7 +141,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     path, bits = sketch.build(copy, _sketch_keys(window), n_bytes // 6, "substring-estimates")
     candidates = copy.mapInArrow(_candidate_task(path, bits, window), CANDIDATES)
     first = F.min("first").over(Window.partitionBy("k1", "k2"))
-    answers = candidates.withColumn("first", first).where(F.col("first") < F.col("last")).select("part", "k1", "k2", "first")
+    answers = (candidates.withColumn("last", F.col("first") + F.col("span")).withColumn("first", first)
+               .where(F.col("first") < F.col("last")).select("part", "k1", "k2", "first"))
     return copy.mapInArrow(_remove_task(sketch.write_by_part(answers, "substring-first"), window), KEPT)
 
 

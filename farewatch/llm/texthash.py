@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 # Bytes hashed at once; a longer text is cut at white space, never inside a word.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
