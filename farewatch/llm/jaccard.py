@@ -75,7 +75,7 @@ def _digest_task(shingle: int):
                     d1.append(s1.sum(dtype=np.uint64))
                     d2.append(s2.sum(dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids < 0), pa.array(np.full(len(ids), part, dtype=np.int64)), pa.array(np.array(n, dtype=np.int64)),
+                    [pa.array(ids, mask=ids == sketch.NULL_ID), pa.array(np.full(len(ids), part, dtype=np.int64)), pa.array(np.array(n, dtype=np.int64)),
                      pa.array(np.array(d1, dtype=np.uint64).view(np.int64)), pa.array(np.array(d2, dtype=np.uint64).view(np.int64))],
                     names=["doc_id", "part", "n", "d1", "d2"])
     return run
@@ -91,7 +91,7 @@ def _representatives(batches, hasher: Hasher, copies: str, shingle: int):
                 at, skipped = part, set() if table is None else set(table.column("doc_id").to_pylist())
             for i, (items, *_) in document_sets(block, hasher, shingle):
                 doc = int(ids[i])
-                if len(items) and doc >= 0 and doc not in skipped:
+                if len(items) and doc != sketch.NULL_ID and doc not in skipped:
                     yield part, doc, items
 
 
@@ -268,8 +268,7 @@ def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     sets; component_id is the smallest doc_id reachable by links.  Empty and
     null texts have empty sets, link with nothing and are their own component.
     Rows that share a doc_id are one document of several texts.  Rows with a
-    null or negative doc_id link with nothing and have a null id and component.
-    An empty table gives no rows.  Other columns are not read.
+    null doc_id link with nothing and have a null component.  An empty table gives no rows.  Other columns are not read.
     """
     return classes_of(sketch.copy_by_part(docs, "jaccard-copy"), threshold, shingle).drop("part")
 
@@ -306,8 +305,9 @@ def classes_of(copy: DataFrame, threshold: int, shingle: int) -> DataFrame:
     key = ["n", "d1", "d2"]
     equal = (digests.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key)
              .agg(F.min("doc_id").alias("cid"), F.max("doc_id").alias("last")))
-    # Only classes of several documents are joined back.
-    shared = equal.where("cid <> last").select(*key, "cid")
+    # Only classes of several documents are joined back, from a table of their own:
+    # two plain exchanges let Spark split the rows of one large class.
+    shared = save(equal.where("cid <> last").select(*key, "cid"), "jaccard-equal")
     member = save(digests.join(shared, key, "left")
                   .select("doc_id", "part", "n", F.coalesce("cid", "doc_id").alias("cid")), "jaccard-members")
     copies = sketch.write_by_part(member.where("doc_id <> cid").select("part", "doc_id"), "jaccard-copies")
