@@ -173,7 +173,7 @@ FAKE_SHORT_TOTAL = 5              # letters in all tokens < 5
 FAKE_SHORT_WEIGHT = 0.5
 
 # FIXED VALUES: deterministic 63-bit ids.
-PASSENGER_ID_NAMESPACE = "antifrode_passenger_v1"
+PASSENGER_ID_NAMESPACE = "passenger_v1"  # the default; callers may pass their own
 ANONYMOUS_NAME = "SYSTEM_ANONYMOUS"
 
 # FIXED VALUES: scoring features, thresholds and weights.
@@ -210,7 +210,6 @@ IFOREST_FEATURES: tuple[str, ...] = (
 IFOREST_TREES = 300
 IFOREST_SEED = 42
 IFOREST_SAMPLE = 256
-IFOREST_POOL = 65536
 IFOREST_CONTAMINATION = 0.03   # shifts the decision function only; removed by min-max
 
 # Seat blocking.
@@ -230,7 +229,6 @@ DIMENSIONS: tuple[str, ...] = ("channel", "aggregator", "terminal", "cashdesk")
 ALL_DIMENSIONS: tuple[str, ...] = DIMENSIONS + ("point_of_sale",)
 
 # Reports and paging.
-EXPORT_SUSPICIOUS_CAP = 50_000
 DOSSIER_TRANSACTIONS = 20
 DOSSIER_NO_REASONS = "Нет явных причин"
 DOSSIER_NO_IIN = "Н/Д"

@@ -34,9 +34,9 @@ def identity_key(iin, fio_clean, doc_no, phone, iin_min_length: int = K.IIN_MIN_
     )
 
 
-def passenger_id_from_key(key) -> Column:
+def passenger_id_from_key(key, namespace: str = K.PASSENGER_ID_NAMESPACE) -> Column:
     """Namespaced 63-bit id of an identity key."""
-    return fold63(F.concat(F.lit(K.PASSENGER_ID_NAMESPACE + ":"), _c(key)))
+    return fold63(F.concat(F.lit(namespace + ":"), _c(key)))
 
 
 def py_datetime_str(ts, sep: str = " ") -> Column:

@@ -3,11 +3,10 @@
 Liu, Ting, Zhou: "Isolation Forest", ICDM 2008.
 
 Plan:
-1. deterministic pool: rows whose xxhash64(key, seed) falls under a rate that
-   keeps about ``pool`` rows (all rows when fewer);
-2. per tree: pool rows replicated once per tree id and pre-filtered by a
-   per-(row, tree) hash, so each tree group holds ~4x its sample size;
-   ``applyInPandas`` takes the ``sample`` smallest hashes and grows one tree
+1. the rows are counted (all of them can be drawn by every tree);
+2. per tree: a hash of (row, tree) keeps about 4x the tree's sample size of all
+   rows; a row is replicated only for the trees that keep it, before the
+   shuffle; ``applyInPandas`` takes the ``sample`` smallest hashes and grows one tree
    in numpy (random non-constant feature, uniform threshold, depth limit
    ceil(log2 sample)).  Groups are bounded by construction;
 3. the forest (at most trees x (2*sample - 1) nodes, checked) is broadcast and
@@ -92,7 +91,7 @@ def _fit_group(cols: list[str], seed: int, sample: int):
 
 def fit_forest(features: DataFrame, cols=K.IFOREST_FEATURES, key: str = "passenger_id",
                n_trees: int = K.IFOREST_TREES, sample: int = K.IFOREST_SAMPLE,
-               seed: int = K.IFOREST_SEED, pool: int = K.IFOREST_POOL) -> pd.DataFrame:
+               seed: int = K.IFOREST_SEED) -> pd.DataFrame:
     """Fit the forest; returns the (bounded) node table on the driver."""
     cols = list(cols)
     x = features.select(F.col(key).alias("key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
@@ -100,16 +99,14 @@ def fit_forest(features: DataFrame, cols=K.IFOREST_FEATURES, key: str = "passeng
     if n == 0:
         return pd.DataFrame(columns=[f.name for f in NODE_SCHEMA.fields])
     psi = min(sample, n)
-    if n > pool:
-        rate = pool / n
-        x = x.filter((F.xxhash64("key", F.lit(seed)).bitwiseAND(F.lit(_MASK)) / float(_MASK)) < rate)
-        m = pool
-    else:
-        m = n
-    keep = min(1.0, 4.0 * psi / m)
-    per_tree = (x.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))).alias("tree"))
-                .withColumn("h", F.xxhash64("key", "tree", F.lit(seed)).bitwiseAND(F.lit(_MASK)))
-                .filter(F.col("h") / float(_MASK) <= keep))
+    keep = min(1.0, 4.0 * psi / n)
+
+    def draw(tree):
+        return F.xxhash64("key", tree, F.lit(seed)).bitwiseAND(F.lit(_MASK))
+
+    trees = F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))
+    per_tree = (x.select("*", F.explode(F.filter(trees, lambda t: draw(t) / float(_MASK) <= keep)).alias("tree"))
+                .withColumn("h", draw(F.col("tree"))))
     parts = max(1, min(n_trees, 2 * features.sparkSession.sparkContext.defaultParallelism))
     nodes = (per_tree.repartition(parts, "tree")
              .groupBy("tree").applyInPandas(_fit_group(cols, seed, psi), NODE_SCHEMA))
@@ -188,6 +185,8 @@ def anomaly_scores(features: DataFrame, key: str = "passenger_id", **kw) -> Data
         forest = fit_forest(features, key="_key", **kw)
     else:
         forest = fit_forest(features, key=key, **kw)
+    if forest.empty:  # nothing to score: the right columns, no rows
+        return minmax_normalise(features.select(*keys, F.lit(None).cast("double").alias("anomaly_raw")), "anomaly_raw", "ml_score")
     raw = score_forest(features.select(*keys, *K.IFOREST_FEATURES), forest).select(*keys, "anomaly_raw")
     raw = cut_lineage(raw)  # the UDF runs once; min/max and scores read the checkpoint
     return minmax_normalise(raw, "anomaly_raw", "ml_score")

@@ -56,6 +56,25 @@ def job_status(events: DataFrame) -> DataFrame:
         "error_message", "n_events", "illegal_transitions")
 
 
+NO_GOOD_ROWS = "no valid rows"
+
+
+def upload_outcomes(uploads: DataFrame, headers: DataFrame, typed: DataFrame) -> DataFrame:
+    """Outcome of an ingest per upload: status, error, rows_read, parse_errors.
+
+    An upload without a header row, or without a single good row, has failed;
+    every upload of ``uploads`` has one row.
+    """
+    per = typed.groupBy("upload_id").agg(F.count(F.lit(1)).alias("rows_read"),
+                                         F.count_if(F.col("error").isNotNull()).alias("parse_errors"))
+    j = (uploads.select("upload_id").join(headers.select("upload_id", "header_error"), "upload_id", "left")
+         .join(per, "upload_id", "left"))
+    read, bad = (F.coalesce(c, F.lit(0)).cast("long") for c in ("rows_read", "parse_errors"))
+    error = F.coalesce(F.col("header_error"), F.when(read == bad, F.lit(NO_GOOD_ROWS)))
+    return j.select("upload_id", F.when(error.isNull(), "done").otherwise("failed").alias("status"), error.alias("error"),
+                    read.alias("rows_read"), bad.alias("parse_errors"))
+
+
 def audit_summary(audit: DataFrame) -> DataFrame:
     """L3: audit rows per action and UTC day."""
     return (audit.groupBy("action", F.date_trunc("day", "created_at").cast("timestamp_ntz").alias("day"))
@@ -64,8 +83,10 @@ def audit_summary(audit: DataFrame) -> DataFrame:
 
 def audit_filter(audit: DataFrame, action: str | None = None, user_id: int | None = None,
                  entity_type: str | None = None, entity_id: str | None = None, date_from=None, date_to=None,
-                 limit: int = 100, offset: int = 0) -> DataFrame:
-    """filters compose; newest first; limit clamped to 1..1000; correct paging."""
+                 limit: int | None = 100, offset: int = 0) -> DataFrame:
+    """filters compose; newest first; pages of 1..1000 rows (other sizes are refused), ``None`` for all rows."""
+    if limit is not None and not 1 <= limit <= K.AUDIT_PAGE_MAX:
+        raise ValueError(f"page size {limit} is not in 1..{K.AUDIT_PAGE_MAX}")
     df = audit
     if action:
         df = df.filter(F.col("action") == action)
@@ -77,8 +98,8 @@ def audit_filter(audit: DataFrame, action: str | None = None, user_id: int | Non
         df = df.filter(F.col("created_at") >= F.lit(date_from).cast("timestamp_ntz"))
     if date_to is not None:
         df = df.filter(F.col("created_at") <= F.lit(date_to).cast("timestamp_ntz"))
-    n = max(1, min(int(limit), K.AUDIT_PAGE_MAX))
-    return df.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(n)
+    ordered = df.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return ordered if limit is None and not offset else ordered.offset(offset) if limit is None else ordered.offset(offset).limit(limit)
 
 
 def upload_summary(typed: DataFrame, transactions: DataFrame) -> DataFrame:

@@ -23,6 +23,21 @@ def band_lookup(scores: DataFrame) -> DataFrame:
     return scores.select("passenger_id", "risk_band")
 
 
+def suspicious_lookup(scores: DataFrame) -> DataFrame:
+    """(passenger_id, suspicious = true) of the suspicious passengers only.
+
+    The band filter reaches the score scan, and the side that meets the
+    transactions shrinks to the few it marks.
+    """
+    return (scores.filter(F.col("risk_band").isin(*K.SUSPICIOUS_BANDS))
+            .select("passenger_id", F.lit(True).alias("suspicious")))
+
+
+def mark_suspicious(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    return (rows.join(suspicious_lookup(scores), "passenger_id", "left")
+            .withColumn("suspicious", F.coalesce("suspicious", F.lit(False))))
+
+
 def flag_transactions(tx: DataFrame, scores: DataFrame) -> DataFrame:
     """J2/J3/J4 base: transactions LEFT JOIN band, plus a suspicious flag.
 
@@ -67,7 +82,7 @@ def per_passenger_ops(tx: DataFrame, scores: DataFrame) -> DataFrame:
     row per passenger (a hot passenger is one row, not a third of the data).
     """
     per = tx.groupBy("passenger_id").agg(F.count("*").alias("n"))
-    return per.join(band_lookup(scores), "passenger_id", "left").withColumn("suspicious", is_suspicious())
+    return mark_suspicious(per, scores)
 
 
 def counts(tx: DataFrame, scores: DataFrame, **filters) -> DataFrame:
@@ -97,7 +112,7 @@ def risk_trend(tx: DataFrame, scores: DataFrame, date_from=None, date_to=None) -
     t = op_filters(tx, date_from=date_from, date_to=date_to)
     per_pd = (t.groupBy("passenger_id", F.date_trunc("day", "op_datetime").cast("timestamp_ntz").alias("day"))
               .agg(F.count("*").alias("n")))
-    j = per_pd.join(band_lookup(scores), "passenger_id", "left").withColumn("suspicious", is_suspicious())
+    j = mark_suspicious(per_pd, scores)
     out = (j.groupBy("day")
            .agg(F.sum("n").cast("long").alias("total_ops"),
                 F.sum(F.when(F.col("suspicious"), F.col("n")).otherwise(0)).cast("long").alias("highrisk_ops")))
@@ -148,7 +163,7 @@ def passenger_dim_counts(tx: DataFrame, scores: DataFrame, dims=K.DIMENSIONS) ->
     combination instead of one per operation.
     """
     per = tx.groupBy("passenger_id", *dims).agg(F.count("*").alias("n"))
-    return per.join(band_lookup(scores), "passenger_id", "left").withColumn("suspicious", is_suspicious())
+    return mark_suspicious(per, scores)
 
 
 def dimension_stats_pre(tx: DataFrame, scores: DataFrame, dims=K.DIMENSIONS) -> DataFrame:

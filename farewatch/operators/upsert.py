@@ -15,10 +15,18 @@ from farewatch.session import BROADCAST_MAX_ROWS
 
 
 def first_per_key(df: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
-    """Keep the first row per key in ``order`` (partial aggregate, skew-safe)."""
+    """Keep the first row per key in ``order``.
+
+    Repeated keys are rare: they are found by a hash aggregate over the bare
+    key; only their rows are reduced, the others pass through as they are.
+    Rows without a key count as repeats of one key.
+    """
     cols = [c for c in df.columns if c != key]
     first = F.min_by(F.struct(*cols), F.struct(*order))
-    return df.groupBy(key).agg(first.alias("_r")).select(key, "_r.*")
+    repeated = df.groupBy(key).count().where("count > 1").select(F.col(key).alias("_k"))
+    same = df[key].eqNullSafe(repeated["_k"])
+    reduced = df.join(repeated, same, "left_semi").groupBy(key).agg(first.alias("_r")).select(key, "_r.*")
+    return df.join(repeated, same, "left_anti").select(key, *cols).unionByName(reduced)
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str = "id",
@@ -105,29 +113,45 @@ def manual_override(scores: DataFrame, overrides: DataFrame,
 
     Returns (override score rows, audit rows).  A passenger without a score
     gets an empty one; the manual reason is prepended unless already listed.
+    Several overrides of one passenger are applied in order (by a ``seq`` column
+    if there is one, else by band and reason): one score row with the last band,
+    one audit row each.
     Merge the score rows with ``replace_on_key`` (they win unconditionally).
     """
+    seq = F.col("seq").cast("long") if "seq" in overrides.columns else F.lit(0).cast("long")
+    overrides = overrides.groupBy("passenger_id").agg(F.array_sort(F.collect_list(F.struct(
+        seq.alias("seq"), "new_band", "reason", F.col("actor_user_id").alias("actor")))).alias("steps"))
     ts = (F.lit(run_time) if run_time is not None else F.current_timestamp()).cast("timestamp_ntz")
     s = scores.alias("s")
     o = overrides.alias("v")
     j = o.join(s, F.col("v.passenger_id") == F.col("s.passenger_id"), "left")
-    reason = F.concat(F.lit(K.MANUAL_REASON_PREFIX), F.col("v.reason"))
     old_reasons = F.coalesce(F.col("s.top_reasons"), F.array().cast("array<string>"))
-    reasons = F.when(F.array_contains(old_reasons, reason), old_reasons).otherwise(F.array_prepend(old_reasons, reason))
+
+    def listed(acc, step):
+        reason = F.concat(F.lit(K.MANUAL_REASON_PREFIX), step["reason"])
+        return F.when(F.array_contains(acc, reason), acc).otherwise(F.array_prepend(acc, reason))
+
+    reasons = F.aggregate(F.col("v.steps"), old_reasons, listed)
     old_band = F.coalesce(F.col("s.risk_band"), F.lit(K.BAND_DEFAULT))
     rows = j.select(
         F.col("v.passenger_id").alias("passenger_id"),
         *[F.coalesce(F.col(f"s.{c}"), F.lit(v)).alias(c) for c, v in EMPTY_SCORE.items() if c != "risk_band"],
-        F.col("v.new_band").alias("risk_band"),
+        F.element_at("v.steps", -1)["new_band"].alias("risk_band"),
         reasons.alias("top_reasons"),
         F.lit(True).alias("is_manual"),
         ts.alias("scored_at"),
         old_band.alias("_old_band"),
-        F.col("v.reason").alias("_reason"),
-        F.col("v.actor_user_id").alias("_actor"),
+        F.col("v.steps").alias("_steps"),
     )
-    audit = rows.select(
-        F.concat(F.lit("override-"), F.col("passenger_id").cast("string")).alias("id"),
+    steps = rows.select("passenger_id", "_old_band", "_steps", F.posexplode("_steps").alias("_at", "_step")).select(
+        "passenger_id", "_at", F.col("_step.new_band").alias("risk_band"), F.col("_step.reason").alias("_reason"),
+        F.col("_step.actor").alias("_actor"),
+        F.when(F.col("_at") == 0, F.col("_old_band")).otherwise(F.get("_steps", F.col("_at") - 1)["new_band"]).alias("_old_band"))
+    text = F.concat_ws("|", F.col("passenger_id").cast("string"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+                       "risk_band", "_reason", F.col("_at").cast("string"))
+    audit = steps.select(
+        F.concat(F.lit("override-"), F.col("passenger_id").cast("string"), F.lit("-"),
+                 F.substring(F.sha2(text, 256), 1, 16)).alias("id"),
         F.col("_actor").alias("user_id"),
         F.lit("PASSENGER_RISK_OVERRIDE").alias("action"),
         F.lit("passenger").alias("entity_type"),

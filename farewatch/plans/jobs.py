@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from farewatch import constants as K
 from farewatch import schemas as S
 from farewatch.operators import features as FT
+from farewatch.operators import ledger as LG
 from farewatch.operators import risk as RK
 from farewatch.operators import scoring as SC
 from farewatch.operators import upsert as UP
@@ -46,55 +47,66 @@ def _audit(store: TableStore, action: str, entity_type: str, entity_id, user_id:
     store.append("audit_logs", store.spark.createDataFrame(row, S.AUDIT_LOGS))
 
 
-def ingest_typed(store: TableStore, typed_rows: DataFrame, **kw) -> dict:
-    """Typed good rows -> transactions (insert-ignore) + passengers (upsert)."""
+def _outcomes(store: TableStore, outcomes: DataFrame, user_id: int | None) -> None:
+    """Append one ledger event and one audit row per upload (upload_id, status, error): two writes
+    for any number of uploads, none of which passes the driver."""
+    now, seq = F.lit(_now()).cast("timestamp_ntz"), time.time_ns() // 1000
+    store.append("upload_events", outcomes.select("upload_id", "status", now.alias("ts"), "error", F.lit(seq).cast("long").alias("seq")))
+    action = F.when(F.col("status") == "processing", "UPLOAD_STARTED").when(
+        F.col("status") == "done", "UPLOAD_COMPLETED").otherwise("UPLOAD_FAILED")
+    up = F.col("upload_id").cast("string")
+    store.append("audit_logs", outcomes.select(
+        F.concat(F.lower(action), F.lit("-"), up, F.lit(f"-{seq}")).alias("id"), F.lit(user_id).cast("long").alias("user_id"),
+        action.alias("action"), F.lit("upload").alias("entity_type"), up.alias("entity_id"),
+        F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise("{}").alias("meta"), now.alias("created_at")))
+
+
+def ingest_typed(store: TableStore, typed_rows: DataFrame, **kw) -> None:
+    """Typed good rows -> transactions (insert-ignore, repeats within the batch included) + passengers (upsert)."""
     enriched = cut_lineage(enrich_rows(typed_rows, **kw))
     tx = transactions_from(enriched)
     existing = store.read_log("transactions")
-    new_tx = tx if existing is None else UP.insert_ignore(existing, tx)
-    store.append("transactions", new_tx, partition_by="upload_id")
+    new_tx = (UP.first_per_key(tx, "id", ("upload_id", "row_num")).select(*tx.columns) if existing is None
+              else UP.insert_ignore(existing, tx))
+    # Whole uploads to few files, large uploads to several tasks.
+    store.append("transactions", new_tx.hint("rebalance", F.col("upload_id")), partition_by="upload_id")
     new_p = passenger_rollup(enriched)
     old_p = store.read("passengers")
     store.write("passengers", new_p if old_p is None else UP.passenger_upsert(old_p, new_p))
-    return {"uploads": [r[0] for r in enriched.select("upload_id").distinct().collect()]}
 
 
 def ingest_cells(store: TableStore, cells: DataFrame, user_id: int | None = None, **kw) -> dict:
     """Section 3.1 for a batch of uploads given as sheet cells.
 
     Header discovery, typing and the row-error split are one plan; typed rows
-    are checkpointed once because both outputs read them.
+    are checkpointed once because both outputs read them.  Uploads without a
+    header or without a good row end ``failed``; the others of the batch go on.
     """
-    uploads = [r[0] for r in cells.select("upload_id").distinct().collect()]
-    for up in uploads:
-        _event(store, "upload_events", "upload_id", int(up), "processing")
-        _audit(store, "UPLOAD_STARTED", "upload", up, user_id)
+    uploads = cut_lineage(cells.select("upload_id").distinct(), "uploads")
+    none = F.lit(None).cast("string")
+    _outcomes(store, uploads.select("upload_id", F.lit("processing").alias("status"), none.alias("error")), user_id)
     try:
-        out = _ingest_cells(store, cells, **kw)
+        out, outcomes = _ingest_cells(store, uploads, cells, **kw)
     except Exception as exc:
-        for up in uploads:
-            _event(store, "upload_events", "upload_id", int(up), "failed", str(exc)[:500])
-            _audit(store, "UPLOAD_FAILED", "upload", up, user_id, {"error": str(exc)[:500]})
+        _outcomes(store, uploads.select("upload_id", F.lit("failed").alias("status"), F.lit(str(exc)).alias("error")), user_id)
         raise
-    for up in out["uploads"]:
-        _event(store, "upload_events", "upload_id", int(up), "done")
-        _audit(store, "UPLOAD_COMPLETED", "upload", up, user_id)
+    _outcomes(store, outcomes, user_id)
     return out
 
 
-def _ingest_cells(store: TableStore, cells: DataFrame, **kw) -> dict:
+def _ingest_cells(store: TableStore, uploads: DataFrame, cells: DataFrame, **kw) -> tuple[dict, DataFrame]:
     typed, headers, _ = UPL.typed_from_cells(cells)
     # Row and error counts are collected as metrics of the checkpoint pass
     # itself (no extra job).
     obs = Observation("upload_rows")
     typed = cut_lineage(typed.observe(obs, F.count(F.lit(1)).alias("rows_read"),
                                       F.count_if(F.col("error").isNotNull()).alias("parse_errors")))
+    headers = cut_lineage(headers, "headers")
     good, bad = UPL.split_errors(typed)
     store.append("row_errors", bad)
     store.append("upload_headers", headers)
-    out = ingest_typed(store, good, **kw)
-    out.update(obs.get)
-    return out
+    ingest_typed(store, good, **kw)
+    return dict(obs.get), cut_lineage(LG.upload_outcomes(uploads, headers, typed), "outcomes")
 
 
 def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "all",
@@ -103,6 +115,8 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
                 dims=K.DIMENSIONS, job_id: str | None = None, user_id: int | None = None) -> dict:
     """Section 3.2: features -> rule + anomaly score -> bands/reasons ->
     feature and score upserts (manual rows win) -> concentration refresh."""
+    if scope == "upload" and upload_id is None:
+        raise ValueError("scope='upload' needs an upload_id: features per upload would give a passenger several scores")
     run_time = run_time or _now()
     job_id = job_id or f"job-{run_time:%Y%m%d%H%M%S}"
     _event(store, "job_events", "job_id", job_id, "running")
@@ -110,6 +124,10 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
     try:
         tx = store.read_log("transactions")
         passengers = store.read("passengers")
+        if tx is None:  # nothing ingested yet: an empty run
+            tx = store.spark.createDataFrame([], S.TRANSACTIONS)
+        if passengers is None:
+            passengers = store.spark.createDataFrame([], S.PASSENGERS)
         if upload_id is not None:
             tx = tx.filter(F.col("upload_id") == F.lit(upload_id))
         feats = cut_lineage(FT.full_features(tx, passengers, scope))
@@ -127,14 +145,15 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
         store.write("passenger_features", new_feats if old_f is None else UP.feature_upsert(old_f, new_feats))
         old_s = store.read("passenger_scores")
         store.write("passenger_scores", new_scores if old_s is None else UP.score_upsert(old_s, new_scores))
-        all_tx = store.read_log("transactions")
-        conc = RK.concentration(all_tx, store.read("passenger_scores"), dims, run_time)
+        all_tx = store.read_log("transactions", S.TRANSACTIONS)
+        all_tx = tx if all_tx is None else all_tx
+        conc = RK.concentration(all_tx, store.read("passenger_scores", S.PASSENGER_SCORES), dims, run_time)
         old_c = store.read("risk_concentrations")
         store.write("risk_concentrations", conc if old_c is None else UP.concentration_upsert(old_c, conc))
         _event(store, "job_events", "job_id", job_id, "done")
         _audit(store, "SCORING_COMPLETED", "scoring_job", job_id, user_id)
     except Exception as exc:
-        _event(store, "job_events", "job_id", job_id, "failed", str(exc)[:500])
+        _event(store, "job_events", "job_id", job_id, "failed", str(exc))
         raise
     return {"job_id": job_id}
 

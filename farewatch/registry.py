@@ -334,15 +334,27 @@ def q_page_topk(spark, sf_dir):
     return LK.page(RK.suspicious_operations(st.transactions, st.scores), limit=200, offset=100).select("id", "op_datetime")
 
 
+@register("upload_outcome", O.with_cells() + f"""
+SELECT upload_id, 'done' AS status, CAST(NULL AS VARCHAR) AS error, count(*) AS rows_read, count(error) AS parse_errors
+FROM typed GROUP BY upload_id
+UNION ALL SELECT 90, 'failed', 'missing required columns: ' || '{", ".join(sorted(K.REQUIRED_COLUMNS))}', 0, 0
+UNION ALL SELECT 91, 'failed', '{LG.NO_GOOD_ROWS}', count(*), count(*) FROM typed WHERE upload_id = 2""")
+def q_upload_outcome(spark, sf_dir):
+    configure(spark)
+    cells = FX.with_bad_uploads(FX.events_sheet_cells(spark, sf_dir))
+    typed, headers, _ = UPL.typed_from_cells(cells)
+    return LG.upload_outcomes(cells.select("upload_id").distinct(), headers, typed)
+
+
 @register("audit_filter", """
 SELECT 'a-' || event_id AS id, upper(event_type) AS action, ts AS created_at FROM events
 WHERE upper(event_type) = 'PURCHASE' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'
-ORDER BY ts DESC, id DESC LIMIT 1000""")
+ORDER BY ts DESC, id DESC""")
 def q_audit_filter(spark, sf_dir):
     configure(spark)
     a = FX.audit_rows(spark, sf_dir)
     return LG.audit_filter(a, action="PURCHASE", date_from=_dt.datetime(2024, 1, 10), date_to=_dt.datetime(2024, 1, 20),
-                           limit=5000).select("id", "action", "created_at")
+                           limit=None).select("id", "action", "created_at")
 
 
 @register("point_lookup", M1() + f"""
@@ -823,8 +835,7 @@ def q_concentration_upsert(spark, sf_dir):
 @register("export_suspicious", M1() + f"""
 SELECT t.id, t.op_type, t.op_datetime, t.dep_datetime, t.train_no, t.amount, t.channel, t.route, t.fio,
        upper(s.risk_band) AS risk_band
-FROM tx t JOIN scores s USING (passenger_id) WHERE s.risk_band IN ({SUSP})
-ORDER BY t.op_datetime DESC, t.id LIMIT {K.EXPORT_SUSPICIOUS_CAP}""")
+FROM tx t JOIN scores s USING (passenger_id) WHERE s.risk_band IN ({SUSP})""")
 def q_export_suspicious(spark, sf_dir):
     st = events_state(spark, sf_dir)
     return EX.suspicious_export(st.transactions, st.scores)
@@ -932,7 +943,7 @@ def q_stream_dedup(spark, sf_dir):
     store = _stream_store(spark)
     _, path, schema = _tx_files(spark, sf_dir, store, "src_tx",
                                 [F.col("upload_id") <= 2, F.col("upload_id") >= 2])  # upload 2 arrives twice
-    return stream_dedup(spark, path, schema, store, delay="31 days", max_files=4).select("id", "upload_id", "row_num")
+    return stream_dedup(spark, path, schema, store, max_files=4).select("id", "upload_id", "row_num")
 
 
 @register("stream_trend", ORACLE["risk_trend"])
@@ -941,7 +952,7 @@ def q_stream_trend(spark, sf_dir):
     store = _stream_store(spark)
     st, path, schema = _tx_files(spark, sf_dir, store, "src_tx",
                                  [F.col("upload_id") == u for u in (1, 2, 3)])
-    return stream_trend(spark, path, schema, st.scores, store, delay="31 days", max_files=2)
+    return stream_trend(spark, path, schema, st.scores, store, max_files=2)
 
 
 # ==========================================================================
@@ -955,7 +966,9 @@ def q_header_quick_check(spark, sf_dir):
 
 
 @register("override_audit", M1(_OVR) + """
-SELECT 'override-' || CAST(o.passenger_id AS VARCHAR) AS id, 'PASSENGER_RISK_OVERRIDE' AS action,
+SELECT 'override-' || CAST(o.passenger_id AS VARCHAR) || '-' || substr(sha256(CAST(o.passenger_id AS VARCHAR) || '|'
+    || strftime(""" + RT + """, '%Y-%m-%d %H:%M:%S.%f') || '|' || o.new_band || '|' || o.reason || '|0'), 1, 16) AS id,
+  'PASSENGER_RISK_OVERRIDE' AS action,
   'passenger' AS entity_type, CAST(o.passenger_id AS VARCHAR) AS entity_id,
   CAST(json_object('old_band', coalesce(s.risk_band, 'low'), 'new_band', o.new_band, 'reason', o.reason) AS VARCHAR) AS meta
 FROM ovr o LEFT JOIN scores s USING (passenger_id)""")

@@ -222,6 +222,17 @@ def events_sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.unionByName(frame.join(present, "upload_id", "left_semi"))
 
 
+def with_bad_uploads(cells: DataFrame) -> DataFrame:
+    """M1s plus upload 90 (upload 1's data rows without a header) and upload 91
+    (upload 2 with every data cell made unreadable)."""
+    headless = (cells.filter((F.col("upload_id") == 1) & (F.col("row_num") > SHEET_HEADER_ROW[1]))
+                .withColumn("upload_id", F.lit(90).cast("long")))
+    junk = F.transform("cells", lambda c: F.when(c.isNotNull(), F.lit("x")))
+    spoilt = (cells.filter(F.col("upload_id") == 2).withColumn("upload_id", F.lit(91).cast("long"))
+              .withColumn("cells", F.when(F.col("row_num") > SHEET_HEADER_ROW[2], junk).otherwise(F.col("cells"))))
+    return cells.unionByName(headless).unionByName(spoilt)
+
+
 # ---------------------------------------------------------------------------
 # M3: ledgers.
 # ---------------------------------------------------------------------------

@@ -8,32 +8,33 @@ T1  incremental upload ingest: file stream of sheet cells -> foreachBatch ->
     header discovery against the stored heads of each upload -> typing ->
     insert-ignore transactions / upsert passengers.  Rows of an upload whose
     header has not arrived yet wait in a pending table (nothing is dropped).
-T2  duplicate suppression: watermark + dropDuplicatesWithinWatermark on id.
-T3  streaming daily trend: watermark + 1-day windows, stream-static join to
-    the band table, update mode; each batch's updated windows are appended
-    and the latest version per window is the result.
-
-All sinks are files in the shared store, all checkpoints in the store; runs
-with ``availableNow`` drain the input and stop (restartable, exactly-once via
-the checkpoint + deterministic ids).
+T2  duplicate suppression: each batch inserts the ids that are not stored yet.
+T3  streaming daily trend: each batch's day counts are kept under its batch
+    number; the trend is their sum.
+
+All sinks are files in the shared store.  Every stream has one checkpoint per
+store, so runs with ``availableNow`` drain the new input and stop; batches can
+be retried at any point (deterministic ids, overwritten deltas, pending rows
+replaced last).
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from farewatch import constants as K
 from farewatch.operators import risk as RK
+from farewatch.operators import upsert as UP
 from farewatch.plans import jobs as JB
 from farewatch.plans.store import TableStore
 from farewatch.sources import uploads as UPL
 
 
 def _ckpt(store: TableStore, name: str) -> str:
-    return os.path.join(store.root, "_streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    """One checkpoint per stream and store: a later run goes on where the last one ended."""
+    return os.path.join(store.root, "_streams", name)
 
 
 def _drain(query) -> None:
@@ -52,14 +53,13 @@ def ingest_cells_batch(store: TableStore, batch_cells: DataFrame, **kw) -> None:
     batch = UPL.sheet_rows(batch_cells)
     store.append("upload_heads", batch.filter(F.col("row_num") <= K.HEADER_SEARCH_ROWS))
     pending = store.read("pending_rows", UPL.CELLS_SCHEMA)
-    rows = batch if pending is None else batch.unionByName(pending)
+    rows = batch if pending is None else batch.unionByName(pending).dropDuplicates(["upload_id", "row_num"])
     uploads = rows.select("upload_id").distinct()
     heads = store.read_log("upload_heads", UPL.CELLS_SCHEMA).join(uploads, "upload_id", "left_semi")
     headers = UPL.discover_headers(heads)
     known = headers.filter(F.col("header_row").isNotNull()).select("upload_id")
     waiting = rows.join(known, "upload_id", "left_anti")
     ready = rows.join(known, "upload_id", "left_semi")
-    store.write("pending_rows", waiting)
     typed = UPL.type_rows(UPL.map_columns(ready, headers, head_rows=heads))
     good, bad = UPL.split_errors(typed)
     # A retried micro-batch must not duplicate its error rows.
@@ -69,6 +69,8 @@ def ingest_cells_batch(store: TableStore, batch_cells: DataFrame, **kw) -> None:
                        ["upload_id", "row_num"], "left_anti")
     store.append("row_errors", bad)
     JB.ingest_typed(store, good, **kw)
+    # Last: until here a retry finds the rows that were waiting.
+    store.write("pending_rows", waiting)
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, store: TableStore, max_files: int = 1, **kw):
@@ -81,30 +83,28 @@ def stream_ingest(spark: SparkSession, source_dir: str, store: TableStore, max_f
     return store.read_log("transactions")
 
 
-def event_time(col: str = "op_datetime") -> F.Column:
-    """Watermarks need TIMESTAMP; operation times are UTC wall-clock NTZ and the
-    session time zone is UTC, so the cast keeps the instant."""
-    return F.col(col).cast("timestamp")
-
-
 # ---------------------------------------------------------------------------
 # T2
 # ---------------------------------------------------------------------------
 
-def stream_dedup(spark: SparkSession, source_dir: str, schema, store: TableStore,
-                 delay: str = "7 days", max_files: int = 1) -> DataFrame:
+def _transactions(spark: SparkSession, source_dir: str, schema, max_files: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
+
+
+def stream_dedup(spark: SparkSession, source_dir: str, schema, store: TableStore, max_files: int = 1) -> DataFrame:
     """Transactions file stream without repeated ids.
 
-    Duplicates are dropped while both copies arrive within ``delay`` of the
-    event time; state is evicted after that (set the delay to the re-upload
-    horizon).
+    Each micro-batch adds the ids that are not stored yet, however late they
+    arrive; a retried batch finds its rows stored and adds nothing.
     """
-    tx = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-          .withColumn("_event_time", event_time())
-          .withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(["id"]).drop("_event_time"))
-    q = (tx.writeStream.format("parquet").option("path", store._path("dedup_transactions", "data"))
-         .option("checkpointLocation", _ckpt(store, "dedup")).trigger(availableNow=True).start())
-    _drain(q)
+    def sink(df: DataFrame, _epoch: int) -> None:
+        stored = store.read_log("dedup_transactions", schema)
+        fresh = (UP.first_per_key(df, "id", ("upload_id", "row_num")).select(*df.columns) if stored is None
+                 else UP.insert_ignore(stored, df))
+        store.append("dedup_transactions", fresh)
+
+    _drain(_transactions(spark, source_dir, schema, max_files).writeStream.foreachBatch(sink)
+           .option("checkpointLocation", _ckpt(store, "dedup")).trigger(availableNow=True).start())
     return store.read_log("dedup_transactions", schema)
 
 
@@ -112,31 +112,26 @@ def stream_dedup(spark: SparkSession, source_dir: str, schema, store: TableStore
 # T3
 # ---------------------------------------------------------------------------
 
+TREND_DELTAS = "day timestamp_ntz, total_ops long, highrisk_ops long, batch long"
+
+
 def stream_trend(spark: SparkSession, source_dir: str, schema, scores: DataFrame, store: TableStore,
-                 delay: str = "2 days", max_files: int = 1) -> DataFrame:
+                 max_files: int = 1) -> DataFrame:
     """Per-day totals and suspicious counts, incrementally.
 
-    Operations later than the watermark are not counted (they would be in a
-    batch recomputation); with in-order uploads the result equals A6.
+    Each micro-batch writes its own day counts under its batch number (a retry
+    overwrites them); the trend is their sum.  No operation is too late.
     """
-    bands = RK.band_lookup(scores)
-    tx = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source_dir)
-          .withColumn("_event_time", event_time()).withWatermark("_event_time", delay))
-    flagged = tx.join(bands, "passenger_id", "left").withColumn("suspicious", RK.is_suspicious())
-    agg = (flagged.groupBy(F.window("_event_time", "1 day"))
-           .agg(F.count("*").cast("long").alias("total_ops"),
-                F.count_if("suspicious").cast("long").alias("highrisk_ops")))
     out = store._path("stream_trend", "data")
 
     def sink(df: DataFrame, epoch: int) -> None:
-        df.select(F.col("window.start").alias("day"), "total_ops", "highrisk_ops",
-                  F.lit(epoch).cast("long").alias("epoch")).write.mode("append").parquet(out)
-
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", _ckpt(store, "trend")).trigger(availableNow=True).start())
-    _drain(q)
-    latest = (store.read_log("stream_trend").groupBy("day")
-              .agg(F.max_by(F.struct("total_ops", "highrisk_ops"), "epoch").alias("v")))
-    return latest.select(F.col("day").cast("timestamp_ntz").alias("day"), "v.total_ops", "v.highrisk_ops",
-                         F.round(F.col("v.highrisk_ops") * 100.0 / F.col("v.total_ops"), 2).alias("share"))
-
+        days = RK.risk_trend(df, scores).select("day", "total_ops", "highrisk_ops")
+        days.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    _drain(_transactions(spark, source_dir, schema, max_files).writeStream.foreachBatch(sink)
+           .option("checkpointLocation", _ckpt(store, "trend")).trigger(availableNow=True).start())
+    deltas = store.read_log("stream_trend", TREND_DELTAS)
+    if deltas is None:
+        deltas = spark.createDataFrame([], TREND_DELTAS)
+    summed = deltas.groupBy("day").agg(F.sum("total_ops").alias("total_ops"), F.sum("highrisk_ops").alias("highrisk_ops"))
+    return summed.withColumn("share", F.round(F.col("highrisk_ops") * 100.0 / F.col("total_ops"), 2))
