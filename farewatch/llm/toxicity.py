@@ -8,7 +8,8 @@ attention pools their states; a logistic unit gives the window's probability.
 Every text is scored in overlapping windows to its end; the document's score
 is its highest window.
 
-Training (numpy, on the driver) uses a bounded sample of labelled documents.
+Training (numpy, in one task) uses a bounded sample of labelled documents; the
+driver sees only the finished network.
 Documents, not windows, carry labels: after a first phase that labels every
 window like its document, a toxic document is represented by its currently
 highest window, while windows of clean documents (half of them such highest ones) stay
@@ -20,6 +21,8 @@ vectors of each distinct word are projected once.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -107,6 +110,18 @@ class Network:
         for d in "fb":
             self.p |= {f"w{d}": normal(inputs, 3 * HIDDEN), f"u{d}": normal(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, vocabulary=self.vocabulary, **self.p)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, content: bytes) -> Network:
+        with np.load(io.BytesIO(content)) as arrays:
+            net = cls(arrays["vocabulary"])
+            net.p = {k: arrays[k] for k in net.p}
+        return net
+
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
             return np.zeros(len(hashes), dtype=np.int64)
@@ -300,22 +315,34 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, weak_steps: i
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, train_docs: dict[int, int] | None = None,
-                    train_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled rows that are not held out, by hash order of their ids."""
+                    train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(doc_id, text, y): a bounded sample of labelled rows that are not held out, by hash order of their ids."""
     limits = train_docs or TRAIN_DOCS
     known = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
              .where(~held_out(F.col("doc_id"))))
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, train_bytes))
-    got = []
+    out = None
     for y, limit in limits.items():
         # At most ``limit`` ids go to the tasks; texts are looked up where they are.
         chosen = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-        got += texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(limit).select("text", "y").collect()
-    return [r["text"] for r in got], [int(r["y"]) for r in got]
+        rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(limit).select("doc_id", "text", "y")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _train_task(batches):
+    import pyarrow as pa
+
+    rows = sorted((r["doc_id"], r["text"], int(r["y"])) for batch in batches for r in batch.to_pylist())
+    net = train([r[1] for r in rows], [r[2] for r in rows])
+    if net is not None:
+        yield pa.RecordBatch.from_pydict({"network": pa.array([net.dump()], pa.binary())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, **sizes) -> Network | None:
-    return train(*training_sample(docs, labels, **sizes))
+    """The network of the sample, trained in one task on its at most ``TRAIN_DOCS`` rows."""
+    trained = training_sample(docs, labels, **sizes).repartition(1).mapInArrow(_train_task, "network binary").collect()
+    return Network.load(bytes(trained[0]["network"])) if trained else None
 
 
 def score_texts(net: Network | None, column, hasher: Hasher) -> np.ndarray:
