@@ -6,16 +6,16 @@ and topic; a cell is never given more than ``max_epochs`` times its tokens.
 A document is drawn with its cell's probability (target tokens / tokens); the
 draw is a hash of its id, so it is the same in every run and on every engine.
 
-Only the cell table is iterated on.  Its sums are partial aggregations and the
-factors are joined back by value, so a source with a third of all rows counts
-as one row per (language, topic).  DataFrame functions throughout.
+Only the cell table is iterated on, by window sums over each dimension: a
+source with a third of all rows is one row per (language, topic) there.
+DataFrame functions throughout.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from farewatch.llm.common import WORD_PATTERN, save, unit_hash
 
@@ -66,17 +66,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     fitted = cells.withColumn("weight", F.col("tokens").cast("double") * F.lit(float(budget)))
+    for d in DIMENSIONS:
+        fitted = fitted.join(targets[d].select(d, F.col("share").alias(f"share_{d}")), d, "left")
+    most = F.col("tokens") * F.lit(float(max_epochs))
     for _ in range(iterations):
         for d in DIMENSIONS:
-            factor = (fitted.groupBy(d).agg(F.sum("weight").alias("now"))
-                      .join(targets[d], d, "left")
-                      .select(d, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(budget * total)
-                                        / F.col("now")).otherwise(F.lit(0.0)).alias("factor")))
-            fitted = (fitted.join(factor, d)
-                      .select(*DIMENSIONS, "tokens", F.least(F.col("weight") * F.col("factor"),
-                                                             F.col("tokens") * F.lit(float(max_epochs))).alias("weight")))
+            now = F.sum("weight").over(Window.partitionBy(d))
+            factor = F.when(now > 0, F.coalesce(f"share_{d}", F.lit(0.0)) * F.lit(budget * total) / now).otherwise(F.lit(0.0))
+            fitted = fitted.withColumn("weight", F.least(F.col("weight") * factor, most))
         fitted = save(fitted, "rake")
-    return fitted
+    return fitted.select(*DIMENSIONS, "tokens", "weight")
 
 
 def mix_sources(docs: DataFrame, budget: float = BUDGET, iterations: int = ITERATIONS, max_epochs: float = MAX_EPOCHS,
