@@ -110,7 +110,7 @@ def least_overlap(n: int, threshold: int) -> int:
 def _set_task(copies: str, path: str, bits: int, shingle: int, threshold: int):
     """Sets that share a prefix shingle with another, in rare-first order."""
     def run(batches):
-        at, estimates, held = None, None, []
+        at, estimates, held, size = None, None, [], 0
         for part, doc, items in _representatives(batches, Hasher(1, fold_case=True), copies, shingle):
             if part != at:
                 at, estimates = part, sketch.Estimates(path, part, bits)
@@ -121,9 +121,10 @@ def _set_task(copies: str, path: str, bits: int, shingle: int, threshold: int):
                 continue
             order = np.lexsort((items, counts))
             held.append((doc, n, once, prefix, items[order].view(np.int64)))
-            if len(held) >= 512:
+            size += n
+            if size >= 200_000:
                 yield _set_batch(held)
-                held = []
+                held, size = [], 0
         if held:
             yield _set_batch(held)
     return run
