@@ -11,8 +11,9 @@ from pyspark.sql import Column, functions as F
 
 from farewatch import constants as K
 
-# Whitespace removed by trimming: ASCII whitespace plus no-break space.
-_WS = " \t\n\r\f\v "
+# Whitespace removed by trimming: every character of the basic plane that
+# Python's str.strip removes.
+_WS = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
 
 
 def _c(col) -> Column:
@@ -52,12 +53,13 @@ _DT_SHAPES = (
 def parse_datetime(col) -> Column:
     """First matching layout wins; result is a UTC wall-clock TIMESTAMP_NTZ.
 
-    The layout is chosen by the text's shape, so exactly one parse runs per
+    Runs of white space between date and time count as one blank.  The layout
+    is chosen by the text's shape, so exactly one parse runs per
     value (a failed parse is costly); an impossible date of the right shape
     (31.02.2024) still yields null.  Null in -> null out; a non-null value
     that fits no layout -> null (the caller turns that into a row error).
     """
-    s = trim_ws(_c(col))
+    s = F.regexp_replace(trim_ws(_c(col)), f"[{K.WHITESPACE_CLASS}]+", " ")
     expr = None
     for shape, pattern in zip(_DT_SHAPES, K.DATETIME_PATTERNS_SPARK):
         parsed = F.try_to_timestamp(s, F.lit(pattern))
@@ -78,8 +80,10 @@ def datetime_error(col, name: str, required: bool) -> Column:
     return datetime_error_from(col, parse_datetime(col), name, required)
 
 
-# A plain decimal number, optional sign and exponent, or inf/nan spellings.
-_NUMBER_RE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+# A plain decimal number, optional sign and exponent, single underscores between
+# digits, or inf/nan spellings.
+_DIGITS = "[0-9](?:_?[0-9])*"
+_NUMBER_RE = rf"^[+-]?(({_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))$"
 
 
 def _number_text(col) -> Column:
@@ -91,7 +95,7 @@ def parse_amount(col, default: float = 0.0) -> Column:
     """Localised number; null -> default; unparsable -> null (see ``amount_error``)."""
     c = _c(col)
     s = _number_text(c)
-    val = F.when(s.rlike(_NUMBER_RE), s.try_cast("double"))
+    val = F.when(s.rlike(_NUMBER_RE), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
     return F.when(c.isNull(), F.lit(float(default))).otherwise(val)
 
 

@@ -165,3 +165,11 @@ def test_lift_and_labels(spark):
     assert {r["lift_vs_base"] for r in RK.risk_concentration(none, dims=("channel",)).collect()} == {1.0}
     lifts = spark.createDataFrame([(1.49,), (1.5,), (2.0,), (3.0,)], "lift_vs_base double")
     assert [r[0] for r in lifts.select(RK.hotspot_label()).collect()] == ["normal", "elevated", "hotspot", "critical_hotspot"]
+
+
+def test_wide_spaces_and_underscores(spark):
+    rows = [("\u2003x\u3000", "1_000", "05.01.2024 \u2003 10:20"), ("\x1cx\x85", "1__0", "05.01.2024\t10:20"), ("\xa0x ", "_1", None)]
+    df = spark.createDataFrame(rows, "s string, n string, d string")
+    got = df.select(X.trim_or_null("s"), X.parse_amount("n"), X.amount_error("n", "n").isNotNull(), X.parse_datetime("d")).collect()
+    when = dt.datetime(2024, 1, 5, 10, 20)
+    assert [tuple(r) for r in got] == [("x", 1000.0, False, when), ("x", None, True, when), ("x", None, True, None)]
