@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import defaultdict
+from functools import cache
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from farewatch import constants as K
 from farewatch.functions.text import _c
 
 
-def _nfc_common(s: Column) -> Column:
-    """NFC for the only allowed letters that have decomposed forms (й, ё)."""
-    s = F.replace(s, F.lit("\u0438\u0306"), F.lit("\u0439"))  # и + breve -> й
-    s = F.replace(s, F.lit("\u0418\u0306"), F.lit("\u0419"))  # И + breve -> Й
-    s = F.replace(s, F.lit("\u0435\u0308"), F.lit("\u0451"))  # е + diaeresis -> ё
-    return F.replace(s, F.lit("\u0415\u0308"), F.lit("\u0401"))  # Е + diaeresis -> Ё
+def _kept_letters() -> str:
+    kept = re.compile(f"[{K.NAME_KEEP_CLASS}]")
+    lower = [chr(c) for c in range(0x61, 0x530) if kept.match(chr(c))]
+    return "".join(lower) + "".join(c.upper() for c in lower)
 
 
-@F.pandas_udf(T.StringType())
-def nfc_exact(s: pd.Series) -> pd.Series:
-    """Exact Unicode NFC (Arrow-batched); only needed for foreign accents."""
-    return s.map(lambda v: unicodedata.normalize("NFC", v) if isinstance(v, str) else v)
+@cache
+def _composing() -> tuple[list[tuple[str, str]], str]:
+    """(kept compositions as pairs, pattern of letter + mark that compose to a letter which is not kept)."""
+    kept, lost = [], defaultdict(list)
+    for mark in (chr(c) for c in range(0x300, 0x370)):
+        for letter in _kept_letters():
+            one = unicodedata.normalize("NFC", letter + mark)
+            if len(one) == 1 and len(one.lower()) == 1:
+                if one in _kept_letters():
+                    kept.append((letter + mark, one))
+                else:
+                    lost[mark].append(letter)
+    return kept, "|".join(f"[{''.join(letters)}]{mark}" for mark, letters in lost.items())
 
 
-def _normalised(raw: Column, exact_nfc: bool) -> Column:
+def _composed(s: Column) -> Column:
+    """What NFC does to the letters of names: й and ё are composed, and a letter
+    that composes with the mark after it to a letter outside the alphabet becomes a space."""
+    kept, lost = _composing()
+    for pair, one in kept:
+        s = F.replace(s, F.lit(pair), F.lit(one))
+    return F.regexp_replace(s, lost, " ")
+
+
+def _normalised(raw: Column) -> Column:
     """Lower-case; every run of characters outside the kept letters becomes one
     space (whitespace included); noise tokens removed; trimmed.
 
@@ -33,8 +51,7 @@ def _normalised(raw: Column, exact_nfc: bool) -> Column:
     tokens, join by one space": tokens are the maximal runs of kept letters.
     Pure string expressions (whole-stage codegen), no array lambdas.
     """
-    s = nfc_exact(raw) if exact_nfc else _nfc_common(raw)
-    s = F.concat(F.lit(" "), F.regexp_replace(F.lower(s), f"[^{K.NAME_KEEP_CLASS}]+", " "), F.lit(" "))
+    s = F.concat(F.lit(" "), F.regexp_replace(F.lower(_composed(raw)), f"[^{K.NAME_KEEP_CLASS}]+", " "), F.lit(" "))
     words = [t for t in K.NAME_NOISE_TOKENS if t and all(ch.isalpha() for ch in t)]
     noise = " (?:" + "|".join(sorted(words, key=len, reverse=True)) + ")(?= )"
     return F.trim(F.regexp_replace(s, noise, ""))
@@ -51,10 +68,10 @@ def transliterate(col) -> Column:
     return F.translate(s, singles_from, singles_to)
 
 
-def clean_name(col, translit: bool = False, exact_nfc: bool = False) -> Column:
+def clean_name(col, translit: bool = False) -> Column:
     """Normalised upper-case name; null/empty -> ''."""
     raw = _c(col)
-    joined = _normalised(F.coalesce(raw, F.lit("")), exact_nfc)
+    joined = _normalised(F.coalesce(raw, F.lit("")))
     if translit:
         joined = transliterate(joined)
     return F.upper(joined)

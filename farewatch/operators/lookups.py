@@ -99,3 +99,17 @@ def passengers_by_band(passengers: DataFrame, scores: DataFrame, band: str) -> D
     s = scores.filter(F.col("risk_band") == band).select(F.col("passenger_id").alias("id"))
     return passengers.join(s, "id", "inner")
 
+
+def passenger_page(passengers: DataFrame, transactions: DataFrame, scores: DataFrame, features: DataFrame,
+                   term: str | None = None, band: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """F2 + J5 + F5: one page of the passenger list, last seen first, with score,
+    features and ``total``, the number of passengers that match.
+
+    Only the page's rows meet scores and features; the total is a scalar subquery.
+    """
+    hits = passengers if term is None else passenger_search(passengers, transactions, term)
+    if band is not None:
+        hits = passengers_by_band(hits, scores, band)
+    total = hits.agg(F.count(F.lit(1))).scalar()
+    shown = page(hits, limit, offset, ts="last_seen_at")
+    return passenger_profile(shown, scores, features).withColumn("total", total)

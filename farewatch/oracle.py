@@ -12,6 +12,10 @@ from farewatch import constants as K
 RUN_TIME_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
+# Every character of the basic plane that counts as white space.
+_BLANKS = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -55,7 +59,7 @@ def py_dt(expr: str, sep: str = " ") -> str:
 
 
 def _trim(expr: str) -> str:
-    return f"trim({expr}, ' \t\n\r\f\v ')"
+    return f"trim({expr}, '{_BLANKS}')"
 
 
 def identity_key(iin: str, fio: str, doc: str, phone: str) -> str:
@@ -230,24 +234,30 @@ def m1s_cells() -> str:
             frame.append((up, r, [FX.SHEET_TITLE] if r == 1 else [None]))
         frame.append((up, hdr_row, FX.SHEET_HEADERS[up]))
     values = ", ".join(f"({u}, {r}, {_sql_list(c)})" for u, r, c in frame)
-    name = "CASE WHEN user_id % 4 = 0 THEN 'test ' || p.p_name ELSE p.p_name END"
+    name = "(CASE WHEN user_id % 4 = 0 THEN 'test ' || p.p_name ELSE p.p_name END)"
+    name = (f"(CASE WHEN user_id % 10 = 3 THEN replace({name}, 'e', 'e' || chr(769)) "
+            f"WHEN user_id % 10 = 7 THEN {name} || ' Андреи' || chr(774) ELSE {name} END)")
     return f"""
 m1s_data AS (
   SELECT CAST(1 + (dayofmonth(ts) - 1) // 10 AS BIGINT) AS upload_id, event_id + {FX.SHEET_ROW_OFFSET} AS row_num,
     [CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_type = 'purchase' THEN 'Продажа'
-          WHEN event_type = 'signup' THEN ' покупка ' WHEN event_type = 'error' THEN 'ВОЗВРАТ'
+          WHEN event_type = 'signup' THEN chr(8195) || 'покупка' || chr(12288) WHEN event_type = 'error' THEN 'ВОЗВРАТ'
           WHEN event_type = 'click' THEN 'гашение' ELSE event_type END,
      CASE WHEN event_id % 89 = 0 THEN '31.02.2024' WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+          WHEN event_id % 4 = 1 AND event_id % 5 = 0 THEN strftime(ts, '%d.%m.%Y  %H:%M')
           WHEN event_id % 4 = 1 THEN strftime(ts, '%d.%m.%Y %H:%M') WHEN event_id % 4 = 2 THEN strftime(ts, '%d.%m.%Y')
           ELSE strftime(ts, '%Y-%m-%d') END,
      CASE WHEN k % 10 = 0 THEN NULL ELSE strftime(ts + k * INTERVAL 1 HOUR, '%d.%m.%Y %H:%M') END,
      'T' || (k % 13), 'ch' || (k % 5), CASE WHEN k % 7 = 0 THEN NULL ELSE 'ag' || (k % 3) END,
      't' || (k % 17), 'cd' || (k % 11), 'pos' || (k % 4),
-     CASE WHEN event_id % 101 = 0 THEN 'n/a' WHEN event_id % 3 = 0 THEN CAST(value AS VARCHAR)
-          WHEN event_id % 3 = 1 THEN replace(CAST(value AS VARCHAR), '.', ',') ELSE ' ' || CAST(value AS VARCHAR) END,
+     CASE WHEN event_id % 101 = 0 THEN 'n/a' WHEN event_id % 103 = 0 THEN '1_000' WHEN event_id % 3 = 0 THEN CAST(value AS VARCHAR)
+          WHEN event_id % 3 = 1 THEN replace(CAST(value AS VARCHAR), '.', ',') ELSE chr(8195) || CAST(value AS VARCHAR) END,
      CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 AS VARCHAR) || '.5' END,
      CASE WHEN user_id % 5 = 0 THEN {name} || ' ' || lpad(CAST(user_id AS VARCHAR), 12, '7') ELSE {name} END,
-     NULL, CAST(user_id AS VARCHAR), 'ord' || event_id, 'st' || (k % 6), 'st' || ((k + 1) % 6), NULL, NULL, NULL
+     NULL, CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN CAST(user_id AS VARCHAR) END, 'ord' || event_id,
+     'st' || (k % 6), 'st' || ((k + 1) % 6), CASE WHEN event_id % 6 = 0 THEN 'line ' || (k % 4) END,
+     CASE WHEN event_id % 7 = 0 THEN '+7701' || lpad(CAST(user_id AS VARCHAR), 7, '0') END,
+     CASE WHEN event_id % 9 = 0 THEN 'partner' END
     ]::VARCHAR[] AS cells
   FROM m1_ev LEFT JOIN part p ON p.p_partkey = m1_ev.user_id
 ),
@@ -309,7 +319,8 @@ NUMBER_RE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infini
 
 
 def _num_text(c: str) -> str:
-    return f"replace({_trim(f'replace(replace({c}, chr(160), ), chr(32), )')}, ',', '.')".replace(", )", ", '')")
+    plain = f"replace({_trim(f'replace(replace({c}, chr(160), ), chr(32), )')}, ',', '.')".replace(", )", ", '')")
+    return f"regexp_replace({plain}, '([0-9])_([0-9])', '\\1\\2', 'g')"
 
 
 def _num(c: str) -> str:
@@ -323,7 +334,7 @@ def _num_err(c: str, name: str) -> str:
 
 
 def _dt(c: str) -> str:
-    s = _trim(c)
+    s = f"regexp_replace({_trim(c)}, '\\s+', ' ', 'g')"
     fmts = ["%Y-%m-%d %H:%M:%S", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%Y-%m-%d"]
     return "coalesce(" + ", ".join(f"try_strptime({s}, '{f}')" for f in fmts) + ")"
 
@@ -382,16 +393,21 @@ m2_li AS (
 ),
 m2_rows AS (
   SELECT CAST(year(o.o_orderdate) AS BIGINT) AS upload_id, l.l_orderkey * 100 + l.rn AS row_num,
-    CASE l.l_returnflag WHEN 'R' THEN 'refund' WHEN 'A' THEN 'redeem' ELSE 'sale' END AS op_type,
-    o.o_orderdate + CAST(l.l_partkey % 24 AS INTEGER) * INTERVAL 1 HOUR AS op_datetime, l.l_shipdate AS dep_datetime,
+    CASE WHEN c8 <= 1 AND l.l_partkey % 4 <> 0 THEN 'refund' WHEN l.l_returnflag = 'R' THEN 'refund'
+         WHEN l.l_returnflag = 'A' THEN 'redeem' ELSE 'sale' END AS op_type,
+    o.op_day + CAST(CASE WHEN c8 = 0 THEN l.l_partkey % 8 ELSE l.l_partkey % 24 END AS INTEGER) * INTERVAL 1 HOUR AS op_datetime,
+    CASE WHEN c8 <= 1 THEN o.op_day + CAST(CASE WHEN c8 = 0 THEN l.l_partkey % 8 ELSE l.l_partkey % 24 END + l.l_partkey % 40 AS INTEGER)
+         * INTERVAL 1 HOUR ELSE l.l_shipdate END AS dep_datetime,
     l.l_extendedprice AS amount, {rnd('l.l_extendedprice * l.l_tax', 2)} AS fee,
-    'T' || (l.l_partkey % 50) AS train_no, o.o_orderpriority AS channel, 'n' || s.s_nationkey AS aggregator,
+    'T' || (l.l_partkey % 50) AS train_no,
+    CASE WHEN c8 <= 1 AND l.l_partkey % 5 = 0 THEN 'hot' WHEN c8 <= 2 AND l.l_partkey % 5 = 1 THEN 'warm'
+         WHEN c8 <= 4 AND l.l_partkey % 5 = 2 THEN 'mild' ELSE o.o_orderpriority END AS channel, 'n' || s.s_nationkey AS aggregator,
     't' || (l.l_partkey % 97) AS terminal, s.s_name AS cashdesk, NULL::VARCHAR AS point_of_sale,
-    'Customer#' || lpad(CAST(o.o_custkey AS VARCHAR), 9, '0') AS fio,
+    CASE WHEN c8 IN (0, 2) THEN 'test ' ELSE '' END || 'Customer#' || lpad(CAST(o.o_custkey AS VARCHAR), 9, '0') AS fio,
     lpad(CAST(o.o_custkey AS VARCHAR), 12, '0') AS iin, NULL::VARCHAR AS doc_no, CAST(l.l_orderkey AS VARCHAR) AS order_no,
     NULL::VARCHAR AS dep_station, NULL::VARCHAR AS arr_station, NULL::VARCHAR AS route, NULL::VARCHAR AS phone,
     '{K.DEFAULT_SOURCE}' AS source
-  FROM m2_li l JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  FROM m2_li l JOIN (SELECT *, o_custkey % 8 AS c8, o_orderdate AS op_day FROM orders) o ON l.l_orderkey = o.o_orderkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
 )"""
 
 

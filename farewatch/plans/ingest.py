@@ -18,7 +18,7 @@ TRANSACTION_COLUMNS: tuple[str, ...] = (
 )
 
 
-def enrich_rows(rows: DataFrame, anonymous_scope: str = "upload", exact_nfc: bool = False,
+def enrich_rows(rows: DataFrame, anonymous_scope: str = "upload",
                 iin_min_length: int = K.IIN_MIN_LENGTH) -> DataFrame:
     """Add fio_clean, identity_key, passenger_id and transaction id.
 
@@ -28,7 +28,7 @@ def enrich_rows(rows: DataFrame, anonymous_scope: str = "upload", exact_nfc: boo
     ``anonymous_scope='upload'`` keys anonymous rows by upload, row and time;
     ``'row'`` uses row and time only (two uploads may then share an id).
     """
-    clean = N.clean_name("fio", exact_nfc=exact_nfc)
+    clean = N.clean_name("fio")
     df = rows.withColumn("_fio0", clean)
     df = df.withColumn("identity_key", I.identity_key("iin", "_fio0", "doc_no", "phone", iin_min_length))
     anon_key = I.anonymous_key("row_num", "op_datetime",

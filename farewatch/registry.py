@@ -295,6 +295,47 @@ def q_suspicious_ops(spark, sf_dir):
         .select(*_SUSP_COLS.split(", "))
 
 
+@register("suspicious_ops_filtered", M1() + f"""
+SELECT t.id, t.passenger_id, t.train_no, t.cashdesk, t.terminal, s.risk_band FROM tx t JOIN scores s USING (passenger_id)
+WHERE s.risk_band IN ({SUSP}) AND t.cashdesk IN ('cd5', 'cd6') AND t.train_no = 'T' || right(t.cashdesk, 1)
+  AND t.terminal = 't' || right(t.cashdesk, 1)""")
+def q_suspicious_ops_filtered(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    parts = [RK.suspicious_operations(st.transactions, st.scores, train_no=f"T{d}", cashdesk=f"cd{d}", terminal=f"t{d}")
+             for d in (5, 6)]
+    return parts[0].unionByName(parts[1]).select("id", "passenger_id", "train_no", "cashdesk", "terminal", "risk_band")
+
+
+@register("counts_filtered", M1(FLAGGED) + """
+SELECT f.name AS filter, count(t.id) AS total_ops, CAST(count_if(suspicious) AS BIGINT) AS suspicious_ops
+FROM (VALUES ('train'), ('cashdesk'), ('terminal'), ('all')) f(name) LEFT JOIN flagged t
+  ON CASE f.name WHEN 'train' THEN train_no = 'T5' WHEN 'cashdesk' THEN cashdesk = 'cd5' WHEN 'terminal' THEN terminal = 't5'
+     ELSE train_no = 'T5' AND cashdesk = 'cd5' AND terminal = 't5' END
+GROUP BY 1""")
+def q_counts_filtered(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    train, desk, terminal = {"train_no": "T5"}, {"cashdesk": "cd5"}, {"terminal": "t5"}
+    out = None
+    for name, filters in (("train", train), ("cashdesk", desk), ("terminal", terminal), ("all", train | desk | terminal)):
+        one = RK.counts(st.transactions, st.scores, **filters).select(F.lit(name).alias("filter"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("passenger_page", M1() + """,
+hits AS (
+  SELECT p.id, p.fio_clean, p.last_seen_at, s.risk_band, s.final_score, f.total_tickets, f.refund_share, count(*) OVER () AS total
+  FROM pass p JOIN scores s ON s.passenger_id = p.id LEFT JOIN feat f ON f.passenger_id = p.id
+  WHERE s.risk_band = 'medium' AND (p.fio_clean ILIKE '%TE%' OR p.id IN (SELECT passenger_id FROM tx WHERE iin ILIKE '%TE%'))
+)
+SELECT * FROM hits ORDER BY last_seen_at DESC, id LIMIT 10 OFFSET 1""")
+def q_passenger_page(spark, sf_dir):
+    st = events_state(spark, sf_dir)
+    return LK.passenger_page(st.passengers, st.transactions, st.scores, st.features, term="TE", band="medium",
+                             limit=10, offset=1).select(
+        "id", "fio_clean", "last_seen_at", "risk_band", "final_score", "total_tickets", "refund_share", "total")
+
+
 @register("passenger_search", O.with_cells(ingest=True) + """
 SELECT p.id, p.fio_clean FROM pass p
 WHERE p.fio_clean ILIKE '%test%' OR p.id IN (SELECT passenger_id FROM tx WHERE iin ILIKE '%test%')
@@ -689,19 +730,19 @@ folded AS (
 _UPLOAD_EV = """
 uev AS (
   SELECT CAST(event_id // 20 AS BIGINT) AS upload_id,
-    CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'done'
-      WHEN 'error' THEN 'failed' END AS status, ts, event_id AS seq,
+    CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed'
+      ELSE 'processing' END AS status, ts, event_id AS seq,
     CASE WHEN event_type = 'error' THEN props END AS error
-  FROM events WHERE event_type IN ('signup', 'view', 'purchase', 'error')
+  FROM events
 )"""
 
 _JOB_EV = """
 jev AS (
   SELECT 'job-' || CAST(event_id // 20 AS VARCHAR) AS job_id,
-    CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done'
-      WHEN 'error' THEN 'failed' END AS status, ts, event_id AS seq,
+    CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed'
+      ELSE 'running' END AS status, ts, event_id AS seq,
     CASE WHEN event_type = 'error' THEN props END AS error
-  FROM events WHERE event_type IN ('signup', 'click', 'purchase', 'error')
+  FROM events
 )"""
 
 
@@ -768,7 +809,9 @@ def _split_sql(*ctes: str) -> str:
 SELECT id, upload_id, row_num FROM tx_n WHERE id NOT IN (SELECT id FROM tx_o)""")
 def q_insert_ignore(spark, sf_dir):
     old, new = _split_states(spark, sf_dir)
-    return UP.insert_ignore(old.transactions, new.transactions).select("id", "upload_id", "row_num")
+    # Every third incoming row comes twice, the repeat further down the sheet.
+    again = new.transactions.filter(F.col("id") % 3 == 0).withColumn("row_num", F.col("row_num") + 1_000_000)
+    return UP.insert_ignore(old.transactions, new.transactions.unionByName(again)).select("id", "upload_id", "row_num")
 
 
 @register("passenger_upsert", _split_sql() + """
@@ -895,6 +938,25 @@ def q_volume_trend(spark, sf_dir):
     return RK.risk_trend(st.transactions, st.scores)
 
 
+@register("volume_score_table", O.with_m2() + """
+SELECT passenger_id, rule_score, final_score, risk_band, array_to_string(top_reasons, '; ') AS reasons, seat_blocking_flag FROM scores""")
+def q_volume_scores(spark, sf_dir):
+    from farewatch.plans.pipeline import lineitem_state
+    st = lineitem_state(spark, sf_dir)
+    return st.scores.select("passenger_id", "rule_score", "final_score", "risk_band", _reasons_text(), "seat_blocking_flag")
+
+
+@register("volume_hotspot_label", O.with_m2(FLAGGED, CONC) + f"""
+SELECT dimension_type, dimension_value, {_label_sql('lift_vs_base')} AS risk_label,
+       lift_vs_base >= {K.HOTSPOT_LIFT} AS is_hotspot FROM conc""")
+def q_volume_hotspots(spark, sf_dir):
+    from farewatch.plans.pipeline import lineitem_state
+    st = lineitem_state(spark, sf_dir)
+    c = RK.concentration(st.transactions, st.scores, calculated_at=RUN_TIME)
+    return c.select("dimension_type", "dimension_value", RK.hotspot_label().alias("risk_label"),
+                    (F.col("lift_vs_base") >= K.HOTSPOT_LIFT).alias("is_hotspot"))
+
+
 @register("volume_features", O.with_m2() + """
 SELECT passenger_id, total_tickets, refund_cnt, late_refunds, refund_close_ratio, max_tickets_month,
        max_tickets_same_depday, tickets_per_train_peak FROM feat""")

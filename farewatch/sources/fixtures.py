@@ -101,6 +101,13 @@ def lineitem_typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*[F.col(c) for c in li.columns])
     rf = F.col("l_returnflag")
     pk = F.col("l_partkey")
+    # Customers by c8: 0 reaches every rule, 1 the refund rules, 2 the name rule.
+    c8 = F.col("o_custkey") % 8
+    op_time = F.col("o_orderdate") + F.make_dt_interval(hours=(pk % F.when(c8 == 0, 8).otherwise(24)).cast("int"))
+    # Channels with about 4, 2.7 and 1.6 times the base share of suspicious operations.
+    channel = (F.when((c8 <= 1) & (pk % 5 == 0), "hot").when((c8 <= 2) & (pk % 5 == 1), "warm")
+               .when((c8 <= 4) & (pk % 5 == 2), "mild").otherwise(F.col("o_orderpriority")))
+    customer = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
     return (
         li.withColumn("rn", F.row_number().over(w))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -108,18 +115,18 @@ def lineitem_typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.year("o_orderdate").cast("long").alias("upload_id"),
             (F.col("l_orderkey") * 100 + F.col("rn")).alias("row_num"),
-            F.when(rf == "R", "refund").when(rf == "A", "redeem").otherwise("sale").alias("op_type"),
-            (F.col("o_orderdate") + F.make_dt_interval(hours=(pk % 24).cast("int"))).alias("op_datetime"),
-            F.col("l_shipdate").alias("dep_datetime"),
+            F.when((c8 <= 1) & (pk % 4 != 0), "refund").when(rf == "R", "refund").when(rf == "A", "redeem").otherwise("sale").alias("op_type"),
+            op_time.alias("op_datetime"),
+            F.when(c8 <= 1, op_time + F.make_dt_interval(hours=(pk % 40).cast("int"))).otherwise(F.col("l_shipdate")).alias("dep_datetime"),
             F.col("l_extendedprice").alias("amount"),
             F.round(F.col("l_extendedprice") * F.col("l_tax"), 2).alias("fee"),
             F.concat(F.lit("T"), (pk % 50).cast("string")).alias("train_no"),
-            F.col("o_orderpriority").alias("channel"),
+            channel.alias("channel"),
             F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("aggregator"),
             F.concat(F.lit("t"), (pk % 97).cast("string")).alias("terminal"),
             F.col("s_name").alias("cashdesk"),
             F.lit(None).cast("string").alias("point_of_sale"),
-            F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("fio"),
+            F.when(c8.isin(0, 2), F.concat(F.lit("test "), customer)).otherwise(customer).alias("fio"),
             F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("iin"),
             F.lit(None).cast("string").alias("doc_no"),
             F.col("l_orderkey").cast("string").alias("order_no"),
@@ -174,22 +181,28 @@ def events_sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts")
     et = F.col("event_type")
     op_txt = (F.when(e % 97 == 0, F.lit(None).cast("string"))
-              .when(et == "purchase", "Продажа").when(et == "signup", " покупка ")
+              .when(et == "purchase", "Продажа").when(et == "signup", "\u2003покупка\u3000")
               .when(et == "error", "ВОЗВРАТ").when(et == "click", "гашение").otherwise(et))
     m4 = e % 4
     dt_txt = (F.when(e % 89 == 0, F.lit("31.02.2024"))
-              .when(m4 == 0, _fmt(ts, "yyyy-MM-dd HH:mm:ss")).when(m4 == 1, _fmt(ts, "dd.MM.yyyy HH:mm"))
+              .when(m4 == 0, _fmt(ts, "yyyy-MM-dd HH:mm:ss")).when((m4 == 1) & (e % 5 == 0), _fmt(ts, "dd.MM.yyyy  HH:mm"))
+              .when(m4 == 1, _fmt(ts, "dd.MM.yyyy HH:mm"))
               .when(m4 == 2, _fmt(ts, "dd.MM.yyyy")).otherwise(_fmt(ts, "yyyy-MM-dd")))
     dep = ts + F.make_dt_interval(hours=k)
     dep_txt = F.when(k % 10 == 0, F.lit(None).cast("string")).otherwise(_fmt(dep, "dd.MM.yyyy HH:mm"))
     v = F.col("value").cast("string")
     m3 = e % 3
-    amt_txt = (F.when(e % 101 == 0, F.lit("n/a")).when(m3 == 0, v)
-               .when(m3 == 1, F.replace(v, F.lit("."), F.lit(","))).otherwise(F.concat(F.lit(" "), v)))
+    amt_txt = (F.when(e % 101 == 0, F.lit("n/a")).when(e % 103 == 0, F.lit("1_000")).when(m3 == 0, v)
+               .when(m3 == 1, F.replace(v, F.lit("."), F.lit(","))).otherwise(F.concat(F.lit("\u2003"), v)))
     fee_txt = F.when(e % 2 == 0, F.concat((e % 50).cast("string"), F.lit(".5")))
     uid = F.col("user_id")
     name = F.when(uid % 4 == 0, F.concat(F.lit("test "), F.col("p_name"))).otherwise(F.col("p_name"))
+    # Decomposed accents: some compose to a kept letter, some to a foreign one.
+    name = (F.when(uid % 10 == 3, F.replace(name, F.lit("e"), F.lit("e\u0301")))
+            .when(uid % 10 == 7, F.concat(name, F.lit(" Андреи\u0306"))).otherwise(name))
     fio_txt = F.when(uid % 5 == 0, F.concat(name, F.lit(" "), F.lpad(uid.cast("string"), 12, "7"))).otherwise(name)
+    # Rows without a document: identified by phone, or by the name alone.
+    by_phone, by_name = e % 7 == 0, e % 11 == 0
     upload = (F.lit(1) + F.floor((F.dayofmonth(ts) - 1) / 10)).cast("long")
     cells = F.array(
         op_txt, dt_txt, dep_txt,
@@ -201,13 +214,13 @@ def events_sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("pos"), (k % 4).cast("string")),
         amt_txt, fee_txt, fio_txt,
         F.lit(None).cast("string"),
-        uid.cast("string"),
+        F.when(~by_phone & ~by_name, uid.cast("string")),
         F.concat(F.lit("ord"), e.cast("string")),
         F.concat(F.lit("st"), (k % 6).cast("string")),
         F.concat(F.lit("st"), ((k + 1) % 6).cast("string")),
-        F.lit(None).cast("string"),
-        F.lit(None).cast("string"),
-        F.lit(None).cast("string"),
+        F.when(e % 6 == 0, F.concat(F.lit("line "), (k % 4).cast("string"))),
+        F.when(by_phone, F.concat(F.lit("+7701"), F.lpad(uid.cast("string"), 7, "0"))),
+        F.when(e % 9 == 0, F.lit("partner")),
     )
     data = (ev.join(names, "user_id", "left")
             .select(upload.alias("upload_id"), (e + SHEET_ROW_OFFSET).alias("row_num"), cells.alias("cells")))
@@ -241,25 +254,23 @@ def upload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload status events: upload = event_id div 20."""
     ev = table(spark, sf_dir, "events")
     et = F.col("event_type")
-    status = (F.when(et == "signup", "pending").when(et == "view", "processing")
-              .when(et == "purchase", "done").when(et == "error", "failed"))
-    return (ev.select(F.floor(F.col("event_id") / 20).cast("long").alias("upload_id"),
-                      status.alias("status"), F.col("ts"), F.col("event_id").alias("seq"),
-                      F.when(et == "error", F.col("props")).alias("error"))
-            .filter(F.col("status").isNotNull()))
+    status = (F.when(et == "signup", "pending").when(et == "purchase", "done").when(et == "error", "failed")
+              .otherwise("processing"))
+    return ev.select(F.floor(F.col("event_id") / 20).cast("long").alias("upload_id"),
+                     status.alias("status"), F.col("ts"), F.col("event_id").alias("seq"),
+                     F.when(et == "error", F.col("props")).alias("error"))
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring job events: job = 'job-' || event_id div 20."""
     ev = table(spark, sf_dir, "events")
     et = F.col("event_type")
-    status = (F.when(et == "signup", "pending").when(et == "click", "running")
-              .when(et == "purchase", "done").when(et == "error", "failed"))
+    status = (F.when(et == "signup", "pending").when(et == "purchase", "done").when(et == "error", "failed")
+              .otherwise("running"))
     return (ev.select(F.concat(F.lit("job-"), F.floor(F.col("event_id") / 20).cast("string")).alias("job_id"),
                       F.floor(F.col("event_id") / 20).cast("long").alias("upload_id"),
                       status.alias("status"), F.col("ts"), F.col("event_id").alias("seq"),
-                      F.when(et == "error", F.col("props")).alias("error"))
-            .filter(F.col("status").isNotNull()))
+                      F.when(et == "error", F.col("props")).alias("error")))
 
 
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
