@@ -70,9 +70,7 @@ def ingest_typed(store: TableStore, typed_rows: DataFrame, **kw) -> None:
               else UP.insert_ignore(existing, tx))
     # Whole uploads to few files, large uploads to several tasks.
     store.append("transactions", new_tx.hint("rebalance", F.col("upload_id")), partition_by="upload_id")
-    new_p = passenger_rollup(enriched)
-    old_p = store.read("passengers")
-    store.write("passengers", new_p if old_p is None else UP.passenger_upsert(old_p, new_p))
+    store.upsert("passengers", passenger_rollup(enriched), "id", UP.passenger_upsert)
 
 
 def ingest_cells(store: TableStore, cells: DataFrame, user_id: int | None = None, **kw) -> dict:
@@ -141,10 +139,8 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
             new_scores = new_scores.drop("upload_id")
             feats = feats.drop("upload_id")
         new_feats = feats.withColumn("calculated_at", F.lit(run_time).cast("timestamp_ntz"))
-        old_f = store.read("passenger_features")
-        store.write("passenger_features", new_feats if old_f is None else UP.feature_upsert(old_f, new_feats))
-        old_s = store.read("passenger_scores")
-        store.write("passenger_scores", new_scores if old_s is None else UP.score_upsert(old_s, new_scores))
+        store.upsert("passenger_features", new_feats, "passenger_id", UP.feature_upsert)
+        store.upsert("passenger_scores", new_scores, "passenger_id", UP.score_upsert)
         all_tx = store.read_log("transactions", S.TRANSACTIONS)
         all_tx = tx if all_tx is None else all_tx
         conc = RK.concentration(all_tx, store.read("passenger_scores", S.PASSENGER_SCORES), dims, run_time)
@@ -174,6 +170,7 @@ def export_reports(store: TableStore, out_dir: str, **filters) -> dict:
 
 def override(store: TableStore, overrides: DataFrame, run_time: _dt.datetime | None = None) -> None:
     """R8 as a job: new score version + audit rows."""
-    merged, audit = UP.apply_override(store.read("passenger_scores"), overrides, run_time or _now())
-    store.write("passenger_scores", merged)
+    rows, audit = UP.manual_override(store.read("passenger_scores", S.PASSENGER_SCORES), overrides, run_time or _now())
+    audit = cut_lineage(audit, "override-audit")  # tells the bands before the override
+    store.upsert("passenger_scores", rows, "passenger_id", lambda old, new: UP.replace_on_key(old, new, ["passenger_id"]))
     store.append("audit_logs", audit)

@@ -587,6 +587,40 @@ def q_anomaly_score(spark, sf_dir):
     return anomaly_scores(st.features).select("passenger_id", "anomaly_raw", "ml_score")
 
 
+# A forest of two trees: (tree, node, feature or -1, threshold, left, right, size, depth).  Features by
+# position: total_tickets, refund_cnt, refund_share, night_share, late_refunds, fake_fio.
+_FOREST = [(0, 0, 0, 65.5, 1, 2, -1, 0), (0, 1, 2, 0.2, 3, 4, -1, 1), (0, 2, -1, 0.0, -1, -1, 9, 1), (0, 3, -1, 0.0, -1, -1, 2, 2),
+           (0, 4, 4, 3.0, 5, 6, -1, 2), (0, 5, -1, 0.0, -1, -1, 30, 3), (0, 6, -1, 0.0, -1, -1, 1, 3),
+           (1, 0, 5, 0.5, 1, 2, -1, 0), (1, 1, 3, 0.25, 3, 4, -1, 1), (1, 2, -1, 0.0, -1, -1, 5, 1),
+           (1, 3, -1, 0.0, -1, -1, 64, 2), (1, 4, -1, 0.0, -1, -1, 3, 2)]
+_FOREST_PSI = 128
+
+
+def _c_sql(n: str) -> str:
+    return (f"(CASE WHEN {n} > 2 THEN 2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE)"
+            f" - 2.0::DOUBLE * ({n} - 1) / {n} WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")
+
+
+@register("forest_path", "WITH RECURSIVE" + M1()[len("WITH"):].rstrip() + f""",
+forest AS (SELECT * FROM (VALUES {", ".join(map(str, _FOREST))}) f(tree, node, feature, threshold, l, r, size, depth)),
+x AS (SELECT passenger_id, [{", ".join(f"CAST({c} AS DOUBLE)" for c in K.IFOREST_FEATURES)}] AS v FROM feat),
+walk AS (
+  SELECT passenger_id, v, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM forest)
+  UNION ALL
+  SELECT w.passenger_id, w.v, w.tree, CASE WHEN w.v[f.feature + 1] < f.threshold THEN f.l ELSE f.r END
+  FROM walk w JOIN forest f USING (tree, node) WHERE f.feature >= 0
+)
+SELECT passenger_id, round(pow(2.0::DOUBLE, -avg(f.depth + {_c_sql("f.size")}) / {_c_sql(str(_FOREST_PSI))}), 6) AS anomaly_raw
+FROM walk w JOIN forest f USING (tree, node) WHERE f.feature < 0 GROUP BY passenger_id""")
+def q_forest_path(spark, sf_dir):
+    import pandas as pd
+
+    from farewatch.operators.iforest import NODE_SCHEMA, score_forest
+    st = events_state(spark, sf_dir)
+    forest = pd.DataFrame([(*node, _FOREST_PSI) for node in _FOREST], columns=NODE_SCHEMA.fieldNames())
+    return score_forest(st.features, forest).select("passenger_id", F.round("anomaly_raw", 6).alias("anomaly_raw"))
+
+
 _MM = """
 mm AS (
   SELECT passenger_id, rule_score, total_tickets, refund_share, late_refunds, fake_fio,

@@ -161,32 +161,30 @@ def typed_from_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 # File readers -> cells.
 # ---------------------------------------------------------------------------
 
-def _decode_csv(pdf_iter, delimiter: str):
+# Decoded rows that leave a task together.
+CHUNK_ROWS = 20_000
+
+
+def _csv_rows(content: bytes, delimiter: str):
     import csv
     import io
 
-    import pandas as pd
+    lines = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", newline="")
+    for i, rec in enumerate(csv.reader(lines, delimiter=delimiter), start=1):
+        yield i, [c if c != "" else None for c in rec]
 
-    for pdf in pdf_iter:
-        out = []
-        for path, content, upload_id in zip(pdf["path"], pdf["content"], pdf["upload_id"]):
-            text = bytes(content).decode("utf-8-sig")
-            for i, rec in enumerate(csv.reader(io.StringIO(text), delimiter=delimiter), start=1):
-                out.append((int(upload_id), i, [c if c != "" else None for c in rec]))
-        yield pd.DataFrame(out, columns=["upload_id", "row_num", "cells"])
 
+def _decode(pdf_iter, rows_of):
+    """Cells of whole files in chunks of bounded size; ``rows_of(content)`` yields (row_num, cells)."""
+    from itertools import islice
 
-def _decode_xlsx(pdf_iter, sheet: int):
     import pandas as pd
 
-    from farewatch.sources.xlsx import read_sheet_rows
-
     for pdf in pdf_iter:
-        out = []
         for content, upload_id in zip(pdf["content"], pdf["upload_id"]):
-            for row_num, cells in read_sheet_rows(bytes(content), sheet):
-                out.append((int(upload_id), row_num, cells))
-        yield pd.DataFrame(out, columns=["upload_id", "row_num", "cells"])
+            rows = ((int(upload_id), row_num, cells) for row_num, cells in rows_of(bytes(content)))
+            while chunk := list(islice(rows, CHUNK_ROWS)):
+                yield pd.DataFrame(chunk, columns=["upload_id", "row_num", "cells"])
 
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -202,12 +200,17 @@ def read_csv_uploads(spark: SparkSession, path: str, delimiter: str = ",") -> Da
     A file is decoded by one task (sheet-sized inputs); many files spread
     over all tasks.
     """
-    return _files(spark, path, "*.csv").mapInPandas(lambda it: _decode_csv(it, delimiter), CELLS_SCHEMA)
+    return _files(spark, path, "*.csv").mapInPandas(lambda it: _decode(it, lambda c: _csv_rows(c, delimiter)), CELLS_SCHEMA)
+
+
+def read_xlsx_uploads(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
+    """S1 (xlsx): first sheet by default, or one by position or name; decoded with the standard library.
 
+    A missing sheet is an error that lists the workbook's sheets.
+    """
+    from farewatch.sources.xlsx import read_sheet_rows
 
-def read_xlsx_uploads(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
-    """S1 (xlsx): first sheet by default, decoded with the standard library."""
-    return _files(spark, path, "*.xlsx").mapInPandas(lambda it: _decode_xlsx(it, sheet), CELLS_SCHEMA)
+    return _files(spark, path, "*.xlsx").mapInPandas(lambda it: _decode(it, lambda c: read_sheet_rows(c, sheet)), CELLS_SCHEMA)
 
 
 def read_parquet_uploads(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Minimal .xlsx sheet decoder (standard library only), used inside tasks.
 
-Yields (row_num, cells) for the non-empty rows of one worksheet; cells are
-strings (numbers as Python prints them, date-formatted numbers as
-'YYYY-MM-DD HH:MM:SS').
+Yields (row_num, cells) for the non-empty rows of one worksheet, one row at a
+time; cells are strings (numbers as Python prints them, date-formatted numbers
+as 'YYYY-MM-DD HH:MM:SS').
 """
 
 from __future__ import annotations
@@ -10,14 +10,16 @@ from __future__ import annotations
 import datetime as _dt
 import io
 import re
-import zipfile
 import xml.etree.ElementTree as ET
+import zipfile
+from collections.abc import Iterator
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
-       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
-       "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
+_M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_P = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 _BUILTIN_DATE_FORMATS = set(range(14, 23)) | {45, 46, 47}
-_EPOCH = _dt.datetime(1899, 12, 30)
+# Day 0 of the two date systems a workbook may use.
+_EPOCHS = {False: _dt.datetime(1899, 12, 30), True: _dt.datetime(1904, 1, 1)}
 
 
 def _col_index(ref: str) -> int:
@@ -27,11 +29,29 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
+def _text(element) -> str:
+    """Text of a string item; phonetic guides (rPh) are not part of it."""
+    return "".join(t.text or "" for child in element if child.tag != f"{_M}rPh" for t in child.iter(f"{_M}t"))
+
+
+def _elements(z: zipfile.ZipFile, name: str, tag: str) -> Iterator[ET.Element]:
+    """Completed elements of a part in order; each is released after use."""
+    with z.open(name) as part:
+        root = None
+        for event, element in ET.iterparse(part, events=("start", "end")):
+            if root is None:
+                root = element
+            if event == "end" and element.tag == tag:
+                yield element
+                element.clear()
+                if tag != f"{_M}row":
+                    root.clear()
+
+
 def _shared_strings(z: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in z.namelist():
         return []
-    root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-    return ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in root.findall("m:si", _NS)]
+    return [_text(item) for item in _elements(z, "xl/sharedStrings.xml", f"{_M}si")]
 
 
 def _date_styles(z: zipfile.ZipFile) -> set[int]:
@@ -39,31 +59,32 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
         return set()
     root = ET.fromstring(z.read("xl/styles.xml"))
     custom = {}
-    fmts = root.find("m:numFmts", _NS)
-    if fmts is not None:
-        for f in fmts.findall("m:numFmt", _NS):
-            code = re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
-            custom[int(f.get("numFmtId"))] = bool(re.search(r"[ymdhs]", code))
-    out = set()
-    xfs = root.find("m:cellXfs", _NS)
-    if xfs is not None:
-        for i, xf in enumerate(xfs.findall("m:xf", _NS)):
-            fid = int(xf.get("numFmtId", "0"))
-            if fid in _BUILTIN_DATE_FORMATS or custom.get(fid):
-                out.add(i)
-    return out
-
-
-def _sheet_path(z: zipfile.ZipFile, sheet: int) -> str:
-    wb = ET.fromstring(z.read("xl/workbook.xml"))
-    sheets = wb.find("m:sheets", _NS).findall("m:sheet", _NS)
-    rid = sheets[sheet].get(f"{{{_NS['r']}}}id")
-    rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-    for rel in rels.findall("p:Relationship", _NS):
+    for f in root.iterfind(f"{_M}numFmts/{_M}numFmt"):
+        code = re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")).lower()
+        custom[int(f.get("numFmtId"))] = bool(re.search(r"[ymdhs]", code))
+    formats = [int(xf.get("numFmtId", "0")) for xf in root.iterfind(f"{_M}cellXfs/{_M}xf")]
+    return {i for i, f in enumerate(formats) if f in _BUILTIN_DATE_FORMATS or custom.get(f)}
+
+
+def _workbook(z: zipfile.ZipFile, sheet: int | str) -> tuple[str, _dt.datetime]:
+    """(part of the sheet, given by position or name; day 0 of the workbook's dates)."""
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    sheets = book.findall(f"{_M}sheets/{_M}sheet")
+    names = [s.get("name") for s in sheets]
+    if isinstance(sheet, str):
+        if sheet not in names:
+            raise ValueError(f"sheet {sheet!r} not found; the workbook has: {', '.join(names)}")
+        sheet = names.index(sheet)
+    elif not 0 <= sheet < len(names):
+        raise ValueError(f"sheet {sheet} not found; the workbook has: {', '.join(names)}")
+    properties = book.find(f"{_M}workbookPr")
+    since_1904 = properties is not None and properties.get("date1904") in ("1", "true")
+    rid = sheets[sheet].get(f"{_R}id")
+    for rel in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).iterfind(f"{_P}Relationship"):
         if rel.get("Id") == rid:
             target = rel.get("Target")
-            return target.lstrip("/") if target.startswith("/") else "xl/" + target
-    raise ValueError(f"sheet {sheet} not found")
+            return target.lstrip("/") if target.startswith("/") else f"xl/{target}", _EPOCHS[since_1904]
+    raise ValueError(f"the workbook does not say where sheet {names[sheet]!r} is")
 
 
 def _number_text(v: str) -> str:
@@ -71,39 +92,39 @@ def _number_text(v: str) -> str:
     return str(int(f)) if f.is_integer() and "." not in v and "E" not in v.upper() else repr(f)
 
 
-def read_sheet_rows(content: bytes, sheet: int = 0):
+def _cell_text(c: ET.Element, strings: list[str], dates: set[int], epoch: _dt.datetime) -> str | None:
+    kind, v = c.get("t", "n"), c.find(f"{_M}v")
+    if kind == "inlineStr":
+        item = c.find(f"{_M}is")
+        return "" if item is None else _text(item)
+    if v is None or v.text is None:
+        return None
+    if kind == "s":
+        return strings[int(v.text)]
+    if kind == "b":
+        return "True" if v.text == "1" else "False"
+    if kind == "n" and int(c.get("s", "0")) in dates:
+        return (epoch + _dt.timedelta(days=float(v.text))).replace(microsecond=0).strftime("%Y-%m-%d %H:%M:%S")
+    return _number_text(v.text) if kind == "n" else v.text
+
+
+def read_sheet_rows(content: bytes, sheet: int | str = 0) -> Iterator[tuple[int, list[str | None]]]:
+    """Non-empty rows of a sheet given by position or name.
+
+    Row and cell references are optional in the format: a row or cell without
+    one follows its predecessor.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        strings = _shared_strings(z)
-        dates = _date_styles(z)
-        root = ET.fromstring(z.read(_sheet_path(z, sheet)))
-    data = root.find("m:sheetData", _NS)
-    rows = []
-    width = 0
-    for row in data.findall("m:row", _NS):
-        r = int(row.get("r"))
-        cells = {}
-        for c in row.findall("m:c", _NS):
-            idx = _col_index(c.get("r"))
-            t = c.get("t", "n")
-            v = c.find("m:v", _NS)
-            if t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-            elif v is None or v.text is None:
-                continue
-            elif t == "s":
-                val = strings[int(v.text)]
-            elif t == "b":
-                val = "True" if v.text == "1" else "False"
-            elif t == "n" and int(c.get("s", "0")) in dates:
-                ts = _EPOCH + _dt.timedelta(days=float(v.text))
-                val = ts.replace(microsecond=0).strftime("%Y-%m-%d %H:%M:%S")
-            elif t == "n":
-                val = _number_text(v.text)
-            else:
-                val = v.text
-            cells[idx] = val
-            width = max(width, idx + 1)
-        if cells:
-            rows.append((r, cells))
-    for r, cells in rows:
-        yield r, [cells.get(i) for i in range(width)]
+        part, epoch = _workbook(z, sheet)
+        strings, dates = _shared_strings(z), _date_styles(z)
+        at = 0
+        for row in _elements(z, part, f"{_M}row"):
+            at = int(row.get("r", at + 1))
+            cells, idx = {}, -1
+            for c in row.iterfind(f"{_M}c"):
+                idx = _col_index(c.get("r")) if c.get("r") else idx + 1
+                value = _cell_text(c, strings, dates, epoch)
+                if value is not None:
+                    cells[idx] = value
+            if cells:
+                yield at, [cells.get(i) for i in range(max(cells) + 1)]

@@ -153,3 +153,45 @@ def test_job_ledgers_and_audit(spark):
     actions = {r["action"]: r["n"] for r in LG.audit_summary(store.read_log("audit_logs", S.AUDIT_LOGS))
                .groupBy("action").agg(F.sum("n").alias("n")).collect()}
     assert actions == {"UPLOAD_STARTED": 3, "UPLOAD_COMPLETED": 3, "SCORING_STARTED": 1, "SCORING_COMPLETED": 1}
+
+
+def _workbook(path, sheets, book=""):
+    """A workbook of {name: sheetData xml}."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        entries = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}">{book}<sheets>{entries}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels",
+                   '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   + "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+                   + "</Relationships>")
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {ns}><si><t>Анна</t><rPh sb="0" eb="1"><t>x</t></rPh></si>'
+                                           f'<si><r><t>two</t></r><r><t> runs</t></r></si></sst>')
+        for i, data in enumerate(sheets.values(), 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {ns}><sheetData>{data}</sheetData></worksheet>")
+
+
+def test_xlsx_sheets_references_and_dates(spark, tmp_dir):
+    import pytest
+
+    from farewatch.sources.xlsx import read_sheet_rows
+
+    first = '<row><c t="s"><v>0</v></c><c><v>2.50</v></c><c t="s"><v>1</v></c></row><row/><row><c r="C3" s="1"><v>10.5</v></c><c><v>7</v></c></row>'
+    second = '<row r="5"><c r="B5" t="b"><v>1</v></c></row><row><c t="str"><v>x</v></c></row>'
+    path = os.path.join(tmp_dir, "upload_1.xlsx")
+    _workbook(path, {"Main": first, "Other": second})
+    with open(path, "rb") as f:
+        content = f.read()
+    assert list(read_sheet_rows(content)) == [(1, ["Анна", "2.5", "two runs"]), (3, [None, None, "1900-01-09 12:00:00", "7"])]
+    assert list(read_sheet_rows(content, "Other")) == [(5, [None, "True"]), (6, ["x"])]
+    with pytest.raises(ValueError, match="the workbook has: Main, Other"):
+        list(read_sheet_rows(content, "None"))
+    with pytest.raises(ValueError, match="the workbook has: Main, Other"):
+        list(read_sheet_rows(content, 2))
+    got = UPL.read_xlsx_uploads(spark, tmp_dir, "Other").collect()
+    assert [(r["upload_id"], r["row_num"], r["cells"]) for r in got] == [(1, 5, [None, "True"]), (1, 6, ["x"])]
+    _workbook(path, {"Main": first}, '<workbookPr date1904="1"/>')
+    with open(path, "rb") as f:
+        assert list(read_sheet_rows(f.read()))[1] == (3, [None, None, "1904-01-11 12:00:00", "7"])

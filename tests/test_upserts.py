@@ -98,3 +98,48 @@ def test_store_versions_are_crash_safe(spark):
     fresh.write("t", spark.createDataFrame([(4,)], "x int"))
     assert TableStore(spark, store.root).version("t") == 3
     assert [r[0] for r in TableStore(spark, store.root).read("t").collect()] == [4]
+
+
+def test_upsert_rewrites_touched_buckets_only(spark):
+    """A small batch rewrites its own buckets; the others stay where they are; old versions can expire."""
+    from farewatch.plans.store import BUCKET, TableStore
+
+    def merge(old, new):
+        return UP.replace_on_key(old, new, ["k"])
+
+    store = TableStore(spark, buckets=8)
+    schema = "k long, x int"
+    store.upsert("t", spark.createDataFrame([(i, 0) for i in range(100)], schema), "k", merge)
+    before = store._layout("t", 1)["at"]
+    assert len(before) == 8 and set(before.values()) == {1}
+    store.upsert("t", spark.createDataFrame([(3, 7), (3000, 8)], schema), "k", merge)
+    after = store._layout("t", 2)["at"]
+    assert 1 <= sum(v == 2 for v in after.values()) <= 2
+    assert {b for b, v in after.items() if v == 1} < set(before)
+    got = dict(map(tuple, TableStore(spark, store.root).read("t").collect()))
+    assert got == {i: 0 for i in range(100)} | {3: 7, 3000: 8} and BUCKET not in store.read("t").columns
+    # nothing new: no version; a crash before the marker leaves the version current
+    assert store.upsert("t", spark.createDataFrame([], schema), "k", merge) == 2
+    spark.createDataFrame([(1, 1)], schema).write.parquet(store._path("t", "v=3", f"{BUCKET}=0"))
+    assert TableStore(spark, store.root).version("t") == 2
+    for step in range(3):  # every key: all buckets move, so the first versions are not used any more
+        store.upsert("t", spark.createDataFrame([(i, step) for i in range(100)], schema), "k", merge)
+    assert store.expire("t", keep=1) == [1, 2, 3, 4]
+    got = dict(map(tuple, TableStore(spark, store.root).read("t").collect()))
+    assert got == {i: 2 for i in range(100)} | {3000: 8}
+
+
+def test_upsert_of_empty_and_undivided_tables(spark):
+    from farewatch.plans.store import TableStore
+
+    def merge(old, new):
+        return UP.replace_on_key(old, new, ["k"])
+
+    store, schema = TableStore(spark, buckets=4), "k long, x int"
+    store.upsert("e", spark.createDataFrame([], schema), "k", merge)
+    assert store.read("e").count() == 0
+    store.upsert("e", spark.createDataFrame([(1, 1), (None, 2)], schema), "k", merge)
+    assert sorted(map(str, store.read("e").collect())) == ["Row(k=1, x=1)", "Row(k=None, x=2)"]
+    store.write("w", spark.createDataFrame([(1, 1), (2, 2)], schema))
+    store.upsert("w", spark.createDataFrame([(2, 5)], schema), "k", merge)
+    assert sorted(map(tuple, store.read("w").collect())) == [(1, 1), (2, 5)]
