@@ -8,7 +8,9 @@ Arrays are compared as joined text.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,7 +27,7 @@ from farewatch.operators import upsert as UP
 from farewatch.plans import exports as EX
 from farewatch.plans.ingest import enrich_rows, transactions_from
 from farewatch.plans.pipeline import RUN_TIME, build_state, events_state
-from farewatch.session import configure
+from farewatch.session import configure, scratch_path
 from farewatch.sources import fixtures as FX
 from farewatch.sources import uploads as UPL
 
@@ -106,6 +108,26 @@ def q_src_upload_rows(spark, sf_dir):
                        F.array_join("cells", "|", "").alias("text"))
 
 
+@register("src_upload_files", O.with_cells() + """
+SELECT reader, upload_id, row_num, CAST(len(list_filter(cells, lambda c: c <> '')) AS INTEGER) AS n_values,
+       array_to_string(list_transform(cells, lambda c, i: CASE WHEN c <> '' THEN (i - 1) || '=' || c END), '|') AS text
+FROM srows CROSS JOIN (VALUES ('csv'), ('csv_lines'), ('xlsx')) AS r(reader)
+WHERE len(list_filter(cells, lambda c: c <> '')) > 0""")
+def q_src_upload_files(spark, sf_dir):
+    """The sheets written as CSV and xlsx files and read back by each reader (empty and null cells are one there)."""
+    configure(spark)
+    cells, folder = FX.events_sheet_cells(spark, sf_dir), scratch_path(spark, f"upload-files-{uuid.uuid4().hex[:12]}")
+    for kind in ("csv", "xlsx"):
+        UPL.write_uploads(cells, folder, kind)
+    readers = {"csv": UPL.read_csv_uploads, "csv_lines": UPL.read_csv_lines, "xlsx": UPL.read_xlsx_uploads}
+    rows = reduce(DataFrame.unionByName, (UPL.whole_uploads(read(spark, folder)).withColumn("reader", F.lit(name))
+                                          for name, read in readers.items()))
+    filled = F.transform("cells", lambda c, i: F.when(c != "", F.concat(i.cast("string"), F.lit("="), c)))
+    return (rows.select("reader", "upload_id", "row_num", F.size(F.filter("cells", lambda c: c != "")).alias("n_values"),
+                        F.array_join(filled, "|").alias("text"))
+            .where("n_values > 0"))
+
+
 @register("header_discovery", O.with_cells() + "SELECT upload_id, header_row, header_error FROM headers")
 def q_header_discovery(spark, sf_dir):
     _, headers, _ = _cells_typed(spark, sf_dir)

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from farewatch import constants as K
 from farewatch.functions import text as X
-from farewatch.session import bounded_broadcast
+from farewatch.session import bounded_broadcast, cut_lineage
 
 CELLS_SCHEMA = "upload_id long, row_num long, cells array<string>"
 
@@ -190,19 +190,50 @@ def _decode(pdf_iter, rows_of):
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """One row per file; upload_id is the first number in the file name."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    uid = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(\d+)", 1).cast("long")
-    return df.select("path", "content", uid.alias("upload_id"))
+    return df.select("path", "content", _upload_id(F.col("path")).alias("upload_id"))
+
+
+def _upload_id(path: Column) -> Column:
+    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d+)", 1).cast("long")
 
 
 def read_csv_uploads(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """S1 (CSV): each file is one upload; rows keep their line positions.
 
     A file is decoded by one task (sheet-sized inputs); many files spread
-    over all tasks.
+    over all tasks.  For large files without line breaks inside cells see
+    ``read_csv_lines``.
     """
     return _files(spark, path, "*.csv").mapInPandas(lambda it: _decode(it, lambda c: _csv_rows(c, delimiter)), CELLS_SCHEMA)
 
 
+def read_csv_lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """S1 (CSV whose cells hold no line breaks): files of any size, scanned in parallel splits.
+
+    Every line is a row; its position is the number of lines in the file's
+    earlier splits plus its place in its own.  Only one row per split is ranked.
+    """
+    lines = (spark.read.option("pathGlobFilter", "*.csv").text(path)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("at"), "value"))
+    lines = cut_lineage(lines, "csv-lines")
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+              .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
+    numbered = lines.join(bounded_broadcast(blocks), ["path", "block"]).select(
+        _upload_id(F.col("path")).alias("upload_id"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("row_num"), "value")
+
+    def cells_of(batches):
+        import csv
+
+        for pdf in batches:
+            lines = (v.removeprefix("\ufeff") if n == 1 else v for n, v in zip(pdf["row_num"], pdf.pop("value")))
+            pdf["cells"] = [[c if c != "" else None for c in next(csv.reader([v], delimiter=delimiter), [])] for v in lines]
+            yield pdf
+
+    return numbered.mapInPandas(cells_of, CELLS_SCHEMA)
+
+
 def read_xlsx_uploads(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
     """S1 (xlsx): first sheet by default, or one by position or name; decoded with the standard library.
 
@@ -213,6 +244,65 @@ def read_xlsx_uploads(spark: SparkSession, path: str, sheet: int | str = 0) -> D
     return _files(spark, path, "*.xlsx").mapInPandas(lambda it: _decode(it, lambda c: read_sheet_rows(c, sheet)), CELLS_SCHEMA)
 
 
+# Rows of one written file; the number in its name is upload_id * FILE_PARTS + part.
+FILE_ROWS = 50_000
+FILE_PARTS = 1_000_000
+
+
+def _csv_bytes(rows) -> bytes:
+    import csv
+    import io
+
+    out, at = io.StringIO(newline=""), 0
+    writer = csv.writer(out, lineterminator="\n")
+    for row_num, cells in rows:
+        out.write("\n" * (row_num - at - 1))
+        writer.writerow(["" if c is None else c for c in cells])
+        at = row_num
+    return out.getvalue().encode("utf-8")
+
+
+def _write_file(uri: str, content: bytes) -> None:
+    import re
+
+    from pyarrow import fs
+
+    store, target = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri) if ":/" in uri else f"file://{uri}")
+    store.create_dir(target.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(target, compression=None) as f:
+        f.write(content)
+
+
+def write_uploads(cells: DataFrame, path: str, kind: str) -> DataFrame:
+    """Sheet cells as ``csv`` or ``xlsx`` files in a shared folder; rows keep their positions.
+
+    A file holds ``FILE_ROWS`` positions of one upload, so no task sees a whole
+    upload.  A repeated task attempt writes the same file again.  Returns the
+    files (upload_id, part, rows); ``whole_uploads`` undoes the cut on reading.
+    """
+    def write(key, group):
+        import pandas as pd
+
+        from farewatch.sources.xlsx import sheet_bytes
+
+        upload_id, part = map(int, key)
+        group = group.sort_values("row_num")
+        rows = ((int(n) - part * FILE_ROWS, list(c)) for n, c in zip(group["row_num"], group["cells"]))
+        _write_file(f"{path}/{upload_id * FILE_PARTS + part}.{kind}", sheet_bytes(rows) if kind == "xlsx" else _csv_bytes(rows))
+        return pd.DataFrame({"upload_id": [upload_id], "part": [part], "rows": [len(group)]})
+
+    if kind not in ("csv", "xlsx"):
+        raise ValueError(f"uploads are written as csv or xlsx, not {kind!r}")
+    parts = cells.withColumn("part", F.expr(f"(row_num - 1) div {FILE_ROWS}"))
+    return cut_lineage(parts.groupBy("upload_id", "part").applyInPandas(write, "upload_id long, part long, rows long"), "upload-files")
+
+
+def whole_uploads(cells: DataFrame) -> DataFrame:
+    """Cells read from the files of ``write_uploads`` under their upload's id and positions."""
+    return cells.select(F.expr(f"upload_id div {FILE_PARTS}").alias("upload_id"),
+                        (F.col("row_num") + F.col("upload_id") % FILE_PARTS * FILE_ROWS).alias("row_num"), "cells")
+
+
 def read_parquet_uploads(spark: SparkSession, path: str) -> DataFrame:
     """S1 (Parquet): already in cells shape; fully parallel scan."""
     return spark.read.schema(CELLS_SCHEMA).parquet(path)

@@ -1,8 +1,8 @@
-"""Minimal .xlsx sheet decoder (standard library only), used inside tasks.
+"""Minimal .xlsx sheet decoder and writer (standard library only), used inside tasks.
 
-Yields (row_num, cells) for the non-empty rows of one worksheet, one row at a
-time; cells are strings (numbers as Python prints them, date-formatted numbers
-as 'YYYY-MM-DD HH:MM:SS').
+The decoder yields (row_num, cells) for the non-empty rows of one worksheet, one
+row at a time; cells are strings (numbers as Python prints them, date-formatted
+numbers as 'YYYY-MM-DD HH:MM:SS').
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from xml.sax.saxutils import escape
 
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -108,6 +109,41 @@ def _cell_text(c: ET.Element, strings: list[str], dates: set[int], epoch: _dt.da
     return _number_text(v.text) if kind == "n" else v.text
 
 
+def _col_name(index: int) -> str:
+    name, index = "", index + 1
+    while index:
+        index, letter = divmod(index - 1, 26)
+        name = chr(65 + letter) + name
+    return name
+
+
+def sheet_bytes(rows: Iterable[tuple[int, Sequence[str | None]]], name: str = "Sheet1") -> bytes:
+    """A workbook of one sheet with the given (row_num, cells) as inline strings; null cells are left out."""
+    main, rel, pkg = (x.strip("{}") for x in (_M, _R, _P))
+    types = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml",
+                   '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+                   '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+                   f'<Override PartName="/xl/workbook.xml" ContentType="{types}.sheet.main+xml"/>'
+                   f'<Override PartName="/xl/worksheets/sheet1.xml" ContentType="{types}.worksheet+xml"/></Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{pkg}"><Relationship Id="rId1" Type="{rel}/officeDocument" '
+                                  'Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>'
+                                      f'<sheet name="{escape(name)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{pkg}"><Relationship Id="rId1" '
+                                                 f'Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        with z.open("xl/worksheets/sheet1.xml", "w") as part:
+            part.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+            for row_num, cells in rows:
+                xml = "".join(f'<c r="{_col_name(i)}{row_num}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+                              for i, v in enumerate(cells) if v is not None)
+                part.write(f'<row r="{row_num}">{xml}</row>'.encode())
+            part.write(b"</sheetData></worksheet>")
+    return out.getvalue()
+
+
 def read_sheet_rows(content: bytes, sheet: int | str = 0) -> Iterator[tuple[int, list[str | None]]]:
     """Non-empty rows of a sheet given by position or name.
 

@@ -1,5 +1,6 @@
 """Upload file readers (CSV, xlsx, Parquet) and the ingest/scoring jobs."""
 
+import csv
 import os
 import zipfile
 
@@ -19,7 +20,6 @@ DATA = [["Продажа", "05.01.2024 10:20", "1 234,50", "Иванов Ива
 
 
 def _write_csv(path, rows):
-    import csv
     with open(path, "w", newline="", encoding="utf-8") as f:
         w = csv.writer(f)
         for r in rows:
@@ -76,6 +76,38 @@ def test_csv_and_xlsx_readers_agree(spark, tmp_dir):
     assert [x[1] for x in bc] == [x[1] for x in bx] == [7]
 
 
+def test_csv_lines_keep_positions_over_many_splits(spark, tmp_dir):
+    rows = [["Отчёт"], [], HEADER] + [[f"строка {i}", 'a "b", c', "", f"{i}"] if i % 7 else [] for i in range(900)]
+    for upload in (1, 2):
+        with open(os.path.join(tmp_dir, f"upload_{upload}.csv"), "w", newline="", encoding="utf-8-sig") as f:
+            csv.writer(f, lineterminator="\r\n" if upload == 1 else "\n").writerows(rows[:upload * 450])
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = sorted(map(tuple, UPL.read_csv_lines(spark, tmp_dir).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert got == sorted(map(tuple, UPL.read_csv_uploads(spark, tmp_dir).collect()))
+    assert [r[1] for r in got if r[0] == 1] == list(range(1, 451))
+
+
+def test_written_uploads_read_back(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(UPL, "FILE_ROWS", 100)
+    cells = spark.createDataFrame([(u, n, [f"<r {n}>", None, 'q"&, ', "Ж"][:n % 4 + 1]) for u in (3, 4) for n in range(1, 350) if n % 5],
+                                  UPL.CELLS_SCHEMA)
+    want = sorted(map(tuple, cells.collect()))
+    for kind, read in (("csv", UPL.read_csv_uploads), ("csv", UPL.read_csv_lines), ("xlsx", UPL.read_xlsx_uploads)):
+        files = UPL.write_uploads(cells, f"{tmp_dir}/{kind}", kind)
+        assert files.count() == 8 and files.agg(F.sum("rows")).first()[0] == len(want)
+        # A sheet reader does not return trailing empty cells.
+        got = UPL.whole_uploads(UPL.sheet_rows(read(spark, f"{tmp_dir}/{kind}"))).collect()
+        assert sorted((u, n, _trimmed(c)) for u, n, c in got) == [(u, n, _trimmed(c)) for u, n, c in want]
+
+
+def _trimmed(cells):
+    return cells[:max((i for i, c in enumerate(cells) if c is not None), default=-1) + 1]
+
+
 def test_missing_header_is_reported(spark):
     cells = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["x", "y"])], UPL.CELLS_SCHEMA)
     h = UPL.discover_headers(UPL.sheet_rows(cells)).first()
