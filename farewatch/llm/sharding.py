@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from farewatch.llm.common import save
+from farewatch.llm.common import save, shared_folder
 
 KEY_BITS = 62
 FANOUT = 64
@@ -119,53 +119,78 @@ def find_splitters(keyed: DataFrame, n_shards: int, tolerance: float = TOLERANCE
 
 def shard_rows(df: DataFrame, n_shards: int, text: str = "text", doc_id: str = "doc_id",
                overhead: int = 8, tolerance: float = TOLERANCE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``df``: its shard, and its gapless slot within the shard.
+    """One row per row of ``df``, read back from the shards that ``write_shards`` wrote.
 
     Columns: doc_id, size, text_crc32, the columns named in ``keep``, shard,
     slot.  Size is the UTF-8 length of the text plus ``overhead``.  A null text
     has size ``overhead`` and the checksum of no bytes; null ids are one id;
     repeated rows each get a slot (ties among them are broken arbitrarily but
     without gaps); an empty table gives no rows.  Columns of the input whose
-    names clash with the result are not read.
+    names clash with the result are written to the shards but not returned.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = add_keys(df.select(
-        F.col(doc_id).alias("doc_id"), (F.octet_length(t) + F.lit(overhead)).cast("long").alias("size"),
-        F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"),
-        F.when(F.col(text).isNotNull(), t).alias("__text"), *keep), F.col("__text"), F.col("doc_id"))
-    rows = save(rows.drop("__text"), "shard-keys")
-    splitters = find_splitters(rows.select("__h", "__g", "size"), n_shards, tolerance)
+    written = write_shards(df, n_shards, shared_folder(df.sparkSession, "shards"), tolerance, text, doc_id, overhead)
+    names = written_names(df.columns)
+    t = F.coalesce(quoted(names[text]), F.lit(""))
+    return written.select(
+        quoted(names[doc_id]).alias("doc_id"), row_bytes(t, overhead).alias("size"),
+        F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), *(quoted(names[c]).alias(c) for c in keep), "shard", "slot")
+
+
+def quoted(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def row_bytes(text: Column, overhead: int) -> Column:
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + F.lit(overhead)).cast("long")
+
+
+def written_names(columns: list[str]) -> dict[str, str]:
+    """Name in the shards of every input column: its own, or ``input_`` and its own if that is shard or slot."""
+    taken, out = {c.lower() for c in columns} | {"shard", "slot"}, {}
+    for c in columns:
+        name = c
+        if c.lower() in ("shard", "slot"):
+            while name.lower() in taken:
+                name = f"input_{name}"
+        out[c] = name
+    return out
+
+
+def write_shards(df: DataFrame, n_shards: int, path: str, tolerance: float = TOLERANCE, text: str = "text",
+                 doc_id: str = "doc_id", overhead: int = 8) -> DataFrame:
+    """Write the whole rows of ``df`` with their slot as one folder per shard after a single exchange.
+
+    Splitters and the first slot of every slice are found on the keys alone; the
+    rows then move once, to tasks that each hold neighbouring slices, and are
+    numbered there.  All columns are written, an input column shard or slot as
+    input_shard or input_slot.  ``df`` is read more than once and has to give
+    the same rows each time.
+    """
+    names = written_names(df.columns)
+    keyed = add_keys(df.select(*(quoted(c).alias(n) for c, n in names.items())), quoted(names[text]), quoted(names[doc_id]))
+    keys = save(keyed.select("__h", "__g", row_bytes(quoted(names[text]), overhead).alias("size")), "shard-keys")
+    splitters = find_splitters(keys, n_shards, tolerance)
     shard = " + ".join(f"cast({s.above()} AS int)" for s in splitters) or "0"
-    n_rows = rows.count()
     # Numbering: fine slices of the key order, so that neither a shard nor a
     # group of copies is numbered in one task.
-    slice_bits = max(0, (n_rows // ROWS_PER_SLICE).bit_length())
-    placed = (rows.withColumn("shard", F.expr(shard).cast("int"))
-              .withColumn("__s", F.shiftright("__h", KEY_BITS - slice_bits).cast("long") if slice_bits else F.lit(0))
-              .withColumn("__t", F.shiftright("__g", KEY_BITS - GROUP_SLICE_BITS).cast("long")))
+    slice_bits = max(0, (keys.count() // ROWS_PER_SLICE).bit_length())
     place = ["shard", "__s", "__t"]
-    starts = (placed.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("before", F.coalesce(F.sum("n").over(
-                  Window.partitionBy("shard").orderBy("__s", "__t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .drop("n"))
-    numbered = placed.withColumn("__n", F.row_number().over(Window.partitionBy(*place).orderBy("__h", "__g", "doc_id")))
-    return (numbered.join(starts, place)
-            .select("doc_id", "size", "text_crc32", *keep, "shard",
-                    (F.col("before") + F.col("__n") - 1).cast("long").alias("slot")))
-
 
-def write_shards(df: DataFrame, n_shards: int, path: str, tolerance: float = TOLERANCE) -> DataFrame:
-    """Write the whole rows of ``df`` as one folder per shard after a single exchange.
+    def placed(rows: DataFrame) -> DataFrame:
+        return (rows.withColumn("shard", F.expr(shard).cast("int"))
+                .withColumn("__s", F.shiftright("__h", KEY_BITS - slice_bits).cast("long") if slice_bits else F.lit(0).cast("long"))
+                .withColumn("__t", F.shiftright("__g", KEY_BITS - GROUP_SLICE_BITS).cast("long")))
 
-    Splitters are found on the keys alone; the rows then move once, to tasks
-    that each hold a slice of one shard.
-    """
-    keyed = add_keys(df, F.col("text"), F.col("doc_id"))
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
-    keys = save(keyed.select("__h", "__g", size.alias("size")), "shard-keys")
-    splitters = find_splitters(keys, n_shards, tolerance)
-    shard = F.expr(" + ".join(f"cast({s.above()} AS int)" for s in splitters) or "0").cast("int")
-    slices = F.shiftright("__g", KEY_BITS - GROUP_SLICE_BITS)
-    (keyed.withColumn("shard", shard).repartition("shard", slices).drop("__h", "__g")
-     .write.partitionBy("shard").parquet(path))
-    return df.sparkSession.read.parquet(path)
+    starts = (placed(keys).groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("__before", F.coalesce(F.sum("n").over(
+                  Window.partitionBy("shard").orderBy("__s", "__t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .drop("n"))
+    # A slice's start travels with its rows and sorts before them: no join after the exchange.
+    moved = (placed(keyed).unionByName(save(starts, "shard-starts"), allowMissingColumns=True)
+             .repartitionByRange(*place))
+    order = Window.partitionBy(*place).orderBy(F.col("__before").asc_nulls_last(), "__h", "__g", quoted(names[doc_id]))
+    numbered = (moved.withColumn("slot", F.first("__before").over(order) + F.row_number().over(order) - 2)
+                .where("__before IS NULL")
+                .select(*(quoted(n) for n in names.values()), F.col("slot").cast("long").alias("slot"), "shard"))
+    numbered.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +230,22 @@ def test_write_shards_keeps_whole_rows(docs, spark):
     assert {tuple(r) for r in back.select("doc_id", "text").collect()} == {tuple(r) for r in docs.select("doc_id", "text").collect()}
 
 
+def test_sharded_rows_come_from_whole_rows_in_the_shards(spark, rows):
+    table = frame(spark, [*rows, rows[5], (9001, None), (None, "no id"), (None, "no id")])
+    table = table.withColumn("shard", F.lit("old")).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id"))).coalesce(3)
+    got = sharding.shard_rows(table, 4, keep=("lang",))
+    folder = got.inputFiles()[0].split("/shard=")[0]
+    back = spark.read.parquet(folder)
+    names = [{"shard": "input_shard"}.get(c, c) for c in table.columns]
+    assert Counter(map(tuple, back.select(*names).collect())) == Counter(map(tuple, table.collect()))
+    assert Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode()), r["lang"], r["shard"], r["slot"])
+                   for r in back.collect()) == Counter(map(tuple, got.collect()))
+    shards = {}
+    for r in back.collect():
+        shards.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(shards) == [0, 1, 2, 3] and all(sorted(s) == list(range(len(s))) for s in shards.values())
+
+
 # -- 1 mixing ---------------------------------------------------------------
 
 def test_raking_meets_targets(spark):
