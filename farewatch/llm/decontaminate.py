@@ -6,6 +6,8 @@ may occur with up to ``floor(ERROR_RATE * n)`` = k character edits.  It is cut
 into k + 1 pieces; an occurrence with at most k edits contains at least one
 piece unchanged.  One automaton finds all pieces of all items in a text; the
 text around each hit is verified with Myers' bit-parallel edit distance.
+Items too short for an edit occur as whole words; items without letters and
+digits are searched in the raw text instead of the normal form.
 
 The items are the stated query set.  They go to the tasks in blocks of bounded
 size, one scan of the documents per block; documents are scanned where they
@@ -21,18 +23,34 @@ from pyspark.sql import DataFrame, functions as F
 from farewatch.llm.common import save
 
 ERROR_RATE = 0.075
-# Items with fewer characters in normal form are not searched.
-MIN_CHARS = 24
+# Items with fewer characters are not searched: items of every length are.
+MIN_CHARS = 1
+# Items without an edit and with fewer characters than this occur as whole words only.
+WORD_CHARS = 14
 # Text bytes of the items sent to the tasks at once.
 BLOCK_BYTES = 4 << 20
 MATCHES = "doc_id long, item_id long, distance int, match_end long"
 _GAP = re.compile(r"[\W_]+")
+# Scripts written without spaces between words: Thai to Lao, Myanmar, Khmer, kana and ideographs.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+                       "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normal_form(text: str | None) -> str:
     return _GAP.sub(" ", text.lower()).strip() if text else ""
 
 
+def raw_form(text: str | None) -> str:
+    """The text with every run of white space as one space."""
+    return " ".join(text.split()) if text else ""
+
+
+def whole_words(line: str, begin: int, end: int) -> bool:
+    """Whether words begin and end at both edges of ``line[begin:end]``, a part of a normal form."""
+    return all(a == " " or b == " " or _UNSPACED.match(a) or _UNSPACED.match(b)
+               for a, b in (line[at - 1:at + 1] for at in (begin, end) if 0 < at < len(line)))
+
+
 def pieces(pattern: str, k: int) -> list[tuple[int, str]]:
     """(offset, piece) of k + 1 pieces of near-equal length that make up the pattern."""
     cuts = [i * len(pattern) // (k + 1) for i in range(k + 2)]
@@ -74,20 +92,17 @@ def best_match(masks: dict[str, int], m: int, text: str, k: int) -> tuple[int, i
     return (best, at) if best <= k else None
 
 
-class Matcher:
-    """All items of a block: piece automaton and verification tables."""
+class Patterns:
+    """Items in one form: piece automaton and verification tables."""
 
-    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, words: bool):
         import ahocorasick
 
         self.items, found = [], {}
-        for item_id, text in items:
-            pattern = normal_form(text)
-            if len(pattern) < min_chars:
-                continue
+        for number, (item_id, pattern) in enumerate(items):
             k = int(error_rate * len(pattern))
-            number = len(self.items)
-            self.items.append((item_id, pattern, k, char_masks(pattern)))
+            bounded = words and not k and len(pattern) < WORD_CHARS
+            self.items.append((item_id, pattern, k, char_masks(pattern) if k else None, bounded))
             for offset, piece in pieces(pattern, k):
                 found.setdefault(piece, []).append((number, offset))
         self.automaton = ahocorasick.Automaton()
@@ -96,18 +111,20 @@ class Matcher:
         if found:
             self.automaton.make_automaton()
 
-    def matches(self, text: str | None) -> list[tuple[int | None, int, int]]:
-        """(item_id, distance, end in normal form) of each item that occurs in ``text``."""
-        if not self.items or not text:
-            return []
-        line = normal_form(text)
+    def matches(self, line: str) -> list[tuple[int | None, int, int]]:
+        """(item_id, distance, end) of each item that occurs in ``line``."""
         starts: dict[int, set[int]] = {}
+        exact: dict[int, int] = {}
         for end, (length, places) in self.automaton.iter(line):
             for number, offset in places:
-                starts.setdefault(number, set()).add(end + 1 - length - offset)
-        out = []
+                _, _, k, _, bounded = self.items[number]
+                if k:
+                    starts.setdefault(number, set()).add(end + 1 - length - offset)
+                elif number not in exact and (not bounded or whole_words(line, end + 1 - length, end + 1)):
+                    exact[number] = end + 1
+        out = [(self.items[number][0], 0, end) for number, end in exact.items()]
         for number, begins in starts.items():
-            item_id, pattern, k, masks = self.items[number]
+            item_id, pattern, k, masks, _ = self.items[number]
             best, reach = None, None
             # Hits whose windows overlap are verified in one go.
             for begin in [*sorted(begins), None]:
@@ -124,6 +141,23 @@ class Matcher:
         return out
 
 
+class Matcher:
+    """All items of a block: those with a normal form, and the rest by their raw form."""
+
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_chars: int):
+        normal = [(item_id, normal_form(text)) for item_id, text in items]
+        raw = [(item_id, raw_form(text)) for (item_id, text), (_, pattern) in zip(items, normal, strict=True) if not pattern]
+        self.groups = []
+        for form, forms, words in ((normal_form, normal, True), (raw_form, raw, False)):
+            searched = [(item_id, pattern) for item_id, pattern in forms if len(pattern) >= max(1, min_chars)]
+            if searched:
+                self.groups.append((form, Patterns(searched, error_rate, words)))
+
+    def matches(self, text: str | None) -> list[tuple[int | None, int, int]]:
+        """(item_id, distance, end in the item's form of the text) of each item that occurs in ``text``."""
+        return [m for form, patterns in self.groups for m in patterns.matches(form(text))] if text else []
+
+
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     """The items as lists of (item_id, text), each of about ``block_bytes`` at most."""
     items = save(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -164,9 +198,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     """One row per document and benchmark item that occurs in it.
 
     Columns: doc_id, item_id, distance (fewest edits), match_end (end of the
-    first such occurrence, in characters of the normal form).  Null and empty
-    texts match nothing; null item texts and items under ``min_chars`` are not
-    searched; repeated rows of either table give repeated rows; rows with a null
+    first such occurrence, in characters of the normal form).  Items of every
+    length are searched: without room for an edit (under 14 characters at the
+    default rate) as whole words, where each character of a script written
+    without spaces is a word.  Items without letters and digits are searched,
+    and their match_end counted, in the raw text with white space runs as one
+    space.  Null and empty texts match nothing; null and blank item texts, and
+    items under ``min_chars`` characters, are not searched; repeated rows of either table give repeated rows; rows with a null
     id are matched like others.  Without items or documents there are no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

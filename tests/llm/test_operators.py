@@ -444,6 +444,20 @@ def test_leaks_equal_brute_force(spark):
     assert clean.count() == len(rows) - len({d for d, _, _ in want}) and clean.columns == frame(spark, rows).columns
 
 
+def test_short_and_symbol_items_are_found(spark):
+    items = [(1, "What is it?"), (2, "42"), (3, "水的沸点是多少度？"), (4, "∑ ≠\n∞"), (5, "x**2+1"), (6, " \t"), (7, "_"), (8, "is it"),
+             (9, "capital of peru"), (10, "中国最长的河流是哪一条河请回答")]
+    texts = {1: "So: WHAT, is it now", 2: "room 421 or 142", 3: "room 42.", 4: "请问水的沸点是多少度呢", 5: "we know ∑  ≠ ∞.", 6: "x 2 1",
+             7: "what is item", 8: "a_b", 9: "the capitol of peru?", 10: "!?", 11: "问:中国最长的河是哪一条河请回答!", 12: "∑≠∞", 13: ""}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(frame(spark, texts.items()), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in found) == [
+        (1, 1, 0), (1, 8, 0), (3, 2, 0), (4, 3, 0), (5, 4, 0), (6, 5, 0), (8, 7, 0), (9, 9, 1), (11, 10, 1)]
+    assert {r["item_id"]: r["match_end"] for r in found if r["doc_id"] in (1, 5)} == {1: 13, 8: 13, 4: 13}
+    clean = decontaminate.drop_leaks(frame(spark, texts.items()), benchmark)
+    assert sorted(r["doc_id"] for r in clean.collect()) == [2, 7, 10, 12, 13]
+
+
 # -- 10 toxicity ------------------------------------------------------------
 
 def test_gradients_match_differences():
