@@ -277,27 +277,48 @@ def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 def keep_representatives(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is the smallest of their class.
 
-    Rows without a valid id and texts without words are kept.  The texts are
-    not shuffled: each part's dropped ids are looked up where its rows are.
+    Of rows that repeat such a doc_id with the same text the first stays; its
+    rows with other texts all stay.  Rows without a valid id and texts without
+    words are kept.  The texts are not shuffled: each part's dropped ids and
+    rows are looked up where its rows are.
     """
-    copy = save(docs.withColumn("__part", F.spark_partition_id().cast("long")), "jaccard-copy")
-    classes = classes_of(sketch.keyed(copy, F.col("__part")), threshold, shingle)
+    copy = save(docs.withColumn("__part", F.spark_partition_id().cast("long"))
+                .withColumn("__row", F.monotonically_increasing_id()), "jaccard-copy")
+    classes = save(classes_of(sketch.keyed(copy, F.col("__part")), threshold, shingle), "jaccard-classes")
     dropped = sketch.write_by_part(classes.where("doc_id <> component_id").select("part", "doc_id"), "jaccard-dropped")
+    repeats = repeated_rows(copy, classes)
 
     def run(batches):
         import pyarrow as pa
 
-        at, gone = None, None
+        def held(path, part, column):
+            table = sketch.read_part(path, part) if path else None
+            return set() if table is None else set(table.column(column).to_pylist())
+
+        at, gone, again = None, None, None
         for batch in batches:
             kept = []
-            for part, doc in zip(batch.column("__part").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+            for part, doc, row in zip(*(batch.column(c).to_pylist() for c in ("__part", "doc_id", "__row")), strict=True):
                 if part != at:
-                    table = sketch.read_part(dropped, part)
-                    at, gone = part, set() if table is None else set(table.column("doc_id").to_pylist())
-                kept.append(doc not in gone)
+                    at, gone, again = part, held(dropped, part, "doc_id"), held(repeats, part, "row")
+                kept.append(doc not in gone and row not in again)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return copy.mapInArrow(run, copy.schema).drop("__part")
+    return copy.mapInArrow(run, copy.schema).drop("__part", "__row")
+
+
+def repeated_rows(copy: DataFrame, classes: DataFrame) -> str | None:
+    """Folder by part of the rows that repeat an earlier row's doc_id and text, of representatives; None without any."""
+    several = save(classes.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
+                   .where("m > 1").select("doc_id"), "jaccard-several")
+    if several.isEmpty():
+        return None
+    rows = copy.where(F.regexp_count("text", F.lit(WORD_PATTERN)) > 0).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
+        F.col("__part").alias("part"), F.col("__row").alias("row"))
+    rows = save(rows.join(several, "doc_id", "left_semi"), "jaccard-several-rows")
+    firsts = rows.groupBy("doc_id", "digest").agg(F.min("row").alias("row")).select("row")
+    return sketch.write_by_part(rows.join(firsts, "row", "left_anti").select("part", "row"), "jaccard-repeats")
 
 
 def classes_of(copy: DataFrame, threshold: int, shingle: int) -> DataFrame:

@@ -160,6 +160,16 @@ def test_jaccard_equals_brute_force(docs, rows):
     assert got == brute_classes(rows)
 
 
+def test_one_row_of_a_repeated_representative_stays(spark):
+    text, other = "a b c d e f g h", "q r s t u v w x"
+    table = [(1, text), (2, text), (1, text), (1, other), (1, text), (2, text), (3, "alone here"), (3, "alone here"),
+             (None, text), (None, text), (4, ""), (4, ""), (5, None)]
+    kept = jaccard.keep_representatives(frame(spark, table).repartition(3))
+    assert kept.columns == frame(spark, []).columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(
+        [(1, text), (1, other), (3, "alone here"), (None, text), (None, text), (4, ""), (4, ""), (5, None)])
+
+
 def test_jaccard_many_overlapping_groups(spark, monkeypatch):
     """Chains of edits: links exist only between some pairs, and lists are cut into grid cells."""
     monkeypatch.setattr(jaccard, "LIST_CELL", 8)
