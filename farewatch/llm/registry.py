@@ -7,7 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farewatch.llm import chat, decontaminate, jaccard, mixing, packing, sharding, substring, topk, toxicity, warc
+from farewatch.llm import (chat, decontaminate, jaccard, mixing, packing, sharding, spelling, substring, topk, toxicity,
+                           warc)
 from farewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +94,11 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@register("op11_spelling_variants", spelling.oracle_sql())
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
