@@ -22,7 +22,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def _norm(v, digits):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "∅"
     if isinstance(v, float):
         return repr(round(v, digits)) if digits is not None else repr(v)
@@ -35,7 +35,13 @@ def _norm(v, digits):
     return str(v)
 
 
+def nullable_integers(df: pd.DataFrame) -> pd.DataFrame:
+    """Integer columns as floats where they may hold nulls, on both sides alike."""
+    return df.astype({c: "float64" for c, t in df.dtypes.items() if str(t) in ("Int8", "Int16", "Int32", "Int64")})
+
+
 def frame_hash(df: pd.DataFrame, digits=None) -> str:
+    df = nullable_integers(df)
     cols = sorted(df.columns)
     rows = sorted("|".join(_norm(r[c], digits) for c in cols) for r in df.to_dict("records"))
     return hashlib.sha256("\n".join(rows).encode()).hexdigest()[:16]
