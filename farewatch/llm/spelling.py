@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from farewatch.llm.common import save
+from farewatch.llm.common import CRC32_TABLE_SQL, crc32_sql, save
 
 MIN_LENGTH = 7
 MIN_COUNT = 2
@@ -307,13 +307,10 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
 @cache
 def oracle_sql() -> str:
     return f"""
-WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY i) AS t
-  FROM (SELECT unnest(range(0::BIGINT, 256)) AS i)),
+WITH RECURSIVE {CRC32_TABLE_SQL},
 runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(
     translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
-hashed AS (SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(
-    range(1, strlen(s) * 2, 2), lambda i: ('0x' || hex(encode(s))[i:i + 1])::BIGINT)),
-    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+hashed AS (SELECT run, k, {crc32_sql('s')} AS h
   FROM (SELECT run, k, coalesce(CAST(doc_id AS VARCHAR) || ':' || run, '') AS s FROM runs), crc),
 w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % {NOISE_DIVISOR} = 0 THEN
     substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
