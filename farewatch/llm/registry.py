@@ -7,8 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from farewatch.llm import (chat, decontaminate, jaccard, merkle, mixing, packing, sharding, spelling, substring, topk,
-                           toxicity, warc)
+from farewatch.llm import (chat, decontaminate, fastsketch, jaccard, merkle, mixing, packing, sharding, spelling, substring,
+                           topk, toxicity, warc)
 from farewatch.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,11 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+@register("op12_fast_minhash", fastsketch.oracle_sql())
+def op12_fast_minhash(spark, sf_dir):
+    return fastsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op13_merkle_manifest", merkle.oracle_sql())
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.verify_tampered(table(spark, sf_dir, "documents"))
