@@ -4,12 +4,13 @@ A *part* is what one task wrote when the texts were copied to the shared
 folder; its number is stored with every row, so later scans know it whatever
 their own splits are.
 
-Pass 1 turns each part's keys into sketch cells (two hash rows) and ships them
-as gap-coded cell lists, about a byte per key and row, grouped by segment of
-the cell range.  Merging a segment adds the parts' counts; the cells counted
-twice or more go back to the parts that hold them.  A key whose cells are all
-returned is estimated repeated; collisions only raise an estimate, so no
-repeated key is lost.  Nothing of the merged sketch reaches the driver, and a
+Pass 1 turns each part's keys into sketch cells (two hash rows), merges equal cells
+and ships them as gap-coded cell lists, about a byte per key and row, with the
+counts of cells met several times, grouped by segment of the cell range.
+Merging a segment adds the parts' counts, list by list, up to a largest number;
+the cells counted twice or more go back to the parts that hold them, with the
+logarithm of their count.  A key whose cells are all returned is estimated
+repeated; collisions only raise an estimate, so no repeated key is lost.  Nothing of the merged sketch reaches the driver, and a
 task sees one segment, or the answers for one part.
 """
 
@@ -26,14 +27,18 @@ from farewatch.llm.texthash import Hasher, TextBlock, mix, text_blocks
 
 SKETCH_ROWS = 2
 CELLS_PER_KEY = 4
-SEGMENT_BITS = 22
+# Segments grow with the sketch, so that a flush has some hundred cells for each.
+SEGMENT_BITS = (22, 26)
+SEGMENTS_BITS = 12
 FLUSH_KEYS = 2_000_000
-COUNT_CAP = 255
+# Counts stop here; their codes are exact up to EXACT_CODES, then eight steps for each doubling.
+COUNT_CAP = 2**30
+EXACT_CODES = 64
 # Stands for a null doc_id inside tasks.
 NULL_ID = -2**63
 _ROW_SALT = 0x9E3779B97F4A7C15
 
-CELLS = "row int, segment long, part long, gaps binary"
+CELLS = "row int, segment long, part long, gaps binary, several binary"
 ANSWERS = "part long, row int, segment long, gaps binary, counts binary"
 
 
@@ -48,7 +53,18 @@ def keyed(docs: DataFrame, part: Column) -> DataFrame:
 
 def cell_bits(n_keys: int) -> int:
     """log2 of the cells of a sketch row for about ``n_keys`` keys."""
-    return max(SEGMENT_BITS, int(CELLS_PER_KEY * max(1, n_keys) - 1).bit_length())
+    return max(SEGMENT_BITS[0], int(CELLS_PER_KEY * max(1, n_keys) - 1).bit_length())
+
+
+def segment_bits(bits: int) -> int:
+    """log2 of the cells of one segment of a sketch of ``bits``."""
+    return min(max(SEGMENT_BITS[0], bits - SEGMENTS_BITS), SEGMENT_BITS[1])
+
+
+def count_code(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that keep their order: 1 stays 1, large ones are on a logarithmic scale."""
+    scaled = EXACT_CODES + np.floor(8 * np.log2(np.maximum(counts, 1) / EXACT_CODES))
+    return np.where(counts <= EXACT_CODES, counts, np.minimum(scaled, 255)).astype(np.uint8)
 
 
 def cells_of(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -71,30 +87,41 @@ def decode_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(codes, dtype=np.int64)[codes != np.iinfo(codes.dtype).max]
 
 
-def sketch_records(part: int, keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(row, segment, part, gaps) of one flush of a part's keys."""
+def sketch_records(part: int, keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(row, segment, part, gaps of the distinct cells, counts of those met several times) of one flush of a part's keys."""
+    width = segment_bits(bits)
     for row in range(SKETCH_ROWS):
-        cells = np.sort(cells_of(keys, row, bits))
-        segments = (cells >> np.uint64(SEGMENT_BITS)).astype(np.int64)
+        cells, counts = np.unique(cells_of(keys, row, bits), return_counts=True)
+        segments = (cells >> np.uint64(width)).astype(np.int64)
         edges = np.flatnonzero(np.diff(segments, prepend=-1, append=-1)) if len(cells) else []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            local = cells[a:b] & np.uint64((1 << SEGMENT_BITS) - 1)
-            yield row, int(segments[a]), part, encode_gaps(local)
-
-
-def _merge_segment(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    lists = [decode_gaps(g) for g in group["gaps"]]
-    total = np.zeros(1 << SEGMENT_BITS, dtype=np.int32)
-    for cells in lists:
-        distinct, counts = np.unique(cells, return_counts=True)
-        total[distinct] += counts.astype(np.int32)
-    out = []
-    for part, cells in zip(group["part"], lists, strict=True):
-        kept = np.unique(cells)
-        kept = kept[total[kept] > 1]
-        if len(kept):
-            out.append((part, key[0], key[1], encode_gaps(kept), np.minimum(total[kept], COUNT_CAP).astype(np.uint8).tobytes()))
-    return pd.DataFrame(out, columns=["part", "row", "segment", "gaps", "counts"])
+            local = cells[a:b] & np.uint64((1 << width) - 1)
+            several = np.flatnonzero(counts[a:b] > 1)
+            yield row, int(segments[a]), part, encode_gaps(local), np.stack([several, counts[a:b][several]]).astype("<u4").tobytes()
+
+
+def segment_cells(gaps: bytes, several: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of a record and their counts."""
+    cells = decode_gaps(gaps)
+    counts = np.ones(len(cells), dtype=np.int64)
+    at, more = np.frombuffer(several, dtype="<u4").reshape(2, -1)
+    counts[at] = more
+    return cells, counts
+
+
+def _merge_segment(width: int):
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1 << width, dtype=np.uint32)
+        for gaps, several in zip(group["gaps"], group["several"], strict=True):
+            cells, counts = segment_cells(gaps, several)
+            total[cells] = np.minimum(total[cells] + counts, COUNT_CAP)
+        out = []
+        for part, own in group.groupby("part", sort=False):
+            kept = np.unique(np.concatenate([c[total[c] > 1] for c in map(decode_gaps, own["gaps"])]))
+            if len(kept):
+                out.append((part, key[0], key[1], encode_gaps(kept), count_code(total[kept]).tobytes()))
+        return pd.DataFrame(out, columns=["part", "row", "segment", "gaps", "counts"])
+    return run
 
 
 def write_by_part(df: DataFrame, name: str) -> str:
@@ -126,7 +153,7 @@ class Estimates:
         frame = table.to_pandas() if table is not None else pd.DataFrame(columns=["row", "segment", "gaps", "counts"])
         for row in range(SKETCH_ROWS):
             own = frame[frame["row"] == row].sort_values("segment", kind="stable")
-            cells = [decode_gaps(g) + (s << SEGMENT_BITS) for s, g in zip(own["segment"], own["gaps"], strict=True)]
+            cells = [decode_gaps(g) + (s << segment_bits(bits)) for s, g in zip(own["segment"], own["gaps"], strict=True)]
             counts = [np.frombuffer(c, dtype=np.uint8) for c in own["counts"]]
             cells = np.concatenate(cells) if cells else np.zeros(0, dtype=np.int64)
             counts = np.concatenate(counts) if counts else np.zeros(0, dtype=np.uint8)
@@ -136,10 +163,10 @@ class Estimates:
             self.rows.append((cells, counts))
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated count of each key (never below the true one up to COUNT_CAP); 1 if not repeated."""
+        """Code (``count_code``) of each key's estimated count, never below the true one's; 1 if not repeated."""
         out = np.ones(len(keys), dtype=np.uint8)
         open_ = np.arange(len(keys))
-        lowest = np.full(len(keys), COUNT_CAP, dtype=np.uint8)
+        lowest = np.full(len(keys), 255, dtype=np.uint8)
         for row, (cells, counts) in enumerate(self.rows):
             if not len(cells) or not len(open_):
                 return out
@@ -172,7 +199,8 @@ def build(copy: DataFrame, keys_of: Callable, n_keys: int, name: str) -> tuple[s
     bits = cell_bits(n_keys)
 
     def run(batches):
-        schema = pa.schema([("row", pa.int32()), ("segment", pa.int64()), ("part", pa.int64()), ("gaps", pa.binary())])
+        schema = pa.schema([("row", pa.int32()), ("segment", pa.int64()), ("part", pa.int64()), ("gaps", pa.binary()),
+                            ("several", pa.binary())])
         held, size, at = [], 0, None
 
         def flush():
@@ -191,5 +219,6 @@ def build(copy: DataFrame, keys_of: Callable, n_keys: int, name: str) -> tuple[s
             size += len(keys)
         yield from flush()
 
-    merged = copy.mapInArrow(run, CELLS).groupBy("row", "segment").applyInPandas(_merge_segment, ANSWERS)
+    merged = copy.mapInArrow(run, CELLS).groupBy("row", "segment").applyInPandas(
+        _merge_segment(segment_bits(bits)), ANSWERS)
     return write_by_part(merged, name), bits
