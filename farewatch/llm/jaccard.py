@@ -40,7 +40,7 @@ THRESHOLD = 75
 LIST_CELL = 4096
 TASK_ROWS = 100_000
 BLOCK = 64
-DIGESTS = "doc_id long, part long, n long, d1 long, d2 long"
+DIGESTS = "row long, doc_id long, part long, n long, d1 long, d2 long"
 SETS = "cid long, n int, first int, prefix int, items array<long>"
 PAIRS = "a long, b long"
 
@@ -62,37 +62,48 @@ def document_sets(block, hasher: Hasher, shingle: int):
             yield i, [np.zeros(0, dtype=np.uint64) for _ in wide]
 
 
+def _row_blocks(batch, hasher: Hasher):
+    """(part, places of its texts in the batch, block of texts) of an Arrow batch (row, doc_id, text, part)."""
+    import pyarrow as pa
+
+    places = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text"), batch.column("part")],
+                                        names=["doc_id", "text", "part"])
+    return sketch.part_blocks(places, hasher)
+
+
 def _digest_task(shingle: int):
     def run(batches):
         import pyarrow as pa
 
         hasher = Hasher(2, fold_case=True)
         for batch in batches:
-            for part, ids, block in sketch.part_blocks(batch, hasher):
+            for _, places, block in _row_blocks(batch, hasher):
                 n, d1, d2 = [], [], []
                 for _, (s1, s2) in document_sets(block, hasher, shingle):
                     n.append(len(s1))
                     d1.append(s1.sum(dtype=np.uint64))
                     d2.append(s2.sum(dtype=np.uint64))
+                at = pa.array(places)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == sketch.NULL_ID), pa.array(np.full(len(ids), part, dtype=np.int64)), pa.array(np.array(n, dtype=np.int64)),
+                    [*(batch.column(c).take(at) for c in ("row", "doc_id", "part")), pa.array(np.array(n, dtype=np.int64)),
                      pa.array(np.array(d1, dtype=np.uint64).view(np.int64)), pa.array(np.array(d2, dtype=np.uint64).view(np.int64))],
-                    names=["doc_id", "part", "n", "d1", "d2"])
+                    names=["row", "doc_id", "part", "n", "d1", "d2"])
     return run
 
 
 def _representatives(batches, hasher: Hasher, copies: str, shingle: int):
-    """(part, id, set) of the documents that stand for their class."""
+    """(part, row, set) of the rows that stand for their class."""
     at, skipped = None, None
     for batch in batches:
-        for part, ids, block in sketch.part_blocks(batch, hasher):
+        rows = batch.column("row").to_numpy()
+        for part, places, block in _row_blocks(batch, hasher):
             if part != at:
                 table = sketch.read_part(copies, part)
-                at, skipped = part, set() if table is None else set(table.column("doc_id").to_pylist())
+                at, skipped = part, set() if table is None else set(table.column("row").to_pylist())
             for i, (items, *_) in document_sets(block, hasher, shingle):
-                doc = int(ids[i])
-                if len(items) and doc != sketch.NULL_ID and doc not in skipped:
-                    yield part, doc, items
+                row = int(rows[places[i]])
+                if len(items) and row not in skipped:
+                    yield part, row, items
 
 
 def _sketch_keys(copies: str, shingle: int):
@@ -219,7 +230,7 @@ def remaining_pairs(postings: DataFrame, classes: DataFrame, threshold: int) ->
 
 
 def link_sets(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(node, component) of the sets (SETS) that link with another."""
+    """Edges (v, u) that connect the sets (SETS) which link, directly or through others."""
     postings = save(sets.select("cid", "n", "first", F.posexplode(F.slice("items", F.col("first") + 1, F.col("prefix") - F.col("first"))))
                     .select("cid", "n", (F.col("first") + F.col("pos")).alias("pos"), F.col("col").alias("item")), "jaccard-postings")
     # Stars: each set with the smallest set of about its size in the list.
@@ -238,7 +249,7 @@ def link_sets(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             .select("a", (-F.col("best.b")).alias("centre"), F.col("best.o").alias("oc"), F.col("best.nb").alias("nc")))
     pairs = save(remaining_pairs(postings, classes, threshold), "jaccard-pairs")
     if pairs.isEmpty():
-        return classes
+        return links
     known = sets.select("cid", "n").join(near.withColumnRenamed("a", "cid"), "cid", "left").select(
         "cid", "n", F.coalesce("centre", "cid").alias("centre"), F.coalesce("oc", "n").alias("oc"), F.coalesce("nc", "n").alias("nc"))
 
@@ -259,7 +270,7 @@ def link_sets(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     checked = (overlaps(derived.where("NOT sure").select("a", "b"), sets)
                .where(linked(F.col("o"), F.col("na"), F.col("nb"), threshold)))
     more = derived.where("sure").select("a", "b").unionByName(checked.select("a", "b"))
-    return components(links.unionByName(more.select(F.col("a").alias("v"), F.col("b").alias("u"))))
+    return links.unionByName(more.select(F.col("a").alias("v"), F.col("b").alias("u")))
 
 
 def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -268,77 +279,101 @@ def jaccard_classes(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     Documents link when 100 * overlap >= ``threshold`` * union of their shingle
     sets; component_id is the smallest doc_id reachable by links.  Empty and
     null texts have empty sets, link with nothing and are their own component.
-    Rows that share a doc_id are one document of several texts.  Rows with a
+    Rows that share a doc_id are one document of several texts: all their links
+    are its own, wherever the rows lie.  Rows with a
     null doc_id link with nothing and have a null component.  An empty table gives no rows.  Other columns are not read.
     """
-    return classes_of(sketch.copy_by_part(docs, "jaccard-copy"), threshold, shingle).drop("part")
+    copy = save(sketch.keyed(docs, F.spark_partition_id().cast("long")).withColumn("row", F.monotonically_increasing_id()), "jaccard-copy")
+    member, links = _linked_classes(copy, threshold, shingle)
+    # The classes of a document's several texts are connected, too.
+    of_doc = member.where("class IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    several = of_doc.where("lo <> hi").select("doc_id", "lo")
+    own = member.join(several, "doc_id").where("class <> lo").select(F.col("class").alias("v"), F.col("lo").alias("u")).distinct()
+    named = _named(member, components(links.unionByName(own)))
+    return member.join(named, "class", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of their class.
+    """The rows of ``docs``, all columns, of which one stands for each class of linked texts: the smallest doc_id, then the first row.
 
-    Of rows that repeat such a doc_id with the same text the first stays; its
-    rows with other texts all stay.  Rows without a valid id and texts without
-    words are kept.  The texts are not shuffled: each part's dropped ids and
-    rows are looked up where its rows are.
+    Classes are of rows: several texts under one doc_id do not connect theirs, so
+    no text goes without a kept row that links with it, directly or through
+    others.  Rows without a doc_id and texts without words are kept.  Columns of
+    any name are kept as they are.  The texts are not shuffled: each part's
+    dropped rows are looked up where they are.
     """
-    copy = save(docs.withColumn("__part", F.spark_partition_id().cast("long"))
-                .withColumn("__row", F.monotonically_increasing_id()), "jaccard-copy")
-    classes = save(classes_of(sketch.keyed(copy, F.col("__part")), threshold, shingle), "jaccard-classes")
-    dropped = sketch.write_by_part(classes.where("doc_id <> component_id").select("part", "doc_id"), "jaccard-dropped")
-    repeats = repeated_rows(copy, classes)
+    part, row = _free_names(docs.columns, "part", "row")
+    copy = save(docs.withColumn(part, F.spark_partition_id().cast("long")).withColumn(row, F.monotonically_increasing_id()), "jaccard-copy")
+    keyed = copy.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.col(f"`{part}`").alias("part"), F.col(f"`{row}`").alias("row"))
+    member, links = _linked_classes(keyed, threshold, shingle)
+    # The kept row of a group: of its smallest doc_id the first.
+    grouped = member.where("class IS NOT NULL").join(components(links), F.col("class") == F.col("node"), "left").select(
+        "row", "part", "doc_id", F.coalesce("component", "class").alias("group"))
+    grouped = save(grouped, "jaccard-grouped")
+    least = save(grouped.groupBy("group").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-least")
+    repeated = save(grouped.join(least, "group"), "jaccard-repeated")
+    kept = repeated.where("doc_id = least").groupBy("group").agg(F.min("row").alias("row")).select("row")
+    dropped = sketch.write_by_part(repeated.join(kept, "row", "left_anti").select("part", "row"), "jaccard-dropped")
 
     def run(batches):
         import pyarrow as pa
 
-        def held(path, part, column):
-            table = sketch.read_part(path, part) if path else None
-            return set() if table is None else set(table.column(column).to_pylist())
-
-        at, gone, again = None, None, None
+        at, gone = None, None
         for batch in batches:
-            kept = []
-            for part, doc, row in zip(*(batch.column(c).to_pylist() for c in ("__part", "doc_id", "__row")), strict=True):
-                if part != at:
-                    at, gone, again = part, held(dropped, part, "doc_id"), held(repeats, part, "row")
-                kept.append(doc not in gone and row not in again)
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return copy.mapInArrow(run, copy.schema).drop("__part", "__row")
-
-
-def repeated_rows(copy: DataFrame, classes: DataFrame) -> str | None:
-    """Folder by part of the rows that repeat an earlier row's doc_id and text, of representatives; None without any."""
-    several = save(classes.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
-                   .where("m > 1").select("doc_id"), "jaccard-several")
-    if several.isEmpty():
-        return None
-    rows = copy.where(F.regexp_count("text", F.lit(WORD_PATTERN)) > 0).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"),
-        F.col("__part").alias("part"), F.col("__row").alias("row"))
-    rows = save(rows.join(several, "doc_id", "left_semi"), "jaccard-several-rows")
-    firsts = rows.groupBy("doc_id", "digest").agg(F.min("row").alias("row")).select("row")
-    return sketch.write_by_part(rows.join(firsts, "row", "left_anti").select("part", "row"), "jaccard-repeats")
-
-
-def classes_of(copy: DataFrame, threshold: int, shingle: int) -> DataFrame:
-    """(doc_id, part, n_shingles, component_id) of the rows of a copy (doc_id, text, part)."""
+            stays = []
+            for p, r in zip(batch.column(part).to_pylist(), batch.column(row).to_pylist(), strict=True):
+                if p != at:
+                    table = sketch.read_part(dropped, p)
+                    at, gone = p, set() if table is None else set(table.column("row").to_pylist())
+                stays.append(r not in gone)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return copy.mapInArrow(run, copy.schema).drop(part, row)
+
+
+def _free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front until no column has them."""
+    known, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name in known:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def _named(member: DataFrame, found: DataFrame) -> DataFrame:
+    """(class, name): the smallest doc_id of every class's component."""
+    classes = member.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    placed = save(classes.join(found, F.col("class") == F.col("node"), "left").select(
+        "class", "doc_id", F.coalesce("component", "class").alias("component")), "jaccard-placed")
+    names = placed.groupBy("component").agg(F.min("doc_id").alias("name"))
+    return save(placed.join(names, "component").select("class", "name"), "jaccard-named")
+
+
+def _linked_classes(copy: DataFrame, threshold: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, part, n, class) of a copy (doc_id, text, part, row), and edges (v, u) of classes.
+
+    A class is the rows of one set, named by its first row; rows without a set or a
+    doc_id have none.
+    """
     digests = save(copy.mapInArrow(_digest_task(shingle), DIGESTS), "jaccard-digests")
     key = ["n", "d1", "d2"]
     equal = (digests.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key)
-             .agg(F.min("doc_id").alias("cid"), F.max("doc_id").alias("last")))
-    # Only classes of several documents are joined back, from a table of their own:
+             .agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("m")))
+    # Only classes of several rows are joined back, from a table of their own:
     # two plain exchanges let Spark split the rows of one large class.
-    shared = save(equal.where("cid <> last").select(*key, "cid"), "jaccard-equal")
-    member = save(digests.join(shared, key, "left")
-                  .select("doc_id", "part", "n", F.coalesce("cid", "doc_id").alias("cid")), "jaccard-members")
-    copies = sketch.write_by_part(member.where("doc_id <> cid").select("part", "doc_id"), "jaccard-copies")
-    n_items = member.where("doc_id = cid").agg(F.sum("n")).first()[0] or 0
+    shared = save(equal.where("m > 1").select(*key, "first"), "jaccard-equal")
+    member = digests.join(shared, key, "left").select(
+        "row", "doc_id", "part", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("first", "row")).alias("class"))
+    member = save(member, "jaccard-members")
+    copies = sketch.write_by_part(member.where("class IS NULL OR row <> class").select("part", "row"), "jaccard-copies")
+    n_items = member.where("row = class").agg(F.sum("n")).first()[0] or 0
     path, bits = sketch.build(copy, _sketch_keys(copies, shingle), n_items, "jaccard-estimates")
     sets = save(copy.mapInArrow(_set_task(copies, path, bits, shingle, threshold), SETS), "jaccard-sets")
-    classes = link_sets(sets, threshold)
-    return (member.join(classes, member.cid == classes.node, "left")
-            .select("doc_id", "part", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component_id")))
+    return member, link_sets(sets, threshold)
 
 
 @cache
