@@ -15,6 +15,7 @@ cumulative segment lengths and the positions, which restart in every segment.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -24,10 +25,16 @@ from farewatch.llm.common import save
 ROW_LENGTH = 2048
 # Rests packed together: this many ids at most.
 BLOCK_IDS = 4_000_000
+# Packed rows that leave a task together.
+SENT_ROWS = 1024
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed values of the vocabulary: how texts are pre-split, and the free id that ends a document.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_ID = 50256
+# White-space runs of this length are cut out before the pattern is applied: its look-ahead
+# walks back over a run one character at a time, and the engine's stack ends near a million.
+LONG_RUN = 50_000
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 PACKED = ("part int, row long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, "
           "piece_offsets array<long>, n_tokens int")
@@ -94,6 +101,23 @@ def load_encoding(vocabulary: bytes):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode_text(encoding, text: str) -> np.ndarray:
+    """Token ids of a text of any length.
+
+    The pattern makes one piece of a white-space run at the end of a text, and of all
+    but its last character before something else; a long run is cut there and
+    encoded as that one piece, so the ids are those of the whole text.
+    """
+    out, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out.append(encoding.encode_to_numpy(text[at:run.start()], disallowed_special=()))
+        out.append(np.array(encoding._core_bpe.encode_single_piece(text[run.start():end].encode("utf-8")), dtype=np.uint32))
+        at = end
+    out.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
 def id_type(row_length: int, end_id: int):
     return np.dtype("<u2" if max(row_length, end_id + 1) <= 1 << 16 else "<u4")
 
@@ -133,17 +157,19 @@ def _pack_task(vocabulary: bytes, row_length: int, end_id: int, block_ids: int):
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(kind)
+                ids = encode_text(encoding, text.as_py() or "").astype(kind)
                 ids = np.append(ids, np.array([end_id], dtype=kind))
                 whole = len(ids) // row_length * row_length
                 for a in range(0, whole, row_length):
                     add([(doc, a, ids[a:a + row_length])])
+                    if len(rows) >= SENT_ROWS:
+                        yield batch_of()
                 if whole < len(ids):
                     rests.append((doc, whole, ids[whole:]))
                     held += len(ids) - whole
                 if held >= block_ids:
                     pack()
-                if len(rows) >= 1024:
+                if len(rows) >= SENT_ROWS:
                     yield batch_of()
         pack()
         if rows:
@@ -162,7 +188,8 @@ def packed_rows(docs: DataFrame, vocabulary: str = VOCABULARY, row_length: int =
     the document's id number ``piece_offsets[i]``.  A null text counts as empty;
     an empty text is the end id alone, so every row of ``docs`` (repeated ids
     and null ids included) is found in the result; an empty table gives no rows.
-    Other columns are not read.  ``vocabulary`` is a local rank file, read by the
+    Texts and runs of one kind of character may have any length (a task holds one
+    text and its ids).  Other columns are not read.  ``vocabulary`` is a local rank file, read by the
     driver (under 1 MB) and sent to the tasks.
     """
     with open(vocabulary, "rb") as f:
