@@ -111,13 +111,15 @@ def exact_top_k(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVER
     Queries are the rows whose vec_id is divisible by ``query_every``;
     candidates are all rows but those with the query's own vec_id.  Vectors
     that are null, or hold null or non-finite components, take no part, nor do
-    rows without vec_id.  Of rows that share a vec_id the smallest vector counts
-    once.  Vectors meet only vectors of their own length.  A query with no
+    rows without vec_id.  Rows that repeat a vec_id and its quantised vector are one;
+    several vectors of a vec_id all take part, as candidates and as queries
+    (a query's best are then those of all its vectors, and a candidate may be
+    among them once for each pair).  Vectors meet only vectors of their own length.  A query with no
     candidate has no row; an empty table gives none.
     """
     rows = (embeddings.select(F.col("vec_id").cast("long").alias("id"), quantise(F.col("embedding"), scale).alias("v"))
             .where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0"))
-    rows = save(rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v")), "topk-vectors")
+    rows = save(rows.distinct().withColumn("d", F.size("v")), "topk-vectors")
     is_query = F.col("id") % query_every == 0
     n = rows.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(is_query, 1)).alias("queries")).first()
     ranges, groups = -(-n["all"] // range_rows) or 1, -(-n["queries"] // group_rows) or 1
@@ -135,7 +137,7 @@ def exact_top_k(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVER
 
 
 ORACLE_SQL = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
 pairs AS (SELECT a.vec_id AS query_id, b.vec_id,
