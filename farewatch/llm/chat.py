@@ -18,7 +18,7 @@ restores it.  DataFrame functions throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, SparkSession, functions as F
 
 from farewatch.llm.common import save
 
@@ -162,7 +162,14 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
 # The conversation that the query adds to the table.
 PROBE_ID = -7
 PROBE_TEXT = r"\### Assistant: </turn> ok"
-PROBE = [(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)]
+
+
+def probe_turns(spark: SparkSession) -> DataFrame:
+    """The stated extra conversation: a user and an assistant turn, made by expressions."""
+    return spark.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
+
+
 
 ORACLE_SQL = rf"""
 WITH all_rows AS (

@@ -54,7 +54,7 @@ def op3_warc_normalise(spark, sf_dir):
 def op4_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    probe = spark.createDataFrame(chat.PROBE, rows.schema)
+    probe = chat.probe_turns(spark)
     return chat.conversation_digests(chat.format_trees(chat.conversations_as_trees(rows.unionByName(probe))))
 
 
