@@ -78,6 +78,38 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
     return fitted.select(*DIMENSIONS, "tokens", "weight")
 
 
+def residuals(fitted: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """What raking reached: dimension, value, target, reached, residual, full.
+
+    ``target`` and ``reached`` are shares of the token budget (a value without a
+    target has 0); ``residual`` is what is missing (negative: too much).  ``full``
+    says that every cell of the value is at its most, so that no weights
+    with this ``max_epochs`` give it more.
+    """
+    total = fitted.agg(F.sum("tokens")).first()[0] or 0
+    out = None
+    for d in DIMENSIONS:
+        at_most = F.bool_and((F.col("tokens") == 0) | (F.col("weight") >= F.col("tokens") * F.lit(max_epochs * (1 - 1e-9))))
+        reached = fitted.groupBy(d).agg((F.sum("weight") / F.lit(budget * total or 1.0)).alias("reached"), at_most.alias("full"))
+        rows = reached.join(targets[d].select(d, "share"), d, "left").select(
+            F.lit(d).alias("dimension"), F.col(d).alias("value"), F.coalesce("share", F.lit(0.0)).alias("target"), "reached", "full")
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("dimension", "value", "target", "reached", (F.col("target") - F.col("reached")).alias("residual"), "full")
+
+
+def mixing_report(docs: DataFrame, budget: float = BUDGET, iterations: int = ITERATIONS, max_epochs: float = MAX_EPOCHS,
+                  exponents: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None,
+                  topic: Column | None = None) -> DataFrame:
+    """``residuals`` of the mixture that ``mix_sources`` draws with the same arguments.
+
+    Targets that ``max_epochs`` puts out of reach show as residuals of full values.
+    """
+    sized = docs.select(*categories(topic), n_tokens().alias("n_tokens"))
+    cells = save(sized.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    targets = targets or tempered_targets(cells, exponents or EXPONENTS)
+    return residuals(rake(cells, targets, budget, iterations, max_epochs), targets, budget, max_epochs)
+
+
 def mix_sources(docs: DataFrame, budget: float = BUDGET, iterations: int = ITERATIONS, max_epochs: float = MAX_EPOCHS,
                 exponents: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None,
                 topic: Column | None = None, seed: str = SEED) -> DataFrame:

@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -101,7 +103,35 @@ def test_sketch_never_underestimates(spark, docs):
     for part, keys in parts.items():
         keys = np.unique(np.concatenate(keys))
         got = sketch.Estimates(path, part, bits).count(keys)
-        assert all(g >= min(true[k], sketch.COUNT_CAP) for k, g in zip(keys.tolist(), got.tolist()))
+        assert all(g >= c for g, c in zip(got.tolist(), sketch.count_code(np.array([true[k] for k in keys.tolist()])).tolist()))
+
+
+def test_count_codes_keep_the_order():
+    counts = np.r_[np.arange(1, 5000), 2 ** np.arange(13, 31)]
+    codes = sketch.count_code(counts)
+    assert codes[0] == 1 and (codes[1:] > 1).all() and (np.diff(codes.astype(int)) >= 0).all()
+    assert (codes[:64] == np.arange(1, 65)).all() and sketch.count_code(np.array([300]))[0] < sketch.count_code(np.array([10**8]))[0]
+
+
+def test_hot_cells_are_merged_and_saturate(monkeypatch):
+    """One key holds a third of all occurrences, in many flushes; its count stops at the largest number."""
+    monkeypatch.setattr(sketch, "COUNT_CAP", 1000)
+    rng, bits = np.random.default_rng(3), 22
+    others = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    flushes = [np.concatenate([np.full(1000, 77, dtype=np.uint64), others[i * 1000:i * 1000 + 2000]]) for i in range(3)]
+    records = [r for part, keys in enumerate(flushes) for r in sketch.sketch_records(part, keys, bits)]
+    assert max(len(r[3]) for r in records) < 2 * 2100
+    group = pd.DataFrame([r[1:] for r in records if r[0] == 0], columns=["segment", "part", "gaps", "several"])
+    merged = sketch._merge_segment(22)((0, 0), group)
+    hot, twice = (int(sketch.cells_of(np.array([k], dtype=np.uint64), 0, bits)[0]) for k in (77, others[1500]))
+    for _, row in merged.iterrows():
+        codes = dict(zip(sketch.decode_gaps(row["gaps"]).tolist(), np.frombuffer(row["counts"], dtype=np.uint8).tolist()))
+        assert codes[hot] == sketch.count_code(np.array([1000]))[0]
+        assert row["part"] == 2 or codes[twice] >= 2
+
+
+def test_segments_grow_with_the_sketch():
+    assert [sketch.segment_bits(b) for b in (22, 30, 34, 36, 38, 45)] == [22, 22, 22, 24, 26, 26]
 
 
 # -- 6 substring ------------------------------------------------------------
@@ -170,6 +200,33 @@ def test_one_row_of_a_repeated_representative_stays(spark):
         [(1, text), (1, other), (3, "alone here"), (None, text), (None, text), (4, ""), (4, ""), (5, None)])
 
 
+def several_texts():
+    """Documents that have two texts each link through both; the texts lie in any part."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{x}{rng.randrange(999)}" for _ in range(40)) for x in "abc")
+    return [(1, a), (2, a), (2, b), (3, b + " end"), (4, c), (5, c), (5, "short one"), (6, "short one"), (None, a), (7, ""), (7, c + " z")]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_several_texts_of_a_document(spark, parts):
+    rows = several_texts()
+    table = frame(spark, rows).repartition(parts)
+    want = brute_classes(rows)
+    assert {d: c for d, n, c in want if d and n} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4}
+    assert sorted((tuple(r) for r in jaccard.jaccard_classes(table).collect()), key=str) == want
+    # Every text has a kept row that it links with: no text is lost with its document's other text.
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_representatives(table).collect())
+    assert kept == Counter([rows[i] for i in (0, 2, 4, 6, 8, 9)])
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    table = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")]).withColumn("__part", F.lit("p")).withColumn(
+        "row", F.col("doc_id") * 10).withColumn("class", F.lit(1))
+    kept = jaccard.keep_representatives(table)
+    assert kept.columns == table.columns
+    assert sorted((r["doc_id"], r["row"], r["__part"], r["part"]) for r in kept.collect()) == [(1, 10, "p", "p"), (3, 30, "p", "p")]
+
+
 def test_jaccard_many_overlapping_groups(spark, monkeypatch):
     """Chains of edits: links exist only between some pairs, and lists are cut into grid cells."""
     monkeypatch.setattr(jaccard, "LIST_CELL", 8)
@@ -271,6 +328,27 @@ def test_raking_meets_targets(spark):
             assert now[value] == pytest.approx(share * total, rel=1e-3)
 
 
+def test_report_names_targets_out_of_reach(spark):
+    """Source a is wanted more than it has: its cells are full and the rest of its target is reported."""
+    cells = spark.createDataFrame([("a", "x", "p", 100), ("b", "x", "p", 500), ("c", "y", "p", 400)],
+                                  "source string, lang string, topic string, tokens long")
+    shares = {"source": [("a", .5), ("b", .3), ("c", .2)], "lang": [("x", .8), ("y", .2)], "topic": [("p", 1.0)]}
+    targets = {d: spark.createDataFrame(v, f"{d} string, share double") for d, v in shares.items()}
+    got = {(r["dimension"], r["value"]): r for r in mixing.residuals(mixing.rake(cells, targets, 0.5), targets, 0.5).collect()}
+    a = got["source", "a"]
+    assert a["full"] and a["target"] == 0.5 and a["reached"] == pytest.approx(0.2, abs=1e-6) and a["residual"] == pytest.approx(0.3, abs=1e-6)
+    assert not got["source", "b"]["full"] and len(got) == 6
+    for d in mixing.DIMENSIONS:
+        assert sum(r["reached"] for r in got.values() if r["dimension"] == d) <= 1 + 1e-9
+
+
+def test_report_covers_the_corpus(docs):
+    got = mixing.mixing_report(docs).collect()
+    assert {r["dimension"] for r in got} == set(mixing.DIMENSIONS)
+    for d in mixing.DIMENSIONS:
+        assert sum(r["target"] for r in got if r["dimension"] == d) == pytest.approx(1.0)
+
+
 def test_drawn_documents_agree_with_the_report(docs):
     report = mixing.mix_sources(docs)
     drawn = mixing.draw_documents(docs)
@@ -301,6 +379,33 @@ def test_best_fit_takes_the_tightest_row():
         assert sorted(i for r in rows for i in r) == list(range(len(lengths)))
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \t\u3000", "\x1f"])
+def test_long_runs_are_cut_where_the_pattern_would(monkeypatch, space):
+    """Equal to the plain encoder, whatever is around the run."""
+    monkeypatch.setattr(packing, "_LONG_SPACE", re.compile(packing._LONG_SPACE.pattern.replace(str(packing.LONG_RUN), "4")))
+    with open(packing.VOCABULARY, "rb") as f:
+        encoding = packing.load_encoding(f.read())
+    for n in (1, 3, 4, 5, 40):
+        for before, after in itertools.product(["", "x", "1 ", "é\n", "!"], ["", "x", "1", "'s", "\x1f", "中"]):
+            text = before + space * n + after + space * 5 + "end" + space * n
+            assert packing.encode_text(encoding, text).tolist() == encoding.encode(text, disallowed_special=())
+
+
+def test_texts_of_millions_of_equal_characters_are_packed(spark):
+    texts = ["x" + " " * 3_000_000 + "y", "\n" * 2_000_000, "a" * 1_200_000]
+    packed = packing.packed_rows(frame(spark, list(enumerate(texts)))).cache()
+    with open(packing.VOCABULARY, "rb") as f:
+        encoding = packing.load_encoding(f.read())
+    pieces = {}
+    for r in packed.collect():
+        ids = np.frombuffer(r["input_ids"], dtype="<u2")
+        for doc, at, a, b in zip(r["doc_ids"], r["piece_offsets"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:]):
+            pieces[doc, at] = ids[a:b]
+    for doc, text in enumerate(texts):
+        ids = np.concatenate([pieces[k] for k in sorted(pieces) if k[0] == doc])
+        assert ids[-1] == packing.END_ID and encoding.decode(ids[:-1].tolist()) == text
+
+
 def test_packing_is_lossless(docs, rows):
     packed = packing.pack_tokens(docs, row_length=128).collect()
     with open(packing.VOCABULARY, "rb") as f:
@@ -402,6 +507,20 @@ def test_top_k_equals_brute_force(spark):
         assert got == sorted(want)
 
 
+def test_top_k_of_repeated_ids_equals_sql(spark):
+    """Several vectors of one id all take part; repeated rows count once."""
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in (0, 0, 1, 1, 2, 50, 50, 50, 7, 8, 9, 9)]
+    rows += [(1, [0.1, 0.0, 0.0]), (1, [9.0, 0.0, 0.0]), rows[2], rows[5], (3, None), (None, [1.0, 1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("embeddings", table.toArrow())
+    want = con.sql(topk.ORACLE_SQL).fetchall()
+    for sizes in ({}, {"range_rows": 2, "group_rows": 1, "block_rows": 1}):
+        got = [tuple(r) for r in topk.exact_top_k(table, **sizes).select("query_id", "rank", "vec_id", "score").collect()]
+        assert sorted(got) == sorted(want) and (50, 1, 1) in {r[:3] for r in got}
+
+
 def test_blocks_below_the_kth_score_are_not_visited():
     ids = np.arange(4000)
     vectors = np.zeros((4000, 4), dtype=np.int64)
