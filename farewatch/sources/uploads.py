@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from farewatch import constants as K
 from farewatch.functions import text as X
-from farewatch.session import bounded_broadcast, cut_lineage
+from farewatch.session import BROADCAST_MAX_ROWS, bounded_broadcast, cut_lineage
 
 CELLS_SCHEMA = "upload_id long, row_num long, cells array<string>"
 
@@ -96,6 +96,13 @@ def map_columns(rows: DataFrame, headers: DataFrame, head_rows: DataFrame | None
     return data.select("upload_id", "row_num", *cols)
 
 
+def pick_columns(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """S3 applied from settled headers (upload_id, header_row, columns: name -> index): data rows as named columns."""
+    data = rows.join(bounded_broadcast(headers), "upload_id").filter(F.col("row_num") > F.col("header_row"))
+    cols = [F.try_element_at("cells", F.try_element_at("columns", F.lit(c)) + 1).alias(c) for c in K.SHEET_COLUMNS]
+    return data.select("upload_id", "row_num", *cols)
+
+
 def type_rows(wide: DataFrame) -> DataFrame:
     """P1-P8 + S4: typed columns and ``error`` (the first failure, or null).
 
@@ -168,7 +175,9 @@ CHUNK_ROWS = 20_000
 def _csv_rows(content: bytes, delimiter: str):
     import csv
     import io
+    import sys
 
+    csv.field_size_limit(sys.maxsize)
     lines = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", newline="")
     for i, rec in enumerate(csv.reader(lines, delimiter=delimiter), start=1):
         yield i, [c if c != "" else None for c in rec]
@@ -201,37 +210,183 @@ def read_csv_uploads(spark: SparkSession, path: str, delimiter: str = ",") -> Da
     """S1 (CSV): each file is one upload; rows keep their line positions.
 
     A file is decoded by one task (sheet-sized inputs); many files spread
-    over all tasks.  For large files without line breaks inside cells see
-    ``read_csv_lines``.
+    over all tasks.  For large files see ``read_csv_lines``.
     """
     return _files(spark, path, "*.csv").mapInPandas(lambda it: _decode(it, lambda c: _csv_rows(c, delimiter)), CELLS_SCHEMA)
 
 
-def read_csv_lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """S1 (CSV whose cells hold no line breaks): files of any size, scanned in parallel splits.
+def scan_line(line: str, quoted: bool, delimiter: str) -> tuple[bool, int, int]:
+    """Whether the end of a CSV line lies inside a quoted cell, how many rows end in the line, and where the last row starts.
+
+    ``line`` is text between two line feeds, ``quoted`` says that it starts inside a
+    quoted cell.  Quotes count at the start of a cell only; a carriage return
+    outside quotes ends a row.
+    """
+    at, rows, start = 0, 0, 0
+    while True:
+        if not quoted and line.startswith('"', at):
+            quoted, at = True, at + 1
+        if quoted:
+            close = line.find('"', at)
+            while close >= 0 and line.startswith('"', close + 1):
+                close = line.find('"', close + 2)
+            if close < 0:
+                return True, rows, start
+            quoted, at = False, close + 1
+        cell, ret = line.find(delimiter, at), line.find("\r", at)
+        if ret >= 0 and (cell < 0 or ret < cell):
+            rows += 1
+            if ret == len(line) - 1:
+                return False, rows, start
+            at = start = ret + 1
+        elif cell >= 0:
+            at = cell + 1
+        else:
+            return False, rows + 1, start
+
+
+def _plain(line: str) -> bool:
+    """A line that keeps the quote state; outside quotes it is one row."""
+    return '"' not in line and "\r" not in line[:-1]
+
+
+def _parse_csv(text: str, delimiter: str) -> list[list[str | None]]:
+    import csv
+    import io
+    import sys
+
+    csv.field_size_limit(sys.maxsize)
+    return [[c if c != "" else None for c in rec] for rec in csv.reader(io.StringIO(text + "\n", newline=""), delimiter=delimiter)]
+
+
+def _split_states(delimiter: str):
+    """Per file split: for each state it may start in, the state it ends in and the rows that end in it."""
+    def run(frames):
+        import pandas as pd
 
-    Every line is a row; its position is the number of lines in the file's
-    earlier splits plus its place in its own.  Only one row per split is ranked.
+        for split, lines in _split_lines(frames):
+            ends, rows = [False, True], [0, 0]
+            for line in lines:
+                if _plain(line):
+                    for s in (0, 1):
+                        rows[s] += not ends[s]
+                else:
+                    for s in (0, 1):
+                        ends[s], n, _ = scan_line(line, ends[s], delimiter)
+                        rows[s] += n
+            yield pd.DataFrame([(*split, *ends, *rows)], columns=["path", "block", "end_out", "end_in", "rows_out", "rows_in"])
+    return run
+
+
+def _split_lines(frames):
+    """((path, block), iterator of its lines) for each file split of a task, without the byte order mark."""
+    from itertools import chain, groupby
+
+    rows = chain.from_iterable(zip(f["path"], f["block"], f["value"], strict=True) for f in frames)
+    for split, own in groupby(rows, key=lambda r: (r[0], r[1])):
+        yield split, (v.removeprefix("\ufeff") if i == 0 and split[1] == 0 else v for i, (_, _, v) in enumerate(own))
+
+
+def _split_rows(delimiter: str):
+    """Rows that lie in one split, and the pieces of those that cross its ends (cells null, text set)."""
+    def run(frames):
+        import pandas as pd
+
+        starts: dict = {}
+
+        def noted():
+            for f in frames:
+                first = f.drop_duplicates(["path", "block"])
+                starts.update({(p, b): (q, n) for p, b, q, n in zip(first["path"], first["block"], first["quoted"], first["before"], strict=True)})
+                yield f
+
+        def frame(out):
+            return pd.DataFrame(out, columns=["path", "block", "row_num", "cells", "text"])
+
+        out = []
+        for split, lines in _split_lines(noted()):
+            quoted, number = starts.pop(split)
+            crossing, held, ended = bool(quoted), [], 0
+            for line in lines:
+                rows, rest = int(not quoted), None
+                if not _plain(line):
+                    quoted, rows, start = scan_line(line, quoted, delimiter)
+                    if quoted and rows:  # rows end at carriage returns, and the line goes on in a new one
+                        line, rest = line[:start], line[start:]
+                held.append(line)
+                ended += rows
+                if quoted and rest is None:
+                    continue
+                text = "\n".join(held)
+                if crossing:
+                    out.append((*split, number + 1, None, text))
+                else:
+                    out.extend((*split, number + 1 + i, cells, None) for i, cells in enumerate(_parse_csv(text, delimiter)))
+                number, held, ended, crossing = number + ended, [] if rest is None else [rest], 0, False
+                if len(out) >= CHUNK_ROWS:
+                    yield frame(out)
+                    out = []
+            if held:
+                out.append((*split, number + 1, None, "\n".join(held)))
+        if out:
+            yield frame(out)
+    return run
+
+
+def read_csv_lines(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """S1 (CSV): files of any size, scanned in parallel splits; cells may hold line breaks, quotes and delimiters.
+
+    Whether a split starts inside a quoted cell depends on all splits before it.
+    Each split is first read as a function from the state it starts in to the
+    state it ends in and its number of rows; a prefix scan over the splits of
+    a file (one row each) composes the functions: the last split that ends in
+    one state whatever its start, then the parity of those that swap the states
+    since.  A second scan cuts the rows; pieces of a row that crosses splits
+    are put together by its number.  Row numbers are those of ``read_csv_uploads``.
     """
-    lines = (spark.read.option("pathGlobFilter", "*.csv").text(path)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("at"), "value"))
-    lines = cut_lineage(lines, "csv-lines")
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-              .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
-    numbered = lines.join(bounded_broadcast(blocks), ["path", "block"]).select(
-        _upload_id(F.col("path")).alias("upload_id"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("row_num"), "value")
-
-    def cells_of(batches):
-        import csv
-
-        for pdf in batches:
-            lines = (v.removeprefix("\ufeff") if n == 1 else v for n, v in zip(pdf["row_num"], pdf.pop("value")))
-            pdf["cells"] = [[c if c != "" else None for c in next(csv.reader([v], delimiter=delimiter), [])] for v in lines]
-            yield pdf
-
-    return numbered.mapInPandas(cells_of, CELLS_SCHEMA)
+    lines = (spark.read.option("pathGlobFilter", "*.csv").option("lineSep", "\n").text(path)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"))
+    states = cut_lineage(lines.mapInPandas(
+        _split_states(delimiter), "path string, block long, end_out boolean, end_in boolean, rows_out long, rows_in long"), "csv-states")
+    starts = cut_lineage(split_starts(states), "csv-starts")
+    if starts.count() <= BROADCAST_MAX_ROWS:
+        placed = lines.join(F.broadcast(starts), ["path", "block"])
+    else:  # a shuffle loses the order of the lines
+        placed = (lines.withColumn("at", F.monotonically_increasing_id()).join(starts, ["path", "block"])
+                  .sortWithinPartitions("path", "block", "at").drop("at"))
+    found = cut_lineage(placed.mapInPandas(
+        _split_rows(delimiter), "path string, block long, row_num long, cells array<string>, text string"), "csv-rows")
+
+    def whole(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = [(p, n + i, cells) for p, n, t in zip(f["path"], f["row_num"], f["text"], strict=True)
+                    for i, cells in enumerate(_parse_csv(t, delimiter))]
+            yield pd.DataFrame(rows, columns=["path", "row_num", "cells"])
+
+    crossing = (found.where("text IS NOT NULL").groupBy("path", "row_num")
+                .agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("pieces"))
+                .select("path", "row_num", F.array_join(F.col("pieces.text"), "\n").alias("text"))
+                .mapInPandas(whole, "path string, row_num long, cells array<string>"))
+    rows = found.where("text IS NULL").select("path", "row_num", "cells").unionByName(crossing)
+    return rows.select(_upload_id(F.col("path")).alias("upload_id"), "row_num", "cells")
+
+
+def split_starts(states: DataFrame) -> DataFrame:
+    """(path, block, quoted, before): the state in which each split starts and the rows that end before it."""
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    fixed = F.when(F.col("end_out") == F.col("end_in"), F.struct(F.col("end_out").alias("state"), F.col("swaps").alias("at")))
+    base = F.last(fixed, ignorenulls=True).over(before)
+    composed = (states.withColumn("swaps", F.sum((F.col("end_out") & ~F.col("end_in")).cast("long")).over(
+                    Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+                .withColumn("base", base)
+                .withColumn("earlier", F.coalesce(F.lag("swaps").over(Window.partitionBy("path").orderBy("block")), F.lit(0))))
+    odd = (F.col("earlier") - F.coalesce("base.at", F.lit(0))) % 2 == 1
+    composed = composed.withColumn("quoted", F.coalesce("base.state", F.lit(False)) != odd)
+    rows = F.when(F.col("quoted"), F.col("rows_in")).otherwise(F.col("rows_out"))
+    return composed.withColumn("ended", rows).select(
+        "path", "block", "quoted", F.coalesce(F.sum("ended").over(before), F.lit(0)).alias("before"))
 
 
 def read_xlsx_uploads(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
