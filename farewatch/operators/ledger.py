@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from farewatch import constants as K
 
@@ -14,24 +14,48 @@ def _allowed(prev: Column, cur: Column, transitions: dict[str, tuple[str, ...]])
     return expr
 
 
+# Consecutive events that are folded together before their summaries are.
+SLICE_EVENTS = 4096
+
+
+def _compose(parts: Column, transitions: dict[str, tuple[str, ...]]) -> Column:
+    """Fold ordered summaries (first, last, illegal) of neighbouring event ranges into one.
+
+    A range maps the status before it to (last status, illegal transitions); such
+    maps compose, so ranges can be folded anywhere and in any grouping.
+    """
+    text = F.lit(None).cast("string")
+    zero = F.struct(F.lit(False).alias("some"), text.alias("first"), text.alias("last"), F.lit(0).cast("long").alias("illegal"))
+
+    def merge(acc: Column, x: Column) -> Column:
+        broken = acc["some"] & F.coalesce(acc["last"].isNotNull() & ~_allowed(acc["last"], x["first"], transitions), F.lit(False))
+        return F.struct(F.lit(True).alias("some"), F.when(acc["some"], acc["first"]).otherwise(x["first"]).alias("first"),
+                        x["last"].alias("last"), (acc["illegal"] + x["illegal"] + broken.cast("long")).alias("illegal"))
+
+    return F.aggregate(parts, zero, merge)
+
+
 def fold_status(events: DataFrame, key: str, transitions: dict[str, tuple[str, ...]]) -> DataFrame:
     """Per entity: latest status, event count, illegal transitions.
 
-    Latest status is ``max_by(status, (ts, seq))`` (partial aggregate); the
-    illegal-transition check needs the previous status, taken with ``lag``
-    over the entity's own events.
+    The events are put in order by one range exchange; at most ``SLICE_EVENTS``
+    neighbours of an entity are folded to a summary, then an entity's summaries
+    in order.  No task holds all events of an entity, however many it has.
     """
-    w = Window.partitionBy(key).orderBy("ts", "seq")
-    prev = F.lag("status").over(w)
-    marked = events.withColumn("_prev", prev).withColumn(
-        "_illegal", F.col("_prev").isNotNull() & ~_allowed(F.col("_prev"), F.col("status"), transitions))
-    order = F.struct("ts", "seq")
-    return (marked.groupBy(key)
-            .agg(F.max_by("status", order).alias("status"),
-                 F.count("*").cast("long").alias("n_events"),
-                 F.count_if("_illegal").cast("long").alias("illegal_transitions"),
-                 F.min("ts").alias("first_ts"),
-                 F.max("ts").alias("last_ts")))
+    order = [F.col(key), F.col("ts"), F.col("seq"), F.col("status")]
+    placed = (events.select(key, "ts", "seq", "status").repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("at", F.monotonically_increasing_id()))
+    event = F.struct("at", F.col("status").alias("first"), F.col("status").alias("last"), F.lit(0).cast("long").alias("illegal"))
+    slices = (placed.groupBy(key, F.expr(f"at div {SLICE_EVENTS}").alias("slice"))
+              .agg(F.array_sort(F.collect_list(event)).alias("parts"), F.count("*").alias("n"),
+                   F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+              .withColumn("fold", _compose(F.col("parts"), transitions)))
+    part = F.struct("slice", F.col("fold.first").alias("first"), F.col("fold.last").alias("last"), F.col("fold.illegal").alias("illegal"))
+    return (slices.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum("n").alias("n_events"),
+                                    F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"))
+            .withColumn("fold", _compose(F.col("parts"), transitions))
+            .select(key, F.col("fold.last").alias("status"), "n_events", F.col("fold.illegal").alias("illegal_transitions"),
+                    "first_ts", "last_ts"))
 
 
 def upload_status(events: DataFrame) -> DataFrame:
