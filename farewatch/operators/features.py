@@ -84,11 +84,11 @@ def seat_blocking(features: DataFrame, min_same_day: int = K.SEAT_SAME_DEPDAY_MI
             .withColumn("seat_blocking_flag", F.col("refund_close_ratio") > min_close))
 
 
-def full_features(transactions: DataFrame, passengers: DataFrame, scope: str = "all") -> DataFrame:
-    """A1 + A2 + A3 as stored in the feature table, from ONE scan of the
-    transactions: every row feeds three (kind, bucket) counters; the month
-    counters also carry the A1 counts (each row has exactly one month), so a
-    second aggregation per passenger yields both the totals and the peaks.
+def bucket_counts(transactions: DataFrame, scope: str = "all") -> DataFrame:
+    """Sums per passenger and (kind, bucket) that add up over any parts of the transactions.
+
+    Every row feeds three counters: its month (which also carries the A1
+    counts, as each row has exactly one), departure day and train.
     """
     keys = _scope_keys(scope)
     tx = with_time_flags(transactions).filter(F.col("passenger_id").isNotNull())
@@ -101,10 +101,15 @@ def full_features(transactions: DataFrame, passengers: DataFrame, scope: str = "
         F.struct(F.lit("t").alias("kind"), F.col("train_no").alias("b"),
                  F.lit(0).alias("r"), F.lit(0).alias("nt"), F.lit(0).alias("lt")),
     )
-    per_bucket = (tx.select(*keys, F.inline(buckets))
-                  .groupBy(*keys, "kind", "b")
-                  .agg(F.count("*").alias("n_all"), F.count_if(F.col("b").isNotNull()).alias("n"),
-                       F.sum("r").alias("r"), F.sum("nt").alias("nt"), F.sum("lt").alias("lt")))
+    return (tx.select(*keys, F.inline(buckets))
+            .groupBy(*keys, "kind", "b")
+            .agg(F.count("*").alias("n_all"), F.count_if(F.col("b").isNotNull()).alias("n"),
+                 F.sum("r").alias("r"), F.sum("nt").alias("nt"), F.sum("lt").alias("lt")))
+
+
+def features_from_buckets(per_bucket: DataFrame, passengers: DataFrame, scope: str = "all") -> DataFrame:
+    """A1 + A2 + A3 from ``bucket_counts``, whose (passenger, kind, bucket) must be unique."""
+    keys = _scope_keys(scope)
     m = F.col("kind") == "m"
     agg = (per_bucket.groupBy(*keys).agg(
         F.sum(F.when(m, F.col("n_all"))).cast("long").alias("total_tickets"),
@@ -122,3 +127,9 @@ def full_features(transactions: DataFrame, passengers: DataFrame, scope: str = "
          .withColumn("night_share", F.col("night_tickets") / t)
          .withColumn("refund_close_ratio", F.col("late_refunds") / (F.col("refund_cnt") + K.CLOSE_RATIO_EPS)))
     return seat_blocking(f)
+
+
+def full_features(transactions: DataFrame, passengers: DataFrame, scope: str = "all") -> DataFrame:
+    """A1 + A2 + A3 as stored in the feature table, from ONE scan of the
+    transactions: per-bucket sums, then totals and peaks per passenger."""
+    return features_from_buckets(bucket_counts(transactions, scope), passengers, scope)

@@ -23,9 +23,66 @@ def passenger_search(passengers: DataFrame, transactions: DataFrame, term: str,
     return hits
 
 
+# Pages that start further down than this are found by rank.
+SHALLOW_OFFSET = 10_000
+# Sub-ranges that one counting round divides a range of keys into.
+PAGE_CELLS = 1024
+
+
 def page(df: DataFrame, limit: int, offset: int = 0, ts: str = "op_datetime", tie: str = "id") -> DataFrame:
-    """newest first, id as tie-breaker, then offset/limit (TakeOrderedAndProject)."""
-    return df.orderBy(F.col(ts).desc(), F.col(tie)).offset(offset).limit(limit)
+    """newest first, id as tie-breaker, then offset/limit.
+
+    A top page is a TakeOrderedAndProject, which brings offset + limit rows of each
+    task together; a page further down is cut out by rank first.
+    """
+    if offset <= SHALLOW_OFFSET:
+        return df.orderBy(F.col(ts).desc(), F.col(tie)).offset(offset).limit(limit)
+    return deep_page(df, limit, offset, ts, tie)
+
+
+def deep_page(df: DataFrame, limit: int, offset: int, ts: str = "op_datetime", tie: str = "id") -> DataFrame:
+    """F5 at any depth: only the rows between two splitters around the page are sorted.
+
+    Rows are counted by sub-ranges of the time; the sub-ranges that hold the
+    page's first and last rank are divided again until no more rows than a few pages
+    are left or a sub-range is one instant, which is divided by ``tie`` (an
+    integer) likewise.  Each round is one aggregation that returns ``PAGE_CELLS``
+    counts.  Rows without a time come last.
+    """
+    keyed = df.withColumn("_k", F.coalesce(-F.unix_micros(F.col(ts).cast("timestamp")), F.lit(2**63 - 1)))
+    rows, instant, skipped = _rank_slice(keyed, "_k", offset, limit)
+    if instant:  # it alone holds more rows than a few pages
+        rows, _, before = _rank_slice(rows.withColumn("_t", F.col(tie).cast("long")), "_t", offset - skipped, limit)
+        rows, skipped = None if rows is None else rows.drop("_t"), skipped + before
+    if rows is None:
+        return df.limit(0)
+    return rows.orderBy(F.col(ts).desc(), F.col(tie)).drop("_k").offset(offset - skipped).limit(limit)
+
+
+def _rank_slice(df: DataFrame, key: str, first: int, limit: int) -> tuple[DataFrame | None, bool, int]:
+    """(rows, whether they are too many of one key, rows before them): a slice of ``df`` by an integer ``key``
+    that holds the ``limit`` ranks from ``first``; no rows if there are no such ranks."""
+    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi, n, before = ends["lo"], ends["hi"], ends["n"], 0
+    if n <= first or lo is None:
+        return None, False, 0
+    enough = max(4 * limit, SHALLOW_OFFSET)
+    while n > enough and hi > lo:
+        step = (hi - lo) // PAGE_CELLS + 1
+        # The distance from lo may exceed a long; a decimal holds it.
+        cell = F.expr(f"cast((cast({key} AS decimal(20, 0)) - ({lo}BD)) div {step}BD AS int)")
+        counts = df.where(F.col(key).between(lo, hi)).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+        at, kept = before, []
+        for c, m in sorted(map(tuple, counts)):
+            if at + m > first and at < first + limit:
+                kept.append((c, m, at))
+            at += m
+        lo, hi, before = lo + kept[0][0] * step, min(hi, lo + (kept[-1][0] + 1) * step - 1), kept[0][2]
+        left = sum(m for _, m, _ in kept)
+        if left == n and len(kept) > 1:
+            break  # the page itself spans these rows
+        n = left
+    return df.where(F.col(key).between(lo, hi)), lo == hi and n > enough, before
 
 
 def upload_transactions(tx: DataFrame, upload_id: int, limit: int = 500, offset: int = 0) -> DataFrame:

@@ -151,7 +151,7 @@ def risk_concentration(flagged: DataFrame, dims=K.DIMENSIONS,
     """
     stats = dimension_stats(flagged, dims)
     base = flagged.agg(F.count_if("suspicious") / F.count("*")).scalar()
-    return _with_lift(stats, base, calculated_at)
+    return with_lift(stats, base, calculated_at)
 
 
 def passenger_dim_counts(tx: DataFrame, scores: DataFrame, dims=K.DIMENSIONS) -> DataFrame:
@@ -201,10 +201,11 @@ def concentration(tx: DataFrame, scores: DataFrame, dims=K.DIMENSIONS,
         "concentration_stats")
     base = (stats_all.filter(F.col("dimension_type") == ALL_ROWS)
             .select(F.col("highrisk_ops") / F.col("total_ops")).scalar())
-    return _with_lift(stats_all.filter(F.col("dimension_type") != ALL_ROWS), base, calculated_at)
+    return with_lift(stats_all.filter(F.col("dimension_type") != ALL_ROWS), base, calculated_at)
 
 
-def _with_lift(stats: DataFrame, base: Column, calculated_at) -> DataFrame:
+def with_lift(stats: DataFrame, base: Column, calculated_at) -> DataFrame:
+    """Share and lift of dimension counts against the base share (a one-row value)."""
     share = F.when(F.col("total_ops") > 0, F.col("highrisk_ops") / F.col("total_ops")).otherwise(F.lit(0.0))
     ts = F.lit(calculated_at) if calculated_at is not None else F.current_timestamp()
     b = F.col("_base")

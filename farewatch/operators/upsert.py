@@ -14,6 +14,10 @@ from farewatch import constants as K
 from farewatch.session import BROADCAST_MAX_ROWS
 
 
+# Uploads of a batch that are named one by one when stored rows are looked up.
+SCOPE_LIST = 1000
+
+
 def first_per_key(df: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     """Keep the first row per key in ``order``.
 
@@ -36,16 +40,19 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: str = "id",
 
     Transaction ids hash the upload id, so a stored duplicate can only sit in
     one of the incoming uploads: the stored side is restricted to those
-    (a broadcast semi join on the partition column -> dynamic partition
-    pruning; the distinct upload list is counted before it is broadcast)
-    instead of shuffling every stored id on each ingest.  ``scope=None`` or
-    too many uploads compares against all stored keys.
+    instead of shuffling every stored id on each ingest.  Up to ``SCOPE_LIST``
+    uploads are named in a filter on the partition column, so only their folders
+    are listed and opened; more are a broadcast semi join after a check of their
+    number.  ``scope=None`` or too many uploads compares against all stored keys.
     """
     fresh = first_per_key(new, key, order).select(*new.columns)
     stored = existing
     if scope and scope in existing.columns and scope in new.columns:
         scopes = new.select(scope).distinct()
-        if scopes.count() <= BROADCAST_MAX_ROWS:
+        few = [r[0] for r in scopes.limit(SCOPE_LIST + 1).collect()]
+        if len(few) <= SCOPE_LIST:
+            stored = existing.where(F.col(scope).isin([v for v in few if v is not None]))
+        elif scopes.count() <= BROADCAST_MAX_ROWS:
             stored = existing.join(F.broadcast(scopes), scope, "left_semi")
     return fresh.join(stored.select(key), key, "left_anti")
 

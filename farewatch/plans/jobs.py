@@ -20,6 +20,7 @@ from farewatch.operators import ledger as LG
 from farewatch.operators import risk as RK
 from farewatch.operators import scoring as SC
 from farewatch.operators import upsert as UP
+from farewatch.plans.incremental import refresh_concentration, refresh_features
 from farewatch.plans.ingest import enrich_rows, passenger_rollup, transactions_from
 from farewatch.plans.store import TableStore
 from farewatch.session import cut_lineage
@@ -47,18 +48,27 @@ def _audit(store: TableStore, action: str, entity_type: str, entity_id, user_id:
     store.append("audit_logs", store.spark.createDataFrame(row, S.AUDIT_LOGS))
 
 
-def _outcomes(store: TableStore, outcomes: DataFrame, user_id: int | None) -> None:
+def _outcomes(store: TableStore, outcomes: DataFrame, user_id: int | None, once: bool = False) -> None:
     """Append one ledger event and one audit row per upload (upload_id, status, error): two writes
-    for any number of uploads, none of which passes the driver."""
+    for any number of uploads, none of which passes the driver.
+
+    ``once``: only what the two logs do not have yet, for callers that may repeat a step.
+    """
     now, seq = F.lit(_now()).cast("timestamp_ntz"), time.time_ns() // 1000
-    store.append("upload_events", outcomes.select("upload_id", "status", now.alias("ts"), "error", F.lit(seq).cast("long").alias("seq")))
+    events = outcomes.select("upload_id", "status", now.alias("ts"), "error", F.lit(seq).cast("long").alias("seq"))
     action = F.when(F.col("status") == "processing", "UPLOAD_STARTED").when(
         F.col("status") == "done", "UPLOAD_COMPLETED").otherwise("UPLOAD_FAILED")
     up = F.col("upload_id").cast("string")
-    store.append("audit_logs", outcomes.select(
+    audit = outcomes.select(
         F.concat(F.lower(action), F.lit("-"), up, F.lit(f"-{seq}")).alias("id"), F.lit(user_id).cast("long").alias("user_id"),
         action.alias("action"), F.lit("upload").alias("entity_type"), up.alias("entity_id"),
-        F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise("{}").alias("meta"), now.alias("created_at")))
+        F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise("{}").alias("meta"), now.alias("created_at"))
+    if once:
+        store.append_once("upload_events", events, ["upload_id", "status"], S.UPLOAD_EVENTS)
+        store.append_once("audit_logs", audit, ["entity_id", "action"], S.AUDIT_LOGS)
+    else:
+        store.append("upload_events", events)
+        store.append("audit_logs", audit)
 
 
 def ingest_typed(store: TableStore, typed_rows: DataFrame, **kw) -> None:
@@ -101,8 +111,9 @@ def _ingest_cells(store: TableStore, uploads: DataFrame, cells: DataFrame, **kw)
                                       F.count_if(F.col("error").isNotNull()).alias("parse_errors")))
     headers = cut_lineage(headers, "headers")
     good, bad = UPL.split_errors(typed)
-    store.append("row_errors", bad)
-    store.append("upload_headers", headers)
+    # A repeated ingest finds its error rows and headers stored.
+    store.append_once("row_errors", bad, ["upload_id", "row_num"], "upload_id long, row_num long, error string")
+    store.append_once("upload_headers", headers, ["upload_id"], headers.schema)
     ingest_typed(store, good, **kw)
     return dict(obs.get), cut_lineage(LG.upload_outcomes(uploads, headers, typed), "outcomes")
 
@@ -110,17 +121,23 @@ def _ingest_cells(store: TableStore, uploads: DataFrame, cells: DataFrame, **kw)
 def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "all",
                 rule_weight: float = K.RULE_WEIGHT, ml_weight: float = K.ML_WEIGHT,
                 with_ml: bool = True, run_time: _dt.datetime | None = None,
-                dims=K.DIMENSIONS, job_id: str | None = None, user_id: int | None = None) -> dict:
+                dims=K.DIMENSIONS, job_id: str | None = None, user_id: int | None = None, incremental: bool = False) -> dict:
     """Section 3.2: features -> rule + anomaly score -> bands/reasons ->
-    feature and score upserts (manual rows win) -> concentration refresh."""
+    feature and score upserts (manual rows win) -> concentration refresh.
+
+    ``incremental``: features of all transactions are kept by ``refresh_features``,
+    which reads only what was loaded since the last such run.
+    """
     if scope == "upload" and upload_id is None:
         raise ValueError("scope='upload' needs an upload_id: features per upload would give a passenger several scores")
+    if incremental and upload_id is not None:
+        raise ValueError("incremental features are those of all uploads")
     run_time = run_time or _now()
     job_id = job_id or f"job-{run_time:%Y%m%d%H%M%S}"
     _event(store, "job_events", "job_id", job_id, "running")
     _audit(store, "SCORING_STARTED", "scoring_job", job_id, user_id)
     try:
-        tx = store.read_log("transactions")
+        tx = store.read_log("transactions", S.TRANSACTIONS)
         passengers = store.read("passengers")
         if tx is None:  # nothing ingested yet: an empty run
             tx = store.spark.createDataFrame([], S.TRANSACTIONS)
@@ -128,7 +145,10 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
             passengers = store.spark.createDataFrame([], S.PASSENGERS)
         if upload_id is not None:
             tx = tx.filter(F.col("upload_id") == F.lit(upload_id))
-        feats = cut_lineage(FT.full_features(tx, passengers, scope))
+        if incremental:
+            feats = refresh_features(store, run_time).drop("calculated_at")
+        else:
+            feats = cut_lineage(FT.full_features(tx, passengers, scope))
         ml = None
         if with_ml:
             from farewatch.operators.iforest import anomaly_scores
@@ -138,12 +158,11 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
         if scope == "upload":
             new_scores = new_scores.drop("upload_id")
             feats = feats.drop("upload_id")
-        new_feats = feats.withColumn("calculated_at", F.lit(run_time).cast("timestamp_ntz"))
-        store.upsert("passenger_features", new_feats, "passenger_id", UP.feature_upsert)
+        if not incremental:
+            new_feats = feats.withColumn("calculated_at", F.lit(run_time).cast("timestamp_ntz"))
+            store.upsert("passenger_features", new_feats, "passenger_id", UP.feature_upsert)
         store.upsert("passenger_scores", new_scores, "passenger_id", UP.score_upsert)
-        all_tx = store.read_log("transactions", S.TRANSACTIONS)
-        all_tx = tx if all_tx is None else all_tx
-        conc = RK.concentration(all_tx, store.read("passenger_scores", S.PASSENGER_SCORES), dims, run_time)
+        conc = refresh_concentration(store, dims, run_time)
         old_c = store.read("risk_concentrations")
         store.write("risk_concentrations", conc if old_c is None else UP.concentration_upsert(old_c, conc))
         _event(store, "job_events", "job_id", job_id, "done")
@@ -154,6 +173,25 @@ def scoring_run(store: TableStore, upload_id: int | None = None, scope: str = "a
     return {"job_id": job_id}
 
 
+def upload_job(store: TableStore, cells: DataFrame, user_id: int | None = None, job_id: str | None = None,
+               scoring: dict | None = None, **kw) -> dict:
+    """An upload and the scoring it triggers: section 3.1, then 3.2 over the loaded data.
+
+    Scoring is a step of its own: the upload's outcome is written before it, and
+    a scoring that fails ends its own job ``failed`` and leaves the uploads ``done``.
+    Nothing is scored if no upload of the batch loaded a row.  Returns the
+    ingest metrics with ``scoring`` (the job's id) or ``scoring_error``.
+    """
+    out = ingest_cells(store, cells, user_id, **kw)
+    if out["rows_read"] == out["parse_errors"]:
+        return out
+    try:
+        out["scoring"] = scoring_run(store, job_id=job_id, user_id=user_id, **(scoring or {}))["job_id"]
+    except Exception as exc:  # recorded in the job ledger by the run itself
+        out["scoring_error"] = str(exc)
+    return out
+
+
 def export_reports(store: TableStore, out_dir: str, **filters) -> dict:
     """S10-S12 written from the current tables: suspicious operations (CSV),
     concentration sections (CSV, one folder per dimension), dossiers (JSON)."""

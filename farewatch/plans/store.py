@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from farewatch.session import cut_lineage, scratch_path
+from farewatch.session import bounded_broadcast, cut_lineage, scratch_path
 
 # Buckets of a keyed table when it is first written (a table keeps its number);
 # a bucket is what one small upsert rewrites, so size it to about 1 GB.
@@ -64,8 +64,8 @@ class TableStore:
         self._versions[name] = max(versions)
         return self._versions[name]
 
-    def read(self, name: str, schema=None) -> DataFrame | None:
-        v = self.version(name)
+    def read(self, name: str, schema=None, version: int | None = None) -> DataFrame | None:
+        v = self.version(name) if version is None else version
         if v is None:
             return None
         layout = self._layout(name, v)
@@ -127,13 +127,16 @@ class TableStore:
         self._versions[name] = v
         return v
 
-    def upsert(self, name: str, new: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+    def upsert(self, name: str, new: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
+               base: int | None = None) -> int:
         """Merge ``new`` into the table and rewrite only the buckets of ``key`` that ``new`` touches.
 
         ``merge(stored, new)`` gives the rows of the touched buckets and keeps
         every row's key.  A table without buckets is divided by its first upsert.
+        ``base`` names the version to start from: 0 for none, default the current one.
         """
-        v = self.version(name)
+        newest = self.version(name)
+        v = (newest if base is None else base) or None
         layout = None if v is None else self._layout(name, v)
         n = layout["buckets"] if layout else self.buckets
 
@@ -147,9 +150,9 @@ class TableStore:
                 return v
             old = self._read_buckets(name, layout, sorted(touched & set(layout["at"]), key=int))
         else:
-            touched, old = None, self.read(name)
+            touched, old = None, None if v is None else self.read(name, version=v)
         rows = new if old is None else merge(old, new)
-        v = (v or 0) + 1
+        v = (newest or 0) + 1
         path = self._path(name, f"v={v}")
         (rows.withColumn(BUCKET, bucket(F.col(key))).hint("rebalance", F.col(BUCKET))
          .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
@@ -160,6 +163,17 @@ class TableStore:
         schema = layout["schema"] if layout else ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema)
         return self._mark(name, v, json.dumps({"buckets": n, "schema": schema, "at": at}))
 
+    def read_keys(self, name: str, keys: DataFrame, key: str, schema, version: int | None = None) -> DataFrame:
+        """The stored rows of ``keys`` (one column); opens only the buckets that may hold one."""
+        v = self.version(name) if version is None else version or None
+        layout = None if v is None else self._layout(name, v)
+        if layout is None:
+            stored = None if v is None else self.read(name, schema, v)
+            return self.spark.createDataFrame([], schema) if stored is None else stored.join(keys, key, "left_semi")
+        wanted = keys.select(F.pmod(F.xxhash64(key), F.lit(layout["buckets"])).cast("string").alias("b")).distinct()
+        buckets = sorted({r["b"] for r in wanted.collect()} & set(layout["at"]), key=int)
+        return self._read_buckets(name, layout, buckets, schema).join(keys, key, "left_semi")
+
     def expire(self, name: str, keep: int = 3) -> list[int]:
         """Remove the versions that none of the newest ``keep`` markers refers to; returns them.
 
@@ -182,6 +196,15 @@ class TableStore:
             fs.delete(data, True)
         return gone
 
+    def changed_buckets(self, name: str, old: int, new: int) -> tuple[DataFrame, DataFrame] | None:
+        """The rows of two versions in the buckets that differ, or None if one of them cannot be compared or is gone."""
+        layouts = [self._layout(name, v) if self._exists(self._path(name, "_pointer", f"v={v}")) else None for v in (old, new)]
+        if None in layouts or layouts[0]["buckets"] != layouts[1]["buckets"]:
+            return None
+        a, b = (x["at"] for x in layouts)
+        differ = sorted((k for k in a.keys() | b.keys() if a.get(k) != b.get(k)), key=int)
+        return tuple(self._read_buckets(name, x, [k for k in differ if k in x["at"]]) for x in layouts)
+
     # -- append-only tables -------------------------------------------------
     def read_log(self, name: str, schema=None) -> DataFrame | None:
         path = self._path(name, "data")
@@ -194,3 +217,17 @@ class TableStore:
         if partition_by:
             w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
         w.parquet(self._path(name, "data"))
+
+    def append_once(self, name: str, df: DataFrame, key: list[str], schema) -> None:
+        """Append the rows of ``df`` whose ``key`` is not in the log yet; of repeats within ``df`` one."""
+        df = df.dropDuplicates(key)
+        stored = self.read_log(name, schema)
+        if stored is not None:
+            uploads = bounded_broadcast(df.select(key[0]).distinct())
+            stored = stored.join(uploads, key[0], "left_semi").select(*key)
+            df = df.join(stored, key, "left_anti").select(*df.columns)
+        self.append(name, df)
+
+    def write_part(self, name: str, part: str, df: DataFrame, partition_by: str) -> None:
+        """Replace one part (a folder ``column=value``) of a log; parts belong to one writer each."""
+        df.write.mode("overwrite").partitionBy(partition_by).parquet(self._path(name, "data", part))
