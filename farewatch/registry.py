@@ -111,12 +111,23 @@ def q_src_upload_rows(spark, sf_dir):
 @register("src_upload_files", O.with_cells() + """
 SELECT reader, upload_id, row_num, CAST(len(list_filter(cells, lambda c: c <> '')) AS INTEGER) AS n_values,
        array_to_string(list_transform(cells, lambda c, i: CASE WHEN c <> '' THEN (i - 1) || '=' || c END), '|') AS text
-FROM srows CROSS JOIN (VALUES ('csv'), ('csv_lines'), ('xlsx')) AS r(reader)
+FROM (SELECT upload_id, row_num, list_transform(cells, lambda c: CASE WHEN c <> '' AND row_num % 5 = 0 THEN c || '"' || chr(10) || ',x'
+    WHEN c <> '' AND row_num % 5 = 1 THEN '"' || c ELSE c END) AS cells FROM srows)
+  CROSS JOIN (VALUES ('csv'), ('csv_lines'), ('xlsx')) AS r(reader)
 WHERE len(list_filter(cells, lambda c: c <> '')) > 0""")
 def q_src_upload_files(spark, sf_dir):
-    """The sheets written as CSV and xlsx files and read back by each reader (empty and null cells are one there)."""
+    """The sheets written as CSV and xlsx files and read back by each reader (empty and null cells are one there).
+
+    Some cells get quotes, delimiters and line breaks first.
+    """
     configure(spark)
-    cells, folder = FX.events_sheet_cells(spark, sf_dir), scratch_path(spark, f"upload-files-{uuid.uuid4().hex[:12]}")
+    folder, n = scratch_path(spark, f"upload-files-{uuid.uuid4().hex[:12]}"), F.col("row_num") % 5
+
+    def marked(c):
+        return F.when((c != "") & (n == 0), F.concat(c, F.lit('"\n,x'))).when((c != "") & (n == 1), F.concat(F.lit('"'), c)).otherwise(c)
+
+    cells = FX.events_sheet_cells(spark, sf_dir)
+    cells = cells.withColumn("cells", F.transform("cells", marked))
     for kind in ("csv", "xlsx"):
         UPL.write_uploads(cells, folder, kind)
     readers = {"csv": UPL.read_csv_uploads, "csv_lines": UPL.read_csv_lines, "xlsx": UPL.read_xlsx_uploads}
@@ -397,6 +408,17 @@ def q_page_topk(spark, sf_dir):
     return LK.page(RK.suspicious_operations(st.transactions, st.scores), limit=200, offset=100).select("id", "op_datetime")
 
 
+@register("page_deep", M1() + f""",
+ranked AS (SELECT t.id, t.op_datetime, row_number() OVER (ORDER BY t.op_datetime DESC, t.id) AS rn, count(*) OVER () AS n
+  FROM tx t JOIN scores s USING (passenger_id) WHERE s.risk_band IN ({SUSP}))
+SELECT id, op_datetime FROM ranked WHERE rn > n // 2 AND rn <= n // 2 + 200""")
+def q_page_deep(spark, sf_dir):
+    """A page that starts at half of the suspicious operations, found by rank."""
+    st = events_state(spark, sf_dir)
+    ops = RK.suspicious_operations(st.transactions, st.scores)
+    return LK.deep_page(ops, limit=200, offset=ops.count() // 2).select("id", "op_datetime")
+
+
 @register("upload_outcome", O.with_cells() + f"""
 SELECT upload_id, 'done' AS status, CAST(NULL AS VARCHAR) AS error, count(*) AS rows_read, count(error) AS parse_errors
 FROM typed GROUP BY upload_id
@@ -602,11 +624,59 @@ def q_rule_score(spark, sf_dir):
     return st.features.select("passenger_id", SC.rule_score().alias("rule_score"))
 
 
-@register("anomaly_score")
+def _c_sql(n: str) -> str:
+    return (f"(CASE WHEN {n} > 2 THEN 2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE)"
+            f" - 2.0::DOUBLE * ({n} - 1) / {n} WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")
+
+
+def _forest_sql() -> str:
+    """CTEs that draw the samples, grow the trees level by level and walk every passenger down them."""
+    d, trees, sample, seed = len(K.IFOREST_FEATURES), K.IFOREST_TREES, K.IFOREST_SAMPLE, K.IFOREST_SEED
+    vector = ", ".join(f"CAST({c} AS DOUBLE)" for c in K.IFOREST_FEATURES)
+
+    def digits(text, start, n):
+        return f"('0x' || substr({text}, {start}, {n}))::BIGINT"
+
+    sql = f"""
+x AS (SELECT passenger_id AS key, [{vector}] AS v, md5('{seed}:' || passenger_id) AS m FROM feat),
+sizes AS (SELECT count(*) AS n, least({sample}, count(*)) AS psi,
+  CAST(floor(least(1.0::DOUBLE, 4.0::DOUBLE * least({sample}, count(*)) / count(*)) * 2147483647) AS BIGINT) AS most FROM x),
+drawn AS (SELECT tree, key, v, ({digits('m', 1, 7)} + tree * {digits('m', 8, 7)}) % 2147483647 AS h
+  FROM x, (SELECT unnest(range(0::BIGINT, {trees})) AS tree)),
+g0 AS (SELECT tree, key, v, 0 AS node FROM
+  (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY h, key) AS rank FROM drawn, sizes WHERE h <= most) WHERE rank <= psi)"""
+    levels = (sample - 1).bit_length()
+    for k in range(levels):
+        lo, hi = (", ".join(f"{f}(v[{i + 1}]) OVER w" for i in range(d)) for f in ("min", "max"))
+        sql += f""",
+a{k} AS (SELECT tree, key, v, node, count(*) OVER w AS size, [{lo}] AS lo, [{hi}] AS hi, md5('{seed}:' || tree || ':' || node) AS m
+  FROM g{k} WINDOW w AS (PARTITION BY tree, node)),
+b{k} AS (SELECT *, list_filter(range(1, {d + 1}), lambda i: hi[i] > lo[i]) AS varying FROM a{k}),
+c{k} AS (SELECT *, CASE WHEN size > 1 AND len(varying) > 0 AND {k} < ceil(log2(greatest(psi, 2))) THEN varying[{digits('m', 1, 8)} % len(varying) + 1] END AS f
+  FROM b{k}, sizes),
+d{k} AS (SELECT *, lo[f] + (({digits('m', 9, 13)})::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE * (hi[f] - lo[f]) AS t FROM c{k}),
+g{k + 1} AS (SELECT tree, key, v, CASE WHEN f IS NULL THEN node WHEN v[f] < t THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM d{k})"""
+    inner = " UNION ALL ".join(f"SELECT DISTINCT tree, node, f, t, NULL::BIGINT AS size FROM d{k} WHERE f IS NOT NULL" for k in range(levels))
+    sql += f""",
+nodes AS ({inner} UNION ALL SELECT tree, node, NULL, NULL, count(*) FROM g{levels} GROUP BY tree, node),
+w0 AS (SELECT key, v, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM g0))"""
+    for k in range(levels):
+        sql += f""",
+w{k + 1} AS (SELECT key, v, tree, CASE WHEN f IS NULL THEN node WHEN v[f] < t THEN 2 * node + 1 ELSE 2 * node + 2 END AS node
+  FROM w{k} JOIN nodes USING (tree, node))"""
+    return sql + f""",
+raw AS (SELECT key AS passenger_id, pow(2.0::DOUBLE, -avg(floor(log2(node + 1.5)) + {_c_sql("size")}) / {_c_sql("any_value(psi)")}) AS s
+  FROM w{levels} JOIN nodes USING (tree, node), sizes GROUP BY key)
+SELECT passenger_id, round(s, 6) AS anomaly_raw, round(CASE WHEN max(s) OVER () > min(s) OVER ()
+  THEN (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) * 100.0::DOUBLE ELSE 0.0::DOUBLE END, 4) AS ml_score FROM raw"""
+
+
+@register("anomaly_score", M1().rstrip() + "," + _forest_sql())
 def q_anomaly_score(spark, sf_dir):
     from farewatch.operators.iforest import anomaly_scores
     st = events_state(spark, sf_dir)
-    return anomaly_scores(st.features).select("passenger_id", "anomaly_raw", "ml_score")
+    return anomaly_scores(st.features).select("passenger_id", F.round("anomaly_raw", 6).alias("anomaly_raw"),
+                                              F.round("ml_score", 4).alias("ml_score"))
 
 
 # A forest of two trees: (tree, node, feature or -1, threshold, left, right, size, depth).  Features by
@@ -618,11 +688,6 @@ _FOREST = [(0, 0, 0, 65.5, 1, 2, -1, 0), (0, 1, 2, 0.2, 3, 4, -1, 1), (0, 2, -1,
 _FOREST_PSI = 128
 
 
-def _c_sql(n: str) -> str:
-    return (f"(CASE WHEN {n} > 2 THEN 2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE)"
-            f" - 2.0::DOUBLE * ({n} - 1) / {n} WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")
-
-
 @register("forest_path", "WITH RECURSIVE" + M1()[len("WITH"):].rstrip() + f""",
 forest AS (SELECT * FROM (VALUES {", ".join(map(str, _FOREST))}) f(tree, node, feature, threshold, l, r, size, depth)),
 x AS (SELECT passenger_id, [{", ".join(f"CAST({c} AS DOUBLE)" for c in K.IFOREST_FEATURES)}] AS v FROM feat),
@@ -927,6 +992,45 @@ def q_concentration_upsert(spark, sf_dir):
     return UP.concentration_upsert(co, cn)
 
 
+@register("features_incremental", ORACLE["passenger_features"])
+def q_features_incremental(spark, sf_dir):
+    """The feature table kept by added sums over three loads, the last of which adds to an old upload."""
+    from farewatch.plans.incremental import refresh_features
+    st, store = events_state(spark, sf_dir), _stream_store(spark)
+    store.upsert("passengers", st.passengers, "id", UP.passenger_upsert)
+    odd = F.col("row_num") % 2 == 1
+    for part in ((F.col("upload_id") == 1) & odd, F.col("upload_id") != 1, (F.col("upload_id") == 1) & ~odd):
+        store.append("transactions", st.transactions.where(part), partition_by="upload_id")
+        out = refresh_features(store, RUN_TIME)
+    return out.select(*_FEAT_COLS.split(", "))
+
+
+@register("passenger_search_index", ORACLE["passenger_search"])
+def q_passenger_search_index(spark, sf_dir):
+    """The two searches of ``passenger_search`` through trigram postings filled by two loads."""
+    from farewatch.plans.search import refresh_search_index, search
+    st, store = _cells_state(spark, sf_dir), _stream_store(spark)
+    store.upsert("passengers", st.passengers, "id", UP.passenger_upsert)
+    for part in (F.col("upload_id") == 1, F.col("upload_id") != 1):
+        store.append("transactions", st.transactions.where(part), partition_by="upload_id")
+        refresh_search_index(store)
+    return search(store, "test").unionByName(search(store, "77700")).select("id", "fio_clean").distinct()
+
+
+@register("concentration_incremental", ORACLE["risk_concentration"])
+def q_concentration_incremental(spark, sf_dir):
+    """Concentrations kept by deltas over two ingests and a scoring that changes bands in between."""
+    from farewatch.plans.incremental import refresh_concentration
+    st, store = events_state(spark, sf_dir), _stream_store(spark)
+    # The first scoring knows no band but low and critical, the second is the real one.
+    first = st.scores.withColumn("risk_band", F.when(F.pmod("passenger_id", F.lit(3)) == 0, "critical").otherwise("low"))
+    for part, scores in ((F.col("upload_id") == 1, first), (F.col("upload_id") != 1, st.scores)):
+        store.append("transactions", st.transactions.where(part), partition_by="upload_id")
+        store.upsert("passenger_scores", scores, "passenger_id", lambda old, new: UP.replace_on_key(old, new, ["passenger_id"]))
+        out = refresh_concentration(store, calculated_at=RUN_TIME)
+    return out
+
+
 # ==========================================================================
 # S10-S12 exports
 # ==========================================================================
@@ -1042,10 +1146,23 @@ def q_stream_ingest(spark, sf_dir):
     # Several files, each mixing uploads and rows: header rows may arrive
     # after data rows of the same upload (those wait in the pending table).
     FX.events_sheet_cells(spark, sf_dir).repartition(4).write.parquet(src)
-    tx = stream_ingest(spark, src, store, max_files=2)
+    tx = stream_ingest(spark, src, store, max_files=2, complete=True)
     return tx.select("id", "upload_id", "row_num", "passenger_id")
 
 
+@register("stream_outcome", ORACLE["upload_outcome"])
+def q_stream_outcome(spark, sf_dir):
+    """Outcomes of streamed uploads whose rows arrive in three parts, none of which has whole heads."""
+    from farewatch.streaming import ingest as ST
+    store = _stream_store(spark)
+    src = store._path("src_cells")
+    cells = FX.with_bad_uploads(FX.events_sheet_cells(spark, sf_dir))
+    for rest in (2, 0, 1):
+        cells.where(F.col("row_num") % 3 == rest).coalesce(1).write.mode("append").parquet(src)
+    ST.stream_ingest(spark, src, store, max_files=1, complete=True)
+    return store.read("upload_outcomes", ST.OUTCOMES)
+
+
 def _tx_files(spark, sf_dir, store, name, parts):
     st = events_state(spark, sf_dir)
     tx = st.transactions
