@@ -19,28 +19,58 @@ def _kept_letters() -> str:
     return "".join(lower) + "".join(c.upper() for c in lower)
 
 
+def _char_class(chars: list[str]) -> str:
+    """A pattern's class of the characters, as ranges."""
+    codes, ranges = sorted(map(ord, chars)), []
+    for c in codes:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+def _marks() -> list[str]:
+    return [chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))]
+
+
 @cache
-def _composing() -> tuple[list[tuple[str, str]], str]:
-    """(kept compositions as pairs, pattern of letter + mark that compose to a letter which is not kept)."""
+def _composing() -> tuple[list[tuple[str, str]], str, list[tuple[str, str]]]:
+    """(kept compositions as pattern and replacement, pattern of compositions that leave the alphabet, marks that stand for others).
+
+    Marks are put in order by their combining class before they compose, and a
+    mark is blocked by an earlier one of its own class.  So a letter composes with
+    the first mark of a class wherever that stands in the run of marks after it.
+    """
+    marks = _marks()
+    others = {n: _char_class([m for m in marks if unicodedata.combining(m) != n]) for n in {unicodedata.combining(m) for m in marks}}
     kept, lost = [], defaultdict(list)
-    for mark in (chr(c) for c in range(0x300, 0x370)):
+    for mark in marks:
         for letter in _kept_letters():
             one = unicodedata.normalize("NFC", letter + mark)
-            if len(one) == 1 and len(one.lower()) == 1:
+            if len(one) == 1 and len(one.lower()) == 1 and len(unicodedata.normalize("NFD", mark)) == 1:
                 if one in _kept_letters():
-                    kept.append((letter + mark, one))
+                    kept.append((f"{letter}([{others[unicodedata.combining(mark)]}]*){mark}", f"{one}$1"))
                 else:
                     lost[mark].append(letter)
-    return kept, "|".join(f"[{''.join(letters)}]{mark}" for mark, letters in lost.items())
+    by_class = defaultdict(list)
+    for mark, letters in lost.items():
+        by_class[unicodedata.combining(mark)].append(f"[{''.join(letters)}][{others[unicodedata.combining(mark)]}]*{mark}")
+    spelt = [(m, unicodedata.normalize("NFD", m)) for m in marks if unicodedata.normalize("NFD", m) != m]
+    return kept, "|".join(p for ps in by_class.values() for p in ps), spelt
 
 
 def _composed(s: Column) -> Column:
     """What NFC does to the letters of names: й and ё are composed, and a letter
-    that composes with the mark after it to a letter outside the alphabet becomes a space."""
-    kept, lost = _composing()
-    for pair, one in kept:
-        s = F.replace(s, F.lit(pair), F.lit(one))
-    return F.regexp_replace(s, lost, " ")
+    that composes with a mark after it to a letter outside the alphabet becomes a space.
+    The patterns are applied to names that hold a mark."""
+    kept, lost, spelt = _composing()
+    out = s
+    for mark, parts in spelt:
+        out = F.replace(out, F.lit(mark), F.lit(parts))
+    for pattern, one in kept:
+        out = F.regexp_replace(out, pattern, one)
+    return F.when(F.rlike(s, F.lit(f"[{_char_class(_marks())}]")), F.regexp_replace(out, lost, " ")).otherwise(s)
 
 
 def _normalised(raw: Column) -> Column:

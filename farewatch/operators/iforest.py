@@ -6,10 +6,13 @@ Plan:
 1. the rows are counted (all of them can be drawn by every tree);
 2. per tree: a hash of (row, tree) keeps about 4x the tree's sample size of all
    rows; a row is replicated only for the trees that keep it, before the
-   shuffle; ``applyInPandas`` takes the ``sample`` smallest hashes and grows one tree
-   in numpy (random non-constant feature, uniform threshold, depth limit
-   ceil(log2 sample)).  Groups are bounded by construction;
-3. the forest (at most trees x (2*sample - 1) nodes, checked) is broadcast and
+   shuffle; the ``sample`` smallest hashes of a tree grow it;
+3. all trees grow together, level by level: smallest and largest value of each
+   feature per node, a non-constant feature and a threshold from a hash of
+   (seed, tree, node), depth limit ceil(log2 sample).  The sample is dealt out
+   by tree once and every level is a window over it; nothing random is left, so
+   SQL grows the same forest;
+4. the forest (at most trees x (2*sample - 1) nodes, checked) is broadcast and
    every row is scored by an Arrow pandas UDF: s = 2^(-E[h(x)] / c(sample)).
 
 Contamination only shifts the decision function by a constant, which the
@@ -22,12 +25,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from farewatch import constants as K
 
 _EULER = 0.5772156649015329
-_MASK = 0x7FFF_FFFF_FFFF_FFFF
+# Draws of a row by the trees: (a + tree * b) modulo a prime, with a and b of 28 bits from the row's hash.
+PRIME = 2**31 - 1
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree", T.LongType()),
@@ -52,41 +56,72 @@ def c_factor(n) -> np.ndarray:
     return out
 
 
-def _grow_tree(x: np.ndarray, tree: int, seed: int, psi: int) -> list[tuple]:
-    rng = np.random.default_rng([seed, tree])
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    nodes: list[list] = []
-    stack = [(np.arange(len(x)), 0, -1, 0)]  # (rows, depth, parent, side)
-    while stack:
-        rows, depth, parent, side = stack.pop()
-        idx = len(nodes)
-        nodes.append([idx, -1, 0.0, -1, -1, len(rows), depth])
-        if parent >= 0:
-            nodes[parent][3 if side == 0 else 4] = idx
-        if depth >= max_depth or len(rows) <= 1:
-            continue
-        sub = x[rows]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            continue
-        f = int(usable[rng.integers(usable.size)])
-        thr = float(rng.uniform(lo[f], hi[f]))
-        go_left = sub[:, f] < thr
-        nodes[idx][1], nodes[idx][2], nodes[idx][5] = f, thr, -1
-        stack.append((rows[~go_left], depth + 1, idx, 1))
-        stack.append((rows[go_left], depth + 1, idx, 0))
-    return [(tree, n[0], n[1], n[2], n[3], n[4], n[5], n[6], psi) for n in nodes]
-
-
-def _fit_group(cols: list[str], seed: int, sample: int):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["h", "key"]).head(sample)
-        x = pdf[cols].to_numpy(dtype=float)
-        rows = _grow_tree(x, tree, seed, len(pdf))
-        return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
-    return fit
+def _number(digest: Column, start: int, digits: int) -> Column:
+    """The integer that some hexadecimal digits of a digest spell."""
+    return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
+
+
+def _hash(*parts: Column) -> Column:
+    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+
+
+def draw_samples(features: DataFrame, cols: list[str], key: str, n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
+    """(tree, key, features): the ``psi`` rows of each tree with the smallest draws."""
+    x = features.select(F.col(key).alias("key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    digest = _hash(F.lit(seed), F.col("key"))
+    x = x.withColumn("a", _number(digest, 1, 7)).withColumn("b", _number(digest, 8, 7))
+    most = int(min(1.0, 4.0 * psi / n) * PRIME)
+
+    def draw(tree):
+        return (F.col("a") + tree * F.col("b")) % PRIME
+
+    trees = F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))
+    kept = x.select("*", F.explode(F.filter(trees, lambda t: draw(t) <= most)).alias("tree")).withColumn("h", draw(F.col("tree")))
+    # About 4 * psi rows of a tree are left; one exchange by tree serves the draw and every level.
+    parts = max(1, min(n_trees, 2 * features.sparkSession.sparkContext.defaultParallelism))
+    kept = kept.drop("a", "b").repartition(parts, "tree")
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", "key"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= psi).drop("rank", "h")
+
+
+def grow_level(rows: DataFrame, cols: list[str], seed: int) -> DataFrame:
+    """Rows (tree, key, features, node, path) after every node that can be divided was: children of node i are 2i + 1 and 2i + 2."""
+    node = Window.partitionBy("tree", "node")
+    rows = rows.select("*", F.count(F.lit(1)).over(node).alias("size"), *[F.min(c).over(node).alias(f"lo_{c}") for c in cols],
+                       *[F.max(c).over(node).alias(f"hi_{c}") for c in cols])
+    varying = F.filter(F.array(*[F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.lit(i)) for i, c in enumerate(cols)]), lambda i: i.isNotNull())
+    rows = rows.withColumn("varying", varying).withColumn("digest", _hash(F.lit(seed), F.col("tree"), F.col("node")))
+    rows = rows.withColumn("feature", F.when((F.col("size") > 1) & (F.size("varying") > 0), F.get(
+        "varying", (_number(F.col("digest"), 1, 8) % F.size("varying")).cast("int"))))
+
+    def chosen(prefix: str) -> Column:
+        return F.get(F.array(*[F.col(f"{prefix}{c}") for c in cols]), F.col("feature"))
+
+    share = (_number(F.col("digest"), 9, 13).cast("double") + 0.5) / float(2**52)
+    rows = rows.withColumn("threshold", chosen("lo_") + share * (chosen("hi_") - chosen("lo_")))
+    step = F.array(F.struct("node", "feature", "threshold"))
+    return rows.select(
+        "tree", "key", *cols,
+        F.when(F.col("feature").isNull(), F.col("node")).otherwise(
+            2 * F.col("node") + F.when(chosen("") < F.col("threshold"), 1).otherwise(2)).alias("node"),
+        F.when(F.col("feature").isNull(), F.col("path")).otherwise(F.concat("path", step)).alias("path"))
+
+
+def grow_forest(samples: DataFrame, cols: list[str], psi: int, seed: int) -> DataFrame:
+    """The node table (NODE_SCHEMA) of the trees grown from (tree, key, features)."""
+    none = F.array().cast("array<struct<node: int, feature: int, threshold: double>>")
+    rows = samples.select("tree", "key", *cols, F.lit(0).alias("node"), none.alias("path"))
+    for _ in range(int(math.ceil(math.log2(max(psi, 2))))):
+        rows = grow_level(rows, cols, seed)
+    # A row names its leaf and every node above it; equal nodes of a tree are one.
+    leaf = F.struct("node", F.lit(-1).alias("feature"), F.lit(0.0).alias("threshold"))
+    nodes = (rows.select("tree", F.explode(F.concat("path", F.array(leaf))).alias("s")).select("tree", "s.*")
+             .groupBy("tree", "node", "feature", "threshold").agg(F.count(F.lit(1)).alias("rows")))
+    inner = F.col("feature") >= 0
+    return nodes.select(
+        "tree", "node", "feature", "threshold", F.when(inner, 2 * F.col("node") + 1).otherwise(-1).alias("left"),
+        F.when(inner, 2 * F.col("node") + 2).otherwise(-1).alias("right"), F.when(inner, -1).otherwise(F.col("rows")).cast("long").alias("size"),
+        F.floor(F.log2(F.col("node") + 1.5)).cast("int").alias("depth"), F.lit(psi).cast("long").alias("psi"))
 
 
 def fit_forest(features: DataFrame, cols=K.IFOREST_FEATURES, key: str = "passenger_id",
@@ -94,23 +129,11 @@ def fit_forest(features: DataFrame, cols=K.IFOREST_FEATURES, key: str = "passeng
                seed: int = K.IFOREST_SEED) -> pd.DataFrame:
     """Fit the forest; returns the (bounded) node table on the driver."""
     cols = list(cols)
-    x = features.select(F.col(key).alias("key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    n = x.count()
+    n = features.count()
     if n == 0:
         return pd.DataFrame(columns=[f.name for f in NODE_SCHEMA.fields])
     psi = min(sample, n)
-    keep = min(1.0, 4.0 * psi / n)
-
-    def draw(tree):
-        return F.xxhash64("key", tree, F.lit(seed)).bitwiseAND(F.lit(_MASK))
-
-    trees = F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))
-    per_tree = (x.select("*", F.explode(F.filter(trees, lambda t: draw(t) / float(_MASK) <= keep)).alias("tree"))
-                .withColumn("h", draw(F.col("tree"))))
-    parts = max(1, min(n_trees, 2 * features.sparkSession.sparkContext.defaultParallelism))
-    nodes = (per_tree.repartition(parts, "tree")
-             .groupBy("tree").applyInPandas(_fit_group(cols, seed, psi), NODE_SCHEMA))
-    forest = nodes.toPandas()
+    forest = grow_forest(draw_samples(features, cols, key, n, n_trees, psi, seed), cols, psi, seed).toPandas()
     bound = n_trees * (2 * psi - 1)
     if len(forest) > bound:
         raise RuntimeError(f"forest has {len(forest)} nodes, above the bound {bound}")

@@ -52,7 +52,7 @@ def main(argv):
     names = argv[2:]
     import __spark_entry__ as E
     from farewatch.session import build_session
-    spark = build_session("local[8]")
+    spark = build_session(os.environ.get("ORACLE_MASTER", "local[8]"))
     con = duckdb.connect()
     for t in TABLES:
         p = f"{sf_dir}/{t}.parquet"

@@ -108,3 +108,31 @@ def test_iforest_scores_match_naive_traversal(spark):
             total += g.at[node, "depth"] + c(g.at[node, "size"])
         expected = 2 ** (-(total / len(trees)) / c(psi))
         assert abs(got[pid] - expected) < 1e-9
+
+
+# -- names with combining marks -----------------------------------------------
+
+def plain_clean(raw):
+    """The rule as stated: NFC, lower case, letters outside the alphabet and marks end a word."""
+    import re
+    import unicodedata
+
+    text = unicodedata.normalize("NFC", raw).strip().lower()
+    words = re.sub(f"[^{IF.K.NAME_KEEP_CLASS}]", " ", text).split()
+    return " ".join(w for w in words if w not in IF.K.NAME_NOISE_TOKENS).upper()
+
+
+def test_names_with_several_marks_are_composed(spark):
+    """Letters with up to three marks of several combining classes, in any order, composed letters included."""
+    import random
+
+    from farewatch.functions import names as N
+
+    rng = random.Random(3)
+    letters = list("иеИЕйЁёaAoszuкгжқұ x") + ["K", "ѐ", "ӣ", "é"]
+    marks = [chr(c) for c in (0x306, 0x308, 0x301, 0x300, 0x304, 0x323, 0x327, 0x328, 0x338, 0x345, 0x315, 0x344, 0x340, 0x483, 0x34F, 0x20D0)]
+    raws = []
+    for _ in range(3000):
+        raws.append("".join(rng.choice(letters) + "".join(rng.choices(marks, k=rng.choice([0, 0, 1, 2, 3]))) for _ in range(rng.randint(1, 5))))
+    frame = spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", N.clean_name("raw").alias("c"))
+    assert {r["raw"]: r["c"] for r in frame.collect()} == {r: plain_clean(r) for r in raws}
