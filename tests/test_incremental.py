@@ -194,10 +194,10 @@ def test_incremental_scoring_equals_full_scoring(spark):
     cells, results = FX.events_sheet_cells(spark, SF_SMALL), []
     for incremental in (True, False):
         store = TableStore(spark)
-        for upload in (2, 1, 3):
-            JB.upload_job(store, cells.where(F.col("upload_id") == upload), job_id=f"j{upload}",
+        for uploads in ([2], [1, 3]):
+            JB.upload_job(store, cells.where(F.col("upload_id").isin(uploads)), job_id=f"j{uploads[0]}",
                           scoring={"with_ml": False, "incremental": incremental, "run_time": RUN_TIME})
-        assert statuses(store, "job_events") == ["running", "done"] * 3
+        assert statuses(store, "job_events") == ["running", "done"] * 2
         scores = store.read("passenger_scores", S.PASSENGER_SCORES)
         results.append((feature_rows(store.read("passenger_features")), sorted(map(str, scores.collect())),
                         rows(store.read("risk_concentrations"))))

@@ -35,8 +35,8 @@ def store(spark):
     return out
 
 
-@pytest.mark.parametrize("band", [None, "high"])
-@pytest.mark.parametrize("term", ["ann", "ANNA", "лее", "leelee", "жан", "ЖАНЖ", "990101", "7ab7", "9", "", "zzz", "n%", "_99", "nan", "   "])
+@pytest.mark.parametrize("term, band", [("ANNA", None), ("leelee", None), ("жан", "high"), ("990101", "high"), ("7ab7", None), ("9", None),
+                                        ("", "high"), ("zzz", None), ("n%a", None), ("   ", None)])
 def test_search_equals_the_scan(store, term, band):
     # Passengers without transactions are not in the index.
     with_tx = store.read_log("transactions", S.TRANSACTIONS).select(F.col("passenger_id").alias("id")).distinct()
