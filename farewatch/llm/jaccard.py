@@ -91,24 +91,24 @@ def _digest_task(shingle: int):
     return run
 
 
-def _representatives(batches, hasher: Hasher, copies: str, shingle: int):
-    """(part, row, set) of the rows that stand for their class."""
-    at, skipped = None, None
+def _representatives(batches, hasher: Hasher, firsts: str, shingle: int):
+    """(part, class, set) of the rows that stand for their class."""
+    at, known = None, None
     for batch in batches:
         rows = batch.column("row").to_numpy()
         for part, places, block in _row_blocks(batch, hasher):
             if part != at:
-                table = sketch.read_part(copies, part)
-                at, skipped = part, set() if table is None else set(table.column("row").to_pylist())
+                table = sketch.read_part(firsts, part)
+                at, known = part, {} if table is None else dict(zip(table.column("row").to_pylist(), table.column("class").to_pylist(), strict=True))
             for i, (items, *_) in document_sets(block, hasher, shingle):
-                row = int(rows[places[i]])
-                if len(items) and row not in skipped:
-                    yield part, row, items
+                name = known.get(int(rows[places[i]]))
+                if len(items) and name is not None:
+                    yield part, name, items
 
 
-def _sketch_keys(copies: str, shingle: int):
+def _sketch_keys(firsts: str, shingle: int):
     def keys_of(batches):
-        for part, _, items in _representatives(batches, Hasher(1, fold_case=True), copies, shingle):
+        for part, _, items in _representatives(batches, Hasher(1, fold_case=True), firsts, shingle):
             yield part, items
     return keys_of
 
@@ -118,11 +118,11 @@ def least_overlap(n: int, threshold: int) -> int:
     return -(-threshold * n // 100)
 
 
-def _set_task(copies: str, path: str, bits: int, shingle: int, threshold: int):
+def _set_task(firsts: str, path: str, bits: int, shingle: int, threshold: int):
     """Sets that share a prefix shingle with another, in rare-first order."""
     def run(batches):
         at, estimates, held, size = None, None, [], 0
-        for part, doc, items in _representatives(batches, Hasher(1, fold_case=True), copies, shingle):
+        for part, doc, items in _representatives(batches, Hasher(1, fold_case=True), firsts, shingle):
             if part != at:
                 at, estimates = part, sketch.Estimates(path, part, bits)
             counts = estimates.count(items)
@@ -356,23 +356,31 @@ def _named(member: DataFrame, found: DataFrame) -> DataFrame:
 def _linked_classes(copy: DataFrame, threshold: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Rows (row, doc_id, part, n, class) of a copy (doc_id, text, part, row), and edges (v, u) of classes.
 
-    A class is the rows of one set, named by its first row; rows without a set or a
-    doc_id have none.
+    A class is the rows of one set, named by its smallest doc_id; of several classes
+    with that doc_id all but one get numbers that no doc_id has.  Rows without a set
+    or a doc_id have none.
     """
     digests = save(copy.mapInArrow(_digest_task(shingle), DIGESTS), "jaccard-digests")
     key = ["n", "d1", "d2"]
-    equal = (digests.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key)
-             .agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("m")))
-    # Only classes of several rows are joined back, from a table of their own:
-    # two plain exchanges let Spark split the rows of one large class.
-    shared = save(equal.where("m > 1").select(*key, "first"), "jaccard-equal")
-    member = digests.join(shared, key, "left").select(
-        "row", "doc_id", "part", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("first", "row")).alias("class"))
+    valid = digests.where("n > 0 AND doc_id IS NOT NULL")
+    equal = save(valid.groupBy(*key).agg(F.min("doc_id").alias("least"), F.min("row").alias("first"), F.count(F.lit(1)).alias("m")), "jaccard-equal")
+    same = equal.groupBy("least").agg(F.count(F.lit(1)).alias("k"), F.min("first").alias("one")).where("k > 1").select("least", "one")
+    ends = valid.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    free = F.monotonically_increasing_id() + F.lit(1)
+    number = F.lit(ends["hi"] or 0) + free if (ends["hi"] or 0) < 2**62 else F.lit(ends["lo"]) - free
+    further = save(equal.join(same, "least").where("first <> one").select(*key, number.alias("number")), "jaccard-further")
+    # Only classes of several rows, or of several texts of a document, are joined back, from a
+    # table of their own: two plain exchanges let Spark split the rows of one large class.
+    shared = save(equal.join(further, key, "left").where("m > 1 OR number IS NOT NULL")
+                  .select(*key, "first", F.coalesce("number", "least").alias("name")), "jaccard-shared")
+    stands = F.coalesce("first", "row") == F.col("row")
+    member = digests.join(shared, key, "left").withColumn("named", F.col("doc_id").isNotNull() & (F.col("n") > 0)).select(
+        "row", "doc_id", "part", "n", F.when(F.col("named"), F.coalesce("name", "doc_id")).alias("class"), (F.col("named") & stands).alias("stands"))
     member = save(member, "jaccard-members")
-    copies = sketch.write_by_part(member.where("class IS NULL OR row <> class").select("part", "row"), "jaccard-copies")
-    n_items = member.where("row = class").agg(F.sum("n")).first()[0] or 0
-    path, bits = sketch.build(copy, _sketch_keys(copies, shingle), n_items, "jaccard-estimates")
-    sets = save(copy.mapInArrow(_set_task(copies, path, bits, shingle, threshold), SETS), "jaccard-sets")
+    firsts = sketch.write_by_part(member.where("stands").select("part", "row", "class"), "jaccard-firsts")
+    n_items = member.where("stands").agg(F.sum("n")).first()[0] or 0
+    path, bits = sketch.build(copy, _sketch_keys(firsts, shingle), n_items, "jaccard-estimates")
+    sets = save(copy.mapInArrow(_set_task(firsts, path, bits, shingle, threshold), SETS), "jaccard-sets")
     return member, link_sets(sets, threshold)
 
 
