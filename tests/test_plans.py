@@ -36,3 +36,28 @@ def test_filters_reach_scan(spark, tmp_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(upload_id" in plan or "upload_id#" in plan
     assert "ReadSchema: struct<id:bigint,op_datetime:timestamp_ntz>" in plan
+
+
+def test_rows_are_enriched_once(spark):
+    """Transactions, passengers and features read the enriched rows; none of them hashes ids or cleans names again."""
+    from farewatch import registry as R
+    st = events_state(spark, SF_SMALL)
+    for df in (RK.risk_trend(st.transactions, st.scores), st.passengers, st.features, R._cells_state(spark, SF_SMALL).scores):
+        plan = _plan(df)
+        assert "sha2" not in plan and "get_json_object" not in plan and "try_to_timestamp" not in plan, plan
+
+
+def test_streamed_parts_are_written_by_several_tasks(spark, monkeypatch):
+    """The three parts of ``stream_outcome`` come as many files, not through one task each."""
+    from farewatch import registry as R
+    from farewatch.streaming import ingest as ST
+    files, plain = [], ST.stream_ingest
+
+    def counted(spark, src, store, **kw):
+        files.append(len(spark.read.parquet(src).inputFiles()))
+        return plain(spark, src, store, **kw)
+
+    monkeypatch.setattr(ST, "stream_ingest", counted)
+    out = R.QUERIES["stream_outcome"](spark, SF_SMALL)
+    assert out.count() == 5
+    assert len(files) == 3 and files[0] > 1 and files[0] < files[1] < files[2], files
