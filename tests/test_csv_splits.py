@@ -64,6 +64,23 @@ def test_line_scanner_agrees_with_the_csv_module(pieces):
         assert rows == len(UPL._parse_csv(text, ","))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=40), st.booleans())
+def test_row_counter_agrees_with_the_line_scanner(pieces, quoted):
+    lines = "".join(pieces).split("\n")
+    got = UPL._count_rows(lines, quoted, ",")
+    rows = 0
+    for line in lines:
+        while True:
+            quoted, n, start = UPL.scan_line(line, quoted, ",")
+            rows += n
+            if not (quoted and n):
+                break
+            line = line[start:]
+            quoted = False
+    assert got == (rows, quoted)
+
+
 @pytest.mark.parametrize("ends", [[(0, 1), (1, 0), (0, 0), (1, 0), (1, 1), (1, 0), (1, 0), (0, 1)], [(1, 0)] * 5, [(0, 1)] * 3])
 def test_prefix_scan_composes_the_states(spark, ends):
     """Every kind of split function: keeps, swaps, always outside, always inside."""

@@ -227,3 +227,55 @@ def test_xlsx_sheets_references_and_dates(spark, tmp_dir):
     _workbook(path, {"Main": first}, '<workbookPr date1904="1"/>')
     with open(path, "rb") as f:
         assert list(read_sheet_rows(f.read()))[1] == (3, [None, None, "1904-01-11 12:00:00", "7"])
+
+
+PLAIN_ROW = '<row r="2" spans="1:3"><c r="A2" t="inlineStr"><is><t>x &amp;amp; &lt;y&gt;</t></is></c><c r="C2" s="1"><v>10.5</v></c><c r="D2" s="1"/></row>'
+
+
+def test_plain_sheets_are_read_without_a_tree(tmp_dir, monkeypatch):
+    """One element tree of a sheet cost most of the time of `src_upload_files`; only rows of other forms need it."""
+    from farewatch.sources import xlsx as XL
+
+    parts = []
+    monkeypatch.setattr(XL, "_elements", lambda z, name, tag, f=XL._elements: parts.append(name) or f(z, name, tag))
+    path = os.path.join(tmp_dir, "upload_1.xlsx")
+    other = ["<row><!-- a note --><c><v>7</v></c></row>", '<row><c t="inlineStr"><is><r><t>two</t></r><r><t> runs</t></r></is></c></row>',
+             "<row><c t='str'><v>&#65;</v></c></row>"]
+    want = (2, ["x &amp; <y>", None, "1900-01-09 12:00:00"])
+    for rows, more, parsed in (([PLAIN_ROW], [], False), ([PLAIN_ROW, other[0]], [(3, ["7"])], True),
+                               ([PLAIN_ROW, other[1]], [(3, ["two runs"])], True), ([PLAIN_ROW, other[2]], [(3, ["A"])], True)):
+        _workbook(path, {"Main": "".join(rows)})
+        parts.clear()
+        with open(path, "rb") as f:
+            assert list(XL.read_sheet_rows(f.read())) == [want, *more]
+        assert ("xl/worksheets/sheet1.xml" in parts) == parsed
+    content = XL.sheet_bytes([(3, ["<a&b>", None, "", 'q"'])])
+    parts.clear()
+    assert list(XL.read_sheet_rows(content)) == [(3, ["<a&b>", None, "", 'q"'])] and not parts
+
+
+def test_csv_and_xlsx_files_are_written_from_one_shuffle(spark, tmp_dir):
+    """The cells are computed once for both kinds of files."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    cells = spark.createDataFrame([(u, n, [f"r {n}", None, "Ж"]) for u in (3, 4) for n in range(1, 40)], UPL.CELLS_SCHEMA)
+    files = UPL.write_uploads(cells.mapInArrow(counted, UPL.CELLS_SCHEMA), tmp_dir, "csv", "xlsx")
+    assert files.count() == 4 and seen.value == 78
+    for read in (UPL.read_csv_uploads, UPL.read_csv_lines, UPL.read_xlsx_uploads):
+        got = UPL.whole_uploads(read(spark, tmp_dir)).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, cells.collect()))
+
+
+def test_sheets_wider_than_usual_are_rendered_whole(spark, monkeypatch):
+    from farewatch import registry as R
+
+    wide = spark.createDataFrame([(1, 1, [str(i) if i % 3 else None for i in range(25)]), (1, 2, ["a", None, "b"]), (1, 3, [None])], UPL.CELLS_SCHEMA)
+    monkeypatch.setattr(R.FX, "events_sheet_cells", lambda *_: wide)
+    got = {(r["reader"], r["row_num"]): (r["n_values"], r["text"]) for r in R.q_src_upload_files(spark, SF_SMALL).collect()}
+    text = "|".join(f'{i}="{i}' for i in range(25) if i % 3)
+    assert got == {(reader, n): x for reader in ("csv", "csv_lines", "xlsx") for n, x in ((1, (16, text)), (2, (2, "0=a|2=b")))}
